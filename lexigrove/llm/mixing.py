@@ -63,7 +63,9 @@ def quotas(shards: dict[str, dict[int, int]], targets: dict[str, tuple[float, in
     """
     names = sorted(targets)
     out = []
-    for name, n in zip(names, apportion([max(0.0, targets[x][0] or 0.0) for x in names], total // block), strict=True):
+    shares = [max(0.0, targets[x][0] or 0.0) for x in names]
+    seats = int(total // block * min(1.0, math.fsum(shares)) + 0.5)  # shares that sum to less than 1 leave the rest out
+    for name, n in zip(names, apportion(shares, seats), strict=True):
         have, most = shards.get(name, {}), max(0, targets[name][1] or 0)
         keys = sorted(k for k, v in have.items() if v > 0)
         full = most * sum(have[k] for k in keys)

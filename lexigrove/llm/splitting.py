@@ -1,8 +1,9 @@
 """Splitting oversized items at natural boundaries.
 
 A hierarchy of separators (section, paragraph, sentence or line, word, character) is applied recursively: a stretch over
-the budget is cut at the coarsest separator that it has, and its parts again at the next. The resulting stretches are
-packed greedily up to the limit, and each piece after the first repeats the last `overlap` units of the one before it.
+the budget is cut at the coarsest separator that it has, and its parts again at the next. The resulting stretches are packed
+greedily up to the limit, ending at the coarsest cut in a piece's second half, and each piece after the first repeats
+the last `overlap` units of the one before it.
 """
 
 from __future__ import annotations
@@ -70,18 +71,16 @@ def split_text(text: str, limit: int, overlap: int, by: str = "chars") -> list[t
         cut(a, b, level + 1, closing)
 
     cut(0, n, 0, -1)
-    pieces, done, last, level = [], 0, 0, -1
-
-    def close() -> None:
-        begin = max(0, done - overlap)
-        pieces.append((char_at(begin), len(text) if last == n else char_at(last), last - begin, LEVELS[level] if last < n else "end"))
-
-    for end, closing in atoms:
-        if end - max(0, done - overlap) > limit:
-            close()
-            done = last
-        last, level = end, closing
-    close()
+    pieces, done, k = [], 0, 0
+    while done < n:
+        begin, last = max(0, done - overlap), k
+        while last + 1 < len(atoms) and atoms[last + 1][0] - begin <= limit:
+            last += 1
+        if last + 1 < len(atoms):  # of the cuts that fill half of the limit, the coarsest, of these the last
+            last = min((i for i in range(k, last + 1) if i == last or atoms[i][0] - begin >= limit / 2), key=lambda i: (atoms[i][1], -i))
+        end, level = atoms[last]
+        pieces.append((char_at(begin), len(text) if end == n else char_at(end), end - begin, LEVELS[level] if end < n else "end"))
+        done, k = end, last + 1
     return pieces
 
 
