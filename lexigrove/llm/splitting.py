@@ -77,7 +77,7 @@ def split_text(text: str, limit: int, overlap: int, by: str = "chars") -> list[t
         while last + 1 < len(atoms) and atoms[last + 1][0] - begin <= limit:
             last += 1
         if last + 1 < len(atoms):  # of the cuts that fill half of the limit, the coarsest, of these the last
-            last = min((i for i in range(k, last + 1) if i == last or atoms[i][0] - begin >= limit / 2), key=lambda i: (atoms[i][1], -i))
+            last = min((i for i in range(k, last + 1) if i == last or atoms[i][0] - begin >= max(limit / 2, overlap + 1)), key=lambda i: (atoms[i][1], -i))
         end, level = atoms[last]
         pieces.append((char_at(begin), len(text) if end == n else char_at(end), end - begin, LEVELS[level] if end < n else "end"))
         done, k = end, last + 1
