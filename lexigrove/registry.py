@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lexigrove.operators.references"]
+MODULES = [
+    "lexigrove.operators.references", "lexigrove.functions.text", "lexigrove.operators.lexical", "lexigrove.operators.fusion",
+    "lexigrove.operators.vectors", "lexigrove.operators.evaluation",
+]
 
 
 def all_queries() -> dict:
