@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrove.functions.text import mentions_insufficient, normalize_identifier, unicode_words
 from lexigrove.operators import lexical as lx
@@ -54,7 +55,7 @@ def token_f1(prediction: Column, reference: Column) -> Column:
     return F.when(F.size(p) + F.size(r) > 0, 2 * common / (F.size(p) + F.size(r))).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of words."""
 

@@ -93,3 +93,20 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
 
 def row_number(partition: list[str], order: list) -> F.Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
+
+
+def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Consecutive numbers from 1 in the given order over all rows, without gathering them in one task.
+
+    Ranges of the order are sorted apart; each starts where the ones before it end. Ties that `order` leaves open are
+    numbered in any way.
+    """
+    part = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = sorted((r[0], r[1]) for r in part.groupBy("__range").count().collect())  # a row for each partition
+    starts, at = [], 0
+    for k, n in sizes:
+        starts.append((k, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(starts, "__range int, __start bigint")
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return part.withColumn("__n", within).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__n") + F.col("__start")).drop("__range", "__n", "__start")
