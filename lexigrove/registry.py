@@ -8,7 +8,7 @@ MODULES = [
     "lexigrove.operators.references", "lexigrove.functions.text", "lexigrove.operators.lexical", "lexigrove.operators.fusion",
     "lexigrove.operators.vectors", "lexigrove.operators.evaluation", "lexigrove.operators.graph", "lexigrove.operators.chunking",
     "lexigrove.operators.extraction", "lexigrove.operators.profiles", "lexigrove.operators.incremental",
-    "lexigrove.operators.quality", "lexigrove.operators.retrieval",
+    "lexigrove.operators.quality", "lexigrove.operators.retrieval", "lexigrove.operators.reports",
 ]
 
 
