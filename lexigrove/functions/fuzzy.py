@@ -65,37 +65,3 @@ def _vectorised(f):
 
 
 ratio_of, token_sort_of, token_set_of, partial_of = map(_vectorised, (ratio, token_sort_ratio, token_set_ratio, partial_ratio))
-
-_VOWELS = "aeiou"
-
-
-def stem(word: str) -> str:
-    """A light English stem: plural, -ed, -ing, -ly and -ment endings off, doubled consonants single; words of under 3 letters stay."""
-    w = word.lower()
-    if len(w) < 3:
-        return w
-    for end, put in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if w.endswith(end):
-            w = w[: len(w) - len(end)] + put
-            break
-    for end in ("ingly", "edly", "ing", "ed"):
-        rest = w[: len(w) - len(end)]
-        if w.endswith(end) and any(c in _VOWELS + "y" for c in rest) and len(rest) > 1:
-            w = rest
-            if w.endswith(("at", "bl", "iz")):
-                w += "e"
-            elif len(w) > 2 and w[-1] == w[-2] and w[-1] not in "lsz":
-                w = w[:-1]
-            break
-    for end, put in (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ment", ""), ("ness", ""), ("li", ""), ("ly", "")):
-        if w.endswith(end) and len(w) - len(end) > 3:
-            w = w[: len(w) - len(end)] + put
-            break
-    if w.endswith("y") and len(w) > 2 and w[-2] not in _VOWELS:
-        w = w[:-1] + "i"
-    return w if len(w) >= 3 else word.lower()
-
-
-@F.pandas_udf(T.StringType())
-def stem_of(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: None if w is None else "-".join(stem(p) for p in w.split("-")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions.stopwords import STOPWORDS
@@ -307,6 +307,24 @@ def occurrences(text: Column, term: Column) -> Column:
     return F.when(F.length(term) <= 2, whole).otherwise(((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("int"))
 
 
+def content_paragraph(p: Column) -> Column:
+    """Whether a paragraph says something: 40 characters or more beside links, and no boilerplate."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(p, r"\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)", ""), r"[\s·|,;-]+", " "))
+    return (F.length(bare) >= 40) & ~F.lower(p).rlike(r"^(copyright|all rights reserved|©|doi:|arxiv:|received|accepted|keywords?:|corresponding author)")
+
+
+def weak_summary(c: Column) -> Column:
+    """Empty, a placeholder, an echo of the prompt, or under five words."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    return (t == "") | F.lower(t).isin("no summary available yet.", "summary", "n/a", "tbd", "todo") | F.lower(t).rlike(r"^(here is|here's|this is) (a|the) (short |brief )?summary") | (F.size(F.split(t, r"\s+")) < 5)
+
+
+def clipped(texts: DataFrame, budget: int, per: str = "group", order: str = "pos") -> DataFrame:
+    """Texts of each group in order up to a budget of characters; the last is cut to what is left."""
+    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy(per).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return texts.withColumn("__b", before).where(F.col("__b") < budget).withColumn("text", F.substring("text", F.lit(1), (F.lit(budget) - F.col("__b")).cast("int"))).drop("__b")
+
+
 # --- queries -------------------------------------------------------------------------------------------------------------
 
 
@@ -366,6 +384,17 @@ def text_ids(spark: SparkSession, folder: str) -> DataFrame:
         citation_ref(F.col("normalized_path"), F.lit("text_unit"), F.col("unit_index")).alias("ref"))
 
 
+def text_quality(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, folder, "documents").select("doc_id", F.size(F.filter(paragraphs(t), content_paragraph)).alias("n_content"), weak_summary(frontmatter_field(t, "title")).alias("weak"))
+
+
+def text_clipped(spark: SparkSession, folder: str) -> DataFrame:
+    """The text units of each source up to 5000 characters."""
+    u = table(spark, folder, "text_units").groupBy("source_id", "unit_index").agg(F.max("text").alias("text"))
+    return clipped(u, 5000, "source_id", "unit_index").select("source_id", "unit_index", F.length("text").alias("n_chars"))
+
+
 def text_times(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "sources").select("source_id", iso_time(F.col("ingested_at")).alias("iso"), (parse_time(iso_time(F.col("ingested_at"))) == F.date_trunc("second", "ingested_at")).alias("same"))
 
@@ -373,8 +402,10 @@ def text_times(spark: SparkSession, folder: str) -> DataFrame:
 _STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 TOKENS_SQL = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: x NOT IN ({_STOP_SQL}))"
 
-QUERIES = {f.__name__: f for f in (text_tokens, text_normal, text_slugs, text_implicit_acronyms, text_phrases, text_links, text_markdown, text_blocks, text_snippets, text_answers, text_ids, text_times)}
+QUERIES = {f.__name__: f for f in (text_tokens, text_normal, text_slugs, text_implicit_acronyms, text_phrases, text_links, text_markdown, text_blocks, text_snippets, text_answers, text_ids, text_times, text_quality, text_clipped)}
 ORACLES = {
+    "text_clipped": """WITH u AS (SELECT source_id, unit_index, max(text) AS t FROM text_units GROUP BY 1, 2), c AS (SELECT *, coalesce(sum(len(t)) OVER (PARTITION BY source_id ORDER BY unit_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM u)
+        SELECT source_id, unit_index, CAST(least(len(t), 5000 - b) AS BIGINT) AS n_chars FROM c WHERE b < 5000""",
     "text_tokens": f"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_terms, len({TOKENS_SQL}) AS n_tokens, len(list_distinct({TOKENS_SQL})) AS n_distinct, sha256(text) AS content_hash FROM documents",
     "text_normal": r"""SELECT doc_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS identifier,
         trim(regexp_replace(lower(replace(title, 'ß', 'ss')), '[^\p{L}\p{N}]+', ' ', 'g')) AS canonical, regexp_full_match(trim(title), '[A-Z]{2,6}') AS acronym,

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigrove.functions.stemming import classic_all
 from lexigrove.functions.text import TOKENS_SQL, terms, tokens
 from lexigrove.shared import table
 
@@ -173,12 +174,13 @@ def _counter(vocabulary: list[str]):
     return scan
 
 
-def fielded_search(chunks: DataFrame, questions: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def fielded_search(chunks: DataFrame, questions: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, stems: bool = False) -> DataFrame:
     """query_id, doc_id, score of chunks (doc_id and the weighted fields): BM25 with each field's term frequency times its weight; stopwords count.
 
-    idf is ln((N - df + .5) / (df + .5)), at least 1e-6. Stemming is a matter of the fields given.
+    idf is ln((N - df + .5) / (df + .5)), at least 1e-6. With stems, words count by their classic stem.
     """
-    fields = [chunks.select("doc_id", F.lit(w).alias("w"), terms(F.col(f)).alias("ts")) for f, w in weights.items()]
+    of = (lambda c: classic_all(terms(c))) if stems else terms
+    fields = [chunks.select("doc_id", F.lit(w).alias("w"), of(F.col(f)).alias("ts")) for f, w in weights.items()]
     every = fields[0]
     for f in fields[1:]:
         every = every.unionByName(f)
@@ -186,7 +188,7 @@ def fielded_search(chunks: DataFrame, questions: DataFrame, weights: dict[str, f
     lengths = every.groupBy("doc_id").agg(F.sum(F.size("ts")).alias("length"))
     average = lengths.agg(F.avg("length")).first()[0] or 1.0
     tf = every.select("doc_id", "w", F.explode("ts").alias("token")).groupBy("doc_id", "token").agg(F.sum("w").alias("tf"))
-    asked = questions.select("query_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("token"))
+    asked = questions.select("query_id", F.explode(F.array_distinct(of(F.col("question")))).alias("token"))
     tf = tf.join(asked.select("token").distinct(), "token", "left_semi")
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -244,6 +246,11 @@ def fielded_search_topk(spark: SparkSession, folder: str) -> DataFrame:
     return first_per_page(hits, 5).select("query_id", "doc_id", "page", "rank", "score")
 
 
+def stemmed_search_topk(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return ranked(fielded_search(docs.select("doc_id", "title", "page_type", "text"), questions_of(spark, folder), {"title": 6.0, "page_type": 2.0, "text": 1.0}, stems=True), 5)
+
+
 _Q = "q AS (SELECT item_id AS query_id, question, " + TOKENS_SQL.replace("text", "question") + " AS qt FROM eval_questions)"
 _D = f"d AS (SELECT doc_id, title, page_type, text, {TOKENS_SQL} AS ts, len({TOKENS_SQL}) AS length FROM documents)"
 BM25_SQL = f"""{_Q}, {_D}, st AS (SELECT count(*) AS n, avg(length) AS a FROM d),
@@ -252,7 +259,7 @@ f AS (SELECT token, count(*) AS df FROM p GROUP BY 1), qq AS (SELECT query_id, u
 s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / a))), 6) AS score
       FROM qq JOIN p USING (token) JOIN f USING (token), st GROUP BY 1, 2)"""
 _TERM_Q = "SELECT item_id AS query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM eval_questions"
-QUERIES = {f.__name__: f for f in (bm25_topk, lexical_postings, lexical_lengths, basic_search_topk, prefix_search_topk, occurrence_search_topk, fielded_search_topk)}
+QUERIES = {f.__name__: f for f in (bm25_topk, lexical_postings, lexical_lengths, basic_search_topk, prefix_search_topk, occurrence_search_topk, fielded_search_topk, stemmed_search_topk)}
 ORACLES = {
     "bm25_topk": f"""WITH {BM25_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s),
         b AS (SELECT query_id, doc_id, rank, score, CAST(sum(greatest(1, length(text) // 4)) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS tokens_so_far FROM r JOIN documents USING (doc_id) WHERE rank <= 8)

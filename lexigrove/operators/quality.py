@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrove.functions.fuzzy import ratio_of, stem_of
+from lexigrove.functions.fuzzy import ratio_of
+from lexigrove.functions.stemming import revised_of
 from lexigrove.functions.text import TOKENS_SQL, frontmatter, frontmatter_field, headings, markdown_links, slugify, tokens, variant_pair, wikilinks
 from lexigrove.operators.graph import components
 from lexigrove.shared import materialize, table
@@ -134,7 +135,7 @@ def term_pages(pages: DataFrame, most: int = 500, least: int = 6) -> DataFrame:
 
 def term_variants(terms: DataFrame, alike: float = 92.0) -> DataFrame:
     """Pairs of terms (term, n_pages), a few hundred, that may be spellings of one: blocked by their first four letters or first part."""
-    t = terms.select("term", "n_pages", stem_of(F.col("term")).alias("stem"), F.explode(F.array_distinct(F.array(F.substring(F.regexp_replace("term", "-", ""), 1, 4), F.concat(F.lit("="), F.split("term", "-")[0])))).alias("block"))
+    t = terms.select("term", "n_pages", revised_of(F.col("term")).alias("stem"), F.explode(F.array_distinct(F.array(F.substring(F.regexp_replace("term", "-", ""), 1, 4), F.concat(F.lit("="), F.split("term", "-")[0])))).alias("block"))
     o = t.select(F.col("term").alias("other"), F.col("stem").alias("other_stem"), "block")
     pairs = t.join(o, "block").where((F.col("term") < F.col("other")) & (F.col("stem") != F.col("other_stem"))).select("term", "other").distinct()
     return pairs.where(variant_pair(F.col("term"), F.col("other"))).withColumn("ratio", F.round(ratio_of("term", "other"), 4)).where((F.col("ratio") >= alike) | (F.regexp_replace("term", "-", "") == F.regexp_replace("other", "-", "")))

@@ -269,6 +269,29 @@ def resolve_citations(cited: DataFrame, contexts: DataFrame) -> DataFrame:
     return out.select("query_id", "pos", "cited", F.coalesce("exact", "by_label", "by_path").alias("ref"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("by_label").isNotNull(), "label").when(F.col("by_path").isNotNull(), "path").otherwise("none").alias("how"))
 
 
+def data_sources(refs: DataFrame, tables: dict[str, DataFrame], units: DataFrame) -> DataFrame:
+    """query_id, kind, id, source_id of references (query_id, kind, id) into external tables.
+
+    tables: by kind, rows of id, human_readable_id and text_unit_ids; units: id, source_id. A reference meets either identifier,
+    by two equi-joins, and fans out to the sources of its text units.
+    """
+    out = None
+    for kind, t in tables.items():
+        r = refs.where(F.col("kind") == kind)
+        keys = t.select(F.col("id").cast("string").alias("id"), "text_unit_ids").unionByName(t.select(F.col("human_readable_id").cast("string").alias("id"), "text_unit_ids"))
+        met = r.join(keys, "id").select("query_id", "kind", "id", F.explode("text_unit_ids").alias("unit"))
+        out = met if out is None else out.unionByName(met)
+    return out.join(units.select(F.col("id").alias("unit"), "source_id"), "unit").select("query_id", "kind", "id", "source_id").distinct()
+
+
+def resolve_all(wanted: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
+    """Known rows of the wanted ids; raises if an id is unknown."""
+    lost = wanted.join(known.select(key).distinct(), key, "left_anti").limit(5).collect()
+    if lost:
+        raise LookupError(f"unknown ids: {[r[key] for r in lost]}")
+    return known.join(wanted.select(key).distinct(), key, "left_semi")
+
+
 # --- queries -------------------------------------------------------------------------------------------------------------
 
 
