@@ -186,7 +186,7 @@ def data_references(c: Column) -> Column:
     blocks = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?i)\[Data:([^\]]*)\]"), F.lit(1))
     parts = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"[A-Za-z ]+\([^)]*\)"), F.lit(0))))
     kind = lambda p: F.trim(F.regexp_replace(F.lower(F.regexp_extract(p, r"^([A-Za-z ]+)\(", 1)), "[^a-z0-9]+", " "))
-    ids = lambda p: F.filter(F.transform(F.split(F.regexp_extract(p, r"\(([^)]*)\)", 1), "[,;]"), F.trim), lambda x: (x != "") & ~x.startswith("+"))
+    ids = lambda p: F.filter(F.transform(F.split(F.regexp_extract(p, r"\(([^)]*)\)", 1), "[,;]"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("+"))
     return F.array_distinct(F.filter(F.transform(parts, lambda p: F.struct(F.regexp_replace(kind(p), " ", "_").alias("kind"), ids(p).alias("ids"))), lambda r: F.size(r["ids"]) > 0))
 
 
@@ -219,7 +219,7 @@ def summary(c: Column) -> Column:
 
 def title_of(text: Column, fallback: Column) -> Column:
     """The first plausible line among the first 60: one before any heading, else a heading, else a later line, else the fallback."""
-    lines = F.transform(F.slice(F.split(body(text), "\n"), 1, 60), F.trim)
+    lines = F.transform(F.slice(F.split(body(text), "\n"), 1, 60), lambda x: F.trim(x))
     lines = F.filter(lines, lambda x: (x != "") & ~x.startswith("---"))
     clean = lambda x: F.trim(F.regexp_replace(x, r"^#+|[*_`]", ""))
     plausible = lambda x: (F.length(x) >= 3) & ~x.contains("@") & (F.size(F.split(x, r"\s+")) <= 20) & ~((F.size(F.split(x, r"\s+")) > 10) & x.endswith("."))
@@ -271,7 +271,7 @@ def number_text(c: Column) -> Column:
 def json_payload(c: Column) -> Column:
     """The JSON text of a reply: fenced, or from the first brace or bracket to the last."""
     fenced = F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
-    return F.coalesce(F.trim(fenced), F.nullif(F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1), F.lit("")))
+    return F.coalesce(F.regexp_replace(fenced, r"^\s+|\s+$", ""), F.nullif(F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1), F.lit("")))
 
 
 def mentions_insufficient(c: Column) -> Column:
