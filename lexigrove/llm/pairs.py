@@ -31,7 +31,7 @@ BITS = 17
 FUNCTION_WORDS = {
     "en": "the of and to in is are was were that which it for on with as by from at this be not no but or an what how why who does do has have than its they each when if while after before only about into more most".split(),
     "de": "der die das und ist sind war waren dass nicht für auf mit als von bei dem den des ein eine einen einer eines im zu zur zum wie was warum wer welche werden wird wurde wurden keine kein oder aber auch nur nach vor sich es mir ich dazu diese leider".split(),
-    "fr": "le la les des du de et est sont était étaient que qui ne pas pour sur avec par dans une un au aux en ce cette ces quel quelle quels quelles comment pourquoi où il elle ils plus ou mais je d l n s qu lors après avant sont-ils".split(),
+    "fr": "le la les des du de et est sont était étaient que qui ne pas pour sur avec par dans une un au aux en ce cette ces quel quelle quels quelles comment pourquoi où il elle ils plus ou mais je qu lors après avant sont-ils".split(),
     "es": "el la los las del de y es son era eran que no para en con por una un al se su sus lo este esta estos cómo qué por cuáles quién dónde más o pero como entre tras sobre antes bajo ha puedo hay".split(),
 }
 # Answers without content.
@@ -49,7 +49,7 @@ REFUSALS = [
 ]
 _LEADS = ["", "", "", "I searched 12 pages. ", "Thanks for the question. ", "Thank you. ", "Sorry. ", "Hello! ", "Good question. "]
 _TAILS = ["", "", "", " Try a narrower query.", " Try running the update first.", " The closest page is [[X]].", " Please ask again later.", " Consider adding sources."]
-_ECHOES = ["{q}", "{q}", "{q}", "Q: {q}", "Question: {q}", "> {q}", '"{q}"', "“{q}”", "{q} {q}", "{q}\n{q}", "You asked: {q}", "The question is: {q}", "Question: {q}\nAnswer:", "Q: {q}\nA:", "Frage: {q}", "Question : {q}", "Pregunta: {q}", "**{q}**", "{u}", "{l}", "{b}", "{b}.", "{b}...", "Re: {q}", "{q} - {q}", "Your question: {q}"]
+_ECHOES = ["{q}", "{q}", "{q}", "Q: {q}", "Question: {q}", "> {q}", '"{q}"', "“{q}”", "{q} {q}", "{q}\n{q}", "You asked: {q}", "The question is: {q}", "Question: {q}\nAnswer:", "Q: {q}\nA:", "Frage: {q}", "Question : {q}", "Pregunta: {q}", "**{q}**", "{u}", "{l}", "{b}", "{b}.", "{b}...", "Re: {q}", "{q} - {q}", "Your question: {q}", "Question: {q}\nAnswer: {q}", "Q: {q}\nA: {q}", "> {q}\n\n{b}", "- {b}"]
 
 #: An answer has one defect at most: what there is nothing of can't break off, so breaking off comes last.
 _ORDER = [DEFECTS.index(x) for x in ("empty", "echo", "refusal", "language", "truncated")]
@@ -79,16 +79,17 @@ def _bin(n: int) -> int:
     return n if n < 6 else 6 if n < 9 else 7 if n < 14 else 8 if n < 25 else 9
 
 
-# Features are hashed into three ranges: of the pair, of the answer's ends, and the answer's n-grams. What an answer has in
-# common with its question alone decides on echoes and languages, and its ends alone on whether it breaks off.
-_RANGES = {"pair": (0, 1 << 12), "end": (1 << 12, 1 << 16), "text": (1 << 16, 1 << BITS)}
-_USES = {"empty": ("pair", "text"), "truncated": ("end",), "refusal": ("pair", "end", "text"), "echo": ("pair",), "language": ("pair",)}
+# Features are hashed into four ranges: the languages of the pair, its common words, the answer's ends, and its n-grams. What an
+# answer has in common with its question alone decides on echoes, the languages alone on languages (swapped answers speak of
+# other things too, which real ones don't), and its ends alone on whether it breaks off.
+_RANGES = {"language": (0, 1 << 14), "pair": (1 << 14, 1 << 15), "end": (1 << 15, 1 << 16), "text": (1 << 16, 1 << BITS)}
+_USES = {"empty": ("pair", "text"), "truncated": ("end",), "refusal": ("pair", "end", "text"), "echo": ("pair",), "language": ("language",)}
 
 
 def features(question: str, answer: str | None, known: frozenset[str] | None = None) -> np.ndarray:
     """Distinct hashed features of a pair; known: the words of the training sample."""
-    out: dict[str, list[str]] = {"pair": [], "end": [], "text": []}
-    pair, stop, add = out["pair"].append, out["end"].append, out["text"].append
+    out: dict[str, list[str]] = {part: [] for part in _RANGES}
+    tongue, pair, stop, add = (out[part].append for part in _RANGES)
     if answer is None:
         pair("null")
         answer = ""
@@ -136,10 +137,12 @@ def features(question: str, answer: str | None, known: frozenset[str] | None = N
     pair(f"cover{cover}new{_bin(len(new))}")
     hits = function_words(raw)
     ql, al = language(question), _leading(hits)
-    pair(f"lang{ql}>{al}")
-    pair("same" if ql and ql == al else "none" if not ql or not al else "other")
+    tongue(f"lang{ql}>{al}")
+    tongue("same" if ql and ql == al else "none" if not ql or not al else "other")
     if ql:
-        pair(f"own{_bin(hits[ql])}other{_bin(max(v for k, v in hits.items() if k != ql))}")
+        best = max(v for k, v in hits.items() if k != ql)
+        tongue(f"own{_bin(hits[ql])}other{_bin(best)}")
+        tongue(f"lead{max(-9, min(9, best - hits[ql]))}")
     return np.unique(np.array([lo + zlib.crc32(x.encode()) % (hi - lo) for part, (lo, hi) in _RANGES.items() for x in out[part]], np.int32))
 
 
@@ -212,7 +215,10 @@ def _cut(answer: str, rng: random.Random) -> str | None:
         cut = answer[:at].rstrip()
         rest = answer[len(cut):].strip(" .!?\n\"”)")
         tail = re.search(r"[^\n.!?]*$", cut).group()
-        if rest and not cut.endswith((".", "!", "?", "”", "`", "]", ")")) and len(tail.split()) >= 2 and min(abs(len(cut) - e) for e in ends) > 3:
+        # Items of a list end without a stop, so that a cut shows there only inside a word or after a function word.
+        listed, word = re.search(r"(?:^|\n)[-*] [^\n]*$", cut), re.search(r"\w*$", cut).group().lower()
+        shows = not listed or answer[len(cut) : len(cut) + 1].isalnum() or any(word in x for x in _SETS.values())
+        if rest and shows and not cut.endswith((".", "!", "?", "”", "`", "]", ")")) and len(tail.split()) >= 2 and min(abs(len(cut) - e) for e in ends) > 3:
             return cut + (rng.choice(["...", "…", ""]) if rng.random() < 0.04 else "")
     return None
 
@@ -280,14 +286,16 @@ def _doubtful(q: str, a: str, recurring: bool, refusing: bool) -> list[int]:
     out = []
     if len(ws) < 2 or recurring:
         out.append(0)
-    if len(ws) > 4 and not body.endswith((".", "!", "?", "”", '"', "`")):
+    lines = body.split("\n")
+    listed = lines[-1][:2] in ("- ", "* ") and not any(x.endswith(".") for x in lines)  # a list whose items have no stops
+    if len(ws) > 4 and not body.endswith((".", "!", "?", "”", '"', "`")) and not refusing and not listed:
         out.append(1)
     if refusing or (recurring and len(ws) > 2):
-        out.append(2)
+        out += [1, 2]
     if len(set(ws) - qs) < 4:
         out.append(3)
     if (x := language(q)) != (y := language(raw)) and x and y:
-        out.append(4)
+        out += [4] if 2 in out else [2, 4]  # it may decline in another language
     return out
 
 
@@ -326,12 +334,13 @@ def train(sample: list[tuple[str, str | None, bool | None]], seed: int = 11, rou
     sound, flagged, model = np.array([[float(j not in d) for j in range(n)] for d in doubts]).reshape(-1, n), [], None
     for r in range(rounds):
         base = [sample[k][:2] for k in full if sound[k].all()]
-        made = _defective(base, rng) + _short(base, rng) + [(q, p, 0) for p in PLACEHOLDERS * 3 for q, _ in ([rng.choice(base)] if base else [("What is it?", "")])] + [("What is X?", t, 2) for t in REFUSALS]
+        made = _defective(base, rng) + _short(base, rng) + [(q, p, 0) for p in PLACEHOLDERS * 3 for q, _ in ([rng.choice(base)] if base else [("What is it?", "")])] + [((rng.choice(base)[0] if base else "What is X?"), rng.choice(_LEADS) + t + rng.choice(_TAILS), 2) for t in REFUSALS * 6]
         every = [(*sample[k][:2], -1) for k in full] + made + flagged
         rows = [features(q, a, known) for q, a, _ in every]
         y = np.array([[float(k == j) for j in range(n)] for _, _, k in every], np.float32)
         mask = np.ones_like(y)
         mask[[i for i, (_, _, k) in enumerate(every) if k in (0, 2, 3)], 1] = 0  # these may end anyhow
+        mask[[i for i, (_, _, k) in enumerate(every) if k in (0, 2)], 4] = 0  # and be in any language
         mask[: len(full)] = sound[full]
         held = gen.random(len(every)) < 0.2
         fit = np.flatnonzero(~held)
@@ -345,13 +354,13 @@ def train(sample: list[tuple[str, str | None, bool | None]], seed: int = 11, rou
             clear = p > 0.85
             for k, d in enumerate(doubts):
                 sound[k] = 0 if clear[k].any() else p[k] < np.where(np.isin(np.arange(n), d), 0.1, 0.5)
-            flagged = [(*sample[k][:2], int(p[k].argmax())) for k in full if clear[k].sum() == 1]
+            flagged = [(*sample[k][:2], j) for k in full if clear[k].sum() == 1 and ((j := int(p[k].argmax())) != 1 or 2 not in doubts[k])]
     return model
 
 
 def _thresholds(p: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """For each label the middle of the thresholds with the best F1 on held-out pairs; sound ones weigh more, being far more frequent than in the sample."""
-    grid = np.arange(0.2, 0.601, 0.02)
+    grid = np.arange(0.2, 0.501, 0.02)
     out = []
     for j in range(p.shape[1]):
         ok = mask[:, j] > 0
