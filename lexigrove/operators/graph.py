@@ -52,8 +52,9 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, kinds: list[str] | None
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, iterations: int = 50, tolerance: float | None = 1e-6, cut_every: int = 5) -> DataFrame:
     """node, pagerank by weighted power iteration on the simple undirected graph.
 
-    Nodes without edges spread their rank evenly. With a tolerance it ends once the summed change is below tolerance times the
-    number of nodes, and if it never is every node gets 1 / N; with None it does exactly the given iterations.
+    Nodes without edges spread their rank evenly. With a tolerance it ends once the summed change of an iteration is below
+    tolerance times the number of nodes, which is looked at every `cut_every` iterations, where the lineage is cut too; if it
+    never is, every node gets 1 / N. With None it does exactly the given iterations.
     """
     simple = materialize(both_ways(simple_edges(edges)), "simple")
     strength = simple.groupBy("source").agg(F.sum("weight").alias("total"))
@@ -70,9 +71,10 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
         dangling = rank.where(F.col("linked").isNull()).agg(F.sum("pagerank")).first()[0] or 0.0 if loose else 0.0
         got = rank.select(F.col("node").alias("source"), "pagerank").join(flow, "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("pagerank") * F.col("part")).alias("got"))
         after = rank.join(got, "node", "left").select("node", "linked", F.col("pagerank").alias("before"), (alpha * (F.coalesce("got", F.lit(0.0)) + dangling / n) + (1 - alpha) / n).alias("pagerank"))
-        if tolerance is not None or i % cut_every == 0:
+        look = i % cut_every == 0 or i == iterations
+        if look:
             after = materialize(after, "ranks")
-        if tolerance is not None and after.agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0] < n * tolerance:
+        if tolerance is not None and look and after.agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0] < n * tolerance:
             rank, converged = after, True
             break
         rank = after.drop("before")
