@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import normal_lines
-from lexigrove.shared import table
+from lexigrove.shared import spread, table
 
 _WORD = re.compile(r"\S+")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -77,7 +77,7 @@ def chunk(rows: DataFrame, key: str, windows: Callable[[str], list[tuple[int, in
             out = [(k, i, a, b, t) for k, text in zip(f[key], f["text"], strict=True) for i, (a, b, t) in enumerate(windows(text)) if len(t) >= min_chars]
             yield pd.DataFrame(out, columns=[key, "chunk_index", "start_char", "end_char", "text"])
 
-    return rows.select(key, "text").where(F.length("text") > 0).mapInPandas(cut, f"{key} {kind}, {CHUNKS}")
+    return spread(rows.select(key, "text").where(F.length("text") > 0)).mapInPandas(cut, f"{key} {kind}, {CHUNKS}")
 
 
 def pack(parts: Column, limit: int) -> Column:

@@ -147,7 +147,7 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def eval_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     docs, questions = table(spark, folder, "documents"), _questions(spark, folder)
-    hits = lx.ranked(lx.bm25(lx.LexicalIndex.build(docs), questions), 20)
+    hits = lx.ranked(lx.bm25(lx.LexicalIndex.build(docs, asked=questions), questions), 20)
     contexts = hits.join(docs.select("doc_id", F.concat_ws(" ", "source_id", "title", F.substring("text", 1, TEXT_CAP)).alias("hay")), "doc_id")
     return retrieval_scores(relevance(contexts, questions), questions)
 

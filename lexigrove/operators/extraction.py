@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import CAPITALISED, CAPITALISED_LINKED, acceptable_entity, acronyms, canonical_key, normalize_entity, occurrences, phrases, slugify, wikilinks
 from lexigrove.operators.chunking import sections
 from lexigrove.operators.graph import dedupe_undirected
-from lexigrove.shared import table
+from lexigrove.shared import spread, table
 
 # Titles of the sections that hold claims.
 CLAIM_SECTIONS = ["key points", "key findings", "findings", "claims", "summary", "main contributions", "contributions", "methods", "results"]
@@ -68,22 +71,68 @@ def claim_chunks(claimed: DataFrame, chunks: DataFrame) -> DataFrame:
 def mentions(texts: DataFrame, names: DataFrame, most: int = MAX_MENTIONS, least: int = MIN_NAME) -> DataFrame:
     """text_id, node, n: names (node, name) of `least` or more characters that stand in texts (text_id, text), without letter case; n counts at most `most`.
 
-    A name meets only those texts that hold its rarest word as part of one of theirs at a word's start: an equi-join on that
-    word, then the containment itself. Names without a letter or digit match nothing; a name inside a longer word counts only
-    if it begins there.
+    A name meets only those texts that hold its rarest word as a word: an equi-join on that word, then the containment itself.
+    Names without a letter or digit match nothing; a name that stands only inside longer words is found by mentions_anywhere.
     """
     n = names.select("node", F.lower("name").alias("name")).where(F.length("name") >= least).distinct()
     words = texts.select("text_id", F.explode(F.array_distinct(F.split(canonical_key(F.col("text")), " "))).alias("word")).where("word <> ''")
     parts = n.select("node", "name", F.explode(F.array_distinct(F.split(canonical_key(F.col("name")), " "))).alias("word")).where("word <> ''")
-    last = F.element_at(F.split(canonical_key(F.col("name")), " "), -1)
-    whole = parts.where(F.col("word") != last).unionByName(parts.where((F.col("word") == last)))
-    spread = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    anchor = whole.join(spread, "word").groupBy("node", "name").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    anchor = parts.join(frequency, "word").groupBy("node", "name").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
     near = words.join(anchor, "word").select("text_id", "node", "name").distinct()
     hit = near.join(texts.select("text_id", F.lower("text").alias("text")), "text_id").select("text_id", "node", occurrences(F.col("text"), F.col("name")).alias("n"))
     return hit.where("n > 0").groupBy("text_id", "node").agg(F.least(F.lit(most), F.max("n")).alias("n"))
 
 
+def mentions_anywhere(texts: DataFrame, names: DataFrame, most: int = MAX_MENTIONS, least: int = MIN_NAME, block_chars: int = 4_000_000) -> DataFrame:
+    """text_id, node, n as mentions() gives them, of names standing anywhere in a text, inside longer words too.
+
+    Each text is read once by an automaton of the names of a block of at most block_chars characters, for each block.
+    """
+    held = names.select("node", F.lower("name").alias("name")).where(F.length("name") >= least).distinct()
+    total = held.agg(F.sum(F.length("name"))).first()[0] or 0
+    passes, out = max(1, -(-total // block_chars)), None
+    kinds = dict(texts.dtypes)["text_id"], dict(names.dtypes)["node"]
+    low = spread(texts.select("text_id", F.lower("text").alias("text")).where(F.length("text") > 0))
+    for p in range(passes):
+        some = held if passes == 1 else held.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == p)
+        by_name: dict[str, list] = {}
+        for r in some.collect():
+            by_name.setdefault(r.name, []).append(r.node)
+        part = low.mapInPandas(_finder(by_name, most), f"text_id {kinds[0]}, node {kinds[1]}, n int")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("text_id", "node").agg(F.max("n").alias("n"))
+
+
+def _finder(by_name: dict[str, list], most: int):
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for w in by_name:
+                automaton.add_word(w, w)
+            automaton.make_automaton()
+        except ImportError:
+            automaton = None
+        for frame in frames:
+            rows = []
+            for key, text in zip(frame["text_id"], frame["text"], strict=True):
+                n: dict[str, int] = {}
+                if automaton is None:
+                    n = {w: k for w in by_name if (k := text.count(w))}
+                elif by_name:
+                    last: dict[str, int] = {}
+                    for end, w in automaton.iter(text):
+                        if end - len(w) >= last.get(w, -1):
+                            last[w] = end
+                            n[w] = n.get(w, 0) + 1
+                rows += [(key, node, min(most, k)) for w, k in n.items() for node in by_name[w]]
+            yield pd.DataFrame(rows, columns=["text_id", "node", "n"])
+
+    return scan
+
+
 def co_mentions(mentioned: DataFrame, weight: float = 0.5, widest: int = 200) -> DataFrame:
     """Edges between nodes mentioned in one text (text_id, node): weight for each text.
 
@@ -157,8 +206,15 @@ def build_mentions(spark: SparkSession, folder: str) -> DataFrame:
     return mentions(units, names)
 
 
+def build_mentions_anywhere(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles' last words in text units, also inside longer words."""
+    names = table(spark, folder, "sources").select(F.concat(F.lit("entity::"), F.lower(F.element_at(F.split("title", " "), -1))).alias("node"), F.element_at(F.split("title", " "), -1).alias("name")).distinct()
+    units = table(spark, folder, "text_units").select(F.concat_ws("#", "source_id", "unit_index").alias("text_id"), "text").distinct()
+    return mentions_anywhere(units, names)
+
+
 def build_co_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    return co_mentions(build_mentions(spark, folder))
+    return co_mentions(build_mentions_anywhere(spark, folder))
 
 
 def build_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,10 +261,13 @@ _EXTRACT = rf"""c AS (SELECT id AS chunk_id, {_ASCII.replace("text", "max(text)"
  e AS (SELECT chunk_id, name, n, row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC, pos) AS ord FROM n QUALIFY ord <= 8)"""
 _MENTION = r"""nm AS (SELECT DISTINCT 'entity::' || lower(split_part(title, ':', 1)) AS node, lower(split_part(title, ':', 1)) AS name FROM sources), un AS (SELECT DISTINCT source_id || '#' || unit_index AS text_id, lower(text) AS t FROM text_units),
  m AS (SELECT text_id, node, least(5, max((len(t) - len(replace(t, name, ''))) // len(name))) AS n FROM un JOIN nm ON contains(t, name) WHERE len(name) >= 4 GROUP BY 1, 2)"""
-QUERIES = {f.__name__: f for f in (build_page_entities, build_catalog, build_entity_nodes, build_claims, build_mentions, build_co_mentions, build_links, build_unit_edges, build_derived_edges, build_merged_edges, extract_entities, extract_relations)}
+_ANYWHERE = """nm AS (SELECT DISTINCT 'entity::' || lower(split_part(title, ' ', -1)) AS node, lower(split_part(title, ' ', -1)) AS name FROM sources), un AS (SELECT DISTINCT source_id || '#' || unit_index AS text_id, lower(text) AS t FROM text_units),
+ m AS (SELECT text_id, node, least(5, max((len(t) - len(replace(t, name, ''))) // len(name))) AS n FROM un JOIN nm ON contains(t, name) WHERE len(name) >= 4 GROUP BY 1, 2)"""
+QUERIES = {f.__name__: f for f in (build_page_entities, build_catalog, build_entity_nodes, build_claims, build_mentions, build_mentions_anywhere, build_co_mentions, build_links, build_unit_edges, build_derived_edges, build_merged_edges, extract_entities, extract_relations)}
 ORACLES = {
     "build_mentions": f"WITH {_MENTION} SELECT * FROM m",
-    "build_co_mentions": f"WITH {_MENTION} SELECT a.node AS source, b.node AS target, count(*) * 0.5::DOUBLE AS weight FROM m a JOIN m b ON a.text_id = b.text_id AND a.node < b.node GROUP BY 1, 2",
+    "build_mentions_anywhere": f"WITH {_ANYWHERE} SELECT * FROM m",
+    "build_co_mentions": f"WITH {_ANYWHERE} SELECT a.node AS source, b.node AS target, count(*) * 0.5::DOUBLE AS weight FROM m a JOIN m b ON a.text_id = b.text_id AND a.node < b.node GROUP BY 1, 2",
     "build_links": r"""WITH l AS (SELECT doc_id AS source, lower(trim(string_split(x, '|')[1])) AS key FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\[\[([^\[\]]+)\]\]', 1)) AS x FROM documents)),
         t AS (SELECT lower(title) AS key, max(doc_id) AS by_title FROM documents GROUP BY 1), a AS (SELECT lower(page_type) AS key, min(doc_id) AS by_alias FROM documents GROUP BY 1)
         SELECT source, coalesce(by_title, by_alias) AS target, count(*) AS n FROM l LEFT JOIN t USING (key) LEFT JOIN a USING (key) WHERE coalesce(by_title, by_alias) <> source GROUP BY 1, 2""",

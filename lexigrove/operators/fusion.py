@@ -68,7 +68,7 @@ def set_operations(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 
 def _lists(spark: SparkSession, folder: str, k: int) -> DataFrame:
     docs, questions = table(spark, folder, "documents"), lx.questions_of(spark, folder)
-    one = lx.ranked(lx.bm25(lx.LexicalIndex.build(docs), questions), k).withColumn("list", F.lit("wiki"))
+    one = lx.ranked(lx.bm25(lx.LexicalIndex.build(docs, asked=questions), questions), k).withColumn("list", F.lit("wiki"))
     two = lx.ranked(lx.prefix_score(docs, questions), k).withColumn("list", F.lit("graph"))
     return one.unionByName(two).join(docs.select("doc_id", "title", "page_type"), "doc_id")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.stemming import classic_all
 from lexigrove.functions.text import TOKENS_SQL, terms, tokens
-from lexigrove.shared import table
+from lexigrove.shared import materialize, spread, table
 
 K1, B, TOP_K = 1.5, 0.75, 8
 #: Questions of at most so many characters in all are broadcast; more are joined by shuffle.
@@ -34,11 +34,21 @@ class LexicalIndex:
     average: float
 
     @classmethod
-    def build(cls, documents: DataFrame, text: str = "text") -> LexicalIndex:
-        """documents: doc_id, text. Null and empty texts count in the average length and have no postings."""
-        held = documents.select("doc_id", tokens(F.col(text)).alias("ts")).select("doc_id", F.size("ts").alias("length"), "ts")
+    def build(cls, documents: DataFrame, text: str = "text", asked: DataFrame | None = None) -> LexicalIndex:
+        """documents: doc_id, text. Null and empty texts count in the average length and have no postings.
+
+        With asked, questions (query_id, question), the index is one for these alone: only postings of their tokens are made,
+        and kept in the shared folder, so that the texts are read once for all that follows.
+        """
+        held = spread(documents.select("doc_id", F.col(text).alias("t"))).select("doc_id", tokens(F.col("t")).alias("ts")).select("doc_id", F.size("ts").alias("length"), "ts")
+        flat = held.select("doc_id", "length", F.explode("ts").alias("token"))
+        if asked is None:
+            postings = flat.groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+        else:
+            wanted = question_tokens(asked).select("token").distinct()
+            wanted = F.broadcast(wanted) if small(asked) else wanted
+            postings = materialize(flat.join(wanted, "token", "left_semi").groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
         n, total = held.agg(F.count(F.lit(1)), F.sum("length")).first()
-        postings = held.select("doc_id", "length", F.explode("ts").alias("token")).groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
         return cls(held.select("doc_id", "length"), postings, n, (total or 0) / n if n else 0.0)
 
 
@@ -128,7 +138,7 @@ def occurrence_score(rows: DataFrame, questions: DataFrame, title: str = "title"
         some = questions if passes == 1 else questions.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
         asked = some.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
         vocabulary = sorted(r.term for r in asked.select("term").distinct().collect())
-        met = texts.mapInPandas(_counter(vocabulary), "doc_id bigint, prior double, term string, v double")
+        met = spread(texts).mapInPandas(_counter(vocabulary), "doc_id bigint, prior double, term string, v double")
         part = met.join(F.broadcast(asked), "term").groupBy("query_id", "doc_id", "prior").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n")).select("query_id", "doc_id", (F.col("v") * F.sqrt("n") * F.col("prior")).alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -212,7 +222,8 @@ def questions_of(spark: SparkSession, folder: str) -> DataFrame:
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """All evaluation questions over all documents, the best 8 of each under a budget of 2000 tokens."""
     docs = table(spark, folder, "documents")
-    hits = ranked(bm25(LexicalIndex.build(docs), questions_of(spark, folder)), TOP_K)
+    questions = questions_of(spark, folder)
+    hits = ranked(bm25(LexicalIndex.build(docs, asked=questions), questions), TOP_K)
     return token_budget(hits.join(docs.select("doc_id", "text"), "doc_id"), 2000).select("query_id", "doc_id", "rank", "score", "tokens_so_far")
 
 
@@ -228,7 +239,8 @@ def lexical_lengths(spark: SparkSession, folder: str) -> DataFrame:
 def basic_search_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     evidence = docs.select("doc_id", F.when(F.col("page_type") == "source", "text_unit").otherwise("chunk").alias("kind"), F.col("title").alias("section"))
-    return basic_search(LexicalIndex.build(docs), evidence, questions_of(spark, folder))
+    questions = questions_of(spark, folder)
+    return basic_search(LexicalIndex.build(docs, asked=questions), evidence, questions)
 
 
 def prefix_search_topk(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,6 +46,10 @@ def test_extraction(spark):
     names = spark.createDataFrame([("n1", "graph index"), ("n2", "the"), ("n3", "nothing")], "node string, name string")
     m = ex.mentions(texts, names)
     assert {(r.text_id, r.node, r.n) for r in m.collect()} == {("t1", "n1", 2), ("t2", "n3", 1)} and ex.co_mentions(m).count() == 0
+    inside = spark.createDataFrame([("n4", "raph"), ("n5", "index"), ("n6", "raph")], "node string, name string")
+    for block in (1000, 5):
+        assert {(r.text_id, r.node, r.n) for r in ex.mentions_anywhere(texts, inside, block_chars=block).collect()} == {("t1", "n4", 2), ("t1", "n6", 2), ("t1", "n5", 3)}
+    assert ex.mentions_anywhere(texts, inside.limit(0)).count() == 0
     wide = spark.createDataFrame([("t", f"n{i:03d}") for i in range(300)], "text_id string, node string")
     assert ex.co_mentions(wide, widest=200).count() == 299
 
