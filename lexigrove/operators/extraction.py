@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexigrove.functions.text import CAPITALISED, CAPITALISED_LINKED, acceptable_entity, acronyms, canonical_key, normalize_entity, occurrences, phrases, slugify, wikilinks
 from lexigrove.operators.chunking import sections
 from lexigrove.operators.graph import dedupe_undirected
-from lexigrove.shared import spread, table
+from lexigrove.shared import table
 
 # Titles of the sections that hold claims.
 CLAIM_SECTIONS = ["key points", "key findings", "findings", "claims", "summary", "main contributions", "contributions", "methods", "results"]
@@ -93,7 +93,7 @@ def mentions_anywhere(texts: DataFrame, names: DataFrame, most: int = MAX_MENTIO
     total = held.agg(F.sum(F.length("name"))).first()[0] or 0
     passes, out = max(1, -(-total // block_chars)), None
     kinds = dict(texts.dtypes)["text_id"], dict(names.dtypes)["node"]
-    low = spread(texts.select("text_id", F.lower("text").alias("text")).where(F.length("text") > 0))
+    low = texts.select("text_id", F.lower("text").alias("text")).where(F.length("text") > 0)
     for p in range(passes):
         some = held if passes == 1 else held.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == p)
         by_name: dict[str, list] = {}

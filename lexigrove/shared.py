@@ -110,9 +110,3 @@ def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
     offsets = df.sparkSession.createDataFrame(starts, "__range int, __start bigint")
     within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return part.withColumn("__n", within).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__n") + F.col("__start")).drop("__range", "__n", "__start")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files give fewer than half as many partitions, as a single small file does; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
