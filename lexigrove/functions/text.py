@@ -402,8 +402,20 @@ def text_times(spark: SparkSession, folder: str) -> DataFrame:
 _STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 TOKENS_SQL = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: x NOT IN ({_STOP_SQL}))"
 
+#: Structs (level, title) of the headings of `text`, and a field of the front matter `fm`, in SQL.
+HEADINGS_SQL = r"""list_transform(list_filter(string_split(regexp_replace(coalesce(text, ''), '(?ms)^[ \t]*```.*?(?:^[ \t]*```[ \t]*$|\z)', '', 'g'), chr(10)), lambda x: regexp_matches(x, '^#{1,6}[ \t]+\S')),
+    lambda x: {'level': len(regexp_extract(x, '^(#+)', 1)), 'title': trim(regexp_replace(x, '^#+[ \t]+|[ \t]#+[ \t]*$', '', 'g'))})"""
+FIELD_SQL = lambda f: rf"""nullif(trim(regexp_replace(regexp_extract(fm, '(?m)^{f}:[ \t]*(.*)$', 1), '^["'']|["'']$', '', 'g')), '')"""
+
 QUERIES = {f.__name__: f for f in (text_tokens, text_normal, text_slugs, text_implicit_acronyms, text_phrases, text_links, text_markdown, text_blocks, text_snippets, text_answers, text_ids, text_times, text_quality, text_clipped)}
 ORACLES = {
+    "text_answers": r"""SELECT sample_id, regexp_replace(answer, '\s*[\[\(][`\s]*(?:wiki/[A-Za-z0-9._/-]+#chunk-\d+)(?:\s*,\s*(?:wiki/[A-Za-z0-9._/-]+#chunk-\d+))*[`\s]*[\]\)]', '', 'g') AS clean,
+        regexp_matches(lower(answer), 'insufficient evidence|not enough evidence|cannot determine|can''t determine|not stated|not available') AS insufficient,
+        len(regexp_extract_all(coalesce(answer, ''), '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s\p{Z}\x{85}]')) AS n_tokens, coalesce(nullif(trim(error), ''), nullif(trim(provider_mode), ''), 'none') AS note FROM rag_samples""",
+    "text_snippets": r"""WITH x AS (SELECT doc_id, text, coalesce(list_min(list_filter([strpos(lower(text), 'graph') - 1, strpos(lower(text), 'cache') - 1], lambda p: p >= 0)), 0) AS k FROM documents)
+        SELECT doc_id, trim(regexp_replace(text[greatest(0, k - 80) + 1:k + 220], '[\s\p{Z}\x{85}\x0b]+', ' ', 'g')) AS snippet FROM x""",
+    "text_markdown": rf"""WITH x AS (SELECT doc_id, nullif(regexp_extract(text, '(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)', 1), '') AS fm, {HEADINGS_SQL} AS hs FROM documents)
+        SELECT doc_id, {FIELD_SQL('title')} AS fm_title, {FIELD_SQL('type')} AS fm_type, len(hs) AS n_headings, hs[1].title AS first_heading FROM x""",
     "text_clipped": """WITH u AS (SELECT source_id, unit_index, max(text) AS t FROM text_units GROUP BY 1, 2), c AS (SELECT *, coalesce(sum(len(t)) OVER (PARTITION BY source_id ORDER BY unit_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM u)
         SELECT source_id, unit_index, CAST(least(len(t), 5000 - b) AS BIGINT) AS n_chars FROM c WHERE b < 5000""",
     "text_tokens": f"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_terms, len({TOKENS_SQL}) AS n_tokens, len(list_distinct({TOKENS_SQL})) AS n_distinct, sha256(text) AS content_hash FROM documents",

@@ -172,6 +172,9 @@ _MAN = f"""WITH o AS (SELECT source_id, arg_max(content_hash, (ingested_at, cont
  st AS (SELECT coalesce(o.source_id, n.source_id) AS source_id, CASE WHEN o.source_id IS NULL THEN 'new' WHEN n.source_id IS NULL THEN 'missing' WHEN o.h IS NOT DISTINCT FROM n.h THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.source_id = n.source_id)"""
 QUERIES = {f.__name__: f for f in (incr_changes, incr_freshness, incr_compile_status, incr_first_of_content, incr_digest, incr_postings, incr_reuse, incr_contributions, incr_replay, incr_unique_slugs, incr_recent_runs)}
 ORACLES = {
+    "incr_unique_slugs": """WITH d AS (SELECT doc_id, lower(regexp_replace(string_split(title, ' ')[-1], '[^A-Za-z0-9]+', '', 'g')) AS base FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n FROM d),
+        s AS (SELECT *, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM f), t AS (SELECT base, max(n) AS top FROM s WHERE n > 1 AND slug IN (SELECT base FROM d) GROUP BY 1)
+        SELECT doc_id, CASE WHEN n > 1 AND top IS NOT NULL THEN base || '-' || (n + top) ELSE slug END AS slug FROM s LEFT JOIN t USING (base)""",
     "incr_changes": _MAN + " SELECT * FROM st",
     "incr_freshness": _MAN + """ SELECT *, CASE WHEN n_new + n_changed + n_missing > 0 THEN 'stale' ELSE 'fresh' END AS state FROM (SELECT count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'changed') AS n_changed,
         count(*) FILTER (status = 'missing') AS n_missing, count(*) FILTER (status = 'unchanged') AS n_unchanged FROM st)""",

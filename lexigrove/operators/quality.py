@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.fuzzy import ratio_of
 from lexigrove.functions.stemming import revised_of
-from lexigrove.functions.text import TOKENS_SQL, frontmatter, frontmatter_field, headings, markdown_links, slugify, tokens, variant_pair, wikilinks
+from lexigrove.functions.text import FIELD_SQL, HEADINGS_SQL, TOKENS_SQL, frontmatter, frontmatter_field, headings, markdown_links, slugify, tokens, variant_pair, wikilinks
 from lexigrove.operators.graph import components
 from lexigrove.shared import materialize, table
 
@@ -229,7 +229,19 @@ _SLUG = lambda c: f"coalesce(nullif(regexp_replace(regexp_replace(lower(strip_ac
 _LK = rf"""l AS (SELECT page_id, trim(string_split(x, '|')[1]) AS target FROM (SELECT doc_id AS page_id, unnest(regexp_extract_all(text, '\[\[([^\[\]]+)\]\]', 1)) AS x FROM documents))"""
 _TS = f"ts AS (SELECT doc_id AS id, list_sort(list_distinct({TOKENS_SQL.replace('text', 'title')})) AS terms FROM documents)"
 QUERIES = {f.__name__: f for f in (lint_pages, lint_corpus, lint_manifest, lint_relations, lint_counts, lint_inbound, lint_plain_links, review_overlaps, review_classes, concept_components, review_terms, review_variants, concept_collocations)}
+_PAGE_RULES = rf"""WITH p AS (SELECT doc_id, text, nullif(regexp_extract(text, '(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)', 1), '') AS fm, {HEADINGS_SQL} AS hs FROM documents),
+ h AS (SELECT doc_id, unnest(hs).level AS level, unnest(hs).title AS title, generate_subscripts(hs, 1) AS pos FROM p), b AS (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS was FROM h),
+ i AS (SELECT 'error' AS severity, 'missing-frontmatter' AS code, doc_id, 'Pages must begin with front matter.' AS message FROM p WHERE fm IS NULL
+   UNION ALL SELECT 'error', 'missing-field', doc_id, 'Missing required frontmatter field: title' FROM p WHERE fm IS NOT NULL AND {FIELD_SQL("title")} IS NULL
+   UNION ALL SELECT 'error', 'missing-field', doc_id, 'Missing required frontmatter field: type' FROM p WHERE fm IS NOT NULL AND {FIELD_SQL("type")} IS NULL
+   UNION ALL SELECT 'warning', 'empty-summary', doc_id, 'Summary field is empty.' FROM p WHERE fm IS NOT NULL AND {FIELD_SQL("summary")} IS NULL
+   UNION ALL SELECT 'warning', 'empty-page', doc_id, 'The page has no text.' FROM p WHERE trim(coalesce(text, '')) = ''
+   UNION ALL SELECT 'warning', 'multiple-h1', doc_id, 'The page has several level-one headings.' FROM p WHERE len(list_filter(hs, lambda x: x.level = 1)) > 1
+   UNION ALL SELECT 'warning', 'heading-level-skip', doc_id, 'Heading skips a level: ' || title FROM b WHERE level > was + 1
+   UNION ALL SELECT 'warning', 'duplicate-heading', doc_id, 'Heading occurs several times: ' || lower(title) FROM h GROUP BY doc_id, lower(title) HAVING count(*) > 1)
+ """
 ORACLES = {
+    "lint_pages": _PAGE_RULES + "SELECT severity, code, CAST(doc_id AS VARCHAR) AS path, message FROM i",
     "lint_corpus": f"""WITH {_LK}, k AS (SELECT DISTINCT {_SLUG("title")} AS key FROM documents), lk AS (SELECT DISTINCT page_id, {_SLUG("split_part(target, '#', 1)")} AS key, target FROM l)
         SELECT 'error' AS severity, 'broken-link' AS code, CAST(page_id AS VARCHAR) AS path, 'Link target does not exist: ' || target AS message FROM lk WHERE key NOT IN (SELECT key FROM k)
         UNION ALL SELECT 'suggestion', 'orphan-page', CAST(doc_id AS VARCHAR), 'No page links here.' FROM documents WHERE {_SLUG("title")} NOT IN (SELECT key FROM lk)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import first_number, json_payload, number_text, occurrences
-from lexigrove.operators.extraction import build_mentions
+from lexigrove.operators.extraction import _MENTION, build_mentions
 from lexigrove.shared import table
 from lexigrove.sinks.writers import field_list, index_page, pages, relationships_by_entity, top_relationships
 from lexigrove.sources.readers import html_text, html_title, is_http, suffix_for, unique_violations
@@ -106,6 +106,10 @@ def report_title_mentions(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (report_status, report_units, report_errors, report_tiers, report_html, report_origins, report_events, report_unique, export_relationships, export_by_entity, export_cards, export_index, report_title_mentions)}
 ORACLES = {
+    "report_units": f"""WITH {_MENTION}, u AS (SELECT DISTINCT source_id, unit_index, normalized_path, len(text) AS n FROM text_units), b AS (SELECT normalized_path, count(*) AS n_units, CAST(sum(n) AS BIGINT) AS n_chars FROM u GROUP BY 1),
+        e AS (SELECT normalized_path, count(DISTINCT node) AS n_entities FROM u LEFT JOIN m ON m.text_id = u.source_id || '#' || u.unit_index GROUP BY 1) SELECT * FROM b JOIN e USING (normalized_path)""",
+    "export_index": """WITH x AS (SELECT page_type AS g, doc_id, title, row_number() OVER (PARTITION BY page_type ORDER BY lower(title), CAST(doc_id AS VARCHAR)) AS k FROM documents)
+        SELECT g AS "group", count(*) AS n, string_agg('- [[' || doc_id || '|' || title || ']]', chr(10) ORDER BY k) FILTER (k <= 20) AS text FROM x GROUP BY 1""",
     "report_status": """SELECT count(*) AS n_rows, count(DISTINCT source_id) AS n_sources, count(compiled_at) AS n_compiled, count(removed_at) AS n_removed, max(compiled_at) AS last_compiled,
         (SELECT count(*) FROM (SELECT DISTINCT source_id, unit_index FROM text_units)) AS n_units, (SELECT count(DISTINCT id) FROM light_chunks) AS n_chunks, (SELECT CAST(sum(token_count) AS BIGINT) FROM light_chunks) AS n_tokens FROM sources""",
     "report_errors": "SELECT coalesce(error, 'none') AS status, count(*) AS n FROM rag_samples GROUP BY 1",

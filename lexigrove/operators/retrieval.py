@@ -382,7 +382,14 @@ _LIKE = lambda words: " OR ".join(f"contains(' ' || lower(question) || ' ', '{w}
 _HITS = lambda words: "array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(' ' || lower(question) || ' ', w)), '|')"
 _ACR = r"list_distinct(regexp_extract_all(regexp_replace(question, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '\b([A-Z]{2,6})\b', 1))"
 QUERIES = {f.__name__: f for f in (route_questions, route_methods, query_keywords, query_entities, search_local, search_drift, search_find, search_global, search_hybrid, answer_offline, answer_citations)}
+_STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
+_UNIQUE = lambda c: f"list_filter({c}, lambda x, i: list_position(list_transform({c}, lambda y: lower(y)), lower(x)) = i)"
 ORACLES = {
+    "query_keywords": rf"""WITH q AS (SELECT item_id AS query_id, list_concat(list_transform(regexp_extract_all(regexp_replace(question, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '\b([A-Z][A-Za-z0-9][A-Za-z0-9\-]*(?:\s+[A-Z][A-Za-z0-9][A-Za-z0-9\-]*){{0,3}})\b', 1), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))),
+          regexp_extract_all(regexp_replace(question, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '\b([A-Z]{{2,6}})\b', 1)) AS l, regexp_extract_all(lower(question), '[A-Za-z][A-Za-z0-9\-]+') AS ws FROM eval_questions),
+        r AS (SELECT query_id, {_UNIQUE("l")} AS low, ws, list_filter(ws, lambda w: w IN ({", ".join(f"'{h}'" for h in THEME_HINTS)})) AS hints FROM q),
+        t AS (SELECT query_id, low, CASE WHEN len(hints) > 0 THEN hints ELSE list_filter(ws, lambda w: w NOT IN ({_STOP_SQL}) AND len(w) > 3 AND NOT list_contains(list_transform(low, lambda y: lower(y)), w)) END AS h FROM r)
+        SELECT query_id, array_to_string(low, '|') AS low, array_to_string({_UNIQUE("h")}, '|') AS high FROM t""",
     "route_methods": f"SELECT sample_id, CASE WHEN {_LIKE(DRIFT_WORDS)} THEN 'drift-lite' WHEN {_LIKE(GLOBAL_WORDS)} THEN 'global' WHEN len(retrieved_contexts) > 1 THEN 'local' ELSE 'basic' END AS method FROM rag_samples",
     "query_entities": r"""WITH e AS (SELECT split_part(title, ':', 1) AS title, min(source_id) AS node FROM sources GROUP BY 1), q AS (SELECT question, min(sample_id) AS query_id FROM rag_samples GROUP BY 1),
         m AS (SELECT query_id, node, title, CAST(100 AS DOUBLE) AS score FROM q JOIN e ON regexp_matches(lower(question), '(^|[^a-z0-9_])' || regexp_escape(lower(title)) || '([^a-z0-9_]|$)'))
