@@ -340,11 +340,11 @@ def text_normal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_slugs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "sources").select("source_id", "ingested_at", slugify(F.col("title")).alias("slug"), initials(F.col("title")).alias("initials"))
+    return table(spark, folder, "sources").select("source_id", F.unix_micros("ingested_at").alias("ingested_us"), slugify(F.col("title")).alias("slug"), initials(F.col("title")).alias("initials"))
 
 
 def text_implicit_acronyms(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "sources").select("source_id", "ingested_at", F.array_join(implicit_acronyms(F.col("title")), "|").alias("forms"))
+    return table(spark, folder, "sources").select("source_id", F.unix_micros("ingested_at").alias("ingested_us"), F.array_join(implicit_acronyms(F.col("title")), "|").alias("forms"))
 
 
 def text_phrases(spark: SparkSession, folder: str) -> DataFrame:
@@ -422,13 +422,13 @@ ORACLES = {
     "text_normal": r"""SELECT doc_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS identifier,
         trim(regexp_replace(lower(replace(title, 'ß', 'ss')), '[^\p{L}\p{N}]+', ' ', 'g')) AS canonical, regexp_full_match(trim(title), '[A-Z]{2,6}') AS acronym,
         trim(regexp_replace(title, '[\s\p{Z}]+', ' ', 'g')) AS one_line, regexp_replace(trim(regexp_replace(title, '[\s\p{Z}]+', ' ', 'g')), '^[ .,:;]+|[ .,:;]+$', '', 'g') AS entity FROM documents""",
-    "text_slugs": r"""SELECT source_id, ingested_at, regexp_replace(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+    "text_slugs": r"""SELECT source_id, epoch_us(ingested_at) AS ingested_us, regexp_replace(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
         upper(array_to_string(list_transform(list_filter(regexp_split_to_array(trim(title), '[\s\-]+'), lambda w: w <> ''), lambda w: w[1]), '')) AS initials FROM sources""",
     "text_implicit_acronyms": f"""WITH w AS (SELECT source_id, ingested_at, regexp_extract_all(title, '[A-Za-z0-9]+') AS ws FROM sources),
         f AS (SELECT *, upper(array_to_string(list_transform(list_filter(ws, lambda x: lower(x) NOT IN ({", ".join(f"'{c}'" for c in CONNECTIVES)})), lambda x: x[1]), '')) AS a,
           upper(array_to_string(list_transform(ws, lambda x: x[1]), '')) AS b,
           array_to_string(list_transform(ws, lambda x: CASE WHEN lower(x) IN ({", ".join(f"'{c}'" for c in CONNECTIVES)}) THEN lower(x[1]) ELSE upper(x[1]) END), '') AS c FROM w)
-        SELECT source_id, ingested_at, CASE WHEN len(ws) = 1 THEN upper(ws[1]) ELSE concat_ws('|', nullif(a, ''), CASE WHEN b <> a THEN b END, CASE WHEN c <> a AND c <> b THEN c END) END AS forms FROM f""",
+        SELECT source_id, epoch_us(ingested_at) AS ingested_us, CASE WHEN len(ws) = 1 THEN upper(ws[1]) ELSE concat_ws('|', nullif(a, ''), CASE WHEN b <> a THEN b END, CASE WHEN c <> a AND c <> b THEN c END) END AS forms FROM f""",
     "text_phrases": r"""SELECT doc_id, len(p) AS n_phrases, len(regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '\b([A-Z]{2,6})\b', 1)) AS n_acronyms, array_to_string(p[1:3], '|') AS first_phrases
         FROM (SELECT doc_id, text, regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '\b([A-Z][A-Za-z0-9][A-Za-z0-9\-]*(?:\s+[A-Z][A-Za-z0-9][A-Za-z0-9\-]*){0,3})\b', 1) AS p FROM documents)""",
     "text_links": r"""SELECT doc_id, trim(string_split(x, '|')[1]) AS target, trim(string_split(x, '|')[-1]) AS label

@@ -147,7 +147,7 @@ def incr_reuse(spark: SparkSession, folder: str) -> DataFrame:
     """Content hashes of chunks, cached for those built before a time."""
     c = table(spark, folder, "light_chunks").select("id", "text", "built_at").distinct()
     cache = c.where(F.col("built_at") <= F.lit(_CUT).cast("timestamp")).select("text", F.sha2("text", 256).alias("content_hash"))
-    return reuse(c.select("id", "built_at", "text"), cache, "text", "content_hash", lambda t: F.sha2(t, 256)).select("id", "built_at", "content_hash")
+    return reuse(c.select("id", "built_at", "text"), cache, "text", "content_hash", lambda t: F.sha2(t, 256)).select("id", F.unix_micros("built_at").alias("built_us"), "content_hash")
 
 
 def incr_contributions(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +164,7 @@ def incr_unique_slugs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def incr_recent_runs(spark: SparkSession, folder: str) -> DataFrame:
-    return recent_runs(table(spark, folder, "events").select("event_id", "event_type", "ts"), "event_type", "event_id", 20)
+    return recent_runs(table(spark, folder, "events").select("event_id", "event_type"), "event_type", "event_id", 20)
 
 
 _MAN = f"""WITH o AS (SELECT source_id, arg_max(content_hash, (ingested_at, content_hash)) AS h FROM sources WHERE ingested_at <= TIMESTAMPTZ '{_CUT}+00' AND (removed_at IS NULL OR removed_at > TIMESTAMPTZ '{_CUT}+00') GROUP BY 1),
@@ -185,9 +185,9 @@ ORACLES = {
     "incr_digest": "SELECT count(*) AS n, true AS equal FROM sources",
     "incr_postings": _MAN + f""", p AS (SELECT source_id, doc_id, unnest({TOKENS_SQL}) AS token FROM documents JOIN st USING (source_id) WHERE status <> 'missing')
         SELECT source_id, count(DISTINCT doc_id || ' ' || token) AS n, count(*) AS total FROM p GROUP BY 1""",
-    "incr_reuse": "SELECT DISTINCT id, built_at, sha256(text) AS content_hash FROM light_chunks",
+    "incr_reuse": "SELECT DISTINCT id, epoch_us(built_at) AS built_us, sha256(text) AS content_hash FROM light_chunks",
     "incr_contributions": """WITH x AS (SELECT unnest(source_ids) AS source_id, len(chunk_ids) AS c FROM extracted_entities), g AS (SELECT source_id, count(*) AS n_rows, sum(c) AS n_chunks FROM x GROUP BY 1), s AS (SELECT DISTINCT source_id FROM sources WHERE removed_at IS NULL)
         SELECT coalesce(g.source_id, s.source_id) AS source_id, CASE WHEN s.source_id IS NULL THEN 'missing' WHEN n_rows IS NULL THEN 'empty' ELSE 'active' END AS status, s.source_id IS NULL AS requires_review, coalesce(n_rows, 0) AS n_rows, CAST(coalesce(n_chunks, 0) AS BIGINT) AS n_chunks FROM g FULL JOIN s ON g.source_id = s.source_id""",
     "incr_replay": "SELECT row_id, name, type, chunk_id, 0.99::DOUBLE AS confidence FROM (SELECT row_id, name, type, unnest(list_distinct(chunk_ids)) AS chunk_id FROM extracted_entities) WHERE chunk_id IN (SELECT id FROM light_chunks WHERE removed_at IS NULL)",
-    "incr_recent_runs": "SELECT event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 20",
+    "incr_recent_runs": "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 20",
 }

@@ -14,7 +14,7 @@ from lexigrove.sources.readers import html_text, html_title, is_http, suffix_for
 
 def status(sources: DataFrame, units: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: how many sources, compiled and withdrawn ones, text units and chunks, and the last compilation."""
-    s = sources.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("source_id").alias("n_sources"), F.count("compiled_at").alias("n_compiled"), F.count("removed_at").alias("n_removed"), F.max("compiled_at").alias("last_compiled"))
+    s = sources.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("source_id").alias("n_sources"), F.count("compiled_at").alias("n_compiled"), F.count("removed_at").alias("n_removed"), F.unix_micros(F.max("compiled_at")).alias("last_compiled_us"))
     u = units.select("source_id", "unit_index").distinct().agg(F.count(F.lit(1)).alias("n_units"))
     c = chunks.agg(F.count_distinct("id").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
     return s.join(F.broadcast(u)).join(F.broadcast(c))  # one row each
@@ -62,7 +62,7 @@ def report_html(spark: SparkSession, folder: str) -> DataFrame:
 
 def report_origins(spark: SparkSession, folder: str) -> DataFrame:
     o = F.col("origin")
-    return table(spark, folder, "sources").select("source_id", "ingested_at", is_http(o).alias("http"), suffix_for(F.lit(None).cast("string"), F.lit(""), o).alias("suffix"))
+    return table(spark, folder, "sources").select("source_id", F.unix_micros("ingested_at").alias("ingested_us"), is_http(o).alias("http"), suffix_for(F.lit(None).cast("string"), F.lit(""), o).alias("suffix"))
 
 
 def report_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,13 +110,13 @@ ORACLES = {
         e AS (SELECT normalized_path, count(DISTINCT node) AS n_entities FROM u LEFT JOIN m ON m.text_id = u.source_id || '#' || u.unit_index GROUP BY 1) SELECT * FROM b JOIN e USING (normalized_path)""",
     "export_index": """WITH x AS (SELECT page_type AS g, doc_id, title, row_number() OVER (PARTITION BY page_type ORDER BY lower(title), CAST(doc_id AS VARCHAR)) AS k FROM documents)
         SELECT g AS "group", count(*) AS n, string_agg('- [[' || doc_id || '|' || title || ']]', chr(10) ORDER BY k) FILTER (k <= 20) AS text FROM x GROUP BY 1""",
-    "report_status": """SELECT count(*) AS n_rows, count(DISTINCT source_id) AS n_sources, count(compiled_at) AS n_compiled, count(removed_at) AS n_removed, max(compiled_at) AS last_compiled,
+    "report_status": """SELECT count(*) AS n_rows, count(DISTINCT source_id) AS n_sources, count(compiled_at) AS n_compiled, count(removed_at) AS n_removed, epoch_us(max(compiled_at)) AS last_compiled_us,
         (SELECT count(*) FROM (SELECT DISTINCT source_id, unit_index FROM text_units)) AS n_units, (SELECT count(DISTINCT id) FROM light_chunks) AS n_chunks, (SELECT CAST(sum(token_count) AS BIGINT) FROM light_chunks) AS n_tokens FROM sources""",
     "report_errors": "SELECT coalesce(error, 'none') AS status, count(*) AS n FROM rag_samples GROUP BY 1",
     "report_tiers": "SELECT tier, upper(type) AS type, count(*) AS n, round(avg(confidence), 6) AS confidence, count(*) FILTER (description IS NULL) AS n_blank FROM extracted_entities GROUP BY 1, 2",
     "report_html": r"""WITH h AS (SELECT doc_id, title, trim(regexp_replace('  ' || title || '    ' || translate(text, '<>', '  ') || '   ', '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM documents)
         SELECT doc_id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, len(t) AS n_chars, md5(t) AS digest FROM h""",
-    "report_origins": r"""SELECT source_id, ingested_at, regexp_matches(lower(origin), '^https?://[^/]+') AS http, coalesce(nullif(CASE WHEN regexp_matches(lower(origin), '^([a-z]+://[^/]*)?[^?#]*\.(pdf|md|txt|html)([?#].*)?$') THEN regexp_extract(lower(split_part(split_part(origin, '?', 1), '#', 1)), '(\.[a-z]+)$', 1) END, ''), '.html') AS suffix FROM sources""",
+    "report_origins": r"""SELECT source_id, epoch_us(ingested_at) AS ingested_us, regexp_matches(lower(origin), '^https?://[^/]+') AS http, coalesce(nullif(CASE WHEN regexp_matches(lower(origin), '^([a-z]+://[^/]*)?[^?#]*\.(pdf|md|txt|html)([?#].*)?$') THEN regexp_extract(lower(split_part(split_part(origin, '?', 1), '#', 1)), '(\.[a-z]+)$', 1) END, ''), '.html') AS suffix FROM sources""",
     "report_events": "SELECT event_type, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) GROUP BY 1, 2",
     "report_unique": " UNION ALL ".join(f"SELECT '{c}' AS key, {c} AS value, count(*) AS n FROM sources GROUP BY {c} HAVING count(*) > 1" for c in ("source_id", "slug", "content_hash")),
     "export_by_entity": """WITH r AS (SELECT lower(name) AS source, lower(type) AS target, CAST(count(*) AS DOUBLE) AS w FROM extracted_entities GROUP BY 1, 2), x AS (SELECT source AS entity, target AS other, w FROM r UNION ALL SELECT target, source, w FROM r WHERE source <> target)
