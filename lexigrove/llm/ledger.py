@@ -109,7 +109,7 @@ def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each entity, as its first row has it, with the number of copies."""
     entities = table(spark, folder, "extracted_entities")
     ledger = fill(keyed(entities)).rows().select(F.col("first_id").alias("row_id"), F.col("copies").alias("n_copies"))
-    return entities.select("row_id", "name", "type", "aliases").join(ledger, "row_id")
+    return entities.select("row_id", "name", "type", F.array_join("aliases", "|").alias("aliases")).join(ledger, "row_id")
 
 
 _P4_SQL = r"""
@@ -125,5 +125,5 @@ WITH keyed AS (
 QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities}
 ORACLES = {
     "p4_found": _P4_SQL + "SELECT f AS first_row_id, row_id AS copy_row_id FROM led WHERE row_id <> f",
-    "p4_entities": _P4_SQL + "SELECT row_id, name, type, aliases, c AS n_copies FROM led WHERE row_id = f",
+    "p4_entities": _P4_SQL + "SELECT row_id, name, type, array_to_string(aliases, '|') AS aliases, c AS n_copies FROM led WHERE row_id = f",
 }
