@@ -138,6 +138,10 @@ def chunk_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (chunk_characters, chunk_tokens, chunk_sections, chunk_packing)}
 ORACLES = {
+    "chunk_packing": """WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
+        r AS (SELECT doc_id, ls, 1 AS i, least(1, len(ls)) AS n, coalesce(len(ls[1]) + 2, 0) AS s FROM l
+          UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN s + len(ls[i + 1]) + 2 > 600 THEN n + 1 ELSE n END, CASE WHEN s + len(ls[i + 1]) + 2 > 600 THEN len(ls[i + 1]) + 2 ELSE s + len(ls[i + 1]) + 2 END FROM r WHERE i < len(ls))
+        SELECT doc_id, max(n) AS n_chunks FROM r GROUP BY 1""",
     # The windows' data-dependent steps are a recursion in SQL.
     "chunk_characters": r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)[ \t\f\x0B]+$', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM documents),
         w AS (SELECT doc_id, t, 0 AS i, 0 AS a, CASE WHEN len(t) > 1200 AND contains(t[601:1200], chr(10) || chr(10)) AND 1200 - strpos(reverse(t[1:1200]), chr(10) || chr(10)) - 1 > 600 THEN 1200 - strpos(reverse(t[1:1200]), chr(10) || chr(10)) - 1 ELSE least(1200, len(t)) END AS b FROM t WHERE len(t) > 0

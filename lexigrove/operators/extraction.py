@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigrove.functions.stopwords import STOPWORDS
 from lexigrove.functions.text import CAPITALISED, CAPITALISED_LINKED, acceptable_entity, acronyms, canonical_key, normalize_entity, occurrences, phrases, slugify, wikilinks
 from lexigrove.operators.chunking import sections
 from lexigrove.operators.graph import dedupe_undirected
@@ -253,6 +254,7 @@ def extract_relations(spark: SparkSession, folder: str) -> DataFrame:
     return guarded_relations(fallback_relations(found), found)
 
 
+STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 _PHRASE = r"'\b([A-Z][A-Za-z0-9][A-Za-z0-9\-]*(?:\s+[A-Z][A-Za-z0-9][A-Za-z0-9\-]*){0,3})\b'"
 _ASCII = "regexp_replace(text, '[À-ÖØ-öø-ÿŒœ]', '_', 'g')"
 _EXTRACT = rf"""c AS (SELECT id AS chunk_id, {_ASCII.replace("text", "max(text)")} AS t FROM light_chunks GROUP BY 1),
@@ -264,7 +266,16 @@ _MENTION = r"""nm AS (SELECT DISTINCT 'entity::' || lower(split_part(title, ':',
 _ANYWHERE = """nm AS (SELECT DISTINCT 'entity::' || lower(split_part(title, ' ', -1)) AS node, lower(split_part(title, ' ', -1)) AS name FROM sources), un AS (SELECT DISTINCT source_id || '#' || unit_index AS text_id, lower(text) AS t FROM text_units),
  m AS (SELECT text_id, node, least(5, max((len(t) - len(replace(t, name, ''))) // len(name))) AS n FROM un JOIN nm ON contains(t, name) WHERE len(name) >= 4 GROUP BY 1, 2)"""
 QUERIES = {f.__name__: f for f in (build_page_entities, build_catalog, build_entity_nodes, build_claims, build_mentions, build_mentions_anywhere, build_co_mentions, build_links, build_unit_edges, build_derived_edges, build_merged_edges, extract_entities, extract_relations)}
+_ACCEPT = f"len(n) BETWEEN 2 AND 80 AND regexp_matches(n, '[A-Za-z]') AND lower(n) NOT IN ({STOP_SQL})"
+_CATALOG = rf"""x AS (SELECT doc_id AS page_id, title, {_ASCII} AS t, text FROM documents),
+ c AS (SELECT page_id, title, unnest(list_concat(list_transform(list_concat(regexp_extract_all(t, '\b([A-Z][A-Za-z0-9][A-Za-z0-9\-]*(?:\s+(?:of|for|and|in|on|the|a)?\s*[A-Z][A-Za-z0-9][A-Za-z0-9\-]*){{0,3}})\b', 1), regexp_extract_all(t, '\b([A-Z]{{2,6}})\b', 1)),
+   lambda y: {{'n': regexp_replace(trim(regexp_replace(y, '[\s\p{{Z}}]+', ' ', 'g')), '^[ .,:;]+|[ .,:;]+$', '', 'g'), 'l': 0}}), list_transform(regexp_extract_all(text, '\[\[([^\[\]]+)\]\]', 1), lambda y: {{'n': trim(string_split(y, '|')[1]), 'l': 1}}))) AS v FROM x),
+ k AS (SELECT page_id, title, v.n AS name, count(*) AS occurrences, max(v.l) AS linked FROM (SELECT *, v.n AS n FROM c) WHERE {_ACCEPT} GROUP BY 1, 2, 3),
+ pe AS (SELECT page_id, name, occurrences, '' AS aliases FROM k WHERE (occurrences >= 2 OR linked = 1) AND lower(name) IS DISTINCT FROM lower(title)
+   UNION ALL SELECT d.doc_id, d.title, greatest(1, coalesce(k.occurrences, 1)), CASE WHEN contains(d.title, ':') AND {_ACCEPT.replace("(n", "(trim(split_part(d.title, ':', 1))")} THEN trim(split_part(d.title, ':', 1)) ELSE '' END FROM documents d LEFT JOIN k ON k.page_id = d.doc_id AND k.name = d.title WHERE d.title IS NOT NULL)"""
 ORACLES = {
+    "build_page_entities": f"WITH {_CATALOG} SELECT * FROM pe",
+    "build_catalog": f"WITH {_CATALOG} SELECT lower(name) AS key, min(page_id) AS first_page, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(DISTINCT page_id) AS n_pages FROM pe GROUP BY 1",
     "build_mentions": f"WITH {_MENTION} SELECT * FROM m",
     "build_mentions_anywhere": f"WITH {_ANYWHERE} SELECT * FROM m",
     "build_co_mentions": f"WITH {_ANYWHERE} SELECT a.node AS source, b.node AS target, count(*) * 0.5::DOUBLE AS weight FROM m a JOIN m b ON a.text_id = b.text_id AND a.node < b.node GROUP BY 1, 2",

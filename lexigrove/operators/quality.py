@@ -265,3 +265,9 @@ ORACLES = {
         q AS (SELECT x, y, n, n_pages, [n, nx - n, ny - n, t - nx - ny + n] AS o, [CAST(nx AS DOUBLE) * ny, nx * (t - ny), (t - nx) * ny, (t - nx) * (t - ny)] AS e, t FROM p JOIN a USING (x) JOIN b USING (y), c)
         SELECT x || ' ' || y AS phrase, n, n_pages, round(2 * list_sum(list_transform(list_zip(o, e), lambda z: CASE WHEN z[1] > 0 THEN z[1] * ln(z[1] * t / z[2]) ELSE 0 END)), 4) AS llr FROM q""",
 }
+ORACLES["lint_counts"] = "SELECT severity, code, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT severity, code FROM ({ORACLES[k]})" for k in ("lint_pages", "lint_corpus", "lint_manifest")) + ") GROUP BY 1, 2"
+# Least labels of neighbours, with a jump to the label's own label, as often as these sets need.
+ORACLES["concept_components"] = (
+    f"WITH {_TS}, e AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM ts x JOIN ts y ON x.id <> y.id AND len(list_intersect(x.terms, y.terms)) > 0 AND (len(list_intersect(x.terms, y.terms)) >= 2 OR len(list_intersect(x.terms, y.terms)) / len(list_distinct(list_concat(x.terms, y.terms))) >= 0.18)), l0 AS (SELECT id, id AS l FROM ts)"
+    + "".join(f", n{i} AS MATERIALIZED (SELECT id, least(any_value(p.l), coalesce(min(q.l), any_value(p.l))) AS l FROM l{i - 1} p LEFT JOIN (SELECT e.a AS id, x.l FROM e JOIN l{i - 1} x ON x.id = e.b) q USING (id) GROUP BY id), l{i} AS MATERIALIZED (SELECT n.id, j.l FROM n{i} n JOIN n{i} j ON j.id = n.l)" for i in range(1, 9))
+    + " SELECT id AS page_id, l AS component FROM l8")
