@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.fuzzy import token_set_of
 from lexigrove.functions.stopwords import STOPWORDS
-from lexigrove.functions.text import CAPITALISED, acronyms, canonical_key, implicit_acronyms, one_line, phrases, terms, tokens
+from lexigrove.functions.text import CAPITALISED, TOKENS_SQL, acronyms, canonical_key, implicit_acronyms, one_line, phrases, terms, tokens
 from lexigrove.operators import lexical as lx
-from lexigrove.operators.extraction import build_mentions
+from lexigrove.operators.extraction import _MENTION, build_mentions
 from lexigrove.operators.fusion import keep_first, rrf
 from lexigrove.operators.graph import both_ways, community_records, k_hop, label_propagation, pagerank
 from lexigrove.shared import materialize, number_rows, table
@@ -157,7 +157,7 @@ class CorpusGraph:
         graph = seeds.select("query_id", F.col("node").alias("seed")).join(direct.unionByName(via), "seed").select("query_id", "doc_id", "s")
         named = questions.join(seeds.select("query_id").distinct(), "query_id", "left_semi")
         words = lx.ranked(lx.bm25(self.index, named), 2 * limit).select("query_id", "doc_id", (F.col("score") * 0.5).alias("s"))
-        total = graph.unionByName(words).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+        total = graph.unionByName(words).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 8).alias("score"))  # halves of scores of 6 places are no ties here
         best = lx.top_k(total, limit, [F.col("score").desc(), F.col("doc_id")])
         boost = best.join(self.nodes.select(F.col("node").alias("doc_id"), tokens(F.col("section")).alias("st")), "doc_id").join(questions.select("query_id", tokens(F.col("question")).alias("qt")), "query_id")
         out = boost.select("query_id", "doc_id", (F.col("score") + F.when(F.arrays_overlap("st", "qt"), 0.1).otherwise(0.0)).alias("score"), "rank")
@@ -406,3 +406,30 @@ ORACLES = {
         SELECT query_id, ['drift', 'global', 'basic', 'local', 'local', 'basic'][k] AS method, ['high', 'high', 'medium', 'medium', 'medium', 'low'][k] AS confidence, ['comparison', 'corpus theme', 'direct look-up', 'alias', 'known term', 'fallback'][k] AS reason,
           CASE k WHEN 1 THEN {_HITS(DRIFT_WORDS)} WHEN 2 THEN {_HITS(GLOBAL_WORDS)} WHEN 3 THEN {_HITS(DIRECT_WORDS)} WHEN 4 THEN array_to_string({_ACR}, '|') WHEN 5 THEN met ELSE '' END AS matched FROM x""",
 }
+# The graph of corpus_graph(), ten iterations of PageRank, seeds, two hops, and BM25 over the text units.
+_RANKS = "".join(
+    f", g{i} AS MATERIALIZED (SELECT v.node, v.linked, 0.85 * (coalesce(x.got, 0) + (SELECT coalesce(sum(pr), 0) FROM g{i - 1} WHERE NOT linked) / c.n) + 0.15 / c.n AS pr FROM g{i - 1} v LEFT JOIN (SELECT f.target AS node, sum(q.pr * f.part) AS got FROM g{i - 1} q JOIN fl f ON f.source = q.node GROUP BY 1) x USING (node), cn c)"
+    for i in range(1, 11))
+_LOCAL = rf"""WITH {_MENTION}, src AS (SELECT * FROM sources QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY ingested_at DESC, content_hash) = 1),
+ ent AS (SELECT 'entity::' || lower(split_part(title, ':', 1)) AS node, min(split_part(title, ':', 1)) AS title FROM src GROUP BY 1),
+ tu AS MATERIALIZED (SELECT source_id, source_id || '#' || unit_index AS node, title, coalesce(nullif(text, ''), title) AS text FROM text_units QUALIFY row_number() OVER (PARTITION BY source_id, unit_index ORDER BY title, len(text)) = 1),
+ ed AS MATERIALIZED (SELECT node AS source, text_id AS target, n * 0.1::DOUBLE AS weight FROM m UNION ALL SELECT 'source::' || source_id, node, 0.15::DOUBLE FROM tu),
+ se AS (SELECT least(source, target) AS source, greatest(source, target) AS target, sum(weight) AS weight FROM ed GROUP BY 1, 2), bw AS MATERIALIZED (SELECT * FROM se UNION ALL SELECT target, source, weight FROM se WHERE source <> target),
+ kd AS MATERIALIZED (SELECT node, 'entity' AS kind FROM ent UNION ALL SELECT 'source::' || source_id, 'source_document' FROM src UNION ALL SELECT node, 'text_unit' FROM tu),
+ al AS (SELECT node FROM kd UNION SELECT source FROM bw), st AS (SELECT source, sum(weight) AS total FROM bw GROUP BY 1), fl AS MATERIALIZED (SELECT source, target, weight / total AS part FROM bw JOIN st USING (source)), cn AS (SELECT count(*) AS n FROM al),
+ g0 AS MATERIALIZED (SELECT al.node, st.source IS NOT NULL AS linked, 1.0::DOUBLE / n AS pr FROM al LEFT JOIN st ON st.source = al.node, cn){_RANKS},
+ qs AS (SELECT item_id AS query_id, question, {TOKENS_SQL.replace("text", "question")} AS qt FROM eval_questions),
+ sd AS MATERIALIZED (SELECT query_id, node FROM (SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY node) AS k FROM qs JOIN ent ON regexp_matches(lower(question), '(^|[^a-z0-9_])' || regexp_escape(lower(title)) || '([^a-z0-9_]|$)')) WHERE k <= 6),
+ h1 AS (SELECT DISTINCT sd.node AS seed, bw.target AS node FROM sd JOIN bw ON bw.source = sd.node WHERE bw.target <> sd.node), h2 AS (SELECT DISTINCT seed, bw.target AS node FROM h1 JOIN bw ON bw.source = h1.node WHERE bw.target <> seed),
+ nr AS (SELECT seed, h.node, kind, 1.0::DOUBLE / (d + 1) + 5 * pr AS s FROM (SELECT *, 1 AS d FROM h1 UNION ALL SELECT *, 2 FROM h2 ANTI JOIN h1 USING (seed, node)) h JOIN kd USING (node) JOIN g10 USING (node)),
+ gs AS (SELECT seed, node AS doc_id, s FROM nr WHERE kind = 'text_unit' UNION ALL SELECT seed, target, s * 0.85 FROM nr JOIN (SELECT DISTINCT source, target FROM bw) b ON b.source = nr.node JOIN kd k ON k.node = target AND k.kind = 'text_unit' WHERE nr.kind = 'source_document'),
+ td AS MATERIALIZED (SELECT node, title, {TOKENS_SQL} AS ts FROM tu), ts2 AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM td), tp AS MATERIALIZED (SELECT node, length, token, count(*) AS tf FROM (SELECT node, len(ts) AS length, unnest(ts) AS token FROM td) GROUP BY ALL),
+ tf2 AS (SELECT token, count(*) AS df FROM tp GROUP BY 1), qk AS (SELECT query_id, unnest(qt) AS token FROM qs),
+ bm AS MATERIALIZED (SELECT query_id, node AS doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / a))), 6) AS score FROM qk JOIN tp USING (token) JOIN tf2 USING (token), ts2 GROUP BY 1, 2),
+ br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM bm), named AS (SELECT DISTINCT query_id FROM sd),
+ tt AS (SELECT query_id, doc_id, round(sum(s), 8) AS score FROM (SELECT query_id, doc_id, s FROM sd JOIN gs ON gs.seed = sd.node UNION ALL SELECT query_id, doc_id, score * 0.5 FROM br SEMI JOIN named USING (query_id) WHERE k <= 16) GROUP BY 1, 2),
+ tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM tt),
+ lb AS (SELECT query_id, doc_id, score + CASE WHEN len(list_intersect({TOKENS_SQL.replace("text", "td.title")}, qt)) > 0 THEN 0.1::DOUBLE ELSE 0 END AS score, rank FROM tr JOIN td ON td.node = doc_id JOIN qs USING (query_id) WHERE rank <= 8),
+ ba AS (SELECT query_id, doc_id, round(score * 1.15 + CASE WHEN len(list_intersect({TOKENS_SQL.replace("text", "td.title")}, qt)) > 0 THEN 0.1 ELSE 0 END, 6) AS score FROM br ANTI JOIN named USING (query_id) JOIN td ON td.node = doc_id JOIN qs USING (query_id) WHERE k <= 24)
+ """
+ORACLES["search_local"] = _LOCAL + "SELECT * FROM lb UNION ALL SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ba) WHERE rank <= 8"
