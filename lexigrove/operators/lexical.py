@@ -99,7 +99,7 @@ def basic_search(index: LexicalIndex, evidence: DataFrame, questions: DataFrame,
     """BM25 on evidence (doc_id, kind, section): the best 3 limit, text units by 1.15, plus .1 where the section shares a token with the question; then the best limit."""
     first = ranked(bm25(index, questions), 3 * limit).join(evidence.select("doc_id", "kind", tokens(F.col("section")).alias("st")), "doc_id").join(questions.select("query_id", tokens(F.col("question")).alias("qt")), "query_id")
     score = F.col("score") * F.when(F.col("kind") == "text_unit", 1.15).otherwise(1.0) + F.when(F.arrays_overlap("st", "qt"), 0.1).otherwise(0.0)
-    return top_k(first.select("query_id", "doc_id", "kind", F.round(score, 6).alias("score")), limit, [F.col("score").desc(), F.col("doc_id")])
+    return top_k(first.select("query_id", "doc_id", "kind", F.round(score, 8).alias("score")), limit, [F.col("score").desc(), F.col("doc_id")])
 
 
 def prefix_score(rows: DataFrame, questions: DataFrame, title: str = "title", body: str = "text") -> DataFrame:
@@ -280,7 +280,7 @@ ORACLES = {
     "lexical_lengths": f"WITH {_D} SELECT doc_id, length FROM d",
     "basic_search_topk": f"""WITH {BM25_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM s),
         b AS (SELECT query_id, doc_id, CASE WHEN page_type = 'source' THEN 'text_unit' ELSE 'chunk' END AS kind,
-          round(score * CASE WHEN page_type = 'source' THEN 1.15 ELSE 1 END + CASE WHEN len(list_intersect({TOKENS_SQL.replace("text", "title")}, qt)) > 0 THEN 0.1 ELSE 0 END, 6) AS score
+          round(score * CASE WHEN page_type = 'source' THEN 1.15 ELSE 1 END + CASE WHEN len(list_intersect({TOKENS_SQL.replace("text", "title")}, qt)) > 0 THEN 0.1 ELSE 0 END, 8) AS score
           FROM r JOIN d USING (doc_id) JOIN q USING (query_id) WHERE rk <= 24)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b) WHERE rank <= 8""",
     "prefix_search_topk": f"""WITH q AS ({_TERM_Q}),

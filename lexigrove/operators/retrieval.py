@@ -430,6 +430,6 @@ _LOCAL = rf"""WITH {_MENTION}, src AS (SELECT * FROM sources QUALIFY row_number(
  tt AS (SELECT query_id, doc_id, round(sum(s), 8) AS score FROM (SELECT query_id, doc_id, s FROM sd JOIN gs ON gs.seed = sd.node UNION ALL SELECT query_id, doc_id, score * 0.5 FROM br SEMI JOIN named USING (query_id) WHERE k <= 16) GROUP BY 1, 2),
  tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM tt),
  lb AS (SELECT query_id, doc_id, score + CASE WHEN len(list_intersect({TOKENS_SQL.replace("text", "td.title")}, qt)) > 0 THEN 0.1::DOUBLE ELSE 0 END AS score, rank FROM tr JOIN td ON td.node = doc_id JOIN qs USING (query_id) WHERE rank <= 8),
- ba AS (SELECT query_id, doc_id, round(score * 1.15 + CASE WHEN len(list_intersect({TOKENS_SQL.replace("text", "td.title")}, qt)) > 0 THEN 0.1 ELSE 0 END, 6) AS score FROM br ANTI JOIN named USING (query_id) JOIN td ON td.node = doc_id JOIN qs USING (query_id) WHERE k <= 24)
+ ba AS (SELECT query_id, doc_id, round(score * 1.15 + CASE WHEN len(list_intersect({TOKENS_SQL.replace("text", "td.title")}, qt)) > 0 THEN 0.1 ELSE 0 END, 8) AS score FROM br ANTI JOIN named USING (query_id) JOIN td ON td.node = doc_id JOIN qs USING (query_id) WHERE k <= 24)
  """
 ORACLES["search_local"] = _LOCAL + "SELECT * FROM lb UNION ALL SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ba) WHERE rank <= 8"
