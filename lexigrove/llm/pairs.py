@@ -55,7 +55,7 @@ _ECHOES = ["{q}", "{q}", "{q}", "Q: {q}", "Question: {q}", "> {q}", '"{q}"', "
 _ORDER = [DEFECTS.index(x) for x in ("empty", "echo", "refusal", "language", "truncated")]
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_TRAILER = re.compile(r"(?:\s*(?:\[[^\[\]\n]*(?:\.md|#chunk|#text)[^\[\]\n]*\]|\[\[[^\[\]\n]*\]\]|\(?(?:source|see also|siehe auch|voir aussi|véase)[^\n]*|```[^`]*```))+\s*$", re.IGNORECASE)
+_TRAILER = re.compile(r"(?:\s*(?:\[[^\[\]\n]*(?:\.md|#chunk|#text)[^\[\]\n]*\]|\[\[[^\[\]\n]*\]\]|\n[ \t]*\(?(?:sources?|see also|siehe auch|voir aussi|véase)\b:?[^\n]*|```[^`]*```))+\s*$", re.IGNORECASE)
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|```.*?```|\[[^\]]*\]", re.DOTALL)
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 
