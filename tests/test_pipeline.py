@@ -202,3 +202,28 @@ def test_stream(spark, tmp_path):
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y", "z"]
     ingest.run(ingest.hourly_counts(ingest.stream(spark, str(tmp_path / "in"))), str(tmp_path / "n"), str(tmp_path / "n-state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "n")).count() >= 3
+
+
+def test_join_heavy(spark):
+    from lexigrove.shared import join_heavy, materialize
+
+    left = spark.createDataFrame([(k, i) for i in range(300) for k in (["hot"] if i % 3 == 0 else [f"k{i % 20}"])] + [(None, 1)], "k string, v int")
+    right = materialize(left.where("k is not null and k <> 'k7'").groupBy("k").agg(F.count(F.lit(1)).alias("n")), "right")
+    expected = sorted((r.k, r.v, r.n) for r in left.join(right, "k").collect())
+    for top in (1, 3, 1000):
+        got = join_heavy(left, right, ["k"], "n", top)
+        assert sorted((r.k, r.v, r.n) for r in got.select("k", "v", "n").collect()) == expected
+    assert join_heavy(left.limit(0), right, ["k"], "n", 1).count() == 0
+
+
+def test_references_into_external_tables(spark):
+    from lexigrove.operators.retrieval import data_sources, resolve_all
+
+    refs = spark.createDataFrame([(1, "entities", "7"), (1, "entities", "e9"), (2, "reports", "7")], "query_id int, kind string, id string")
+    entities = spark.createDataFrame([("e7", 7, ["u1", "u2"]), ("e9", 9, ["u2"])], "id string, human_readable_id bigint, text_unit_ids array<string>")
+    units = spark.createDataFrame([("u1", "s1"), ("u2", "s2")], "id string, source_id string")
+    got = {(r.query_id, r.id, r.source_id) for r in data_sources(refs, {"entities": entities}, units).collect()}
+    assert got == {(1, "7", "s1"), (1, "7", "s2"), (1, "e9", "s2")}
+    assert resolve_all(spark.createDataFrame([("u1",)], "id string"), units).count() == 1
+    with pytest.raises(LookupError, match="u9"):
+        resolve_all(spark.createDataFrame([("u9",)], "id string"), units)
