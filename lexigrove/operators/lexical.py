@@ -79,9 +79,9 @@ def top_k(scored: DataFrame, k: int, by: list[Column], per: str = "query_id") ->
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(*by))).where(F.col("rank") <= k)
 
 
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    """Top k by score, ties by doc_id; scores to 6 places."""
-    return top_k(scored.withColumn("score", F.round("score", 6)), k, [F.col("score").desc(), F.col("doc_id")])
+def ranked(scored: DataFrame, k: int, places: int = 6) -> DataFrame:
+    """Top k by score, ties by doc_id; scores to so many places."""
+    return top_k(scored.withColumn("score", F.round("score", places)), k, [F.col("score").desc(), F.col("doc_id")])
 
 
 def token_budget(contexts: DataFrame, budget: int, estimate: Column | None = None) -> DataFrame:
@@ -270,6 +270,16 @@ p AS (SELECT doc_id, length, token, count(*) AS tf FROM (SELECT doc_id, length,
 f AS (SELECT token, count(*) AS df FROM p GROUP BY 1), qq AS (SELECT query_id, unnest(qt) AS token FROM q),
 s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / a))), 6) AS score
       FROM qq JOIN p USING (token) JOIN f USING (token), st GROUP BY 1, 2)"""
+
+
+def bm25_sql(name: str, docs: str, questions: str) -> str:
+    """CTEs in SQL whose last, `name`, is bm25() of docs (doc_id, text) and questions (query_id, question), to 6 places."""
+    q = TOKENS_SQL.replace("text", "question")
+    return f"""{name}_d AS MATERIALIZED (SELECT doc_id, {TOKENS_SQL} AS ts FROM {docs}), {name}_n AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM {name}_d),
+ {name}_p AS MATERIALIZED (SELECT doc_id, length, token, count(*) AS tf FROM (SELECT doc_id, len(ts) AS length, unnest(ts) AS token FROM {name}_d) GROUP BY ALL), {name}_f AS (SELECT token, count(*) AS df FROM {name}_p GROUP BY 1), {name}_q AS (SELECT query_id, unnest({q}) AS token FROM {questions}),
+ {name} AS MATERIALIZED (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / a))), 6) AS score FROM {name}_q JOIN {name}_p USING (token) JOIN {name}_f USING (token), {name}_n GROUP BY 1, 2)"""
+
+
 _TERM_Q = "SELECT item_id AS query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM eval_questions"
 QUERIES = {f.__name__: f for f in (bm25_topk, lexical_postings, lexical_lengths, basic_search_topk, prefix_search_topk, occurrence_search_topk, fielded_search_topk, stemmed_search_topk)}
 ORACLES = {

@@ -233,7 +233,7 @@ class Profiles:
         by_relation = hits.join(ends, "doc_id").select("query_id", "c", "rank", F.lit(1).alias("kind"), (F.col("score") * 0.5).alias("score"))
         events = direct.unionByName(by_relation).groupBy("query_id", "c").agg(F.max(F.when(F.col("kind") == 0, F.col("score"))).alias("best"), F.min(F.struct("rank", "kind", "score")).alias("first"))
         score = F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("first.kind") == 1, F.col("first.score")).otherwise(0.0))
-        return events.select("query_id", F.col("c").alias("doc_id"), F.round(score, 6).alias("score"))
+        return events.select("query_id", F.col("c").alias("doc_id"), F.round(score, 8).alias("score"))
 
     def global_(self, keys: DataFrame, k: int = 16) -> DataFrame:
         """query_id, doc_id, score: chunks of the relations that the high keywords (else the low ones) find, by their greatest score."""
@@ -243,7 +243,7 @@ class Profiles:
     def hybrid(self, keys: DataFrame, limit: int = 12, budget: int = 4000) -> DataFrame:
         """Local, global and basic chunks fused by reciprocal ranks at 1.2, 1.2 and .8; the best `limit` within the token budget."""
         basic = lx.ranked(lx.bm25(lx.LexicalIndex.build(self.chunks), keys.select("query_id", "question")), 2 * limit)
-        lists = [("local", lx.ranked(self.local(keys), 4 * limit)), ("global", lx.ranked(self.global_(keys), 4 * limit)), ("basic", basic)]
+        lists = [("local", lx.ranked(self.local(keys), 4 * limit, 8)), ("global", lx.ranked(self.global_(keys), 4 * limit)), ("basic", basic)]
         every = None
         for name, part in lists:
             part = part.select("query_id", "doc_id", "score", "rank", F.lit(name).alias("list"), F.col("doc_id").cast("string").alias("title"))
@@ -433,3 +433,18 @@ _LOCAL = rf"""WITH {_MENTION}, src AS (SELECT * FROM sources QUALIFY row_number(
  ba AS (SELECT query_id, doc_id, round(score * 1.15 + CASE WHEN len(list_intersect({TOKENS_SQL.replace("text", "td.title")}, qt)) > 0 THEN 0.1 ELSE 0 END, 8) AS score FROM br ANTI JOIN named USING (query_id) JOIN td ON td.node = doc_id JOIN qs USING (query_id) WHERE k <= 24)
  """
 ORACLES["search_local"] = _LOCAL + "SELECT * FROM lb UNION ALL SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ba) WHERE rank <= 8"
+_TOP = lambda t, k: f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {t} QUALIFY rank <= {k})"
+ORACLES["search_hybrid"] = (
+    ORACLES["query_keywords"].rsplit("SELECT query_id, array_to_string(low", 1)[0].rstrip()
+    + f""", ky AS MATERIALIZED (SELECT query_id, low, {_UNIQUE("h")} AS high FROM t), k1 AS (SELECT query_id, array_to_string(CASE WHEN len(low) > 0 THEN low ELSE high END, ' ') AS question FROM ky), k2 AS (SELECT query_id, array_to_string(CASE WHEN len(high) > 0 THEN high ELSE low END, ' ') AS question FROM ky), k3 AS (SELECT item_id AS query_id, question FROM eval_questions),
+ ex AS (SELECT name, description, lower(name) AS id, lower(type) AS tp, unnest(chunk_ids) AS c FROM extracted_entities), en AS MATERIALIZED (SELECT id AS doc_id, concat_ws(' ', max(name), max(description)) AS text, list_distinct(list(c)) AS cs FROM ex GROUP BY 1),
+ re AS MATERIALIZED (SELECT id || '|' || tp AS doc_id, id AS source, tp AS target, concat_ws(' ', id, tp, max(description)) AS text, list_distinct(list(c)) AS cs FROM ex GROUP BY id, tp), ch AS MATERIALIZED (SELECT id AS doc_id, max(text) AS text FROM light_chunks GROUP BY 1),
+ {lx.bm25_sql("be", "en", "k1")}, {lx.bm25_sql("br", "re", "k2")}, {lx.bm25_sql("bc", "ch", "k3")},
+ he AS MATERIALIZED {_TOP("be", 12)}, hr AS MATERIALIZED {_TOP("br", 16)},
+ ev AS (SELECT query_id, unnest(cs) AS c, rank, 0 AS kind, score FROM he JOIN en USING (doc_id) UNION ALL SELECT query_id, unnest(cs), rank, 1, score * 0.5 FROM he JOIN (SELECT source AS e, cs FROM re UNION ALL SELECT target, cs FROM re WHERE source <> target) x ON x.e = he.doc_id),
+ lo AS (SELECT query_id, c AS doc_id, round(greatest(coalesce(max(score) FILTER (kind = 0), 0), CASE WHEN min({{'r': rank, 'k': kind, 's': score}}).k = 1 THEN min({{'r': rank, 'k': kind, 's': score}}).s ELSE 0 END), 8) AS score FROM ev GROUP BY 1, 2),
+ gl AS (SELECT query_id, c AS doc_id, max(score) AS score FROM (SELECT query_id, unnest(cs) AS c, score FROM hr JOIN re USING (doc_id)) GROUP BY 1, 2),
+ li AS (SELECT query_id, doc_id, 1.2::DOUBLE / (60 + rank) AS w FROM {_TOP("lo", 48)} UNION ALL SELECT query_id, doc_id, 1.2::DOUBLE / (60 + rank) FROM {_TOP("gl", 48)} UNION ALL SELECT query_id, doc_id, 0.8::DOUBLE / (60 + rank) FROM {_TOP("bc", 24)}),
+ fu AS (SELECT query_id, doc_id, round(sum(w), 9) AS score FROM li GROUP BY 1, 2), fr AS {_TOP("fu", 12)},
+ bu AS (SELECT query_id, doc_id, score, rank, sum(greatest(1, len(text) // 4)) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM fr JOIN ch USING (doc_id))
+ SELECT query_id, doc_id, score, rank FROM bu WHERE so_far <= 4000 OR rank = 1""")
