@@ -13,7 +13,7 @@ from lexigrove.functions.text import CAPITALISED, TOKENS_SQL, acronyms, canonica
 from lexigrove.operators import lexical as lx
 from lexigrove.operators.extraction import _MENTION, build_mentions
 from lexigrove.operators.fusion import keep_first, rrf
-from lexigrove.operators.graph import both_ways, community_records, k_hop, label_propagation, pagerank
+from lexigrove.operators.graph import both_ways, community_records, k_hop, pagerank
 from lexigrove.shared import materialize, number_rows, table
 
 # Words that route a question, and words that a theme is asked with.
@@ -342,14 +342,24 @@ def search_find(spark: SparkSession, folder: str) -> DataFrame:
     return find(corpus_graph(spark, folder), lx.questions_of(spark, folder))
 
 
+def _source_labels(spark: SparkSession, g: CorpusGraph, folder: str) -> DataFrame:
+    """Each text unit and document with its source as community; an entity with the least source of its name."""
+    name = F.concat(F.lit("entity::"), F.lower(F.substring_index("title", ":", 1)))
+    s = keep_first(table(spark, folder, "sources"), ["source_id"], [F.col("ingested_at").desc(), F.col("content_hash")])
+    entities = s.groupBy(name.alias("node")).agg(F.min(F.concat(F.lit("source::"), "source_id")).alias("community"))
+    docs = g.nodes.where("kind = 'source_document'").select("node", F.col("node").alias("community"))
+    units = g.nodes.where("kind = 'text_unit'").select("node", F.concat(F.lit("source::"), F.substring_index("node", "#", 1)).alias("community"))
+    return entities.unionByName(docs).unionByName(units)
+
+
 def search_global(spark: SparkSession, folder: str) -> DataFrame:
+    """Over communities that are the sources; those of graph_communities would do as well."""
     g = corpus_graph(spark, folder)
-    labels = materialize(label_propagation(g.edges), "labels")
+    labels = materialize(_source_labels(spark, g, folder), "labels")
     nodes = g.nodes.select("node", "kind", "title", F.expr("cast(array() as array<string>)").alias("source_ids"))
     records = materialize(community_records(labels, nodes, 2), "communities")
-    firsts = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    numbered = number_rows(labels.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")), [F.col("n").desc(), F.col("least")], "number")
-    members = labels.join(numbered.select("community", F.concat(F.lit("community-"), "number").alias("id")), "community").join(firsts.select("community"), "community", "left_semi").select("id", "node")
+    numbered = number_rows(labels.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")), [F.col("n").desc(), F.col("least")], "number").where("n > 1")
+    members = labels.join(numbered.select("community", F.concat(F.lit("community-"), "number").alias("id")), "community").select("id", "node")
     return g.global_(lx.questions_of(spark, folder), records, members)
 
 
@@ -448,3 +458,15 @@ ORACLES["search_hybrid"] = (
  fu AS (SELECT query_id, doc_id, round(sum(w), 9) AS score FROM li GROUP BY 1, 2), fr AS {_TOP("fu", 12)},
  bu AS (SELECT query_id, doc_id, score, rank, sum(greatest(1, len(text) // 4)) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM fr JOIN ch USING (doc_id))
  SELECT query_id, doc_id, score, rank FROM bu WHERE so_far <= 4000 OR rank = 1""")
+ORACLES["search_global"] = (
+    _LOCAL.rstrip() + rf""",
+ lab AS MATERIALIZED (SELECT 'entity::' || lower(split_part(title, ':', 1)) AS node, min('source::' || source_id) AS c FROM src GROUP BY 1 UNION ALL SELECT 'source::' || source_id, 'source::' || source_id FROM src UNION ALL SELECT node, 'source::' || source_id FROM tu),
+ nu AS (SELECT c, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(node)) AS k FROM lab GROUP BY 1), co AS (SELECT c, 'community-' || k AS id FROM nu WHERE n > 1),
+ te AS (SELECT id, list(title ORDER BY node) AS es FROM (SELECT id, node, ent.title, row_number() OVER (PARTITION BY id ORDER BY node) AS k FROM lab JOIN co USING (c) JOIN ent USING (node)) WHERE k <= 8 GROUP BY 1),
+ pa AS (SELECT co.id, 1.0::DOUBLE AS w, -1 AS part, CASE WHEN es IS NOT NULL THEN 'Entities: ' || array_to_string(es, ', ') ELSE '(no annotated members)' END AS text FROM co LEFT JOIN te USING (id) UNION ALL SELECT id, 0.5::DOUBLE, generate_subscripts(es, 1), unnest(es) FROM te),
+ pt AS (SELECT id, w, part, len(ts) AS n, unnest(ts) AS token FROM (SELECT id, w, part, {TOKENS_SQL} AS ts FROM pa)), aq AS (SELECT query_id, unnest(list_distinct(qt)) AS token FROM qs),
+ cs AS (SELECT query_id, id, round(sum(w * hits / (1 + sqrt(n))), 6) AS score FROM (SELECT query_id, id, w, part, n, count(*) AS hits FROM pt JOIN aq USING (token) GROUP BY ALL) GROUP BY 1, 2),
+ ct AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS place FROM cs QUALIFY place <= 5), cl AS (SELECT * FROM ct UNION ALL SELECT query_id, (SELECT max(id) FROM co), 1 FROM qs WHERE query_id NOT IN (SELECT query_id FROM ct)),
+ cm AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS many FROM cl), me AS (SELECT id, node, row_number() OVER (PARTITION BY id ORDER BY node) AS k FROM lab JOIN co USING (c) SEMI JOIN tu USING (node)),
+ ro AS (SELECT query_id, place, 0 AS k, id AS node, 1.0::DOUBLE AS score FROM cm UNION ALL SELECT query_id, place, k, node, 0.75::DOUBLE FROM cm JOIN me USING (id) WHERE k <= greatest(1, 8 // many))
+ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place, k) AS rank, node, score FROM ro QUALIFY rank <= 8""")
