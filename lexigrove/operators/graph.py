@@ -59,25 +59,30 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
     simple = materialize(both_ways(simple_edges(edges)), "simple")
     strength = simple.groupBy("source").agg(F.sum("weight").alias("total"))
     flow = materialize(simple.join(strength, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("part")), "flow")
-    every = simple.select(F.col("source").alias("node"))
-    every = every.unionByName(nodes.select("node")).distinct() if nodes is not None else every.distinct()
-    every = materialize(every.join(strength.select(F.col("source").alias("node"), F.lit(True).alias("linked")), "node", "left"), "nodes")
+    held = simple.select(F.col("source").alias("node")).distinct()
+    every = materialize(held.unionByName(nodes.select("node")).distinct() if nodes is not None else held, "nodes")
     n = every.count()
     if not n:
         return every.select("node", F.lit(0.0).alias("pagerank"))
-    rank, converged = every.select("node", "linked", F.lit(1.0 / n).alias("pagerank")), tolerance is None
-    loose = every.where(F.col("linked").isNull()).limit(1).count() > 0
+    loose, lone = n - held.count(), 1.0 / n  # nodes without edges all have one rank, which needs no table
+    rank, converged = every.select("node", F.lit(1.0 / n).alias("pagerank")), tolerance is None
+    base = every.select("node", F.lit(0.0).alias("got"))
     for i in range(1, iterations + 1):
-        dangling = rank.where(F.col("linked").isNull()).agg(F.sum("pagerank")).first()[0] or 0.0 if loose else 0.0
-        got = rank.select(F.col("node").alias("source"), "pagerank").join(flow, "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("pagerank") * F.col("part")).alias("got"))
-        after = rank.join(got, "node", "left").select("node", "linked", F.col("pagerank").alias("before"), (alpha * (F.coalesce("got", F.lit(0.0)) + dangling / n) + (1 - alpha) / n).alias("pagerank"))
         look = i % cut_every == 0 or i == iterations
+        if look and tolerance is not None:
+            rank = materialize(rank, "ranks")
+        # The ranks are read once an iteration, so that the plan between two cuts grows by a join and an aggregation each.
+        got = rank.select(F.col("node").alias("source"), "pagerank").join(flow, "source").select(F.col("target").alias("node"), (F.col("pagerank") * F.col("part")).alias("got"))
+        lone = alpha * loose * lone / n + (1 - alpha) / n
+        after = got.unionByName(base).groupBy("node").agg((alpha * F.sum("got") + lone).alias("pagerank"))
         if look:
             after = materialize(after, "ranks")
-        if tolerance is not None and look and after.agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0] < n * tolerance:
-            rank, converged = after, True
+            if tolerance is not None:
+                moved = after.join(rank.select("node", F.col("pagerank").alias("before")), "node").agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0]
+                converged = moved < n * tolerance
+        rank = after
+        if converged and tolerance is not None:
             break
-        rank = after.drop("before")
     return rank.select("node", F.col("pagerank") if converged else F.lit(1.0 / n).alias("pagerank"))
 
 
