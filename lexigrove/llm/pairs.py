@@ -329,6 +329,7 @@ def train(sample: list[tuple[str, str | None, bool | None]], seed: int = 11, rou
         asked.setdefault(shape(q, a), set()).add(q)
     refusing = _refusing(sample)
     doubts = [_doubtful(q, a, len(asked[shape(q, a)]) > 2 or i, x) for (q, a, i), x in zip(sample, refusing, strict=True)]
+    held_features = [features(*x[:2], known) for x in sample]
     full = [k for k, x in enumerate(sample) if x[1].strip()]
     n = len(DEFECTS)
     sound, flagged, model = np.array([[float(j not in d) for j in range(n)] for d in doubts]).reshape(-1, n), [], None
@@ -336,7 +337,7 @@ def train(sample: list[tuple[str, str | None, bool | None]], seed: int = 11, rou
         base = [sample[k][:2] for k in full if sound[k].all()]
         made = _defective(base, rng) + _short(base, rng) + [(q, p, 0) for p in PLACEHOLDERS * 3 for q, _ in ([rng.choice(base)] if base else [("What is it?", "")])] + [((rng.choice(base)[0] if base else "What is X?"), rng.choice(_LEADS) + t + rng.choice(_TAILS), 2) for t in REFUSALS * 6]
         every = [(*sample[k][:2], -1) for k in full] + made + flagged
-        rows = [features(q, a, known) for q, a, _ in every]
+        rows = [held_features[k] for k in full] + [features(q, a, known) for q, a, _ in every[len(full) :]]
         y = np.array([[float(k == j) for j in range(n)] for _, _, k in every], np.float32)
         mask = np.ones_like(y)
         mask[[i for i, (_, _, k) in enumerate(every) if k in (0, 2, 3)], 1] = 0  # these may end anyhow
@@ -350,7 +351,7 @@ def train(sample: list[tuple[str, str | None, bool | None]], seed: int = 11, rou
             model.thresholds = _thresholds(model.probabilities([rows[i] for i in np.flatnonzero(held)]), y[held], mask[held])
         if r + 1 < rounds and full:
             # A pair stays sound for a label while the fit finds it improbable, by much where there is doubt; the clear cases become examples.
-            p = model.probabilities([features(*x[:2], known) for x in sample])
+            p = model.probabilities(held_features)
             clear = p > 0.85
             for k, d in enumerate(doubts):
                 sound[k] = 0 if clear[k].any() else p[k] < np.where(np.isin(np.arange(n), d), 0.1, 0.5)
