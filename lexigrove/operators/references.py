@@ -64,7 +64,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     return (
         back.where(F.col("reason") != "sweep").select("ref_table", "row_key", "ref_key", "ref_time", "reason")
         .unionByName(swept)
-        .select("ref_table", "row_key", "ref_key", F.date_format("ref_time", "yyyy-MM").alias("period"), "reason")
+        .select("ref_table", "row_key", "ref_key", F.date_format(F.to_utc_timestamp("ref_time", F.current_timezone()), "yyyy-MM").alias("period"), "reason")
         .distinct()
     )
 

@@ -59,3 +59,14 @@ def test_brute_force_and_clashing_columns(spark):
 def test_tidy_key(spark):
     df = spark.createDataFrame([("\t A b \n",), ("  ",), ("",), (None,)], "x string")
     assert [r[0] for r in df.select(tidy_key(F.col("x"))).collect()] == ["a b", None, None, None]
+
+
+def test_periods_are_in_utc_whatever_the_session(spark):
+    rows = spark.sql("SELECT 'p' AS parent_table, 't' AS ref_table, '1' AS row_key, 'x' AS ref_key, timestamp '2025-03-31 23:30:00 UTC' AS ref_time")
+    empty = spark.createDataFrame([], PARENTS)
+    for zone in ("Asia/Tokyo", "America/Lima", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert [r.period for r in orphan_references(rows, empty).collect()] == ["2025-03"]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
