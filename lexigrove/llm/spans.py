@@ -5,13 +5,16 @@ covered by their winnowed shingles besides, so that any shared stretch of LEAST
 whole: either a partial sentence at its ends or one inside is over LONG, or its whole sentences have at least
 LEAST - 2 LONG = RUN characters. Of the LEAST characters around a run, the half on its right or the half on its left is
 shared too; runs are joined globally together with one of these, which keeps short boilerplate from pairing documents.
-Joined places are then compared character by character. Equal texts form a class and take part once.
+Joined places are then compared character by character. Equal texts form a class and take part once. Where many texts hold
+a stretch, each is compared with the first of them alone, which gives its spans; the stretch itself, known by its digest,
+gives the pairs, cell by cell of a grid over the holders.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -21,8 +24,9 @@ from pyspark.sql import functions as F
 from lexigrove.shared import join_heavy, materialize, table
 
 LEAST, LONG, RUN, SHINGLE = 300, 110, 80, 60
-#: Up to so many copies, or holders of one span, pairs are expanded; beyond it they are linked to the first alone.
-EXPAND = 32
+#: Up to so many exact copies of a text give all pairs; beyond it they are linked to the first alone. Up to so many different
+#: texts that hold a span are compared with each other; beyond it their pairs are told by the span, in cells of 2 CELL holders.
+EXPAND, CELL = 32, 256
 
 _CUT = re.compile(r"[.!?]\s|\n")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -136,9 +140,9 @@ class Shared:
     Equal rows count once; a doc_id with several texts takes part with each of them. Empty tables give empty results.
 
     copies: doc_id, first (least doc_id with the same text), n; for texts that occur more than once.
-    pairs: a < b, both first of their texts, with the stretches shared, spans_a and spans_b. Each pair of different texts
-    that shares a stretch is there, with one exception: a stretch that stands in more than `expand` texts links each of
-    them to the first of these alone, so that such a group gives as many rows as it has members.
+    pairs: a < b, both first of their texts, with the stretches shared, spans_a and spans_b. Of a stretch that stands in more
+    than `expand` texts each is there with the first of these alone, which is enough for the spans.
+    links: a < b, both first of their texts: each pair of different texts that shares a stretch, without exception.
     """
 
     def __init__(self, documents: DataFrame, least: int = LEAST, expand: int = EXPAND):
@@ -148,7 +152,16 @@ class Shared:
         several = ids.groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         several = materialize(several, "classes")
         self.copies = materialize(join_heavy(ids, several, ["class"], "n").select("doc_id", "first", "n"), "copies")
+        self.wide: DataFrame | None = None  # seed, doc_id and n of the stretches in more than `expand` texts
         self.pairs = self._pairs()
+        self._linked: DataFrame | None = None
+
+    @property
+    def links(self) -> DataFrame:
+        if self._linked is None:
+            near = self.pairs.select("a", "b")
+            self._linked = near if self.wide is None else materialize(near.unionByName(_cell_pairs(self.wide)).distinct(), "links")
+        return self._linked
 
     def _firsts(self) -> DataFrame:
         """One document of each text."""
@@ -184,7 +197,8 @@ class Shared:
         if not wide.isEmpty():
             held = materialize(self._windows(wide), "windows")
             groups = materialize(held.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a")).where(F.col("n") > 1), "window_groups")
-            held = join_heavy(held, groups, ["seed"], "n")
+            held = materialize(join_heavy(held, groups, ["seed"], "n"), "windows_held")
+            self.wide = held.where(F.col("n") > self.expand).select("seed", "doc_id", "n")
             candidates = candidates.unionByName(_all_pairs(held.where(F.col("n") <= self.expand), "seed"))
             candidates = candidates.unionByName(held.where((F.col("n") > self.expand) & (F.col("doc_id") != F.col("a"))).select("a", F.col("doc_id").alias("b")))
         candidates = materialize(candidates.distinct(), "candidates")
@@ -205,7 +219,7 @@ class Shared:
         return materialize(both.mapInPandas(compared, f"a bigint, b bigint, spans_a {SPANS}, spans_b {SPANS}"), "pairs")
 
     def _windows(self, wide: DataFrame) -> DataFrame:
-        """Each stretch of `least` characters around a seed that many texts hold, as a seed of its own.
+        """Each stretch of `least` characters around a seed that many texts hold, by its digest, as a seed of its own.
 
         Two texts that hold the seed share `least` characters around it if and only if they share one of these.
         """
@@ -214,30 +228,31 @@ class Shared:
 
         def around(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                hs, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                hs, ids = [], []
                 for doc, text, wanted in zip(frame["doc_id"], frame["text"], frame["wanted"], strict=True):
                     h, begin, end = seeds(text, least)
                     at = set()
                     for i in np.flatnonzero(np.isin(h, np.array(wanted, np.int64))):
                         at.update(range(max(0, end[i] - least), min(begin[i], len(text) - least) + 1))
-                    start = np.array(sorted(at), np.int64)
-                    hs.append(np.unique(Hashes(text)(start, start + least).view(np.int64)))
-                    ids.append(np.full(len(hs[-1]), doc))
-                yield pd.DataFrame({"seed": np.concatenate(hs), "doc_id": np.concatenate(ids)})
+                    own = {blake2b(text[s : s + least].encode("utf-8", "surrogatepass"), digest_size=16).digest() for s in at}
+                    hs += own
+                    ids += [doc] * len(own)
+                yield pd.DataFrame({"seed": hs, "doc_id": np.array(ids, np.int64)})
 
-        return self.docs.join(of, "doc_id").mapInPandas(around, "seed bigint, doc_id bigint").distinct()
+        return self.docs.join(of, "doc_id").mapInPandas(around, "seed binary, doc_id bigint").distinct()
 
     def document_pairs(self) -> DataFrame:
         """doc_id_a < doc_id_b of the documents that share a stretch.
 
-        Among copies of one text, and between them and those of another, all pairs are given where a text has at most
-        `expand` copies; beyond it, copies are paired with the first alone and other texts with the first of the copies.
+        Among exact copies of one text, and between them and those of another, all pairs are given where a text has at most
+        `expand` copies; beyond it, copies are paired with the first alone and other texts with the first of the copies. Of
+        different texts, all pairs are given, however many hold a stretch.
         """
         few = self.copies.where(F.col("n") <= self.expand)
         members = few.groupBy("first").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))  # at most `expand`
         side = lambda c, name: members.select(F.col("first").alias(c), F.col("ids").alias(name))
         apart = (
-            self.pairs.select("a", "b").join(side("a", "ids_a"), "a", "left").join(side("b", "ids_b"), "b", "left")
+            self.links.join(side("a", "ids_a"), "a", "left").join(side("b", "ids_b"), "b", "left")
             .select(F.explode(F.coalesce("ids_a", F.array("a"))).alias("x"), F.coalesce("ids_b", F.array("b")).alias("ids_b"))
             .select("x", F.explode("ids_b").alias("y"))
             .select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
@@ -260,7 +275,7 @@ class Shared:
 
     def coverage(self) -> DataFrame:
         """doc_id, class_id (first document with the text), n_copies, n_links (other texts linked), n_chars, n_shared, share: a row for each document."""
-        links = self.pairs.select(F.col("a").alias("first")).unionByName(self.pairs.select(F.col("b").alias("first"))).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
+        links = self.links.select(F.col("a").alias("first")).unionByName(self.links.select(F.col("b").alias("first"))).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
         spans = self._spans(False).groupBy("first").agg(F.sum(F.col("e") - F.col("s")).alias("n_part"))
         return (
             self.docs.select("doc_id", F.length("text").alias("n_chars")).join(self.copies, "doc_id", "left")
@@ -303,6 +318,25 @@ def _all_pairs(held: DataFrame, key: str) -> DataFrame:
     return groups.select(pair.alias("p")).select("p.a", "p.b").distinct()
 
 
+def _cell_pairs(held: DataFrame) -> DataFrame:
+    """Pairs a < b within groups (seed, doc_id, n) of any size.
+
+    Groups of the same members count once. The members of a group fall into about n / CELL parts; a member goes to the cells of
+    its part with each, so that a task has the pairs of two parts at a time and no key holds a whole group.
+    """
+    mark = F.xxhash64("doc_id", F.lit(8))
+    alike = held.groupBy("seed").agg(F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(mark).alias("y"), F.first("n").alias("n"))
+    one = materialize(alike.groupBy("x", "y", "n").agg(F.min("seed").alias("seed")).select("seed", "n"), "wide_groups")
+    parts = F.ceil(F.col("n") / CELL).cast("int")
+    part = join_heavy(held.drop("n"), one, ["seed"], "n").withColumn("parts", parts).withColumn("p", F.pmod(mark, F.col("parts")).cast("int"))
+    cells = part.select("seed", "doc_id", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).select(
+        "seed", "doc_id", "p", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+    ids = lambda side: F.array_sort(F.collect_list(F.when(F.col("p") == F.col(side), F.col("doc_id"))))  # noqa: E731 - of one part
+    both = cells.groupBy("seed", "i", "j").agg(ids("i").alias("xs"), ids("j").alias("ys"))
+    pairs = both.select("i", "j", F.explode("xs").alias("x"), "ys").select("i", "j", "x", F.explode("ys").alias("y")).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return Shared(table(spark, folder, "documents")).document_pairs()
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrove.llm import spans
 from lexigrove.llm.spans import Shared, shared
 
 L = 60  # a small least length, to which all others scale
@@ -92,3 +93,17 @@ def test_shared_intervals():
     a, b = "x" * 10 + "abcdefghij" * 7, "abcdefghij" * 7 + "y"
     in_a, in_b = shared(a, b, L)
     assert in_a == [(10, 80)] and in_b == [(0, 70)]
+
+
+@pytest.mark.parametrize(("expand", "cell"), [(4, 256), (4, 8)])
+def test_wide_groups_of_different_texts_give_all_pairs(spark, monkeypatch, expand, cell):
+    monkeypatch.setattr(spans, "CELL", cell)
+    passage = "A passage that stands in very many texts, and in each of them whole. "
+    docs = [d for d in corpus(5) if d[0] < 160] + [(200 + i, f"{i} {passage}{i * 7919}") for i in range(45)] + [(300, "x" + passage), (301, "x" + passage)]
+    got = Shared(spark.createDataFrame(docs, "doc_id bigint, text string"), least=L, expand=expand)
+    expected = brute(docs, L)
+    assert {tuple(r) for r in got.document_pairs().collect()} == expected
+    cover = {r.doc_id: r.n_links for r in got.coverage().collect()}
+    assert cover[200] == 45 and cover[300] == cover[301] == 45  # the texts, of which 300 and 301 are one
+    others = {d: {b if a == d else a for a, b in expected if d in (a, b)} for d in cover}
+    assert all(cover[d] == len(others[d] - {301}) for d in cover if d < 300)
