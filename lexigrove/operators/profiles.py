@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +15,66 @@ from lexigrove.shared import materialize, table
 
 # Relation types that are others read backwards.
 INVERSE = {"USED_BY": "USES", "IS_IMPROVED_BY": "IMPROVES_OVER", "IS_EVALUATION_DATASET_FOR": "EVALUATES_ON", "INTRODUCED_BY": "INTRODUCES", "DEPENDED_ON_BY": "DEPENDS_ON"}
-FUZZY, NEIGHBOURS, DESCRIPTION_CAP = 88.0, 3, 1500
+FUZZY, DESCRIPTION_CAP = 88.0, 1500
+
+
+def edits(m: int, n: int, least: float = FUZZY) -> int:
+    """Most insertions and deletions between strings of these lengths whose ratio reaches `least`; below 0 if none does."""
+    most = int((100 - least) * (m + n) / 100 + 1e-9)
+    most -= (most - m - n) % 2  # as odd or even as the lengths together
+    return most if most >= abs(m - n) else -1
+
+
+def pieces(n: int, k: int) -> list[tuple[int, int]]:
+    """Begin and end of k stretches that fill a string of n characters, as even as can be."""
+    at = [i * n // k for i in range(k + 1)]
+    return list(zip(at, at[1:], strict=False))
+
+
+def piece_keys(s: str, least: float = FUZZY) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
+    """Keys (length, edits, number, piece) of a string as the shorter and as the longer of two that may be alike.
+
+    Strings within k edits of each other have one key in common at least: of k + 1 pieces of the shorter one stands whole in
+    the longer, moved by no more than the edits before it and, seen from the end, no more than those after it.
+    """
+    n = len(s)
+    longest, shortest = int(n * (100 + 100 - least) / least + 1e-9), int(n * least / (200 - least) - 1e-9)
+    ks = {k for m in range(n, longest + 1) if (k := edits(n, m, least)) >= 0}
+    held = [(n, k, i, s[a:b]) for k in sorted(ks) for i, (a, b) in enumerate(pieces(n, k + 1))]
+    sought = set()
+    for m in range(max(0, shortest), n + 1):
+        k = edits(m, n, least)
+        if k >= 0:
+            for i, (a, b) in enumerate(pieces(m, k + 1)):
+                for by in range(max(-i, n - m - (k - i), -a), min(i, n - m + k - i, n - b) + 1):
+                    sought.add((m, k, i, s[a + by : b + by]))
+    return held, sorted(sought)
+
+
+def alike_names(names: DataFrame, least: float = FUZZY) -> DataFrame:
+    """type, name_key, other: each two names (type, name_key, sorted) of one type once whose sorted forms are alike by `least`."""
+
+    def keyed(longer: bool):
+        def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                rows = [(t, name, s, *key) for t, name, s in zip(frame["type"], frame["name_key"], frame["sorted"], strict=True) for key in piece_keys(s, least)[longer]]
+                yield pd.DataFrame(rows, columns=["type", "name_key", "sorted", "m", "k", "i", "piece"])
+
+        return names.select("type", "name_key", "sorted").mapInPandas(keys, "type string, name_key string, sorted string, m int, k int, i int, piece string")
+
+    short, long = keyed(False), keyed(True).withColumnsRenamed({"name_key": "other", "sorted": "other_sorted"})
+    # Two of one length find each other both ways; one is enough.
+    met = short.join(long, ["type", "m", "k", "i", "piece"]).where((F.col("name_key") < F.col("other")) | ((F.col("name_key") > F.col("other")) & (F.length("sorted") < F.length("other_sorted"))))
+    candidates = materialize(met.select("type", "name_key", "sorted", "other", "other_sorted").distinct(), "candidates")
+    return candidates.where(token_sort_of("sorted", "other_sorted") >= least).select("type", "name_key", "other")
 
 
 def entity_groups(rows: DataFrame) -> DataFrame:
     """name_key, type and the group (least node of its component) of distinct entities, from rows (name, type, aliases).
 
     Entities of one type are one if they share a canonical key among names and aliases, if one is the acronym of the other, or
-    if their sorted names are alike by FUZZY. Names under one key are linked through the key, not with each other. Alike names
-    are sought among NEIGHBOURS in the order of the sorted name, so that a few may be missed where many lie between; equal
-    keys never are. Types are compared in upper case; null names and types count as ''.
+    if their sorted names are alike by FUZZY. Names under one key are linked through the key, not with each other. All alike
+    names are found, by alike_names. Types are compared in upper case; null names and types count as ''.
     """
     name, kind = F.coalesce("name", F.lit("")), F.upper(F.trim(F.coalesce("type", F.lit(""))))
     base = rows.select(canonical_key(name).alias("name_key"), kind.alias("type"), F.when(~is_acronym(name), initials(name)).alias("short"), is_acronym(name).alias("acronym"), F.coalesce("aliases", F.expr("cast(array() as array<string>)")).alias("aliases"))
@@ -33,12 +86,8 @@ def entity_groups(rows: DataFrame) -> DataFrame:
     known = base.where("acronym").select("type", F.col("name_key").alias("short")).distinct()
     by_short = base.where(F.length("short") > 1).withColumn("short", F.lower("short")).join(known, ["type", "short"], "left_semi").select(node.alias("source"), key(F.col("short")).alias("target"))
     plain = base.select("type", "name_key").distinct().withColumn("sorted", F.array_join(F.array_sort(F.split("name_key", " ")), " "))
-    w = Window.partitionBy("type", F.substring("sorted", 1, 3)).orderBy("sorted")
-    near = plain
-    for i in range(1, NEIGHBOURS + 1):
-        near = near.withColumn(f"n{i}", F.lag(F.struct("sorted", "name_key"), i).over(w))
-    near = near.select("type", "name_key", "sorted", F.explode(F.array(*[f"n{i}" for i in range(1, NEIGHBOURS + 1)])).alias("o")).where("o is not null").where(token_sort_of("sorted", "o.sorted") >= FUZZY)
-    alike = near.select(node.alias("source"), F.concat_ws("\x1f", F.lit("n"), "type", "o.name_key").alias("target"))
+    near = alike_names(plain)
+    alike = near.select(node.alias("source"), F.concat_ws("\x1f", F.lit("n"), "type", "other").alias("target"))
     edges = by_name.unionByName(by_alias).unionByName(by_short).unionByName(alike).distinct()
     return components(edges).where(F.col("node").startswith("n\x1f")).select(F.split("node", "\x1f")[1].alias("type"), F.split("node", "\x1f")[2].alias("name_key"), F.col("component").alias("group"))
 

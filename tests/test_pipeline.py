@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrove.functions.fuzzy import token_sort_ratio
 from lexigrove.operators import chunking as ch
 from lexigrove.operators import extraction as ex
 from lexigrove.operators import incremental as inc
@@ -227,3 +230,25 @@ def test_references_into_external_tables(spark):
     assert resolve_all(spark.createDataFrame([("u1",)], "id string"), units).count() == 1
     with pytest.raises(LookupError, match="u9"):
         resolve_all(spark.createDataFrame([("u9",)], "id string"), units)
+
+
+def test_alike_names_are_those_of_brute_force(spark):
+    rng = random.Random(3)
+    names = {""}
+    for _ in range(40):
+        base = [rng.choice("abcde ") for _ in range(rng.randrange(1, 40))]
+        for _ in range(6):
+            x = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                at = rng.randrange(len(x) + 1)
+                x[at : at + rng.randrange(2)] = rng.choice(["", "a", "z", "xy"])
+            names.add(" ".join("".join(x).split()))
+    names |= {"besijizopo", "bseijizopo", "b a", "a b", *(f"besijizo{c}po" for c in "abcdefgh")}
+    order = lambda x: " ".join(sorted(x.split()))
+    rows = [(t, x, order(x)) for x in sorted(names) for t in ("X", "Y")]
+    got = pf.alike_names(spark.createDataFrame(rows, "type string, name_key string, sorted string")).collect()
+    pairs = {(r.type, *sorted((r.name_key, r.other))) for r in got}
+    expected = {(t, a, b) for a, b in itertools.combinations(sorted(names), 2) if token_sort_ratio(a, b) >= pf.FUZZY for t in ("X", "Y")}
+    assert pairs == expected and len(got) == len(pairs) and ("X", "besijizopo", "bseijizopo") in pairs and len(expected) > 200
+    rows = [("besijizopo", "x", []), ("bseijizopo", "x", [])]
+    assert pf.entity_groups(spark.createDataFrame(rows, "name string, type string, aliases array<string>")).select("group").distinct().count() == 1
