@@ -12,13 +12,17 @@ from lexigrove.functions.stopwords import STOPWORDS
 from lexigrove.functions.text import CAPITALISED, CAPITALISED_LINKED, acceptable_entity, acronyms, canonical_key, normalize_entity, occurrences, phrases, slugify, wikilinks
 from lexigrove.operators.chunking import sections
 from lexigrove.operators.graph import dedupe_undirected
-from lexigrove.shared import table
+from lexigrove.shared import materialize, table
 
 # Titles of the sections that hold claims.
 CLAIM_SECTIONS = ["key points", "key findings", "findings", "claims", "summary", "main contributions", "contributions", "methods", "results"]
 MAX_MENTIONS, MIN_NAME = 5, 4
 
 
+#: Nodes of one text whose pairs a task makes at once.
+BLOCK = 200
+
+
 def candidate_phrases(text: Column, pattern: str = CAPITALISED_LINKED) -> Column:
     """Capitalised phrases and acronyms of a text, normalised; with repeats."""
     both = F.concat(phrases(text, pattern), acronyms(text))
@@ -134,19 +138,35 @@ def _finder(by_name: dict[str, list], most: int):
     return scan
 
 
-def co_mentions(mentioned: DataFrame, weight: float = 0.5, widest: int = 200) -> DataFrame:
+def co_mentions(mentioned: DataFrame, weight: float = 0.5, widest: int | None = None) -> DataFrame:
     """Edges between nodes mentioned in one text (text_id, node): weight for each text.
 
-    Pairs of a text's distinct nodes come from its own sorted list; texts with more than `widest` nodes give a star from their
-    least node instead, which keeps them connected without squaring their number.
+    All pairs of a text's distinct nodes, from its own sorted list; a list of more than BLOCK nodes is cut, and its pairs are
+    made cell by cell over many tasks. Only with `widest`, texts with more nodes than that give a star from their least node
+    instead, which keeps them connected without squaring their number.
     """
     lists = mentioned.groupBy("text_id").agg(F.array_sort(F.collect_set("node")).alias("ns"))
     few = F.flatten(F.transform("ns", lambda a, i: F.transform(F.slice("ns", i + 2, F.size("ns")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
     star = F.transform(F.slice("ns", 2, 1 << 30), lambda b: F.struct(F.get("ns", F.lit(0)).alias("source"), b.alias("target")))
-    pairs = lists.where("size(ns) > 1").select(F.explode(F.when(F.size("ns") <= widest, few).otherwise(star)).alias("p")).select("p.*")
+    if widest is None:
+        lists = materialize(lists.where("size(ns) > 1"), "lists")
+        pairs = lists.where(F.size("ns") <= BLOCK).select(F.explode(few).alias("p")).select("p.*").unionByName(_wide_pairs(lists.where(F.size("ns") > BLOCK)))
+    else:
+        pairs = lists.where("size(ns) > 1").select(F.explode(F.when(F.size("ns") <= widest, few).otherwise(star)).alias("p")).select("p.*")
     return pairs.groupBy("source", "target").agg((F.count(F.lit(1)) * weight).alias("weight"))
 
 
+def _wide_pairs(lists: DataFrame) -> DataFrame:
+    """source < target of long sorted lists (text_id, ns): each cell has the pairs of two stretches of BLOCK nodes."""
+    k = F.ceil(F.size("ns") / BLOCK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.slice("ns", i * BLOCK + 1, F.lit(BLOCK)))
+    cells = lists.select("text_id", k.alias("k"), F.posexplode(cut).alias("p", "xs")).select("text_id", "p", "xs", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"))
+    cells = cells.select("text_id", "p", "xs", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+    side = lambda c: F.first(F.when(F.col("p") == F.col(c), F.col("xs")), ignorenulls=True)
+    both = cells.groupBy("text_id", "i", "j").agg(side("i").alias("xs"), side("j").alias("ys"))
+    return both.select(F.explode("xs").alias("source"), "ys").select("source", F.explode("ys").alias("target")).where("source < target")
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """Edges page to page of [[links]] that name a title or else an alias, without letter case; the last page of a title and the first of an alias win, own links fall out, repeats stay."""
     links = pages.select(F.col("page_id").alias("source"), F.explode(wikilinks(F.col("text"))).alias("x")).select("source", F.lower("x.target").alias("key"))

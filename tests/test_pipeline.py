@@ -252,3 +252,10 @@ def test_alike_names_are_those_of_brute_force(spark):
     assert pairs == expected and len(got) == len(pairs) and ("X", "besijizopo", "bseijizopo") in pairs and len(expected) > 200
     rows = [("besijizopo", "x", []), ("bseijizopo", "x", [])]
     assert pf.entity_groups(spark.createDataFrame(rows, "name string, type string, aliases array<string>")).select("group").distinct().count() == 1
+
+
+def test_wide_texts_give_all_co_mentions(spark):
+    rows = [("t", f"n{i:03d}") for i in range(450)] + [("u", f"n{i:03d}") for i in range(0, 450, 150)]
+    got = {(r.source, r.target): r.weight for r in ex.co_mentions(spark.createDataFrame(rows, "text_id string, node string")).collect()}
+    every = [f"n{i:03d}" for i in range(450)]
+    assert got == {(a, b): 1.0 if a in every[::150] and b in every[::150] else 0.5 for a, b in itertools.combinations(every, 2)}
