@@ -107,12 +107,17 @@ def match_entities(questions: DataFrame, entities: DataFrame, most: int = SEEDS,
 
     100 where the title, an alias or the implicit acronym stands in the question as a word; 98 for a label among the question's
     capitals; else the token-set ratio of the label, where it reaches `fuzzy`. Labels meet questions by an equi-join on any of
-    their words, so that a label which shares no word with a question isn't compared with it.
+    their words, and, as a label without a common word can only be alike at about the same length, on the length of their words.
     """
     empty = F.expr("cast(array() as array<string>)")
+    split = lambda c: F.array_distinct(F.split(F.lower(c), r"(?U)\s+"))
+    words = lambda c: F.array_union(F.split(canonical_key(c), " "), split(c))
+    size = lambda c: F.length(F.array_join(F.filter(split(c), lambda x: x != ""), " "))
     label = entities.select("node", "title", F.explode(F.array_distinct(F.concat(F.array("title"), F.coalesce("aliases", empty), F.slice(implicit_acronyms(F.col("title")), 1, 1)))).alias("label")).where("trim(label) <> ''")
-    by_word = label.select("node", "title", "label", F.explode(F.array_distinct(F.split(canonical_key(F.col("label")), " "))).alias("w"))
-    asked = questions.select("query_id", "question", F.explode(F.array_distinct(F.split(canonical_key(F.col("question")), " "))).alias("w")).where("w <> ''")
+    by_word = label.select("node", "title", "label", F.explode(F.array_union(words(F.col("label")), F.array(F.concat(F.lit("\x1f"), size(F.col("label")))))).alias("w"))
+    n = size(F.col("question"))
+    sizes = F.transform(F.sequence(F.floor(n * fuzzy / (200 - fuzzy)), F.ceil(n * (200 - fuzzy) / fuzzy)), lambda k: F.concat(F.lit("\x1f"), k))
+    asked = questions.select("query_id", "question", F.explode(F.array_union(words(F.col("question")), sizes)).alias("w")).where("w <> ''")
     asked = F.broadcast(asked) if lx.small(questions) else asked
     near = by_word.join(asked, "w").select("query_id", "question", "node", "title", "label").distinct()
     word = F.regexp_like("question", F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), "label", F.lit(r"\E(?![A-Za-z0-9_])")))
@@ -327,7 +332,7 @@ def query_keywords(spark: SparkSession, folder: str) -> DataFrame:
 def query_entities(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "sources").groupBy(F.substring_index("title", ":", 1).alias("title")).agg(F.min("source_id").alias("node")).withColumn("aliases", F.expr("cast(array() as array<string>)"))
     q = table(spark, folder, "rag_samples").groupBy("question").agg(F.min("sample_id").alias("query_id"))
-    return match_entities(q, e, fuzzy=98.0)
+    return match_entities(q, e)
 
 
 def search_local(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrove.functions.fuzzy import token_set_ratio
 from lexigrove.operators import evaluation as ev
 from lexigrove.operators import lexical as lx
 from lexigrove.operators.fusion import fused, merge_first_seen
 from lexigrove.operators.graph import components, k_hop, label_propagation, modularity, pagerank
-from lexigrove.operators.retrieval import CorpusGraph, Profiles, answers, find, keywords, match_entities, resolve_citations, route
+from lexigrove.operators.retrieval import CorpusGraph, Profiles, answers, find, keywords, match_entities, resolve_citations, route, query_entities
 from lexigrove.operators.vectors import cosine_top_k
 
 NODES = "node string, kind string, title string, text string, section string, aliases array<string>"
@@ -149,3 +152,18 @@ def test_answers_and_citations(spark):
     assert a.answer == "- T: text here [a.md#chunk-1]\n- U: more [b.md#chunk-2]" and a.citations == ["a.md#chunk-1", "b.md#chunk-2"]
     cited = spark.createDataFrame([(0, 0, "a.md#chunk-1"), (0, 1, "[c2]"), (0, 2, "b.md#chunk-7"), (0, 3, "z.md")], "query_id bigint, pos int, cited string")
     assert {(r.pos, r.ref, r.how) for r in resolve_citations(cited, c).collect()} == {(0, "a.md#chunk-1", "exact"), (1, "b.md#chunk-2", "label"), (2, "b.md#chunk-2", "path"), (3, None, "none")}
+
+
+def test_entity_matches_are_those_of_brute_force(spark, tmp_path):
+    titles = ["Rikodefo", "Zupugilevo Ranker", "Dense Passage Retrieval Index", "what is gamilo", "Besijizopo"]
+    asked = ["Rikodfo?", "what is gamillo", "zupugilevo rankers", "passage retrieval dense indexes", "rikodefo and Besijizopo", "cats", "Which uses besijizopo at night?"]
+    spark.createDataFrame([(f"s{i}", f"{t}: a title") for i, t in enumerate(titles)], "source_id string, title string").write.parquet(f"{tmp_path}/sources.parquet")
+    spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(asked)], "sample_id string, question string").write.parquet(f"{tmp_path}/rag_samples.parquet")
+    expected = {}
+    for i, q in enumerate(asked):
+        for k, t in enumerate(titles):
+            score = 100.0 if re.search(rf"(?i)\b{t}\b", q) else token_set_ratio(t.lower(), q.lower())
+            if score >= 82:
+                expected[f"q{i}", f"s{k}"] = score
+    got = {(r.query_id, r.node): r.score for r in query_entities(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(expected) and sum(v < 98 for v in got.values()) >= 3
