@@ -9,7 +9,7 @@ from lexigrove.functions.fuzzy import token_set_ratio
 from lexigrove.operators import evaluation as ev
 from lexigrove.operators import lexical as lx
 from lexigrove.operators.fusion import fused, merge_first_seen
-from lexigrove.operators.graph import components, k_hop, label_propagation, modularity, pagerank
+from lexigrove.operators.graph import components, graph_pagerank_converged, k_hop, label_propagation, modularity, pagerank
 from lexigrove.operators.retrieval import CorpusGraph, Profiles, answers, find, keywords, match_entities, resolve_citations, route, query_entities
 from lexigrove.operators.vectors import cosine_top_k
 
@@ -167,3 +167,27 @@ def test_entity_matches_are_those_of_brute_force(spark, tmp_path):
                 expected[f"q{i}", f"s{k}"] = score
     got = {(r.query_id, r.node): r.score for r in query_entities(spark, str(tmp_path)).collect()}
     assert got == pytest.approx(expected) and sum(v < 98 for v in got.values()) >= 3
+
+
+@pytest.mark.parametrize("n", [400, 4])
+def test_registered_pagerank_converges_or_is_uniform(spark, tmp_path, n):
+    rows = [(f"E{i}", [f"s{i * i % 97}", f"s{i % 89}"]) for i in range(n)] + [("E0", ["s0"])]
+    spark.createDataFrame(rows, "name string, source_ids array<string>").write.parquet(f"{tmp_path}/extracted_entities.parquet")
+    near = {}
+    for name, sources in rows:
+        for s in sources:
+            for a, b in ((f"entity::{name.lower()}", f"source::{s}"), (f"source::{s}", f"entity::{name.lower()}")):
+                near.setdefault(a, {}).setdefault(b, 0)
+                near[a][b] += 1
+    pr, moved = {x: 1 / len(near) for x in near}, []
+    for _ in range(50 if n == 4 else 400):
+        after = {x: 0.15 / len(near) for x in near}
+        for a, bs in near.items():
+            for b, w in bs.items():
+                after[b] += 0.85 * pr[a] * w / sum(bs.values())
+        moved.append(sum(abs(after[x] - pr[x]) for x in near))
+        pr = after
+    settled = min(moved[:50]) < len(near) * 1e-6
+    got = {r.node: r.pagerank for r in graph_pagerank_converged(spark, str(tmp_path)).collect()}
+    assert settled == (n == 400)
+    assert got == pytest.approx(pr if settled else dict.fromkeys(near, 1 / len(near)), abs=2e-5)
