@@ -8,6 +8,7 @@ fit is repeated. Features are hashed n-grams of the answer, its ends, and what q
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 import zlib
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from lexigrove.shared import table
 
 DEFECTS = ("empty", "truncated", "refusal", "echo", "language")
-#: Greatest number of pairs taken for training, those with the least hash of sample_id; they are collected to the driver.
+#: Greatest number of distinct pairs taken for training, those with the least hash; they are collected to the driver.
 TRAIN_ROWS = 6000
 #: Pairs with texts over this length aren't used for training; they are classified like any other.
 TRAIN_CHARS = 20_000
@@ -58,11 +59,15 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 _TRAILER = re.compile(r"(?:\s*(?:\[[^\[\]\n]*(?:\.md|#chunk|#text)[^\[\]\n]*\]|\[\[[^\[\]\n]*\]\]|\n[ \t]*\(?(?:sources?|see also|siehe auch|voir aussi|véase)\b:?[^\n]*|```[^`]*```))+\s*$", re.IGNORECASE)
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|```.*?```|\[[^\]]*\]", re.DOTALL)
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES = {w: [k for k in _SETS if w in _SETS[k]] for v in FUNCTION_WORDS.values() for w in v}
 
 
 def function_words(text: str) -> dict[str, int]:
-    ws = re.findall(r"[^\W\d_]+", _QUOTED.sub(" ", text).lower())
-    return {k: sum(w in s for w in ws) for k, s in _SETS.items()}
+    out, of = dict.fromkeys(_SETS, 0), _LANGUAGES.get
+    for w in re.findall(r"[^\W\d_]+", _QUOTED.sub(" ", text).lower()):
+        for k in of(w, ()):
+            out[k] += 1
+    return out
 
 
 def _leading(hits: dict[str, int]) -> str:
@@ -70,6 +75,7 @@ def _leading(hits: dict[str, int]) -> str:
     return best if hits[best] > hits[second] else ""
 
 
+@functools.lru_cache(4096)
 def language(text: str) -> str:
     """The language with most function words, '' if none leads."""
     return _leading(function_words(text))
@@ -160,7 +166,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def defects(self, questions, answers, insufficient) -> list[str | None]:
-    
         p = self.probabilities([features(q or "", a, self.known) for q, a in zip(questions, answers, strict=True)])
         over = p > self.thresholds
         first = over[:, _ORDER].argmax(axis=1)
@@ -189,9 +194,11 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, mask: np.ndarray, rng: np.r
             scale = 1 / np.sqrt(lens)[:, None].astype(np.float32)
             z = np.add.reduceat(w[flat], at, axis=0) + b
             err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[some]) * mask[some]).astype(np.float32)
-            used, back = np.unique(flat, return_inverse=True)
-            grad = np.zeros((len(used), labels.shape[1]), np.float32)
-            np.add.at(grad, back, np.repeat(err * scale * 4, lens, axis=0))
+            by = np.argsort(flat, kind="stable")
+            ordered = flat[by]
+            heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            used = ordered[heads]
+            grad = np.add.reduceat(np.repeat(err * scale * 4, lens, axis=0)[by], heads, axis=0)
             grad = (grad + decay * w[used]) * uses[np.searchsorted(starts, used, "right") - 1]
             g[used] += grad**2
             w[used] -= rate * grad / np.sqrt(g[used])
@@ -223,7 +230,12 @@ def _cut(answer: str, rng: random.Random) -> str | None:
     return None
 
 
-def _defective(base: list[tuple[str, str]], rng: random.Random) -> list[tuple[str, str | None, int]]:
+def _own(seed: int, q: str, a: str) -> random.Random:
+    """The chances of one pair, the same in each round of fitting, so that most of what is made of it stays."""
+    return random.Random(zlib.crc32(a.encode("utf-8", "surrogatepass"), zlib.crc32(q.encode("utf-8", "surrogatepass"), seed)))
+
+
+def _defective(base: list[tuple[str, str]], seed: int) -> list[tuple[str, str | None, int]]:
     """(question, answer, defect or -1 for a sound variant), made from sound pairs."""
     out: list[tuple[str, str | None, int]] = []
     by = {}
@@ -231,6 +243,7 @@ def _defective(base: list[tuple[str, str]], rng: random.Random) -> list[tuple[st
         if (x := language(q)) and language(a) == x and len(a) > 40:
             by.setdefault(x, []).append(a)
     for q, a in base:
+        rng = _own(seed, q, a)
         body = _TRAILER.sub("", a).strip()
         if rng.random() < 0.08:
             out.append((q, rng.choice(PLACEHOLDERS), 0))
@@ -263,11 +276,12 @@ def _defective(base: list[tuple[str, str]], rng: random.Random) -> list[tuple[st
     return out
 
 
-def _short(base: list[tuple[str, str]], rng: random.Random) -> list[tuple[str, str, int]]:
+def _short(base: list[tuple[str, str]], seed: int) -> list[tuple[str, str, int]]:
     """Sound answers of a few words: names, numbers, terms and yes or no."""
     terms = [m.group() for _, a in base for m in re.finditer(r"\b(?:the|The) [a-z-]{4,} [a-z-]{4,}\b", a)][:4000] or ["the first part"]
     out = []
-    for q, _ in base:
+    for q, a in base:
+        rng = _own(seed + 1, q, a)
         if rng.random() < 0.25:
             name = re.findall(r"\b[A-ZÉ][\w-]{4,}(?: [A-Z][\w-]+| \([a-z-]+\)| v\d)*", q[1:])
             term = rng.choice(terms)
@@ -329,15 +343,22 @@ def train(sample: list[tuple[str, str | None, bool | None]], seed: int = 11, rou
         asked.setdefault(shape(q, a), set()).add(q)
     refusing = _refusing(sample)
     doubts = [_doubtful(q, a, len(asked[shape(q, a)]) > 2 or i, x) for (q, a, i), x in zip(sample, refusing, strict=True)]
-    held_features = [features(*x[:2], known) for x in sample]
+    cache: dict[tuple[str, str | None], np.ndarray] = {}
+
+    def featured(q: str, a: str | None) -> np.ndarray:
+        if (q, a) not in cache:
+            cache[q, a] = features(q, a, known)
+        return cache[q, a]
+
+    held_features = [featured(*x[:2]) for x in sample]
     full = [k for k, x in enumerate(sample) if x[1].strip()]
     n = len(DEFECTS)
     sound, flagged, model = np.array([[float(j not in d) for j in range(n)] for d in doubts]).reshape(-1, n), [], None
     for r in range(rounds):
         base = [sample[k][:2] for k in full if sound[k].all()]
-        made = _defective(base, rng) + _short(base, rng) + [(q, p, 0) for p in PLACEHOLDERS * 3 for q, _ in ([rng.choice(base)] if base else [("What is it?", "")])] + [((rng.choice(base)[0] if base else "What is X?"), rng.choice(_LEADS) + t + rng.choice(_TAILS), 2) for t in REFUSALS * 6]
+        made = _defective(base, seed) + _short(base, seed) + [(q, p, 0) for p in PLACEHOLDERS * 3 for q, _ in ([rng.choice(base)] if base else [("What is it?", "")])] + [((rng.choice(base)[0] if base else "What is X?"), rng.choice(_LEADS) + t + rng.choice(_TAILS), 2) for t in REFUSALS * 6]
         every = [(*sample[k][:2], -1) for k in full] + made + flagged
-        rows = [held_features[k] for k in full] + [features(q, a, known) for q, a, _ in every[len(full) :]]
+        rows = [held_features[k] for k in full] + [featured(q, a) for q, a, _ in every[len(full) :]]
         y = np.array([[float(k == j) for j in range(n)] for _, _, k in every], np.float32)
         mask = np.ones_like(y)
         mask[[i for i, (_, _, k) in enumerate(every) if k in (0, 2, 3)], 1] = 0  # these may end anyhow
@@ -374,18 +395,29 @@ def _thresholds(p: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def training_sample(pairs: DataFrame, most: int = TRAIN_ROWS) -> list[tuple[str, str, bool]]:
+    """At most this many distinct pairs, collected: those whose hash lies under a bound that the number of pairs sets.
+
+    No task gathers more than its part of them, and the bound makes a tenth fewer expected than are allowed.
+    """
+    cleaned = F.struct(F.coalesce("question", F.lit("")).alias("q"), F.coalesce("answer", F.lit("")).alias("a"), F.coalesce("insufficient_evidence", F.lit(False)).alias("i"))
+    short = pairs.where((F.coalesce(F.length("answer"), F.lit(0)) <= TRAIN_CHARS) & (F.coalesce(F.length("question"), F.lit(0)) <= TRAIN_CHARS)).select(cleaned.alias("x")).select("x.*", F.xxhash64("x").alias("h"))
+    n = short.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    bound = int(min(1.0, 0.9 * most / max(1, n)) * (1 << 40))
+    some = short.where(F.pmod("h", F.lit(1 << 40)) < bound).distinct().collect()
+    return sorted((r.q, r.a, r.i) for r in sorted(some, key=lambda r: (r.h % (1 << 40), r.h))[:most])
+
+
 def defective(samples: DataFrame, train_rows: int = TRAIN_ROWS, model: Model | None = None) -> DataFrame:
     """sample_id and defect of each defective pair.
 
     samples: sample_id, question, answer, insufficient_evidence. A null or blank answer is empty; a null question is
     treated as ''; null insufficient_evidence counts as false. Repeated rows are judged each by itself. Whole texts are
-    read. Without a model one is trained on at most train_rows of the pairs, those with the least hash of sample_id.
+    read. Without a model one is trained on at most train_rows distinct pairs, those with the least hash.
     """
     pairs = samples.select("sample_id", "question", "answer", "insufficient_evidence")
     if model is None:
-        short = pairs.where((F.coalesce(F.length("answer"), F.lit(0)) <= TRAIN_CHARS) & (F.coalesce(F.length("question"), F.lit(0)) <= TRAIN_CHARS))
-        some = short.orderBy(F.xxhash64("sample_id"), "sample_id").limit(train_rows).collect()
-        model = train(sorted({(r.question or "", r.answer or "", bool(r.insufficient_evidence)) for r in some}))
+        model = train(training_sample(pairs, train_rows))
     sent = pairs.sparkSession.sparkContext.broadcast(model)
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexigrove.llm.pairs import DEFECTS, REFUSALS, _cut, defective, language, train
+from lexigrove.llm.pairs import DEFECTS, REFUSALS, _cut, defective, language, train, training_sample
 
 NOUNS = "encoder ledger index passage corpus router cluster template archive frontier notebook graph".split()
 SENTENCES = {
@@ -66,3 +66,48 @@ def test_rows(spark):
 
 def test_language():
     assert language("the index of the graph is in it") == "en" and language("die Knoten und der Graph sind nicht da") == "de" and language("xyz 12") == ""
+
+
+# Written apart from the module's own lists and cuts.
+OTHER_REFUSALS = [
+    "I cannot give an answer to this question from the pages at hand.", "Sorry, the indexed sources do not contain enough to answer this.", "I do not have enough information to answer that question.",
+    "No passage in the sources answers this question, so I must decline.", "Unfortunately the retrieved context says nothing about the {c}.", "Diese Frage kann ich mit den vorhandenen Quellen leider nicht beantworten.",
+    "Je ne peux pas répondre, les sources ne contiennent rien à ce sujet.", "Lo siento, no puedo responder con las fuentes que tengo.",
+]
+
+
+def otherwise(seed: int, n: int):
+    rng = random.Random(seed)
+    out = []
+    for i, q, a, _, _ in made(seed + 100, n, False):
+        defect, words = None, a.split()
+        kind = rng.randrange(8)
+        if kind == 0:
+            a, defect = rng.choice(OTHER_REFUSALS).replace("{c}", rng.choice(NOUNS)), "refusal"
+        elif kind == 1 and len(words) > 8:  # some words into the last sentence, neither at its end
+            last = max([0, *(k + 1 for k, w in enumerate(words[:-4]) if w[-1] in ".!?")])
+            at = rng.randrange(last + 3, len(words) - 1) if len(words) - 1 > last + 3 else None
+            if at:
+                a, defect = " ".join(words[:at]).rstrip(",.") + rng.choice(["", " " + words[at][:2] if len(words[at]) > 4 else ""]), "truncated"
+        elif kind == 2:
+            a, defect = rng.choice([q, q.upper(), f"The question was: {q}", f"*{q}*"]), "echo"
+        elif kind == 3:
+            a, defect = rng.choice(["", "  ", "—", "[no answer]", "N/A."]), "empty"
+        out.append((i, q, a, False, defect))
+    return out
+
+
+def test_defects_of_other_wordings():
+    model = train([r[1:4] for r in made(1, 1500, True)])
+    rows = otherwise(5, 1500)
+    got = model.defects([r[1] for r in rows], [r[2] for r in rows], [False] * len(rows))
+    for d in ("empty", "truncated", "refusal", "echo", None):
+        hit = sum(g == r[4] == d for g, r in zip(got, rows, strict=True))
+        assert hit >= 0.8 * sum(r[4] == d for r in rows), d
+        assert hit >= 0.8 * sum(g == d for g in got), d
+
+
+def test_sample_is_bounded(spark):
+    df = spark.range(20_000).selectExpr("concat('q', id) AS question", "concat('a', id % 15000) AS answer", "CAST(NULL AS boolean) AS insufficient_evidence")
+    df = df.unionByName(spark.range(20_000).selectExpr("'hot' AS question", "'hot' AS answer", "false AS insufficient_evidence"))
+    assert 500 < len(training_sample(df, 1000)) <= 1000 and len(training_sample(df.limit(50), 1000)) <= 50 and training_sample(df.limit(0)) == []
