@@ -7,12 +7,17 @@ bucket is written as a new generation, the others stay as they are.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.shared import join_heavy, materialize, new_path, table
 
-BUCKETS = 16
+#: Buckets of a ledger if its maker knows no better; a ledger of billions of keys wants thousands. Files of a bucket.
+BUCKETS, FILES = 16, 4
+#: Rows that fill() plans for a bucket.
+BUCKET_ROWS = 1_000_000
 BATCHES = 3
 
 
@@ -32,17 +37,50 @@ def entity_key(name: Column, kind: Column, aliases: Column) -> Column:
 
 
 class Ledger:
-    """Copies per canonical key: bucket, key, copies, first_id.
+    """Copies per canonical key: bucket, key, copies, first_id; kept in a folder, so that a later session takes it up again.
 
     add() takes batches of (key binary, id bigint); each row counts as a copy, also one that repeats an id. Null keys
     don't count; null ids count but never represent. An empty batch changes nothing.
+
+    at: folder of the ledger, which a manifest in it describes; without one the ledger lies in the shared folder and ends with
+    the session. buckets holds for a new ledger: as many as keep a bucket small enough to be written again for a batch that
+    touches it. Each batch writes its buckets beside the old ones and then a manifest of its number, so that a batch that
+    breaks off changes nothing and can be added again. One session writes at a time.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, buckets: int = BUCKETS, at: str | None = None):
         self.spark, self.buckets = spark, buckets
-        self.at = new_path(spark, "ledger")
+        self.at = at.rstrip("/") if at else new_path(spark, "ledger")
         self.generation: dict[int, int] = {}  # of each bucket that has rows
         self.batches = 0
+        if at:
+            self._reopen()
+
+    def _reopen(self) -> None:
+        folder, files = self._path("manifest")
+        names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+        numbers = [int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit()]
+        if numbers:
+            self.batches = max(numbers)
+            text = self.spark.read.option("wholetext", "true").text(f"{self.at}/manifest/{self.batches}.json").first()[0]
+            held = json.loads(text)
+            self.buckets, self.generation = held["buckets"], {int(k): v for k, v in held["generation"].items()}
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _commit(self, generation: dict[int, int]) -> None:
+        """The manifest comes last, by a rename to a name that didn't exist."""
+        number = self.batches + 1
+        path, files = self._path(f"manifest/.{number}.tmp")
+        out = files.create(path, True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "generation": generation}).encode()))
+        out.close()
+        final = self._path(f"manifest/{number}.json")[0]
+        if files.exists(final) or not files.rename(path, final):
+            raise RuntimeError(f"batch {number} of the ledger {self.at} is there already")
+        self.batches, self.generation = number, generation
 
     def add(self, batch: DataFrame) -> None:
         fresh = (
@@ -54,14 +92,15 @@ class Ledger:
         touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most `buckets` numbers
         if not touched:
             return
-        self.batches += 1
         held = [b for b in touched if b in self.generation]
         if held:
             old = self._read(held).select("bucket", "key", F.col("copies").alias("n"), F.col("first_id").alias("f"))
             fresh = fresh.join(old, ["bucket", "key"], "full_outer").select(
                 "bucket", "key", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), F.least("first_id", "f").alias("first_id"))
-        fresh.repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.at}/generation={self.batches}")
-        self.generation |= dict.fromkeys(touched, self.batches)
+        # A bucket's keys are spread over FILES tasks at most, so that few buckets don't mean few tasks.
+        spread = fresh.repartition("bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(FILES)))
+        spread.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.at}/generation={self.batches + 1}")
+        self._commit(self.generation | dict.fromkeys(touched, self.batches + 1))
 
     def _read(self, buckets: list[int]) -> DataFrame:
         out = None
@@ -83,10 +122,13 @@ def keyed(entities: DataFrame) -> DataFrame:
         entities.select(F.col("row_id").alias("id"), entity_key(F.col("name"), F.col("type"), F.col("aliases")).alias("key"), F.col("extracted_at").alias("at")), "keyed")
 
 
-def fill(rows: DataFrame, batches: int = BATCHES) -> Ledger:
-    """A ledger that took the rows in batches by time, as they would arrive; rows without a time come last."""
-    ledger = Ledger(rows.sparkSession)
-    low, high = rows.select(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
+def fill(rows: DataFrame, batches: int = BATCHES, at: str | None = None) -> Ledger:
+    """A ledger that took the rows in batches by time, as they would arrive; rows without a time come last.
+
+    A new ledger has a bucket for each BUCKET_ROWS rows, and BUCKETS at least, in powers of two.
+    """
+    low, high, n = rows.select(F.min(F.unix_micros("at")), F.max(F.unix_micros("at")), F.count(F.lit(1))).first()
+    ledger = Ledger(rows.sparkSession, max(BUCKETS, 1 << (n // BUCKET_ROWS).bit_length()), at)
     step = ((high or 0) - (low or 0)) // batches + 1
     number = F.coalesce(F.floor((F.unix_micros("at") - F.lit(low or 0)) / F.lit(step)), F.lit(batches - 1))
     for i in range(batches):
