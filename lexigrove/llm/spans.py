@@ -27,6 +27,8 @@ LEAST, LONG, RUN, SHINGLE = 300, 110, 80, 60
 #: Up to so many exact copies of a text give all pairs; beyond it they are linked to the first alone. Up to so many different
 #: texts that hold a span are compared with each other; beyond it their pairs are told by the span, in cells of 2 CELL holders.
 EXPAND, CELL = 32, 256
+#: Rows of one key that a join leaves in one task.
+SPREAD = 1000
 
 _CUT = re.compile(r"[.!?]\s|\n")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -215,7 +217,8 @@ class Shared:
                         rows.append((a, b, [{"s": s, "e": e} for s, e in in_a], [{"s": s, "e": e} for s, e in in_b]))
                 yield pd.DataFrame(rows, columns=["a", "b", "spans_a", "spans_b"])
 
-        both = candidates.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+        both = _join_spread(_join_spread(candidates, side("a"), "a", "b"), side("b"), "b", "a", candidates)
         return materialize(both.mapInPandas(compared, f"a bigint, b bigint, spans_a {SPANS}, spans_b {SPANS}"), "pairs")
 
     def _windows(self, wide: DataFrame) -> DataFrame:
@@ -252,7 +255,7 @@ class Shared:
         members = few.groupBy("first").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))  # at most `expand`
         side = lambda c, name: members.select(F.col("first").alias(c), F.col("ids").alias(name))
         apart = (
-            self.links.join(side("a", "ids_a"), "a", "left").join(side("b", "ids_b"), "b", "left")
+            _join_spread(_join_spread(self.links, side("a", "ids_a"), "a", "b", how="left"), side("b", "ids_b"), "b", "a", self.links, "left")
             .select(F.explode(F.coalesce("ids_a", F.array("a"))).alias("x"), F.coalesce("ids_b", F.array("b")).alias("ids_b"))
             .select("x", F.explode("ids_b").alias("y"))
             .select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
@@ -277,12 +280,14 @@ class Shared:
         """doc_id, class_id (first document with the text), n_copies, n_links (other texts linked), n_chars, n_shared, share: a row for each document."""
         links = self.links.select(F.col("a").alias("first")).unionByName(self.links.select(F.col("b").alias("first"))).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
         spans = self._spans(False).groupBy("first").agg(F.sum(F.col("e") - F.col("s")).alias("n_part"))
+        known = links.join(spans, "first", "full_outer")
+        of_class = self.copies.groupBy("first").agg(F.max("n").alias("n")).join(known, "first", "left")
+        copies = join_heavy(self.copies.select("doc_id", "first"), materialize(of_class, "of_class"), ["first"], "n")  # a class may have any part of the documents
+        single = known.join(self.copies.select(F.col("doc_id").alias("first")), "first", "left_anti").select(F.col("first").alias("doc_id"), "first", F.lit(1).cast("bigint").alias("n"), "n_links", "n_part")
         return (
-            self.docs.select("doc_id", F.length("text").alias("n_chars")).join(self.copies, "doc_id", "left")
-            .withColumn("class_id", F.coalesce("first", "doc_id"))
-            .join(links.withColumnRenamed("first", "class_id"), "class_id", "left").join(spans.withColumnRenamed("first", "class_id"), "class_id", "left")
+            self.docs.select("doc_id", F.length("text").alias("n_chars")).join(copies.select("doc_id", "first", "n", "n_links", "n_part").unionByName(single), "doc_id", "left")
             .withColumn("n_shared", F.when(F.col("n") > 1, F.col("n_chars")).otherwise(F.coalesce("n_part", F.lit(0))).cast("bigint"))
-            .select("doc_id", "class_id", F.coalesce("n", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_chars", "n_shared",
+            .select("doc_id", F.coalesce("first", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_chars", "n_shared",
                     F.round(F.col("n_shared") / F.col("n_chars"), 6).alias("share"))
         )
 
@@ -311,6 +316,20 @@ class Shared:
         return work.mapInPandas(cleaned, "doc_id bigint, text string, n_sentences int, n_removed int").where(F.col("n_removed") > 0)
 
 
+def _join_spread(pairs: DataFrame, right: DataFrame, key: str, other: str, counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Join of pairs with what belongs to one side of them, when one key may be in any part of the pairs.
+
+    The rows of such keys are spread by the other side over parts of about SPREAD rows, and right is repeated for each part.
+    At most 1,000 keys are spread, those with most rows: another has a thousandth of the rows at most. counted: pairs before
+    earlier joins, which has the same keys.
+    """
+    many = (pairs if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > SPREAD).orderBy(F.col("__n").desc(), key).limit(1000)
+    many = F.broadcast(materialize(many.select(key, F.ceil(F.col("__n") / SPREAD).cast("int").alias("__parts")), "spread"))
+    left = pairs.join(many, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(other), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    spread = right.join(many, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))).drop("__parts")
+    return left.join(spread, [key, "__part"], how).drop("__part")
+
+
 def _all_pairs(held: DataFrame, key: str) -> DataFrame:
     """Pairs a < b within groups that are known to be small."""
     groups = held.groupBy(key).agg(F.array_sort(F.collect_set("doc_id")).alias("ids")).select("ids").distinct()

@@ -107,3 +107,16 @@ def test_wide_groups_of_different_texts_give_all_pairs(spark, monkeypatch, expan
     assert cover[200] == 45 and cover[300] == cover[301] == 45  # the texts, of which 300 and 301 are one
     others = {d: {b if a == d else a for a, b in expected if d in (a, b)} for d in cover}
     assert all(cover[d] == len(others[d] - {301}) for d in cover if d < 300)
+
+
+def test_a_third_in_one_class_and_a_third_around_one_stretch(spark, monkeypatch):
+    monkeypatch.setattr(spans, "SPREAD", 10)
+    passage, copy = "A passage that stands in very many texts, and in each of them whole. ", "The same text again and again, and it is long enough to count here. "
+    docs = [(i, copy) for i in range(100)] + [(100 + i, f"{i * 7919} {passage}{i}") for i in range(100)] + [(200 + i, f"Nothing {i * 31337} of it is anywhere else, {i * 65537} at all, {i * 271} or at least {i}.") for i in range(100)]
+    got = Shared(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), least=L, expand=8)
+    pairs = {tuple(r) for r in got.document_pairs().collect()}
+    assert pairs == {(0, i) for i in range(1, 100)} | set(itertools.combinations(range(100, 200), 2))
+    cover = {r.doc_id: r for r in got.coverage().collect()}
+    assert all((cover[i].class_id, cover[i].n_copies, cover[i].n_links, cover[i].share) == (0, 100, 0, 1) for i in range(100))
+    assert all((cover[i].class_id, cover[i].n_copies, cover[i].n_links) == (i, 1, 99) and cover[i].n_shared >= len(passage) for i in range(100, 200))
+    assert all(cover[i].n_links == 0 and cover[i].n_shared == 0 for i in range(200, 300) if i in cover)
