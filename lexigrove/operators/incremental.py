@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.text import TOKENS_SQL
 from lexigrove.operators.lexical import LexicalIndex
-from lexigrove.shared import table
+from lexigrove.shared import join_heavy, materialize, number_rows, table
 
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -76,14 +76,42 @@ def replay(entities: DataFrame, reused: DataFrame) -> DataFrame:
 
 
 def unique_slugs(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
-    """Slugs made unique by -2, -3 and so on in order of coming; those that a number would make equal to another's own slug get a higher one."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    first = rows.withColumn("__n", n)
-    own = rows.select(F.col(base).alias("__slug")).distinct()
-    numbered = first.withColumn("__slug", F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), F.col("__n"))))
-    taken = numbered.where("__n > 1").join(own, "__slug", "left_semi").select(base, "__n").groupBy(base).agg(F.max("__n").alias("__top"))
-    shifted = numbered.join(taken, base, "left").withColumn("slug", F.when((F.col("__n") > 1) & F.col("__top").isNotNull(), F.concat(base, F.lit("-"), F.col("__n") + F.col("__top"))).otherwise(F.col("__slug")))
-    return shifted.drop("__n", "__slug", "__top")
+    """Adds slug: the base where it is free when its row comes, in `order`, else the base with the least of -2, -3 and so on that is free.
+
+    order must settle which row comes first. Null bases stay null. What comes first can only matter between a base and another
+    that is the same with a number at its end, so that the sequence is settled without going through the rows: such a base
+    either came before the number was given out, and the number is skipped, or it finds itself taken. These few decisions are
+    repeated until none changes; rows are ranked within their base by ranges, however many have one base.
+    """
+    packed = rows.where(F.col(base).isNotNull()).select(F.col(base).alias("__base"), F.struct(*order).alias("__at"), F.struct("*").alias("__r"))
+    part = materialize(number_rows(packed, ["__base", "__at"], "__no"), "slug_rows")
+    groups = materialize(part.groupBy("__base").agg(F.min("__no").alias("start"), F.count(F.lit(1)).alias("n"), F.min("__at").alias("first")), "slug_bases")
+    # k: the number at the end; of a base that exists itself. Numbers beyond all that could be given out don't matter.
+    form = r"^(.*)-([2-9]|[1-9][0-9]{1,17})$"
+    child = groups.select(F.col("__base").alias("child"), "first", F.regexp_extract("__base", form, 1).alias("parent"), F.regexp_extract("__base", form, 2).alias("k")).where(F.col("k") != "").withColumn("k", F.col("k").cast("bigint"))
+    child = child.join(groups.select(F.col("__base").alias("parent"), "start", "n"), "parent")
+    rank = F.row_number().over(Window.partitionBy("parent").orderBy("k"))  # bases with a number that one base could reach
+    child = materialize(child.withColumn("rank", rank).where(F.col("k") - F.col("rank") <= F.col("n")).drop("rank"), "slug_children")
+    state = child.select("child", "parent", "k", "first", "start", "n", F.lit(False).alias("skipped"), F.lit(False).alias("taken"))
+    while True:
+        before = F.coalesce(F.sum(F.col("skipped").cast("int")).over(Window.partitionBy("parent").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        shifted = state.where("taken").select(F.col("child").alias("parent"), F.lit(1).alias("shift"))
+        now = state.withColumn("before", before).join(shifted, "parent", "left")
+        now = now.withColumn("__row", F.col("k") - F.col("before") - F.coalesce("shift", F.lit(0)))  # the row of the parent that would come to k
+        reached = now.withColumn("__no", F.when(F.col("__row") <= F.col("n"), F.col("start") + F.col("__row") - 1)).join(part.select("__no", "__at"), "__no", "left")
+        free = F.col("__at").isNull() | (F.col("first") < F.col("__at"))
+        after = reached.select("child", "parent", "k", "first", "start", "n", (F.col("__at").isNotNull() & free).alias("skipped"), (~free).alias("taken"), (F.col("skipped") != (F.col("__at").isNotNull() & free)).alias("c1"), (F.col("taken") != ~free).alias("c2"))
+        after = materialize(after, "slug_state")
+        changed = not after.where(F.col("c1") | F.col("c2")).isEmpty()
+        state = after.drop("c1", "c2")
+        if not changed:
+            break
+    skips = state.where("skipped").groupBy("parent").agg(F.array_sort(F.collect_list("k")).alias("ks"))  # bases that one base skips
+    known = groups.select("__base", "start", "n").join(skips.withColumnRenamed("parent", "__base"), "__base", "left").join(state.where("taken").select(F.col("child").alias("__base"), F.lit(1).alias("shift")), "__base", "left")
+    numbered = join_heavy(part, materialize(known, "slugs_known"), ["__base"], "n").withColumn("__m", F.col("__no") - F.col("start") + 1 + F.coalesce("shift", F.lit(0)))
+    over = F.size(F.filter(F.transform(F.coalesce("ks", F.array().cast("array<bigint>")), lambda k, i: k - i), lambda x: x <= F.col("__m")))
+    slug = F.when(F.col("__m") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), F.col("__m") + over))
+    return numbered.select("__r.*", slug.alias("slug")).unionByName(rows.where(F.col(base).isNull()).withColumn("slug", F.lit(None).cast("string")))
 
 
 def recent_runs(runs: DataFrame, per: str, order: str, keep: int) -> DataFrame:

@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrove.shared import remove_path
-
 MAX_RELATIONSHIPS, PER_ENTITY = 500, 50
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
-    """Write one small file by way of a temporary one and a rename."""
+    """Write one small file by way of a temporary one and a rename over the old: a reader sees the old file or the new one, never none."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(tmp, True)
+    fs = jvm.org.apache.hadoop.fs
+    p, tmp = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = p.getFileSystem(conf).create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    rename = getattr(fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    fs.FileContext.getFileContext(p.getFileSystem(conf).getUri(), conf).rename(p.getFileSystem(conf).makeQualified(tmp), p.getFileSystem(conf).makeQualified(p), how)
 
 
 def _get(spark: SparkSession, path: str) -> str | None:
@@ -32,7 +34,7 @@ def _get(spark: SparkSession, path: str) -> str | None:
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return None
-    return "\n".join(r.value for r in spark.read.text(path).collect())
+    return spark.read.option("wholetext", "true").text(path).first().value
 
 
 def save_index(spark: SparkSession, folder: str, tables: dict[str, DataFrame], info: dict, partition_by: dict[str, list[str]] | None = None) -> str:
@@ -60,22 +62,38 @@ def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
     return {t: spark.read.parquet(f"{m['path']}/{t}") for t in m["tables"]} if m else None
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, buckets: int = 16, removed: DataFrame | None = None) -> None:
-    """Replace the rows of the keys given, add new ones and delete those of `removed` (key); only buckets that change are rewritten."""
+def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, buckets: int = 16, removed: DataFrame | None = None, files: int = 4) -> None:
+    """Replace the rows of the keys given, add new ones and delete those of `removed` (key); only buckets that change are rewritten.
+
+    They are written beside the old ones, by `files` tasks a bucket at most, and the manifest that comes last makes them visible:
+    an upsert that breaks off changes nothing. Read with `upserted`. The number of buckets is that of the first upsert.
+    """
+    held = load_manifest(spark, path) or {"build": 0, "buckets": buckets, "generation": {}}
+    buckets, build = held["buckets"], held["build"] + 1
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
     fresh = rows.withColumn("bucket", bucket)
     gone = rows.select(key) if removed is None else rows.select(key).unionByName(removed.select(key))
     touched = [r.bucket for r in gone.select(bucket).distinct().collect()]  # at most `buckets` numbers
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        kept = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(gone.distinct(), key, "left_anti")
-        fresh = fresh.unionByName(kept.select(*fresh.columns))
-    tmp = path + ".next"
-    fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(tmp)  # what is read mustn't be overwritten
-    for b in touched:
-        remove_path(spark, f"{path}/bucket={b}")
-    spark.read.parquet(tmp).write.mode("append").partitionBy("bucket").parquet(path)
-    remove_path(spark, tmp)
+    old = _generations(spark, path, held, touched)
+    if old is not None:
+        fresh = fresh.unionByName(old.join(gone.distinct(), key, "left_anti").select(*fresh.columns))
+    fresh.repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(files))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/generation={build}")
+    _put(spark, f"{path}/manifest.json", json.dumps({"build": build, "buckets": buckets, "generation": held["generation"] | {str(b): build for b in touched}}))
+
+
+def _generations(spark: SparkSession, path: str, held: dict, buckets: list[int] | None = None) -> DataFrame | None:
+    of: dict[int, list[int]] = {}
+    for b, g in held["generation"].items():
+        if buckets is None or int(b) in buckets:
+            of.setdefault(g, []).append(int(b))
+    parts = [spark.read.option("basePath", f"{path}/generation={g}").parquet(f"{path}/generation={g}").where(F.col("bucket").isin(bs)) for g, bs in sorted(of.items())]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows as of the last upsert that came to its end; null where there was none."""
+    held = load_manifest(spark, path)
+    return _generations(spark, path, held) if held else None
 
 
 def stale(existing: DataFrame, current: DataFrame, key: str) -> DataFrame:
@@ -155,16 +173,11 @@ def records_json(sources: DataFrame, texts: DataFrame, most_bytes: int = 10 << 2
 
 
 def append_run(spark: SparkSession, path: str, run: DataFrame, keep: int, order: str = "run_at") -> None:
-    """Add runs to a history and keep the newest `keep`."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        run = spark.read.parquet(path).unionByName(run, allowMissingColumns=True)
-    kept = run.orderBy(F.col(order).desc()).limit(keep)
-    tmp = path + ".next"
-    kept.coalesce(1).write.mode("overwrite").parquet(tmp)
-    remove_path(spark, path)
-    jvm_fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    jvm_fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tmp), p)
+    """Add runs to a history (table runs of an index) and keep the newest `keep`; one that breaks off leaves the history as it was."""
+    old = load_index(spark, path)
+    if old:
+        run = old["runs"].unionByName(run, allowMissingColumns=True)
+    save_index(spark, path, {"runs": run.orderBy(F.col(order).desc()).limit(keep)}, {})  # `keep` rows
 
 
 def write_metrics(rows: list[DataFrame], folder: str) -> DataFrame:
