@@ -17,8 +17,8 @@ from lexigrove.llm.tokens import VOCABULARY, token_count
 from lexigrove.shared import materialize, table
 
 BLOCK_TOKENS = 512
-SHARD_DOCUMENTS = 20_000
-MAX_SHARDS = 4096
+#: Shards of each source. The choice depends on their number, so it is a parameter and doesn't follow the rows; billions of documents want thousands.
+SHARDS = 64
 
 
 def source_key(c: Column) -> Column:
@@ -76,7 +76,7 @@ def quotas(shards: dict[str, dict[int, int]], targets: dict[str, tuple[float, in
     return out
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """Chosen documents with their repeats, and the shares reached.
 
     documents: doc_id, text, source; targets: source, target_share, max_repeats. Both sources are compared by source_key.
@@ -88,21 +88,20 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, block: int = BL
     spark = documents.sparkSession
     sized = documents.select("doc_id", source_key(F.col("source")).alias("source"), token_count(F.col("text"), vocabulary).alias("n_tokens"))
     sized = materialize(sized, "sized")
-    total, n = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     wanted = targets.groupBy(source_key(F.col("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where(F.col("source").isNotNull())
     listed = {r.source: (r.target_share or 0.0, r.max_repeats or 0) for r in wanted.collect()}  # one row for each source of the mixture
-    of = min(MAX_SHARDS, max(4, math.ceil(n / SHARD_DOCUMENTS)))
     draw = F.xxhash64(F.lit(seed), "doc_id")
-    sharded = sized.where(F.col("n_tokens") > 0).where(F.col("source").isin(list(listed))).withColumn("shard", F.pmod(draw, F.lit(of)).cast("int"))
+    sharded = sized.where(F.col("n_tokens") > 0).where(F.col("source").isin(list(listed))).withColumn("shard", F.pmod(draw, F.lit(shards)).cast("int"))
     sums: dict[str, dict[int, int]] = {}
-    for r in sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect():  # at most MAX_SHARDS for each source
+    for r in sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect():  # at most `shards` for each source
         sums.setdefault(r.source, {})[r.shard] = r.t
     quota = spark.createDataFrame(quotas(sums, listed, total, block), "source string, shard int, available bigint, quota bigint")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rounds = F.floor(F.col("quota") / F.col("available"))
     rest = F.col("quota") - rounds * F.col("available")
     chosen = (
-        sharded.join(F.broadcast(quota), ["source", "shard"])  # at most MAX_SHARDS rows for each source
+        sharded.join(F.broadcast(quota), ["source", "shard"])  # at most `shards` rows for each source
         .withColumn("so_far", F.sum("n_tokens").over(order))
         .withColumn("repeats", (rounds + F.when(F.col("so_far") * 2 - F.col("n_tokens") <= rest * 2, F.when(rest > 0, 1).otherwise(0)).otherwise(0)).cast("int"))
         .where(F.col("repeats") > 0)

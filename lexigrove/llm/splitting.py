@@ -2,8 +2,7 @@
 
 A hierarchy of separators (section, paragraph, sentence or line, word, character) is applied recursively: a stretch over
 the budget is cut at the coarsest separator that it has, and its parts again at the next. The resulting stretches are packed
-greedily up to the limit, ending at the coarsest cut in a piece's second half, and each piece after the first repeats
-the last `overlap` units of the one before it.
+greedily up to the limit, and each piece after the first repeats the last `overlap` units of the one before it.
 """
 
 from __future__ import annotations
@@ -36,11 +35,12 @@ _TOKEN = regex.compile(TOKEN)
 PIECES = "record_table string, record_key string, piece_index int, start_char bigint, end_char bigint, size int, cut string, text string"
 
 
-def split_text(text: str, limit: int, overlap: int, by: str = "chars") -> list[tuple[int, int, int, str]]:
+def split_text(text: str, limit: int, overlap: int, by: str = "chars", coarsest: bool = False) -> list[tuple[int, int, int, str]]:
     """(start, end, size, level of the cut that ends it) of each piece; start and end are code points, size is in `by`.
 
     The pieces cover the text in order; each but the first starts exactly `overlap` units (chars or tokens) before the end
-    of the one before it. Texts within the limit give one piece, empty texts none.
+    of the one before it. Texts within the limit give one piece, empty texts none. With `coarsest` a piece ends at the coarsest
+    cut of those that fill half of the limit, so that headings stay with what follows, instead of the last that fits.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
@@ -76,7 +76,7 @@ def split_text(text: str, limit: int, overlap: int, by: str = "chars") -> list[t
         begin, last = max(0, done - overlap), k
         while last + 1 < len(atoms) and atoms[last + 1][0] - begin <= limit:
             last += 1
-        if last + 1 < len(atoms):  # of the cuts that fill half of the limit, the coarsest, of these the last
+        if coarsest and last + 1 < len(atoms):  # of the coarsest the last
             last = min((i for i in range(k, last + 1) if i == last or atoms[i][0] - begin >= max(limit / 2, overlap + 1)), key=lambda i: (atoms[i][1], -i))
         end, level = atoms[last]
         pieces.append((char_at(begin), len(text) if end == n else char_at(end), end - begin, LEVELS[level] if end < n else "end"))
@@ -84,7 +84,7 @@ def split_text(text: str, limit: int, overlap: int, by: str = "chars") -> list[t
     return pieces
 
 
-def split_oversized(items: DataFrame, limit: int, overlap: int, by: str = "chars") -> DataFrame:
+def split_oversized(items: DataFrame, limit: int, overlap: int, by: str = "chars", coarsest: bool = False) -> DataFrame:
     """Pieces of the items over the limit; items: record_table, record_key, text. Columns as in PIECES.
 
     Items within the limit and null or empty texts give no rows. Rows repeated with key and text count once; one key with
@@ -103,7 +103,7 @@ def split_oversized(items: DataFrame, limit: int, overlap: int, by: str = "chars
             rows = [
                 (t, k, i, a, b, n, c, text[a:b])
                 for t, k, text in zip(frame["record_table"], frame["record_key"], frame["text"], strict=True)
-                for i, (a, b, n, c) in enumerate(split_text(text, limit, overlap, by))
+                for i, (a, b, n, c) in enumerate(split_text(text, limit, overlap, by, coarsest))
             ]
             yield pd.DataFrame(rows, columns=["record_table", "record_key", "piece_index", "start_char", "end_char", "size", "cut", "text"])
 

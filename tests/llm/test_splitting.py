@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -32,9 +33,19 @@ def test_round_trip(text, limit, overlap):
         check(text, limit, min(overlap, limit - 1), by)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("ab .\n#"), max_size=200), st.integers(4, 30), st.integers(0, 3))
+def test_packing_is_greedy(text, limit, overlap):
+    """No piece could have taken all that is new in the next."""
+    pieces = split_text(text, limit, overlap)
+    for (a, b, _, _), (_, d, _, _) in itertools.pairwise(pieces):
+        assert d - a > limit
+
+
 def test_natural_boundaries():
     text = "# A\n\none two. three four.\n\n# B\n\n" + "five six seven. " * 5
-    assert [text[a:b] for a, b, _, _ in split_text(text, 40, 0)][0] == "# A\n\none two. three four.\n\n"
+    assert [text[a:b] for a, b, _, _ in split_text(text, 40, 0, coarsest=True)][0] == "# A\n\none two. three four.\n\n"
+    assert [text[a:b] for a, b, _, _ in split_text(text, 40, 0)][:2] == ["# A\n\none two. three four.\n\n# B\n\n", "five six seven. five six seven. "]
     assert [c for *_, c in split_text("x" * 25, 10, 0)] == ["character", "character", "end"]
 
 
