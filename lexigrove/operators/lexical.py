@@ -37,19 +37,18 @@ class LexicalIndex:
     def build(cls, documents: DataFrame, text: str = "text", asked: DataFrame | None = None) -> LexicalIndex:
         """documents: doc_id, text. Null and empty texts count in the average length and have no postings.
 
-        With asked, questions (query_id, question), the index is one for these alone: only postings of their tokens are made,
-        and kept in the shared folder, so that the texts are read once for all that follows.
+        With asked, questions (query_id, question), the index is one for these alone: only postings of their tokens are made.
+        Either way the texts are read once: lengths and postings are written together, a length as the posting of an empty token.
         """
-        held = documents.select("doc_id", tokens(F.col(text)).alias("ts")).select("doc_id", F.size("ts").alias("length"), "ts")
-        flat = held.select("doc_id", "length", F.explode("ts").alias("token"))
-        if asked is None:
-            postings = flat.groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
-        else:
-            wanted = question_tokens(asked).select("token").distinct()
-            wanted = F.broadcast(wanted) if small(asked) else wanted
-            postings = materialize(flat.join(wanted, "token", "left_semi").groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
-        n, total = held.agg(F.count(F.lit(1)), F.sum("length")).first()
-        return cls(held.select("doc_id", "length"), postings, n, (total or 0) / n if n else 0.0)
+        held = documents.select("doc_id", tokens(F.col(text)).alias("ts")).select("doc_id", F.size("ts").alias("length"), F.explode(F.concat(F.array(F.lit("")), "ts")).alias("token"))
+        if asked is not None:
+            wanted = question_tokens(asked).select("token").unionByName(asked.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
+            held = held.join(F.broadcast(wanted) if small(asked) else wanted, "token", "left_semi")
+        both = materialize(held.groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
+        docs = both.where("token = ''")
+        docs = docs.select("doc_id", "length", F.explode(F.sequence(F.lit(1), "tf")).alias("k")).drop("k")  # rows of one id and length count each
+        n, total = docs.agg(F.count(F.lit(1)), F.sum("length")).first()
+        return cls(docs, both.where("token <> ''"), n, (total or 0) / n if n else 0.0)
 
 
 def question_tokens(questions: DataFrame, of: Column | None = None) -> DataFrame:
@@ -65,10 +64,12 @@ def small(questions: DataFrame) -> bool:
 def bm25(index: LexicalIndex, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score of every document with a token of the question; scores are positive."""
     asked = question_tokens(questions)
-    asked = F.broadcast(asked) if small(questions) else asked
-    frequency = index.postings.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    few = small(questions)
+    once = asked.select("token").distinct()
+    frequency = index.postings.join(F.broadcast(once) if few else once, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(frequency, "token").select("query_id", "token", (F.col("qtf") * idf).alias("weight"))
+    weighed = F.broadcast(weighed) if few else weighed
     norm = 1 - b + b * (F.col("length") / (index.average or 1.0))
     part = F.col("weight") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * norm)
     return index.postings.join(weighed, "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > 0)
@@ -108,12 +109,14 @@ def prefix_score(rows: DataFrame, questions: DataFrame, title: str = "title", bo
     Terms of one or two characters count as whole tokens only. Repeated terms count as often as they stand.
     """
     asked = questions.select("query_id", F.explode(terms(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    wanted = asked.select("term").distinct()
-    of = lambda c, w: rows.select("doc_id", F.explode(terms(c)).alias("token")).groupBy("doc_id", "token").agg((F.count(F.lit(1)) * w).alias("v"))
-    held = of(F.col(title), 10.0).unionByName(of(F.concat_ws(" ", title, body), 1.0)).groupBy("doc_id", "token").agg(F.sum("v").alias("v"))
-    # Each token offers its prefixes of three or more characters, and itself; so that the join is an equi-join.
-    whole = held.select("doc_id", "v", F.explode(F.when(F.length("token") < 3, F.array("token")).otherwise(F.transform(F.sequence(F.lit(3), F.length("token")), lambda i: F.substring(F.col("token"), F.lit(1), i)))).alias("term"))
-    hits = whole.join(wanted, "term").groupBy("doc_id", "term").agg(F.sum("v").alias("v"))
+    # A token meets the terms with its own first three characters, or itself if it is shorter, and of these the ones that it begins with.
+    start = lambda c: F.substring(c, 1, 3).alias("start")
+    wanted = asked.select("term").distinct().select("term", start("term"))
+    wanted = F.broadcast(wanted) if small(questions) else wanted
+    of = lambda c, w: rows.select("doc_id", F.explode(terms(c)).alias("token")).select("doc_id", "token", F.lit(w).alias("v"))
+    held = of(F.col(title), 10.0).unionByName(of(F.concat_ws(" ", title, body), 1.0))
+    met = held.withColumn("start", start("token")).join(wanted, "start").where(F.when(F.length("term") < 3, F.col("token") == F.col("term")).otherwise(F.startswith("token", "term")))
+    hits = met.groupBy("doc_id", "term").agg(F.sum("v").alias("v"))
     return hits.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("v") * F.col("n")).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from lexigrove.operators import lexical as lx
 from lexigrove.operators.extraction import _MENTION, build_mentions
 from lexigrove.operators.fusion import keep_first, rrf
 from lexigrove.operators.graph import both_ways, community_records, k_hop, pagerank
+from lexigrove.operators.vectors import cosine_top_k
 from lexigrove.shared import materialize, number_rows, table
 
 # Words that route a question, and words that a theme is asked with.
@@ -137,9 +139,10 @@ class CorpusGraph:
     index: lx.LexicalIndex
 
     @classmethod
-    def build(cls, nodes: DataFrame, edges: DataFrame, iterations: int = 20) -> CorpusGraph:
+    def build(cls, nodes: DataFrame, edges: DataFrame, iterations: int = 20, asked: DataFrame | None = None) -> CorpusGraph:
+        """With asked, questions (query_id, question), the index has the postings of their tokens alone."""
         evidence = nodes.where(F.col("kind").isin(EVIDENCE)).select(F.col("node").alias("doc_id"), F.coalesce(F.nullif("text", F.lit("")), "title").alias("text"))
-        return cls(nodes, edges, materialize(pagerank(edges, nodes, iterations=iterations, tolerance=None), "pagerank"), lx.LexicalIndex.build(evidence))
+        return cls(nodes, edges, materialize(pagerank(edges, nodes, iterations=iterations, tolerance=None), "pagerank"), lx.LexicalIndex.build(evidence, asked=asked))
 
     def basic(self, questions: DataFrame, limit: int) -> DataFrame:
         return lx.basic_search(self.index, self.nodes.select(F.col("node").alias("doc_id"), "kind", "section"), questions, limit)
@@ -203,11 +206,22 @@ class CorpusGraph:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "m"))).where(F.col("rank") <= limit).select("query_id", "rank", "node", "score")
 
 
-def find(graph: CorpusGraph, questions: DataFrame, limit: int = lx.TOP_K) -> DataFrame:
-    """query_id, method, doc_id, score, rank with the method chosen for each question; themes are answered as basic where no communities are given."""
-    seeds = match_entities(questions, graph.nodes.where("kind = 'entity'")).select("query_id").distinct().withColumn("named", F.lit(True))
-    chosen = materialize(questions.join(seeds, "query_id", "left").select("query_id", "question", auto_method(F.col("question"), F.coalesce("named", F.lit(False))).alias("method")), "methods")
-    parts = [graph.drift(chosen.where("method = 'drift-lite'"), limit), graph.local(chosen.where("method = 'local'"), limit), graph.basic(chosen.where("method in ('basic', 'global')"), limit)]
+def find(graph: CorpusGraph, questions: DataFrame, limit: int = lx.TOP_K, communities: DataFrame | None = None, members: DataFrame | None = None, method: str = "auto") -> DataFrame:
+    """query_id, method, doc_id, score, rank with the method chosen for each question, or the one given for all.
+
+    Themes are answered from communities and their members as in global_(), and as basic where none are given.
+    """
+    if method == "auto":
+        seeds = match_entities(questions, graph.nodes.where("kind = 'entity'")).select("query_id").distinct().withColumn("named", F.lit(True))
+        chosen = questions.join(seeds, "query_id", "left").select("query_id", "question", auto_method(F.col("question"), F.coalesce("named", F.lit(False))).alias("method"))
+    elif method in ("basic", "local", "global", "drift-lite"):
+        chosen = questions.select("query_id", "question", F.lit(method).alias("method"))
+    else:
+        raise ValueError(f"unknown method: {method}")
+    chosen = materialize(chosen, "methods")
+    of = lambda m: chosen.where(F.col("method") == m).select("query_id", "question")
+    themes = graph.basic(of("global"), limit) if communities is None or members is None else graph.global_(of("global"), communities, members, limit).withColumnRenamed("node", "doc_id")
+    parts = [graph.drift(of("drift-lite"), limit), graph.local(of("local"), limit), graph.basic(of("basic"), limit), themes]
     out = parts[0].select("query_id", "doc_id", "score", "rank")
     for p in parts[1:]:
         out = out.unionByName(p.select("query_id", "doc_id", "score", "rank"))
@@ -216,15 +230,37 @@ def find(graph: CorpusGraph, questions: DataFrame, limit: int = lx.TOP_K) -> Dat
 
 @dataclass
 class Profiles:
-    """entities: id, text, chunk_ids; relations: id, text, source, target, chunk_ids; chunks: doc_id, text."""
+    """entities: id, text, chunk_ids; relations: id, text, source, target, chunk_ids; chunks: doc_id, text.
+
+    entity_vectors, relation_vectors: id, vector; and embed, which gives query_id, vector of questions (query_id, question).
+    Where all are there, profiles are found by cosine; a question whose vector is missing or of another length than the
+    profiles' falls back to their words.
+    """
 
     entities: DataFrame
     relations: DataFrame
     chunks: DataFrame
+    entity_vectors: DataFrame | None = None
+    relation_vectors: DataFrame | None = None
+    embed: Callable[[DataFrame], DataFrame] | None = None
 
-    def _hits(self, rows: DataFrame, keys: DataFrame, column: str, k: int) -> DataFrame:
+    def _hits(self, rows: DataFrame, keys: DataFrame, column: str, k: int, vectors: DataFrame | None = None) -> DataFrame:
         asked = keys.select("query_id", F.array_join(column, " ").alias("question"))
-        return lx.ranked(lx.bm25(lx.LexicalIndex.build(rows.select(F.col("id").alias("doc_id"), "text")), asked), k)
+        words = lambda q: lx.ranked(lx.bm25(lx.LexicalIndex.build(rows.select(F.col("id").alias("doc_id"), "text"), asked=q), q), k)
+        if vectors is None or self.embed is None:
+            return words(asked)
+        length = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+        asked = asked.where(F.trim("question") != "")
+        queries = materialize(self.embed(asked).where(F.size("vector") == length).select("query_id", "vector"), "query_vectors")
+        near = cosine_top_k(vectors.select(F.col("id").alias("vec_id"), "vector"), queries, k).select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
+        near = near.join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        return near.select("query_id", "doc_id", "score", "rank").unionByName(words(asked.join(queries, "query_id", "left_anti")).select("query_id", "doc_id", "score", "rank"))
+
+    def route(self, keys: DataFrame) -> DataFrame:
+        """query_id, method of keys as in retrieve(): comparisons hybrid, themes global, known entities local, else hybrid."""
+        known = self._hits(self.entities, keys, "low", 1, self.entity_vectors).select("query_id").distinct().withColumn("known", F.lit(True))
+        c = F.col("question")
+        return keys.select("query_id", "question").join(known, "query_id", "left").select("query_id", F.when(holds_any(c, DRIFT_WORDS), "hybrid").when(holds_any(c, GLOBAL_WORDS), "global").when(F.col("known"), "local").otherwise("hybrid").alias("method"))
 
     def local(self, keys: DataFrame, k: int = 12) -> DataFrame:
         """query_id, doc_id, score: chunks of the entities that the low keywords (else the high ones) find, and at half of it those of their relations.
@@ -232,7 +268,7 @@ class Profiles:
         A chunk has the greatest score of its entities; one that a relation brings before any entity does, the half of that
         entity's score if it is more.
         """
-        hits = self._hits(self.entities, keys.withColumn("ks", F.when(F.size("low") > 0, F.col("low")).otherwise(F.col("high"))), "ks", k)
+        hits = self._hits(self.entities, keys.withColumn("ks", F.when(F.size("low") > 0, F.col("low")).otherwise(F.col("high"))), "ks", k, self.entity_vectors)
         direct = hits.join(self.entities.select(F.col("id").alias("doc_id"), F.explode("chunk_ids").alias("c")), "doc_id").select("query_id", "c", "rank", F.lit(0).alias("kind"), "score")
         ends = self.relations.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("doc_id"), "chunk_ids").select("doc_id", F.explode("chunk_ids").alias("c"))
         by_relation = hits.join(ends, "doc_id").select("query_id", "c", "rank", F.lit(1).alias("kind"), (F.col("score") * 0.5).alias("score"))
@@ -242,19 +278,37 @@ class Profiles:
 
     def global_(self, keys: DataFrame, k: int = 16) -> DataFrame:
         """query_id, doc_id, score: chunks of the relations that the high keywords (else the low ones) find, by their greatest score."""
-        hits = self._hits(self.relations, keys.withColumn("ks", F.when(F.size("high") > 0, F.col("high")).otherwise(F.col("low"))), "ks", k)
+        hits = self._hits(self.relations, keys.withColumn("ks", F.when(F.size("high") > 0, F.col("high")).otherwise(F.col("low"))), "ks", k, self.relation_vectors)
         return hits.join(self.relations.select(F.col("id").alias("doc_id"), F.explode("chunk_ids").alias("c")), "doc_id").groupBy("query_id", "c").agg(F.max("score").alias("score")).select("query_id", F.col("c").alias("doc_id"), "score")
 
-    def hybrid(self, keys: DataFrame, limit: int = 12, budget: int = 4000) -> DataFrame:
-        """Local, global and basic chunks fused by reciprocal ranks at 1.2, 1.2 and .8; the best `limit` within the token budget."""
-        basic = lx.ranked(lx.bm25(lx.LexicalIndex.build(self.chunks), keys.select("query_id", "question")), 2 * limit)
-        lists = [("local", lx.ranked(self.local(keys), 4 * limit, 8)), ("global", lx.ranked(self.global_(keys), 4 * limit)), ("basic", basic)]
+    def retrieve(self, keys: DataFrame, method: str = "auto", limit: int = 12, budget: int = 4000) -> DataFrame:
+        """query_id, method, doc_id, score, rank of keys (query_id, question, low, high): local, global and basic chunks, as the method has them.
+
+        local, global and basic are what they say, hybrid and drift-lite all three; lists are fused by reciprocal ranks at 1.2, 1.2
+        and .8, and the best `limit` are given within the token budget. With auto, route() chooses.
+        """
+        uses = {"local": ["local"], "global": ["global"], "basic": ["basic"], "hybrid": ["local", "global", "basic"], "drift-lite": ["local", "global", "basic"]}
+        if method != "auto" and method not in uses:
+            raise ValueError(f"unknown method: {method}")
+        chosen = materialize(self.route(keys), "methods") if method == "auto" else keys.select("query_id", F.lit(method).alias("method"))
         every = None
-        for name, part in lists:
+        for name in ("local", "global", "basic"):
+            if method != "auto" and name not in uses[method]:
+                continue
+            some = keys.join(chosen.where(F.col("method").isin([m for m, of in uses.items() if name in of])), "query_id", "left_semi")
+            if name == "basic":
+                asked = some.select("query_id", "question")
+                part = lx.ranked(lx.bm25(lx.LexicalIndex.build(self.chunks, asked=asked), asked), 2 * limit)
+            else:
+                part = lx.ranked(self.local(some), 4 * limit, 8) if name == "local" else lx.ranked(self.global_(some), 4 * limit)
             part = part.select("query_id", "doc_id", "score", "rank", F.lit(name).alias("list"), F.col("doc_id").cast("string").alias("title"))
             every = part if every is None else every.unionByName(part)
         fused = lx.top_k(rrf(every, ["doc_id"], weights={"local": 1.2, "global": 1.2, "basic": 0.8}).select("query_id", "doc_id", F.col("rrf").alias("score")), limit, [F.col("score").desc(), F.col("doc_id")])
-        return lx.token_budget(fused.join(self.chunks, "doc_id"), budget).select("query_id", "doc_id", "score", "rank")
+        return lx.token_budget(fused.join(self.chunks, "doc_id"), budget).join(chosen, "query_id").select("query_id", "method", "doc_id", "score", "rank")
+
+    def hybrid(self, keys: DataFrame, limit: int = 12, budget: int = 4000) -> DataFrame:
+        """retrieve() by all three lists."""
+        return self.retrieve(keys, "hybrid", limit, budget).drop("method")
 
 
 def answers(contexts: DataFrame, cap: int = 5) -> DataFrame:
@@ -300,7 +354,7 @@ def resolve_all(wanted: DataFrame, known: DataFrame, key: str = "id") -> DataFra
 # --- queries -------------------------------------------------------------------------------------------------------------
 
 
-def corpus_graph(spark: SparkSession, folder: str) -> CorpusGraph:
+def corpus_graph(spark: SparkSession, folder: str, asked: DataFrame | None = None) -> CorpusGraph:
     """Documents by name of their sources: entities, source documents, text units."""
     s = keep_first(table(spark, folder, "sources"), ["source_id"], [F.col("ingested_at").desc(), F.col("content_hash")])
     none = F.expr("cast(array() as array<string>)")
@@ -311,7 +365,7 @@ def corpus_graph(spark: SparkSession, folder: str) -> CorpusGraph:
     units = u.select(F.concat_ws("#", "source_id", "unit_index").alias("node"), F.lit("text_unit").alias("kind"), "title", "text", F.col("title").alias("section"), none.alias("aliases"))
     mention = build_mentions(spark, folder).select(F.col("node").alias("source"), F.col("text_id").alias("target"), (F.col("n") * 0.1).alias("weight"), F.lit("mentions").alias("kind"))
     contain = u.select(F.concat(F.lit("source::"), "source_id").alias("source"), F.concat_ws("#", "source_id", "unit_index").alias("target"), F.lit(0.15).alias("weight"), F.lit("contains").alias("kind"))
-    return CorpusGraph.build(materialize(entities.unionByName(docs).unionByName(units), "nodes"), materialize(mention.unionByName(contain), "edges"), 10)
+    return CorpusGraph.build(materialize(entities.unionByName(docs).unionByName(units), "nodes"), materialize(mention.unionByName(contain), "edges"), 10, asked)
 
 
 def route_questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -336,7 +390,8 @@ def query_entities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_local(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus_graph(spark, folder).local(lx.questions_of(spark, folder))
+    questions = lx.questions_of(spark, folder)
+    return corpus_graph(spark, folder, questions).local(questions)
 
 
 def search_drift(spark: SparkSession, folder: str) -> DataFrame:
@@ -344,7 +399,8 @@ def search_drift(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_find(spark: SparkSession, folder: str) -> DataFrame:
-    return find(corpus_graph(spark, folder), lx.questions_of(spark, folder))
+    g = corpus_graph(spark, folder)
+    return find(g, lx.questions_of(spark, folder), lx.TOP_K, *_source_communities(spark, g, folder))
 
 
 def _source_labels(spark: SparkSession, g: CorpusGraph, folder: str) -> DataFrame:
@@ -357,15 +413,21 @@ def _source_labels(spark: SparkSession, g: CorpusGraph, folder: str) -> DataFram
     return entities.unionByName(docs).unionByName(units)
 
 
-def search_global(spark: SparkSession, folder: str) -> DataFrame:
-    """Over communities that are the sources; those of graph_communities would do as well."""
-    g = corpus_graph(spark, folder)
+def _source_communities(spark: SparkSession, g: CorpusGraph, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Communities that are the sources, and their members."""
     labels = materialize(_source_labels(spark, g, folder), "labels")
     nodes = g.nodes.select("node", "kind", "title", F.expr("cast(array() as array<string>)").alias("source_ids"))
     records = materialize(community_records(labels, nodes, 2), "communities")
     numbered = number_rows(labels.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")), [F.col("n").desc(), F.col("least")], "number").where("n > 1")
     members = labels.join(numbered.select("community", F.concat(F.lit("community-"), "number").alias("id")), "community").select("id", "node")
-    return g.global_(lx.questions_of(spark, folder), records, members)
+    return records, members
+
+
+def search_global(spark: SparkSession, folder: str) -> DataFrame:
+    """Over communities that are the sources; those of graph_communities would do as well."""
+    questions = lx.questions_of(spark, folder)
+    g = corpus_graph(spark, folder, questions)
+    return g.global_(questions, *_source_communities(spark, g, folder))
 
 
 def _profiles(spark: SparkSession, folder: str) -> Profiles:

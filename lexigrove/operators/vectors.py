@@ -29,10 +29,11 @@ def dot(a: Column, b: Column) -> Column:
 def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, block_values: int = BLOCK_VALUES) -> DataFrame:
     """query_id, vec_id, score, rank of the k rows nearest to each query by cosine, ties by vec_id; scores to 6 places.
 
-    rows: vec_id, vector; queries: query_id, vector. Null vectors don't take part, zero vectors score 0, vectors of another
+    rows: vec_id, vector; queries: query_id, vector; ids are numbers or strings. Null vectors don't take part, zero vectors score 0, vectors of another
     length than the query's raise. Each partition keeps the k best of its own rows for each query before anything is shuffled.
     """
     queries = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {rows.schema['vec_id'].dataType.simpleString()}, score double"
     values = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
     passes, out = max(1, -(-values // block_values)), None
     for p in range(passes):
@@ -40,10 +41,10 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, block_values: int
         held = some.collect()  # one block of the stated query set
         if not held:
             continue
-        part = rows.select("vec_id", "vector").where(F.col("vector").isNotNull()).mapInPandas(_nearest([r.query_id for r in held], [r.vector for r in held], k), "query_id bigint, vec_id bigint, score double")
+        part = rows.select("vec_id", "vector").where(F.col("vector").isNotNull()).mapInPandas(_nearest([r.query_id for r in held], [r.vector for r in held], k), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return rows.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double, rank int")
+        return rows.sparkSession.createDataFrame([], f"{schema}, rank int")
     return top_k(out, k, [F.col("score").desc(), F.col("vec_id")])
 
 
@@ -54,7 +55,7 @@ def _nearest(ids: list, vectors: list, k: int):
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = unit(np.array(vectors, np.float64))
-        best_id, best = np.full((len(ids), 0), 0, np.int64), np.full((len(ids), 0), 0.0)
+        best_id, best = None, np.full((len(ids), 0), 0.0)
         for frame in frames:
             if not len(frame):
                 continue
@@ -62,10 +63,13 @@ def _nearest(ids: list, vectors: list, k: int):
             if m.shape[1] != q.shape[1]:
                 raise ValueError(f"a vector has {m.shape[1]} values, the queries have {q.shape[1]}")
             score = np.concatenate((best, np.round(q @ unit(m).T, 6)), axis=1)
-            who = np.concatenate((best_id, np.broadcast_to(frame["vec_id"].to_numpy(), (len(ids), len(frame)))), axis=1)
+            own = frame["vec_id"].to_numpy()
+            own = np.broadcast_to(own.astype(str) if own.dtype == object else own, (len(ids), len(frame)))
+            who = own if best_id is None else np.concatenate((best_id, own), axis=1)
             order = np.lexsort((who, -score))[:, :k]
             best, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(who, order, 1)
-        yield pd.DataFrame({"query_id": np.repeat(np.array(ids, np.int64), best.shape[1]), "vec_id": best_id.ravel(), "score": best.ravel()})
+        if best_id is not None:
+            yield pd.DataFrame({"query_id": np.repeat(np.array(ids), best.shape[1]), "vec_id": best_id.ravel(), "score": best.ravel()})
 
     return scan
 

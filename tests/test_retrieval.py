@@ -191,3 +191,43 @@ def test_registered_pagerank_converges_or_is_uniform(spark, tmp_path, n):
     got = {r.node: r.pagerank for r in graph_pagerank_converged(spark, str(tmp_path)).collect()}
     assert settled == (n == 400)
     assert got == pytest.approx(pr if settled else dict.fromkeys(near, 1 / len(near)), abs=2e-5)
+
+
+def test_profiles_by_vectors_with_words_to_fall_back_to(spark):
+    entities = spark.createDataFrame([("e1", "RAG retrieval", ["c1"]), ("e2", "DPR passage", ["c2"])], "id string, text string, chunk_ids array<string>")
+    relations = spark.createDataFrame([("r1", "RAG USES DPR", "e1", "e2", ["c3"])], "id string, text string, source string, target string, chunk_ids array<string>")
+    chunks = spark.createDataFrame([("c1", "about rag"), ("c2", "about dpr"), ("c3", "tradeoff")], "doc_id string, text string")
+    vectors = spark.createDataFrame([("e1", [1.0, 0.0]), ("e2", [0.0, 1.0]), ("gone", [0.0, 1.0])], "id string, vector array<double>")
+    keys = spark.createDataFrame([(0, "say rag", ["RAG"], []), (1, "other", ["RAG"], []), (2, "bad", ["DPR"], []), (3, "none", [], [])], "query_id bigint, question string, low array<string>, high array<string>")
+    given = {0: [0.1, 1.0], 2: [1.0]}  # question 1 has no vector, that of 2 another length
+
+    def embed(asked):
+        assert {r.query_id for r in asked.collect()} == {0, 1, 2}
+        return asked.sparkSession.createDataFrame(list(given.items()), "query_id bigint, vector array<double>")
+
+    p = Profiles(entities, relations, chunks, vectors, None, embed)
+    hits = {(r.query_id, r.doc_id, round(r.score, 3)) for r in p._hits(entities, keys, "low", 2, vectors).collect() if r.query_id == 0}
+    assert hits == {(0, "e2", 0.995), (0, "e1", 0.1)} or hits == {(0, "e2", 0.995)}
+    best = {q: max((r for r in p.local(keys).collect() if r.query_id == q), key=lambda r: r.score).doc_id for q in (0, 1, 2)}
+    assert best == {0: "c2", 1: "c1", 2: "c2"}
+
+
+def test_methods_of_retrieval(spark, small_graph):
+    entities = spark.createDataFrame([("e1", "RAG retrieval augmented", ["c1"])], "id string, text string, chunk_ids array<string>")
+    relations = spark.createDataFrame([("r1", "themes of indexing", "e1", "e1", ["c3"])], "id string, text string, source string, target string, chunk_ids array<string>")
+    chunks = spark.createDataFrame([("c1", "about rag"), ("c2", "words nobody has"), ("c3", "themes")], "doc_id string, text string")
+    p = Profiles(entities, relations, chunks)
+    k = keywords(questions(spark, "What is RAG", "Compare RAG and words", "overall themes", "words nobody has"))
+    assert {r.query_id: r.method for r in p.route(k).collect()} == {0: "local", 1: "hybrid", 2: "global", 3: "hybrid"}
+    got = {(r.query_id, r.method, r.doc_id) for r in p.retrieve(k).collect()}
+    assert {(0, "local", "c1"), (2, "global", "c3"), (3, "hybrid", "c2")} <= got and not any(q == 2 and d != "c3" for q, _, d in got)
+    assert {r.doc_id for r in p.retrieve(k, "basic").where("query_id = 3").collect()} == {"c2"}
+    with pytest.raises(ValueError, match="unknown method"):
+        p.retrieve(k, "nothing")
+    communities = spark.createDataFrame([("community-1", "overall cats", ["cats"])], "id string, summary string, top_entities array<string>")
+    members = spark.createDataFrame([("community-1", "c::2")], "id string, node string")
+    q = questions(spark, "overall cats", "what of RAG")
+    assert {(r.query_id, r.method, r.doc_id) for r in find(small_graph, q, 4, communities, members).collect() if r.query_id == 0} == {(0, "global", "community-1"), (0, "global", "c::2")}
+    assert {r.method for r in find(small_graph, q, 4, method="basic").collect()} <= {"basic"}
+    with pytest.raises(ValueError, match="unknown method"):
+        find(small_graph, q, 4, method="nothing")
