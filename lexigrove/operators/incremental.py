@@ -125,6 +125,51 @@ def freshness(status: DataFrame) -> DataFrame:
     return n.withColumn("state", F.when(F.col("n_new") + F.col("n_changed") + F.col("n_missing") > 0, "stale").otherwise("fresh"))
 
 
+def plan(old: DataFrame | None, new: DataFrame, contract: dict[str, str], was: dict[str, str] | None, force: bool = False, key: str = "source_id", value: str = "content_hash") -> tuple[DataFrame, bool]:
+    """changes() of the sources against those of the last build, and whether the rest of that build can be kept.
+
+    It can if there was one, nobody forces a rebuild, and everything that shapes derived rows (prompts, models, limits: contract)
+    is as it was. Without an old build all sources are new.
+    """
+    status = changes(new.limit(0) if old is None else old, new, key, value)
+    return status, old is not None and not force and was is not None and all(was.get(k) == v for k, v in contract.items())
+
+
+def stale_reasons(status: DataFrame, contract: dict[str, str], was: dict[str, str] | None) -> DataFrame:
+    """reason, n: why a build is stale: new, changed and missing keys with their number, and each part of the contract that is another."""
+    n = status.where("status <> 'unchanged'").groupBy("status").agg(F.count(F.lit(1)).alias("n")).select(F.concat("status", F.lit(" sources")).alias("reason"), "n")
+    if was is None:
+        drifted = ["index not built"]
+    else:
+        drifted = [f"{k} changed" for k, v in sorted(contract.items()) if was.get(k) and was[k] != v]
+    return n.unionByName(status.sparkSession.createDataFrame([(r, 1) for r in drifted], "reason string, n bigint"))
+
+
+def index_action(states: DataFrame) -> DataFrame:
+    """states with action, method and reason of the next indexing, by the first rule that fits.
+
+    states: run_index, force, documents, requested (auto or a method), last_success, output (missing, partial or complete),
+    has_metadata, config_changed, input_changed; nulls count as false, a null last_success as no run before.
+    """
+    full = F.when(F.col("requested") == "auto", "fast").otherwise(F.regexp_replace("requested", "-update$", ""))
+    complete, yes = F.coalesce(F.col("output"), F.lit("missing")) == "complete", lambda c: F.coalesce(F.col(c), F.lit(False))
+    row = lambda action, method, reason: F.struct(F.lit(action).alias("action"), (F.lit(method) if method is None or isinstance(method, str) else method).cast("string").alias("method"), F.lit(reason).alias("reason"))
+    pick = (
+        F.when(~yes("run_index"), row("input-only", None, "indexing is switched off"))
+        .when(F.coalesce("documents", F.lit(0)) == 0, row("skip", None, "there are no documents"))
+        .when(yes("force"), row("index", full, "forced"))
+        .when((F.col("requested") != "auto") & F.col("requested").endswith("-update") & ~complete, row("index", full, "an update needs complete output"))
+        .when(F.col("requested") != "auto", row("index", F.col("requested"), "the method was asked for"))
+        .when(~F.coalesce("last_success", F.lit(True)), row("index", F.when(complete, "fast-update").otherwise("fast"), "the last run failed"))
+        .when(~complete, row("index", "fast", "the output isn't complete"))
+        .when(~yes("has_metadata"), row("index", "fast", "the last run left no digests"))
+        .when(yes("config_changed"), row("index", "fast", "the configuration changed"))
+        .when(yes("input_changed"), row("index", "fast-update", "the input changed"))
+        .otherwise(row("skip", None, "the index is current"))
+    )
+    return states.withColumn("__a", pick).select(*states.columns, "__a.action", "__a.method", "__a.reason")
+
+
 # --- queries -------------------------------------------------------------------------------------------------------------
 
 _CUT = "2025-10-01 00:00:00"
@@ -145,6 +190,28 @@ def incr_freshness(spark: SparkSession, folder: str) -> DataFrame:
     return freshness(incr_changes(spark, folder))
 
 
+_CONTRACT = {"chunking": "1200/100", "prompt": "b", "embedding": "words"}
+
+
+def incr_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of the plan against the manifest of an earlier time, and why the index of then is stale; its prompt was another."""
+    old, new = _manifests(spark, folder)
+    status, incremental_ = plan(old, new, _CONTRACT, _CONTRACT | {"prompt": "a"})
+    reasons = stale_reasons(status, _CONTRACT, _CONTRACT | {"prompt": "a"})
+    return reasons.withColumn("incremental", F.lit(incremental_))
+
+
+def incr_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """What to do next for each type of source: its manifest rows stand for documents, recompiled ones for changed input."""
+    s = table(spark, folder, "sources")
+    states = s.groupBy("source_type").agg(
+        F.count(F.lit(1)).alias("documents"), F.max((~F.col("compiled_from_hash").eqNullSafe(F.col("content_hash"))).cast("int")).cast("boolean").alias("input_changed"), F.count("compiled_at").alias("compiled"))
+    requested = spark.createDataFrame([("auto",), ("standard",), ("standard-update",)], "requested string")
+    states = states.crossJoin(F.broadcast(requested)).select(  # three rows
+        "source_type", "requested", "documents", "input_changed", F.lit(True).alias("run_index"), F.lit(False).alias("force"), F.lit(True).alias("last_success"), F.when(F.col("compiled") > 0, "complete").otherwise("missing").alias("output"), F.lit(True).alias("has_metadata"), F.lit(False).alias("config_changed"))
+    return index_action(states).select("source_type", "requested", "action", "method", "reason")
+
+
 def incr_compile_status(spark: SparkSession, folder: str) -> DataFrame:
     """Of the current manifest; the text units' last hash stands for the file's."""
     units = table(spark, folder, "text_units").groupBy("source_id").agg(F.max_by("source_hash", F.struct("unit_index", "source_hash")).alias("current_hash"))
@@ -198,12 +265,17 @@ def incr_recent_runs(spark: SparkSession, folder: str) -> DataFrame:
 _MAN = f"""WITH o AS (SELECT source_id, arg_max(content_hash, (ingested_at, content_hash)) AS h FROM sources WHERE ingested_at <= TIMESTAMPTZ '{_CUT}+00' AND (removed_at IS NULL OR removed_at > TIMESTAMPTZ '{_CUT}+00') GROUP BY 1),
  n AS (SELECT source_id, arg_max(content_hash, (ingested_at, content_hash)) AS h, arg_max({{'c': compiled_at, 'f': compiled_from_hash}}, (ingested_at, content_hash)) AS r FROM sources WHERE removed_at IS NULL GROUP BY 1),
  st AS (SELECT coalesce(o.source_id, n.source_id) AS source_id, CASE WHEN o.source_id IS NULL THEN 'new' WHEN n.source_id IS NULL THEN 'missing' WHEN o.h IS NOT DISTINCT FROM n.h THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.source_id = n.source_id)"""
-QUERIES = {f.__name__: f for f in (incr_changes, incr_freshness, incr_compile_status, incr_first_of_content, incr_digest, incr_postings, incr_reuse, incr_contributions, incr_replay, incr_unique_slugs, incr_recent_runs)}
+QUERIES = {f.__name__: f for f in (incr_changes, incr_freshness, incr_plan, incr_actions, incr_compile_status, incr_first_of_content, incr_digest, incr_postings, incr_reuse, incr_contributions, incr_replay, incr_unique_slugs, incr_recent_runs)}
 ORACLES = {
     "incr_unique_slugs": """WITH d AS (SELECT doc_id, lower(regexp_replace(string_split(title, ' ')[-1], '[^A-Za-z0-9]+', '', 'g')) AS base FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n FROM d),
         s AS (SELECT *, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM f), t AS (SELECT base, max(n) AS top FROM s WHERE n > 1 AND slug IN (SELECT base FROM d) GROUP BY 1)
         SELECT doc_id, CASE WHEN n > 1 AND top IS NOT NULL THEN base || '-' || (n + top) ELSE slug END AS slug FROM s LEFT JOIN t USING (base)""",
     "incr_changes": _MAN + " SELECT * FROM st",
+    "incr_plan": _MAN + " SELECT status || ' sources' AS reason, count(*) AS n, false AS incremental FROM st WHERE status <> 'unchanged' GROUP BY status UNION ALL SELECT 'prompt changed', 1, false",
+    "incr_actions": """WITH g AS (SELECT source_type, bool_or(compiled_from_hash IS DISTINCT FROM content_hash) AS c, count(compiled_at) AS k FROM sources GROUP BY 1)
+        SELECT source_type, r AS requested, CASE WHEN r = 'auto' AND k > 0 AND NOT c THEN 'skip' ELSE 'index' END AS action, CASE WHEN r = 'standard' THEN 'standard' WHEN r = 'standard-update' THEN CASE WHEN k > 0 THEN r ELSE 'standard' END WHEN k = 0 THEN 'fast' WHEN c THEN 'fast-update' END AS method,
+          CASE WHEN r = 'standard-update' AND k = 0 THEN 'an update needs complete output' WHEN r <> 'auto' THEN 'the method was asked for' WHEN k = 0 THEN 'the output isn''t complete' WHEN c THEN 'the input changed' ELSE 'the index is current' END AS reason
+        FROM g, (VALUES ('auto'), ('standard'), ('standard-update')) AS t(r)""",
     "incr_freshness": _MAN + """ SELECT *, CASE WHEN n_new + n_changed + n_missing > 0 THEN 'stale' ELSE 'fresh' END AS state FROM (SELECT count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'changed') AS n_changed,
         count(*) FILTER (status = 'missing') AS n_missing, count(*) FILTER (status = 'unchanged') AS n_unchanged FROM st)""",
     "incr_compile_status": _MAN + """, u AS (SELECT source_id, arg_max(source_hash, (unit_index, source_hash)) AS cur FROM text_units GROUP BY 1)

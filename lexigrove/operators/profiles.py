@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexigrove.functions.fuzzy import token_sort_of
 from lexigrove.functions.text import canonical_key, initials, is_acronym, join_capped, slugify
 from lexigrove.operators.graph import components
-from lexigrove.shared import materialize, table
+from lexigrove.shared import join_heavy, materialize, numbered_within, table
 
 # Relation types that are others read backwards.
 INVERSE = {"USED_BY": "USES", "IS_IMPROVED_BY": "IMPROVES_OVER", "IS_EVALUATION_DATASET_FOR": "EVALUATES_ON", "INTRODUCED_BY": "INTRODUCES", "DEPENDED_ON_BY": "DEPENDS_ON"}
@@ -152,6 +152,22 @@ def relation_ids(relations: DataFrame) -> DataFrame:
     return r.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_relations"), F.array_sort(F.collect_list(F.when(F.col("r") <= 50, F.col("id")))).alias("relation_ids"))
 
 
+def relation_links(relations: DataFrame) -> DataFrame:
+    """entity_id, relation_id, pos: each relation of each entity, in order; an entity may have any number."""
+    x = relations.select(F.explode(F.array_distinct(F.array("source_entity_id", "target_entity_id"))).alias("entity_id"), F.col("id").alias("relation_id"))
+    return numbered_within(x.distinct(), ["entity_id"], ["relation_id"], "pos")
+
+
+def members(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
+    """group, value, pos: each distinct value of an array column (chunk_ids, source_ids) of the rows of a group, in order of coming; without a bound."""
+    kind = F.upper(F.trim(F.coalesce("type", F.lit(""))))
+    of = join_heavy(
+        rows.select(F.concat_ws("\x1f", kind, canonical_key(F.coalesce("name", F.lit("")))).alias("who"), "row_id", F.explode(column).alias("value")).where("value is not null and trim(value) <> ''"),
+        materialize(groups.select(F.concat_ws("\x1f", "type", "name_key").alias("who"), "group", F.lit(1).alias("w")).dropDuplicates(["who"]), "who"), ["who"], "w")
+    first = of.groupBy("group", "value").agg(F.min("row_id").alias("at"))
+    return numbered_within(first, ["group"], ["at", "value"], "pos").select("group", "value", "pos")
+
+
 # --- queries -------------------------------------------------------------------------------------------------------------
 
 
@@ -177,6 +193,10 @@ def profile_relations(spark: SparkSession, folder: str) -> DataFrame:
     return merged_relations(*_relations(spark, folder))
 
 
+def profile_relation_links(spark: SparkSession, folder: str) -> DataFrame:
+    return relation_links(merged_relations(*_relations(spark, folder)))
+
+
 def profile_relation_ids(spark: SparkSession, folder: str) -> DataFrame:
     return relation_ids(merged_relations(*_relations(spark, folder))).select("entity_id", "n_relations", F.array_join(F.slice("relation_ids", 1, 3), "|").alias("first_ids"))
 
@@ -195,9 +215,10 @@ _REL = f"""WITH rows_ AS (SELECT row_id, name, upper(type) AS type, source_ids[1
  k AS (SELECT x, y, t, kw, min(ord) AS o FROM j GROUP BY ALL),
  m AS (SELECT 'relation:' || split_part(x, ':', 2) || ':' || lower(t) || ':' || split_part(y, ':', 2) AS id, x AS source_entity_id, y AS target_entity_id, t AS relation_type, CAST(CASE WHEN sum(weight) = 0 THEN 1 ELSE sum(weight) END AS DOUBLE) AS weight, count(*) AS n_rows,
    (SELECT string_agg(kw, '|' ORDER BY o) FROM k WHERE k.x = j.x AND k.y = j.y AND k.t = j.t) AS keywords FROM j GROUP BY x, y, t)"""
-QUERIES = {f.__name__: f for f in (profile_groups, profile_entities, profile_relations, profile_relation_ids, profile_evidence)}
+QUERIES = {f.__name__: f for f in (profile_groups, profile_entities, profile_relations, profile_relation_links, profile_relation_ids, profile_evidence)}
 ORACLES = {
     "profile_relations": _REL + " SELECT * FROM m",
+    "profile_relation_links": _REL + """, x AS (SELECT source_entity_id AS entity_id, id AS relation_id FROM m UNION SELECT target_entity_id, id FROM m) SELECT entity_id, relation_id, row_number() OVER (PARTITION BY entity_id ORDER BY relation_id) AS pos FROM x""",
     "profile_relation_ids": _REL + """, x AS (SELECT source_entity_id AS e, id FROM m UNION SELECT target_entity_id, id FROM m), y AS (SELECT e, id, row_number() OVER (PARTITION BY e ORDER BY id) AS r FROM x)
         SELECT e AS entity_id, count(*) AS n_relations, string_agg(id, '|' ORDER BY id) FILTER (r <= 3) AS first_ids FROM y GROUP BY 1""",
     "profile_evidence": """WITH x AS (SELECT row_id AS id, unnest(chunk_ids) AS chunk_id, generate_subscripts(chunk_ids, 1) AS pos FROM extracted_entities), y AS (SELECT x.*, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM x WHERE chunk_id IN (SELECT id FROM light_chunks))

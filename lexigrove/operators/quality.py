@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,6 +62,120 @@ def corpus_rules(pages: DataFrame, sources: DataFrame) -> DataFrame:
     ])
 
 
+# Types of front matter fields, and the order of severities.
+FIELD_TYPES = {
+    "title": "string", "summary": "string", "source_id": "string", "raw_path": "string", "source_hash": "string", "origin": "string", "normalized_path": "string",
+    "compiled_at": "date", "ingested_at": "date", "tags": "list", "type": "string", "question": "string", "saved_at": "date", "citations": "list",
+    "insufficient_evidence": "bool", "claim_count": "int", "citation_count": "int", "claims": "list", "provider_citations": "list", "generated_at": "date",
+    "generator": "string", "source_pages": "list", "topic_terms": "list", "key_points": "list", "open_questions": "list", "title_suggestion": "string", "agent": "string", "run_id": "string",
+}
+SEVERITIES = ["suggestion", "warning", "error"]
+# Patterns of values as YAML reads them, in this order; they serve Spark and SQL.
+VALUE_KINDS = [
+    ("string", r"""^("[^"]*"|'[^']*')$"""), ("list", r"^\[.*\]$"), ("dict", r"^\{.*\}$"), ("null", r"^(|~|null|Null|NULL)$"), ("bool", r"^(?i:true|false|yes|no|on|off)$"), ("int", r"^[-+]?[0-9][0-9_]*$"),
+    ("float", r"^[-+]?([0-9]*\.[0-9]+|[0-9]+\.)([eE][-+]?[0-9]+)?$"), ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([Tt ].*)?$"),
+]
+_NO_LINE = r"^([ \t].*|#.*|- .*|-|[A-Za-z_][\w-]*:([ \t].*)?|)$"
+_OPEN = r"^[^:]+:[ \t]*(\[[^\]]*|\{[^}]*|\"[^\"]*|'[^']*)$"
+
+
+def fields(pages: DataFrame) -> DataFrame:
+    """page_id, pos, name, value, kind of the top-level fields of front matter (page_id, text), as YAML would read them."""
+    lines = pages.select("page_id", F.split(frontmatter(F.col("text")), "\n").alias("lines")).where("lines is not null")
+    each = lines.select("page_id", F.posexplode("lines").alias("pos", "line"), "lines").withColumn("after", F.coalesce(F.get("lines", F.col("pos") + 1), F.lit(""))).where(F.col("line").rlike(r"^[A-Za-z_][\w-]*:"))
+    value = F.regexp_replace(F.trim(F.regexp_extract("line", r"^[^:]+:(.*)$", 1)), r"\s+#.*$", "")
+    x = each.select("page_id", "pos", F.regexp_extract("line", r"^([^:]+):", 1).alias("name"), value.alias("value"), "after")
+    kind = F.when((F.col("value") == "") & F.col("after").rlike(r"^\s*- "), "list").when((F.col("value") == "") & F.col("after").rlike(r"^\s+\S+:"), "dict")
+    for name, pattern in VALUE_KINDS:
+        kind = kind.when(F.col("value").rlike(pattern), name)
+    return x.select("page_id", "pos", "name", "value", kind.otherwise("string").alias("kind"))
+
+
+def field_rules(pages: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+    """Issues of front matter (page_id, text): lines that no field has, fields of another type than theirs, dates that aren't ISO dates."""
+    types = FIELD_TYPES if types is None else types
+    wanted = pages.sparkSession.createDataFrame(list(types.items()), "name string, wanted string")  # one row a field
+    x = fields(pages).join(F.broadcast(wanted), "name")
+    lines = pages.select("page_id", F.split(frontmatter(F.col("text")), "\n").alias("lines")).where("lines is not null")
+    bad = lines.where(F.exists("lines", lambda v: ~v.rlike(_NO_LINE) | v.rlike(_OPEN)))
+    return reduce(DataFrame.unionByName, [
+        issues(bad, "error", "invalid-frontmatter-yaml", "The front matter can't be read."),
+        issues(x.where((F.col("wanted") != "date") & (F.col("wanted") != F.col("kind"))), "warning", "invalid-field-type", F.concat(F.lit("Field "), "name", F.lit(" should be of type "), "wanted", F.lit(", not "), "kind")),
+        issues(x.where((F.col("wanted") == "date") & ~F.col("value").rlike(r"""^["']?[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:[0-9]{2}(:[0-9]{2})?)?""")), "warning", "invalid-date-format", F.concat(F.lit("Field "), "name", F.lit(" isn't an ISO date: "), "value")),
+    ])
+
+
+def link_rules(pages: DataFrame) -> DataFrame:
+    """Issues of fragments and markdown links of pages (page_id, path, title, text).
+
+    A fragment must be the slug of a heading of its page; relative targets must be the path of a page, resolved against the
+    linking page's folder; links with a scheme are left alone.
+    """
+    anchors = pages.select(F.col("page_id").alias("to"), F.explode(headings(F.col("text"))).alias("h")).select("to", slugify(F.col("h.title")).alias("anchor")).distinct()
+    wiki = pages.select("page_id", F.explode(wikilinks(F.col("text"))).alias("x")).select("page_id", F.trim(F.substring_index("x.target", "#", 1)).alias("target"), F.trim(F.substring(F.col("x.target"), F.instr("x.target", "#") + 1, F.length("x.target"))).alias("fragment"), F.col("x.target").contains("#").alias("has")).where("has and fragment <> ''")
+    by_slug = pages.groupBy(slugify(F.col("title")).alias("key")).agg(F.min("page_id").alias("to"))
+    wiki = wiki.withColumn("key", slugify(F.col("target"))).join(by_slug, "key").select("page_id", "to", "fragment", F.concat(F.lit("[["), "target", F.lit("#"), "fragment", F.lit("]]")).alias("shown"))
+    pattern = r"(?<!!)(?<!\[)\[([^\]]*)\]\(([^)]*)\)"
+    links = pages.select("page_id", "path", F.explode(F.arrays_zip(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(1)).alias("label"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(2)).alias("target"))).alias("x")).select("page_id", "path", "x.label", F.trim("x.target").alias("raw")).distinct()
+    shown = F.concat(F.lit("["), "label", F.lit("]("), "raw", F.lit(")"))
+    clean = F.regexp_replace("raw", r"^<(.*)>$", "$1")
+    clean = F.when(clean.startswith("#"), clean).otherwise(F.substring_index(clean, " ", 1))
+    links = links.withColumn("shown", shown).withColumn("clean", clean).withColumn("destination", F.substring_index("clean", "#", 1)).withColumn("fragment", F.when(F.col("clean").contains("#"), F.regexp_replace("clean", "^[^#]*#", "")).otherwise(""))
+    inner = links.where((F.col("raw") != "") & ~F.col("destination").rlike("^(?i:[a-z][a-z0-9+.-]*):"))
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    steps = F.split(F.when(F.col("destination").startswith("/"), F.col("destination")).otherwise(F.concat(folder, "destination")), "/")
+    there = F.array_join(F.aggregate(F.filter(steps, lambda v: (v != "") & (v != ".")), F.expr("cast(array() as array<string>)"), lambda acc, v: F.when(v == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(v)))), "/")
+    known = pages.select(F.regexp_replace("path", "^/+", "").alias("there"), F.col("page_id").alias("to"))
+    away = inner.where("destination <> ''").withColumn("there", there).join(known, "there", "left")
+    here = inner.where("destination = ''").withColumn("to", F.col("page_id"))
+    sought = wiki.unionByName(away.where("to is not null and fragment <> ''").select("page_id", "to", "fragment", "shown")).unionByName(here.where("fragment <> ''").select("page_id", "to", "fragment", "shown"))
+    lost = sought.withColumn("anchor", slugify(F.col("fragment"))).join(anchors, ["to", "anchor"], "left_anti")
+    return reduce(DataFrame.unionByName, [
+        issues(lost, "error", "broken-fragment", F.concat(F.lit("No heading for the fragment: "), "shown")),
+        issues(links.where("raw = ''"), "error", "empty-markdown-link", F.concat(F.lit("The link has no target: "), "shown")),
+        issues(away.where("to is null"), "error", "broken-markdown-link", F.concat(F.lit("Link target not found: "), "shown")),
+    ])
+
+
+def source_rules(sources: DataFrame, pages: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Issues of sources (source_id, slug, raw_path, content_hash, compiled_from_hash) against pages (key, the slug of a compiled page)
+    and, where given, files (path) that exist."""
+    same = F.col("compiled_from_hash").eqNullSafe(F.col("content_hash"))
+    out = [
+        issues(sources.where(~same), "warning", "stale-source-page", "The page was compiled from other content.", "source_id"),
+        issues(sources.where(same & F.col("content_hash").isNotNull()).join(pages.select(F.col("key").alias("slug")).distinct(), "slug", "left_anti"), "error", "missing-compiled-page", "The source was compiled, but has no page.", "source_id"),
+    ]
+    if files is not None:
+        out.append(issues(sources.join(files.select(F.col("path").alias("raw_path")).distinct(), "raw_path", "left_anti"), "error", "missing-raw-source", F.concat(F.lit("No such file: "), F.coalesce("raw_path", F.lit(""))), "source_id"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def analysis_rules(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, text) whose front matter says that they are analyses, without citations and not marked as lacking evidence."""
+    of = fields(pages)
+    got = of.groupBy("page_id").agg(*[F.max_by(c, F.when(F.col("name") == n, F.col("pos"))).alias(out) for n, c, out in (("type", "value", "type"), ("insufficient_evidence", "value", "insufficient"), ("citation_count", "value", "count"), ("citations", "value", "citations"), ("citations", "kind", "how"))])
+    listed = F.when((F.col("how") == "list") & (F.col("citations") == ""), 1).when(F.col("how") == "list", F.when(F.trim(F.regexp_replace("citations", r"^\[|\]$", "")) == "", 0).otherwise(1)).otherwise(0)
+    count = F.coalesce(F.when(F.col("count").rlike(r"^[-+]?[0-9]+$"), F.col("count").try_cast("bigint")), listed)
+    bare = F.regexp_replace("type", "^[\"']|[\"']$", "") == "analysis"
+    lacking = F.coalesce(F.lower("insufficient").isin("true", "yes", "on"), F.lit(False))
+    return issues(got.where(bare & ~lacking & (count == 0)), "warning", "analysis-without-citations", "The analysis has no citations and isn't marked as lacking evidence.")
+
+
+def index_rules(entities: DataFrame, relations: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+    """Integrity of an index: entities (id, chunk_ids) and relations (id, source_entity_id, target_entity_id, chunk_ids) without chunks or ends, and reasons (reason) why it is stale."""
+    blank = F.coalesce(F.size("chunk_ids"), F.lit(0)) <= 0
+    out = [issues(entities.where(blank), "warning", "entity-no-source-chunks", "The entity has no source chunks.", "id"), issues(relations.where(blank), "warning", "relation-no-source-chunks", "The relation has no source chunks.", "id"), relation_rules(relations, entities)]
+    if reasons is not None:
+        out.append(issues(reasons.withColumn("id", F.lit("index")), "warning", "index-stale", F.concat(F.lit("The index is stale: "), "reason"), "id"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def gate(found: DataFrame, fail_on: str) -> DataFrame:
+    """One row: the number of issues of this severity or a worse one, and whether there are any."""
+    worse = SEVERITIES[SEVERITIES.index(fail_on) :]
+    return found.agg(F.count_if(F.col("severity").isin(worse)).alias("n")).select("n", (F.col("n") > 0).alias("fails"))
+
+
 def manifest_rules(sources: DataFrame) -> DataFrame:
     """Keys that should be unique and aren't, and required fields that are blank."""
     parts = []
@@ -141,19 +256,37 @@ def term_variants(terms: DataFrame, alike: float = 92.0) -> DataFrame:
     return pairs.where(variant_pair(F.col("term"), F.col("other"))).withColumn("ratio", F.round(ratio_of("term", "other"), 4)).where((F.col("ratio") >= alike) | (F.regexp_replace("term", "-", "") == F.regexp_replace("other", "-", "")))
 
 
-def collocations(pages: DataFrame, least: int = 2) -> DataFrame:
-    """phrase, n, n_pages, llr of neighbouring pairs of tokens met `least` times on as many pages: Dunning's log-likelihood ratio from the marginals."""
-    ts = pages.select("page_id", tokens(F.col("text")).alias("ts"))
-    grams = ts.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ts") - 1, F.lit(1))), lambda i: F.struct(F.get("ts", i - 1).alias("x"), F.get("ts", i).alias("y")))).alias("g")).where("g.y is not null").select("page_id", "g.x", "g.y")
-    pair = grams.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("n_pages")).where((F.col("n") >= least) & (F.col("n_pages") >= least) & (F.col("x") != F.col("y")))
-    total = grams.count()
-    of = lambda c, out: grams.groupBy(c).agg(F.count(F.lit(1)).alias(out))
-    k = pair.join(of("x", "nx"), "x").join(of("y", "ny"), "y")
-    o = [F.col("n"), F.col("nx") - F.col("n"), F.col("ny") - F.col("n"), F.lit(total) - F.col("nx") - F.col("ny") + F.col("n")]
-    rows, cols = [F.col("nx"), F.col("nx"), total - F.col("nx"), total - F.col("nx")], [F.col("ny"), total - F.col("ny"), F.col("ny"), total - F.col("ny")]
-    part = lambda v, r, c: F.when(v > 0, v * F.log(v * total / (r * c))).otherwise(0.0)
-    llr = 2 * (part(o[0], rows[0], cols[0]) + part(o[1], rows[1], cols[1]) + part(o[2], rows[2], cols[2]) + part(o[3], rows[3], cols[3]))
-    return k.select(F.concat_ws(" ", "x", "y").alias("phrase"), "n", "n_pages", F.round(llr, 4).alias("llr"))
+def _grams(pages: DataFrame, size: int) -> DataFrame:
+    """page_id and runs of tokens w0, w1 and so on, in the shared folder: they are counted several times."""
+    ts = pages.select("page_id", tokens(F.col("text")).alias("ts")).where(F.size("ts") >= size)
+    runs = F.transform(F.sequence(F.lit(0), F.size("ts") - size), lambda i: F.struct(*[F.get("ts", i + k).alias(f"w{k}") for k in range(size)]))
+    return materialize(ts.select("page_id", F.explode(runs).alias("g")).select("page_id", "g.*"), "grams")
+
+
+def collocations(pages: DataFrame, least: int = 2, size: int = 2) -> DataFrame:
+    """phrase, n, n_pages, llr of runs of 2 or 3 different tokens met `least` times on as many pages: the log-likelihood ratio against
+    independent tokens, from the counts of each part of the run."""
+    if size not in (2, 3):
+        raise ValueError("runs have 2 or 3 tokens")
+    grams, names = _grams(pages, size), [f"w{k}" for k in range(size)]
+    different = F.size(F.array_distinct(F.array(*names))) == size
+    run = grams.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("n_pages")).where((F.col("n") >= least) & (F.col("n_pages") >= least) & different)
+    total = F.lit(float(grams.count()))
+    of: dict[tuple[int, ...], Column] = {tuple(range(size)): F.col("n"), (): total}
+    for k in range(1, size):
+        for some in itertools.combinations(range(size), k):
+            name, on = "n_" + "".join(map(str, some)), [f"w{i}" for i in some]
+            run = run.join(grams.groupBy(*on).agg(F.count(F.lit(1)).alias(name)), on)
+            of[some] = F.col(name)
+    llr = F.lit(0.0)
+    for cell in itertools.product((True, False), repeat=size):
+        inside = [i for i in range(size) if cell[i]]
+        outside = [i for i in range(size) if not cell[i]]
+        # Runs with exactly these of the tokens at their places, by inclusion and exclusion.
+        seen = reduce(lambda a, b: a + b, [(-1) ** len(more) * of[tuple(sorted([*inside, *more]))] for k in range(len(outside) + 1) for more in itertools.combinations(outside, k)])
+        expected = reduce(lambda a, b: a * b, [of[(i,)] if cell[i] else total - of[(i,)] for i in range(size)]) / reduce(lambda a, b: a * b, [total] * (size - 1))
+        llr = llr + F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    return run.select(F.concat_ws(" ", *names).alias("phrase"), "n", "n_pages", F.round(2 * llr, 4).alias("llr"))
 
 
 # --- queries -------------------------------------------------------------------------------------------------------------
@@ -182,6 +315,40 @@ def lint_relations(spark: SparkSession, folder: str) -> DataFrame:
     return relation_rules(e.where("source_entity_id is not null and target_entity_id is not null"), known)
 
 
+def _paths(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder).withColumn("path", F.concat(slugify(F.col("title")), F.lit(".md")))
+
+
+def lint_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return field_rules(_pages(spark, folder))
+
+
+def lint_links(spark: SparkSession, folder: str) -> DataFrame:
+    return link_rules(_paths(spark, folder))
+
+
+def lint_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest's current rows against the slugs of the pages' titles."""
+    return source_rules(table(spark, folder, "sources").where("removed_at is null"), _pages(spark, folder).select(slugify(F.col("title")).alias("key")))
+
+
+def lint_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis_rules(_pages(spark, folder))
+
+
+def lint_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Entity rows as entities, and each with each of its chunks as a relation to it."""
+    e = table(spark, folder, "extracted_entities")
+    entities = e.select(F.col("row_id").cast("string").alias("id"), "chunk_ids")
+    known = entities.unionByName(table(spark, folder, "light_chunks").select("id", F.array("id").alias("chunk_ids")))
+    relations = e.select(F.col("row_id").cast("string").alias("source_entity_id"), F.explode(F.array_distinct("chunk_ids")).alias("target_entity_id"), "source_ids").select(F.concat_ws("|", "source_entity_id", "target_entity_id").alias("id"), "source_entity_id", "target_entity_id", F.col("source_ids").alias("chunk_ids"))
+    return index_rules(known, relations)
+
+
+def lint_gate(spark: SparkSession, folder: str) -> DataFrame:
+    return gate(lint_pages(spark, folder).unionByName(lint_manifest(spark, folder)), "warning")
+
+
 def lint_counts(spark: SparkSession, folder: str) -> DataFrame:
     every = lint_pages(spark, folder).unionByName(lint_corpus(spark, folder)).unionByName(lint_manifest(spark, folder))
     return every.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
@@ -225,10 +392,14 @@ def concept_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(_pages(spark, folder))
 
 
+def concept_trigrams(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(_pages(spark, folder), size=3)
+
+
 _SLUG = lambda c: f"coalesce(nullif(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled')"
 _LK = rf"""l AS (SELECT page_id, trim(string_split(x, '|')[1]) AS target FROM (SELECT doc_id AS page_id, unnest(regexp_extract_all(text, '\[\[([^\[\]]+)\]\]', 1)) AS x FROM documents))"""
 _TS = f"ts AS (SELECT doc_id AS id, list_sort(list_distinct({TOKENS_SQL.replace('text', 'title')})) AS terms FROM documents)"
-QUERIES = {f.__name__: f for f in (lint_pages, lint_corpus, lint_manifest, lint_relations, lint_counts, lint_inbound, lint_plain_links, review_overlaps, review_classes, concept_components, review_terms, review_variants, concept_collocations)}
+QUERIES = {f.__name__: f for f in (lint_pages, lint_corpus, lint_manifest, lint_relations, lint_fields, lint_links, lint_sources, lint_analysis, lint_index, lint_gate, lint_counts, lint_inbound, lint_plain_links, review_overlaps, review_classes, concept_components, review_terms, review_variants, concept_collocations, concept_trigrams)}
 _PAGE_RULES = rf"""WITH p AS (SELECT doc_id, text, nullif(regexp_extract(text, '(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)', 1), '') AS fm, {HEADINGS_SQL} AS hs FROM documents),
  h AS (SELECT doc_id, unnest(hs).level AS level, unnest(hs).title AS title, generate_subscripts(hs, 1) AS pos FROM p), b AS (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS was FROM h),
  i AS (SELECT 'error' AS severity, 'missing-frontmatter' AS code, doc_id, 'Pages must begin with front matter.' AS message FROM p WHERE fm IS NULL
@@ -265,6 +436,31 @@ ORACLES = {
         q AS (SELECT x, y, n, n_pages, [n, nx - n, ny - n, t - nx - ny + n] AS o, [CAST(nx AS DOUBLE) * ny, nx * (t - ny), (t - nx) * ny, (t - nx) * (t - ny)] AS e, t FROM p JOIN a USING (x) JOIN b USING (y), c)
         SELECT x || ' ' || y AS phrase, n, n_pages, round(2 * list_sum(list_transform(list_zip(o, e), lambda z: CASE WHEN z[1] > 0 THEN z[1] * ln(z[1] * t / z[2]) ELSE 0 END)), 4) AS llr FROM q""",
 }
+_KIND_SQL = "CASE WHEN value = '' AND regexp_matches(after, '^\\s*- ') THEN 'list' WHEN value = '' AND regexp_matches(after, '^\\s+\\S+:') THEN 'dict' " + " ".join(f"WHEN regexp_matches(value, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in VALUE_KINDS) + " ELSE 'string' END"
+_FIELDS = rf"""WITH ls AS (SELECT doc_id, string_split(nullif(regexp_extract(text, '(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)', 1), ''), chr(10)) AS lines FROM documents), l AS (SELECT doc_id, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM ls WHERE lines IS NOT NULL),
+ v AS (SELECT doc_id, pos, regexp_extract(line, '^([^:]+):', 1) AS name, regexp_replace(trim(regexp_extract(line, '^[^:]+:(.*)$', 1)), '\s+#.*$', '') AS value, coalesce(lines[pos + 1], '') AS after FROM l WHERE regexp_matches(line, '^[A-Za-z_][\w-]*:')),
+ f AS (SELECT doc_id, pos, name, value, {_KIND_SQL} AS kind FROM v), ty AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in FIELD_TYPES.items())}) AS t(name, wanted))
+ """
+_QUOTED = lambda p: p.replace("'", "''")
+ORACLES["lint_fields"] = _FIELDS + rf"""SELECT DISTINCT 'error' AS severity, 'invalid-frontmatter-yaml' AS code, CAST(doc_id AS VARCHAR) AS path, 'The front matter can''t be read.' AS message FROM l WHERE NOT regexp_matches(line, '{_QUOTED(_NO_LINE)}') OR regexp_matches(line, '{_QUOTED(_OPEN)}')
+        UNION ALL SELECT 'warning', 'invalid-field-type', CAST(doc_id AS VARCHAR), 'Field ' || name || ' should be of type ' || wanted || ', not ' || kind FROM f JOIN ty USING (name) WHERE wanted <> 'date' AND wanted <> kind
+        UNION ALL SELECT 'warning', 'invalid-date-format', CAST(doc_id AS VARCHAR), 'Field ' || name || ' isn''t an ISO date: ' || value FROM f JOIN ty USING (name) WHERE wanted = 'date' AND NOT regexp_matches(value, '^["'']?[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T[0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}})?)?')"""
+ORACLES["lint_analysis"] = _FIELDS + r"""SELECT 'warning' AS severity, 'analysis-without-citations' AS code, CAST(doc_id AS VARCHAR) AS path, 'The analysis has no citations and isn''t marked as lacking evidence.' AS message
+        FROM (SELECT doc_id, max(value) FILTER (name = 'type') AS ty, max(lower(value)) FILTER (name = 'insufficient_evidence') AS i, max(value) FILTER (name = 'citation_count') AS n, max(value) FILTER (name = 'citations' AND kind = 'list') AS c FROM f GROUP BY 1)
+        WHERE trim(ty, '"' || chr(39)) = 'analysis' AND coalesce(i, '') NOT IN ('true', 'yes', 'on') AND coalesce(TRY_CAST(n AS BIGINT), CASE WHEN c IS NULL OR trim(c, '[] ') = '' AND c <> '' THEN 0 ELSE 1 END) = 0"""
+ORACLES["lint_sources"] = f"""WITH s AS (SELECT * FROM sources WHERE removed_at IS NULL) SELECT 'warning' AS severity, 'stale-source-page' AS code, source_id AS path, 'The page was compiled from other content.' AS message FROM s WHERE compiled_from_hash IS DISTINCT FROM content_hash
+        UNION ALL SELECT 'error', 'missing-compiled-page', source_id, 'The source was compiled, but has no page.' FROM s WHERE compiled_from_hash = content_hash AND slug NOT IN (SELECT {_SLUG("title")} FROM documents)"""
+ORACLES["lint_index"] = """WITH r AS (SELECT CAST(row_id AS VARCHAR) AS s, unnest(list_distinct(chunk_ids)) AS t, source_ids FROM extracted_entities), k AS (SELECT id FROM light_chunks UNION SELECT CAST(row_id AS VARCHAR) FROM extracted_entities)
+        SELECT 'warning' AS severity, 'entity-no-source-chunks' AS code, CAST(row_id AS VARCHAR) AS path, 'The entity has no source chunks.' AS message FROM extracted_entities WHERE coalesce(len(chunk_ids), 0) = 0
+        UNION ALL SELECT 'warning', 'relation-no-source-chunks', s || '|' || t, 'The relation has no source chunks.' FROM r WHERE coalesce(len(source_ids), 0) = 0
+        UNION ALL SELECT 'error', 'dangling-relation', s || '|' || t, 'No such entity: ' || t FROM r WHERE t NOT IN (SELECT id FROM k)"""
+ORACLES["lint_gate"] = f"SELECT count(*) FILTER (severity IN ('warning', 'error')) AS n, count(*) FILTER (severity IN ('warning', 'error')) > 0 AS fails FROM (SELECT severity FROM ({ORACLES['lint_pages']}) UNION ALL SELECT severity FROM ({ORACLES['lint_manifest']}))"
+ORACLES["concept_trigrams"] = f"""WITH t AS (SELECT doc_id, {TOKENS_SQL} AS ts FROM documents), g AS MATERIALIZED (SELECT doc_id, x, y, z FROM (SELECT doc_id, unnest(ts[1:len(ts) - 2]) AS x, unnest(ts[2:len(ts) - 1]) AS y, unnest(ts[3:len(ts)]) AS z FROM t WHERE len(ts) > 2)),
+        p AS (SELECT x, y, z, count(*) AS n, count(DISTINCT doc_id) AS n_pages FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND count(DISTINCT doc_id) >= 2 AND x <> y AND x <> z AND y <> z),
+        a AS (SELECT x, count(*) AS nx FROM g GROUP BY 1), b AS (SELECT y, count(*) AS ny FROM g GROUP BY 1), c AS (SELECT z, count(*) AS nz FROM g GROUP BY 1), ab AS (SELECT x, y, count(*) AS nxy FROM g GROUP BY 1, 2), ac AS (SELECT x, z, count(*) AS nxz FROM g GROUP BY 1, 2), bc AS (SELECT y, z, count(*) AS nyz FROM g GROUP BY 1, 2), m AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM g),
+        q AS (SELECT x, y, z, n, n_pages, t, [n, nxy - n, nxz - n, nyz - n, nx - nxy - nxz + n, ny - nxy - nyz + n, nz - nxz - nyz + n, t - nx - ny - nz + nxy + nxz + nyz - n] AS o,
+          [nx * ny * CAST(nz AS DOUBLE), nx * ny * (t - nz), nx * (t - ny) * nz, (t - nx) * ny * nz, nx * (t - ny) * (t - nz), (t - nx) * ny * (t - nz), (t - nx) * (t - ny) * nz, (t - nx) * (t - ny) * (t - nz)] AS e FROM p JOIN a USING (x) JOIN b USING (y) JOIN c USING (z) JOIN ab USING (x, y) JOIN ac USING (x, z) JOIN bc USING (y, z), m)
+        SELECT x || ' ' || y || ' ' || z AS phrase, n, n_pages, round(2 * list_sum(list_transform(list_zip(o, e), lambda v: CASE WHEN v[1] > 0 THEN v[1] * ln(v[1] * t * t / v[2]) ELSE 0 END)), 4) AS llr FROM q"""
 ORACLES["lint_counts"] = "SELECT severity, code, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT severity, code FROM ({ORACLES[k]})" for k in ("lint_pages", "lint_corpus", "lint_manifest")) + ") GROUP BY 1, 2"
 # Least labels of neighbours, with a jump to the label's own label, as often as these sets need.
 ORACLES["concept_components"] = (

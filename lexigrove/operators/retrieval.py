@@ -328,6 +328,17 @@ def resolve_citations(cited: DataFrame, contexts: DataFrame) -> DataFrame:
     return out.select("query_id", "pos", "cited", F.coalesce("exact", "by_label", "by_path").alias("ref"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("by_label").isNotNull(), "label").when(F.col("by_path").isNotNull(), "path").otherwise("none").alias("how"))
 
 
+def claim_support(answered: DataFrame) -> DataFrame:
+    """answered with support: how far an answer (answer, stale, run_id, input_hash) is known to rest on the index.
+
+    stale-index, no-answer, cited-graph-answer where it cites data, graph-index-answer where run and input are known, else unverified.
+    """
+    blank = F.coalesce(F.regexp_replace("answer", r"(?U)\s+", ""), F.lit("")) == ""
+    known = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    pick = F.when(F.coalesce("stale", F.lit(False)), "stale-index").when(blank, "no-answer").when(F.col("answer").contains("[Data:"), "cited-graph-answer").when(known("run_id") & known("input_hash"), "graph-index-answer")
+    return answered.withColumn("support", pick.otherwise("unverified"))
+
+
 def data_sources(refs: DataFrame, tables: dict[str, DataFrame], units: DataFrame) -> DataFrame:
     """query_id, kind, id, source_id of references (query_id, kind, id) into external tables.
 
@@ -448,6 +459,12 @@ def answer_offline(spark: SparkSession, folder: str) -> DataFrame:
     return answers(x, 3).select("query_id", "answer", F.array_join("citations", "|").alias("citations"))
 
 
+def answer_support(spark: SparkSession, folder: str) -> DataFrame:
+    """The provider's mode stands for the run, the first citation for the input, an error for staleness."""
+    r = table(spark, folder, "rag_samples").select("sample_id", "answer", F.col("error").isNotNull().alias("stale"), F.col("provider_mode").alias("run_id"), F.get("citations", F.lit(0)).alias("input_hash"))
+    return claim_support(r).select("sample_id", "support")
+
+
 def answer_citations(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "rag_samples")
     cited = r.select(F.col("sample_id").alias("query_id"), F.posexplode("citations").alias("pos", "cited"))
@@ -458,10 +475,12 @@ def answer_citations(spark: SparkSession, folder: str) -> DataFrame:
 _LIKE = lambda words: " OR ".join(f"contains(' ' || lower(question) || ' ', '{w}')" for w in words)
 _HITS = lambda words: "array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(' ' || lower(question) || ' ', w)), '|')"
 _ACR = r"list_distinct(regexp_extract_all(regexp_replace(question, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '\b([A-Z]{2,6})\b', 1))"
-QUERIES = {f.__name__: f for f in (route_questions, route_methods, query_keywords, query_entities, search_local, search_drift, search_find, search_global, search_hybrid, answer_offline, answer_citations)}
+QUERIES = {f.__name__: f for f in (route_questions, route_methods, query_keywords, query_entities, search_local, search_drift, search_find, search_global, search_hybrid, answer_offline, answer_support, answer_citations)}
 _STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 _UNIQUE = lambda c: f"list_filter({c}, lambda x, i: list_position(list_transform({c}, lambda y: lower(y)), lower(x)) = i)"
 ORACLES = {
+    "answer_support": """SELECT sample_id, CASE WHEN error IS NOT NULL THEN 'stale-index' WHEN regexp_replace(coalesce(answer, ''), '[\\s\\x{85}\\p{Z}]+', '', 'g') = '' THEN 'no-answer' WHEN contains(answer, '[Data:') THEN 'cited-graph-answer'
+        WHEN coalesce(provider_mode, '') <> '' AND coalesce(citations[1], '') <> '' THEN 'graph-index-answer' ELSE 'unverified' END AS support FROM rag_samples""",
     "query_keywords": rf"""WITH q AS (SELECT item_id AS query_id, list_concat(list_transform(regexp_extract_all(regexp_replace(question, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '\b([A-Z][A-Za-z0-9][A-Za-z0-9\-]*(?:\s+[A-Z][A-Za-z0-9][A-Za-z0-9\-]*){{0,3}})\b', 1), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))),
           regexp_extract_all(regexp_replace(question, '[À-ÖØ-öø-ÿŒœ]', '_', 'g'), '\b([A-Z]{{2,6}})\b', 1)) AS l, regexp_extract_all(lower(question), '[A-Za-z][A-Za-z0-9\-]+') AS ws FROM eval_questions),
         r AS (SELECT query_id, {_UNIQUE("l")} AS low, ws, list_filter(ws, lambda w: w IN ({", ".join(f"'{h}'" for h in THEME_HINTS)})) AS hints FROM q),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -36,9 +37,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, one of our own, and that on one machine alone."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='lexigrove-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -110,3 +113,10 @@ def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
     offsets = df.sparkSession.createDataFrame(starts, "__range int, __start bigint")
     within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return part.withColumn("__n", within).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__n") + F.col("__start")).drop("__range", "__n", "__start")
+
+
+def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Numbers from 1 within each group of keys, in order, also where one group holds most rows: by ranges of keys and order."""
+    part = number_rows(df, [*keys, *order], "__number")
+    first = materialize(part.groupBy(*keys).agg(F.min("__number").alias("__first"), F.count(F.lit(1)).alias("__rows")), "firsts")
+    return join_heavy(part, first, keys, "__rows").withColumn(name, (F.col("__number") - F.col("__first") + 1).cast("bigint")).select(*df.columns, name)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import os
 import random
 from datetime import datetime
@@ -288,3 +289,84 @@ def test_wide_texts_give_all_co_mentions(spark):
     got = {(r.source, r.target): r.weight for r in ex.co_mentions(spark.createDataFrame(rows, "text_id string, node string")).collect()}
     every = [f"n{i:03d}" for i in range(450)]
     assert got == {(a, b): 1.0 if a in every[::150] and b in every[::150] else 0.5 for a, b in itertools.combinations(every, 2)}
+
+
+def found(df):
+    return {(r.code, r.path, r.message) for r in df.collect()}
+
+
+def test_front_matter_and_links(spark):
+    schema = "page_id bigint, path string, title string, text string"
+    pages = spark.createDataFrame([
+        (1, "a/one.md", "One", "---\ntitle: 12\nsummary: \"12\"\ntags: x, y\ncompiled_at: yesterday\ninsufficient_evidence: yes\ncitation_count: 3.5\nclaims:\n- a\n- b\n---\n# Head Ing\n[[Two#No Such]] [[Two#sub part]] [x]() [y](../b/two.md#sub-part) [z](#head-ing) [w](#gone) [v](three.md) [u](https://x.y/z)"),
+        (2, "b/two.md", "Two", "---\ntitle: Two\nbroken line\n---\n## Sub part\n[a](../a/one.md \"hint\") [b](../a/one.md#nowhere) ![i](no.png)"),
+        (3, "three.md", None, None), (4, "four.md", "Four", "---\ntags: [a\n---\n")], schema)
+    assert found(ql.field_rules(pages)) == {
+        ("invalid-field-type", "1", "Field title should be of type string, not int"), ("invalid-field-type", "1", "Field tags should be of type list, not string"), ("invalid-date-format", "1", "Field compiled_at isn't an ISO date: yesterday"),
+        ("invalid-field-type", "1", "Field citation_count should be of type int, not float"), ("invalid-frontmatter-yaml", "2", "The front matter can't be read."), ("invalid-frontmatter-yaml", "4", "The front matter can't be read."), ("invalid-field-type", "4", "Field tags should be of type list, not string")}
+    assert found(ql.link_rules(pages)) == {
+        ("broken-fragment", "1", "No heading for the fragment: [[Two#No Such]]"), ("empty-markdown-link", "1", "The link has no target: [x]()"), ("broken-fragment", "1", "No heading for the fragment: [w](#gone)"),
+        ("broken-markdown-link", "1", "Link target not found: [v](three.md)"), ("broken-fragment", "2", "No heading for the fragment: [b](../a/one.md#nowhere)")}
+    assert ql.field_rules(pages.limit(0)).count() == 0 and ql.link_rules(pages.limit(0)).count() == 0
+
+
+def test_sources_analyses_and_indexes(spark):
+    sources = spark.createDataFrame([("s1", "one", "r1", "h", "h"), ("s2", "two", "r2", "h", "g"), ("s3", "three", "r3", "h", None), ("s4", "four", None, "k", "k")], "source_id string, slug string, raw_path string, content_hash string, compiled_from_hash string")
+    pages, files = spark.createDataFrame([("one",)], "key string"), spark.createDataFrame([("r1",), ("r2",)], "path string")
+    assert {(c, p) for c, p, _ in found(ql.source_rules(sources, pages, files))} == {("stale-source-page", "s2"), ("stale-source-page", "s3"), ("missing-compiled-page", "s4"), ("missing-raw-source", "s3"), ("missing-raw-source", "s4")}
+    head = "---\ntype: analysis\n"
+    texts = ["---\n", "citations: []\n---\n", "citations: [a]\n---\n", "citations:\n- a\n---\n", "citations: [a]\ncitation_count: 0\n---\n", "insufficient_evidence: true\n---\n"]
+    p = spark.createDataFrame([(i, head + t) for i, t in enumerate(texts)] + [(9, "---\ntype: note\n---\n"), (10, None)], "page_id bigint, text string")
+    assert {x for _, x, _ in found(ql.analysis_rules(p))} == {"0", "1", "4"}
+    entities = spark.createDataFrame([("e1", ["c"]), ("e2", []), ("e3", None)], "id string, chunk_ids array<string>")
+    relations = spark.createDataFrame([("r1", "e1", "e2", ["c"]), ("r2", "e1", "gone", None)], "id string, source_entity_id string, target_entity_id string, chunk_ids array<string>")
+    reasons = spark.createDataFrame([("prompt changed", 1)], "reason string, n bigint")
+    rows = ql.index_rules(entities, relations, reasons)
+    assert {(c, x) for c, x, _ in found(rows)} == {("entity-no-source-chunks", "e2"), ("entity-no-source-chunks", "e3"), ("relation-no-source-chunks", "r2"), ("dangling-relation", "r2"), ("index-stale", "index")}
+    assert tuple(ql.gate(rows, "error").first()) == (1, True) and tuple(ql.gate(rows.limit(0), "suggestion").first()) == (0, False)
+
+
+def test_plans(spark):
+    schema = "source_id string, content_hash string"
+    new = spark.createDataFrame([("a", "1"), ("b", "2")], schema)
+    old = spark.createDataFrame([("a", "1"), ("c", "3")], schema)
+    for was, force, kept in (({"p": "x"}, False, True), ({"p": "y"}, False, False), ({"p": "x"}, True, False), (None, False, False)):
+        status, keep = inc.plan(old, new, {"p": "x"}, was, force)
+        assert keep == kept and {tuple(r) for r in status.collect()} == {("a", "unchanged"), ("b", "new"), ("c", "missing")}
+    assert {r.status for r in inc.plan(None, new, {}, None)[0].collect()} == {"new"}
+    assert {tuple(r) for r in inc.stale_reasons(status, {"p": "x", "q": "1"}, {"p": "y"}).collect()} == {("new sources", 1), ("missing sources", 1), ("p changed", 1)}
+    assert {r.reason for r in inc.stale_reasons(status.limit(0), {}, None).collect()} == {"index not built"}
+    base = {"run_index": True, "force": False, "documents": 3, "requested": "auto", "last_success": True, "output": "complete", "has_metadata": True, "config_changed": False, "input_changed": False}
+    cases = [({"run_index": False}, "input-only", None), ({"documents": 0}, "skip", None), ({"force": True, "requested": "standard-update"}, "index", "standard"), ({"force": True}, "index", "fast"), ({"requested": "fast-update", "output": "partial"}, "index", "fast"), ({"requested": "fast-update"}, "index", "fast-update"), ({"last_success": False}, "index", "fast-update"), ({"last_success": False, "output": "missing"}, "index", "fast"), ({"output": None}, "index", "fast"), ({"has_metadata": None}, "index", "fast"), ({"config_changed": True, "input_changed": True}, "index", "fast"), ({"input_changed": True}, "index", "fast-update"), ({"last_success": None}, "skip", None)]
+    states = spark.createDataFrame([tuple({"id": i} | base | c)[0:0] + tuple(({"id": i} | base | c).values()) for i, (c, _, _) in enumerate(cases)], "id int, run_index boolean, force boolean, documents int, requested string, last_success boolean, output string, has_metadata boolean, config_changed boolean, input_changed boolean")
+    assert [(r.action, r.method) for r in inc.index_action(states).orderBy("id").collect()] == [(a, m) for _, a, m in cases]
+
+
+def test_collocations_of_three(spark):
+    words = "alpha beta gamma delta".split()
+    rng = random.Random(8)
+    pages = [(i, " ".join(rng.choices(words, weights=[4, 2, 1, 1], k=12))) for i in range(30)]
+    got = {r.phrase: r for r in ql.collocations(spark.createDataFrame(pages, "page_id bigint, text string"), size=3).collect()}
+    grams = [(i, *t) for i, x in pages for t in zip(x.split(), x.split()[1:], x.split()[2:], strict=False)]
+    for phrase, r in got.items():
+        w = phrase.split()
+        llr = 0.0
+        for cell in itertools.product((True, False), repeat=3):
+            seen = sum(all((g[k + 1] == w[k]) == cell[k] for k in range(3)) for g in grams)
+            expected = len(grams)
+            for k in range(3):
+                expected *= sum((g[k + 1] == w[k]) == cell[k] for g in grams) / len(grams)
+            llr += seen * math.log(seen / expected) if seen else 0
+        assert r.llr == pytest.approx(2 * llr, abs=1e-3) and r.n == sum(list(g[1:]) == w for g in grams)
+    assert len(got) > 5
+
+
+def test_members_and_links_without_bound(spark):
+    rows = spark.createDataFrame([(i, "Hot name" if i % 3 else f"n{i}", "T", [f"c{i}", f"c{i % 7}", " "]) for i in range(300)], "row_id bigint, name string, type string, chunk_ids array<string>").withColumn("aliases", F.lit(None).cast("array<string>"))
+    groups = spark.createDataFrame([("T", "hot name", "g1"), ("T", "n3", "g2")], "type string, name_key string, group string")
+    got = [(r.group, r.pos, r.value) for r in pf.members(rows, groups, "chunk_ids").collect()]
+    seen = list(dict.fromkeys(v for i in range(300) if i % 3 for v in sorted({f"c{i}", f"c{i % 7}"})))
+    assert [v for g, _, v in sorted(got) if g == "g1"] == seen and sorted(p for g, p, _ in got if g == "g1") == list(range(1, len(seen) + 1))
+    relations = spark.createDataFrame([(f"r{i:03}", "hub", f"e{i}") for i in range(120)] + [("loop", "hub", "hub")], "id string, source_entity_id string, target_entity_id string")
+    links = pf.relation_links(relations).where("entity_id = 'hub'").orderBy("pos").collect()
+    assert [r.relation_id for r in links] == ["loop", *(f"r{i:03}" for i in range(120))] and links[-1].pos == 121

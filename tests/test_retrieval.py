@@ -10,7 +10,7 @@ from lexigrove.operators import evaluation as ev
 from lexigrove.operators import lexical as lx
 from lexigrove.operators.fusion import fused, merge_first_seen
 from lexigrove.operators.graph import components, graph_pagerank_converged, k_hop, label_propagation, modularity, pagerank
-from lexigrove.operators.retrieval import CorpusGraph, Profiles, answers, find, keywords, match_entities, resolve_citations, route, query_entities
+from lexigrove.operators.retrieval import CorpusGraph, Profiles, answers, claim_support, find, keywords, match_entities, resolve_citations, route, query_entities
 from lexigrove.operators.vectors import cosine_top_k
 
 NODES = "node string, kind string, title string, text string, section string, aliases array<string>"
@@ -231,3 +231,9 @@ def test_methods_of_retrieval(spark, small_graph):
     assert {r.method for r in find(small_graph, q, 4, method="basic").collect()} <= {"basic"}
     with pytest.raises(ValueError, match="unknown method"):
         find(small_graph, q, 4, method="nothing")
+
+
+def test_claim_support(spark):
+    rows = [("a", True, "r", "h"), (" \xa0 ", False, "r", "h"), (None, None, None, None), ("see [Data: Entities (1)]", False, None, None), ("a", False, "r", "h"), ("a", None, "r", "")]
+    got = [r.support for r in claim_support(spark.createDataFrame(rows, "answer string, stale boolean, run_id string, input_hash string")).collect()]
+    assert got == ["stale-index", "no-answer", "no-answer", "cited-graph-answer", "graph-index-answer", "unverified"]
