@@ -24,6 +24,30 @@ def first_of_content(rows: DataFrame, content: str, order: list[str]) -> DataFra
     return best.unionByName(rows.where(F.col(content).isNull()))
 
 
+def first_of_either(rows: DataFrame, keys: list[str], order: list[str], rounds: int = 100) -> DataFrame:
+    """Rows that would be taken in one by one, in `order`, where a row is left out if any of its keys is that of a row taken before.
+
+    Null keys don't count; order must settle which row comes first. A row that comes first in all its groups is taken, and those
+    that share a key with it are out; this is repeated among the rest, as often as rows hang on each other by alternating keys.
+    """
+    rest = materialize(rows.select(F.struct(*order).alias("__at"), F.struct("*").alias("__r"), *[F.col(k).cast("string").alias(f"__k{i}") for i, k in enumerate(keys)]), "rest")
+    names, kept = [f"__k{i}" for i in range(len(keys))], None
+    for _ in range(rounds):
+        if rest.isEmpty():
+            return (rest if kept is None else kept).select("__r.*")
+        first = rest
+        for k in names:
+            low = rest.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("__at").alias("__low"), F.count(F.lit(1)).alias("__n"))
+            first = join_heavy(first.where(F.col(k).isNotNull()), materialize(low, "lows"), [k], "__n").where("__at = __low").select(*rest.columns).unionByName(first.where(F.col(k).isNull()))
+        first = materialize(first, "first")
+        kept = first if kept is None else kept.unionByName(first)
+        out = rest.join(first.select("__at"), "__at", "left_anti")
+        for k in names:
+            out = out.join(first.select(k).where(F.col(k).isNotNull()), k, "left_anti")
+        rest = materialize(out.select(*rest.columns), "rest")
+    raise RuntimeError(f"not settled after {rounds} rounds")
+
+
 def changes(old: DataFrame, new: DataFrame, key: str = "source_id", value: str = "content_hash") -> DataFrame:
     """key and status of a full outer comparison: new, missing, changed or unchanged; null hashes are equal to null."""
     a, b = old.select(key, F.col(value).alias("was"), F.lit(True).alias("in_old")), new.select(key, F.col(value).alias("now"), F.lit(True).alias("in_new"))
@@ -223,6 +247,29 @@ def incr_first_of_content(spark: SparkSession, folder: str) -> DataFrame:
     return first_of_content(docs, "content_hash", ["doc_id"])
 
 
+def incr_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest rows in order of coming, each left out if an earlier one has its origin's hash or its content's."""
+    s = table(spark, folder, "sources").select("source_id", F.unix_micros("ingested_at").alias("ingested_us"), "origin_hash", "content_hash").distinct()
+    return first_of_either(s, ["origin_hash", "content_hash"], ["ingested_us", "source_id", "content_hash", "origin_hash"])
+
+
+def incr_table_digest(spark: SparkSession, folder: str) -> DataFrame:
+    return digest(table(spark, folder, "documents").select("doc_id", "title", "page_type"), ["doc_id", "title", "page_type"])
+
+
+def incr_stored_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """Postings by source, brought up to date from those stored when the documents of an earlier time were all there were.
+
+    What is kept comes from the stored table alone: sources whose documents are the same ones with the same texts.
+    """
+    docs = table(spark, folder, "documents").where(F.col("source_id").isNotNull())
+    before = docs.where(F.col("ingested_at") <= F.lit(_CUT).cast("timestamp"))
+    counted = lambda d: LexicalIndex.build(d).postings.join(d.select("doc_id", "source_id"), "doc_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("total"))
+    stored = materialize(counted(before), "stored")
+    state = lambda d: d.groupBy("source_id").agg(F.concat_ws("|", F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)"))).alias("content_hash"))
+    return incremental(stored, changes(state(before), state(docs)), docs, counted)
+
+
 def incr_digest(spark: SparkSession, folder: str) -> DataFrame:
     """Equal for the table and its rows in another order and partitioning."""
     s = table(spark, folder, "sources").select("source_id", "content_hash", "ingested_at")
@@ -265,7 +312,7 @@ def incr_recent_runs(spark: SparkSession, folder: str) -> DataFrame:
 _MAN = f"""WITH o AS (SELECT source_id, arg_max(content_hash, (ingested_at, content_hash)) AS h FROM sources WHERE ingested_at <= TIMESTAMPTZ '{_CUT}+00' AND (removed_at IS NULL OR removed_at > TIMESTAMPTZ '{_CUT}+00') GROUP BY 1),
  n AS (SELECT source_id, arg_max(content_hash, (ingested_at, content_hash)) AS h, arg_max({{'c': compiled_at, 'f': compiled_from_hash}}, (ingested_at, content_hash)) AS r FROM sources WHERE removed_at IS NULL GROUP BY 1),
  st AS (SELECT coalesce(o.source_id, n.source_id) AS source_id, CASE WHEN o.source_id IS NULL THEN 'new' WHEN n.source_id IS NULL THEN 'missing' WHEN o.h IS NOT DISTINCT FROM n.h THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.source_id = n.source_id)"""
-QUERIES = {f.__name__: f for f in (incr_changes, incr_freshness, incr_plan, incr_actions, incr_compile_status, incr_first_of_content, incr_digest, incr_postings, incr_reuse, incr_contributions, incr_replay, incr_unique_slugs, incr_recent_runs)}
+QUERIES = {f.__name__: f for f in (incr_changes, incr_freshness, incr_plan, incr_actions, incr_compile_status, incr_first_of_content, incr_ingest, incr_digest, incr_table_digest, incr_postings, incr_stored_postings, incr_reuse, incr_contributions, incr_replay, incr_unique_slugs, incr_recent_runs)}
 ORACLES = {
     "incr_unique_slugs": """WITH d AS (SELECT doc_id, lower(regexp_replace(string_split(title, ' ')[-1], '[^A-Za-z0-9]+', '', 'g')) AS base FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n FROM d),
         s AS (SELECT *, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM f), t AS (SELECT base, max(n) AS top FROM s WHERE n > 1 AND slug IN (SELECT base FROM d) GROUP BY 1)
@@ -282,6 +329,14 @@ ORACLES = {
         , x AS (SELECT n.source_id, h, cur, CASE WHEN r.c IS NULL OR r.f IS NULL THEN 'new' WHEN cur IS NULL THEN 'missing' WHEN cur <> r.f THEN 'changed' ELSE 'up_to_date' END AS status FROM n LEFT JOIN u USING (source_id))
         SELECT source_id, status, CASE status WHEN 'new' THEN 'not yet compiled' WHEN 'missing' THEN 'normalized source file missing' WHEN 'changed' THEN CASE WHEN cur = h THEN 'source changed since last compile' ELSE 'normalized file changed' END END AS details FROM x""",
     "incr_first_of_content": "SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash, arg_min({'s': source_id}, doc_id).s AS source_id FROM documents GROUP BY text",
+    "incr_table_digest": """WITH h AS (SELECT sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), coalesce(title, chr(0)), coalesce(page_type, chr(0)))) AS h FROM documents),
+        s AS (SELECT count(*) AS n, sum(CAST('0x' || h[1:12] AS HUGEINT)) AS a, sum(CAST('0x' || h[13:24] AS HUGEINT)) AS b FROM h) SELECT n, sha256(n || '|' || CAST(a AS HUGEINT) || '|' || CAST(b AS HUGEINT)) AS digest FROM s""",
+    "incr_stored_postings": f"""WITH p AS (SELECT source_id, doc_id, unnest({TOKENS_SQL}) AS token FROM documents WHERE source_id IS NOT NULL)
+        SELECT source_id, count(DISTINCT doc_id || ' ' || token) AS n, count(*) AS total FROM p GROUP BY 1""",
+    "incr_ingest": """WITH RECURSIVE s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY us, source_id, content_hash, origin_hash NULLS FIRST) AS k FROM (SELECT DISTINCT source_id, epoch_us(ingested_at) AS us, origin_hash, content_hash FROM sources)),
+        t AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS seen, false AS kept UNION ALL
+          SELECT s.k, CASE WHEN f THEN seen ELSE list_concat(seen, ks) END, NOT f FROM (SELECT s.*, t.seen, ks, len(list_intersect(t.seen, ks)) > 0 AS f FROM t JOIN (SELECT *, list_filter(['o' || origin_hash, 'c' || content_hash], lambda x: x IS NOT NULL) AS ks FROM s) s ON s.k = t.k + 1) s)
+        SELECT source_id, us AS ingested_us, origin_hash, content_hash FROM s JOIN t USING (k) WHERE kept""",
     "incr_digest": "SELECT count(*) AS n, true AS equal FROM sources",
     "incr_postings": _MAN + f""", p AS (SELECT source_id, doc_id, unnest({TOKENS_SQL}) AS token FROM documents JOIN st USING (source_id) WHERE status <> 'missing')
         SELECT source_id, count(DISTINCT doc_id || ' ' || token) AS n, count(*) AS total FROM p GROUP BY 1""",

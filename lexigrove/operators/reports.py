@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexigrove.functions.text import first_number, json_payload, number_text, occurrences
 from lexigrove.operators.extraction import _MENTION, build_mentions
 from lexigrove.shared import table
-from lexigrove.sinks.writers import field_list, index_page, pages, relationships_by_entity, top_relationships
+from lexigrove.sinks.writers import answer_pages, field_list, index_page, index_parts, pages, relationships_by_entity, top_relationships
 from lexigrove.sources.readers import html_text, html_title, is_http, suffix_for, unique_violations
 
 
@@ -98,18 +98,32 @@ def export_index(spark: SparkSession, folder: str) -> DataFrame:
     return index_page(table(spark, folder, "documents"), F.col("page_type"), F.col("doc_id").cast("string"), F.col("title"), 20)
 
 
+def export_index_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of all documents by type, 500 links a part."""
+    return index_parts(table(spark, folder, "documents"), F.col("page_type"), F.col("doc_id").cast("string"), F.col("title"), 500)
+
+
+def export_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """A saved page of each answered sample's question, by the file's name and a digest of its text."""
+    r = table(spark, folder, "rag_samples").where("answer is not null").select("sample_id", "question", "answer", "citations", "method")
+    named = answer_pages(r.withColumn("method", F.concat_ws(" ", "method", F.col("sample_id").cast("string"))), "2025-01-01")
+    return named.select("file", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 def report_title_mentions(spark: SparkSession, folder: str) -> DataFrame:
     """How often each document names its own title's first word."""
     first = F.lower(F.regexp_extract("title", r"^(\S+)", 1))
     return table(spark, folder, "documents").select("doc_id", occurrences(F.lower("text"), first).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (report_status, report_units, report_errors, report_tiers, report_html, report_origins, report_events, report_unique, export_relationships, export_by_entity, export_cards, export_index, report_title_mentions)}
+QUERIES = {f.__name__: f for f in (report_status, report_units, report_errors, report_tiers, report_html, report_origins, report_events, report_unique, export_relationships, export_by_entity, export_cards, export_index, export_index_parts, export_answers, report_title_mentions)}
 ORACLES = {
     "report_units": f"""WITH {_MENTION}, u AS (SELECT DISTINCT source_id, unit_index, normalized_path, len(text) AS n FROM text_units), b AS (SELECT normalized_path, count(*) AS n_units, CAST(sum(n) AS BIGINT) AS n_chars FROM u GROUP BY 1),
         e AS (SELECT normalized_path, count(DISTINCT node) AS n_entities FROM u LEFT JOIN m ON m.text_id = u.source_id || '#' || u.unit_index GROUP BY 1) SELECT * FROM b JOIN e USING (normalized_path)""",
     "export_index": """WITH x AS (SELECT page_type AS g, doc_id, title, row_number() OVER (PARTITION BY page_type ORDER BY lower(title), CAST(doc_id AS VARCHAR)) AS k FROM documents)
         SELECT g AS "group", count(*) AS n, string_agg('- [[' || doc_id || '|' || title || ']]', chr(10) ORDER BY k) FILTER (k <= 20) AS text FROM x GROUP BY 1""",
+    "export_index_parts": """WITH x AS (SELECT page_type AS g, doc_id, title, row_number() OVER (PARTITION BY page_type ORDER BY lower(title), CAST(doc_id AS VARCHAR)) AS k, count(*) OVER (PARTITION BY page_type) AS n FROM documents)
+        SELECT g AS "group", (k - 1) // 500 + 1 AS part, n, string_agg('- [[' || doc_id || '|' || title || ']]', chr(10) ORDER BY k) AS text FROM x GROUP BY ALL""",
     "report_status": """SELECT count(*) AS n_rows, count(DISTINCT source_id) AS n_sources, count(compiled_at) AS n_compiled, count(removed_at) AS n_removed, epoch_us(max(compiled_at)) AS last_compiled_us,
         (SELECT count(*) FROM (SELECT DISTINCT source_id, unit_index FROM text_units)) AS n_units, (SELECT count(DISTINCT id) FROM light_chunks) AS n_chunks, (SELECT CAST(sum(token_count) AS BIGINT) FROM light_chunks) AS n_tokens FROM sources""",
     "report_errors": "SELECT coalesce(error, 'none') AS status, count(*) AS n FROM rag_samples GROUP BY 1",

@@ -118,5 +118,7 @@ def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
 def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Numbers from 1 within each group of keys, in order, also where one group holds most rows: by ranges of keys and order."""
     part = number_rows(df, [*keys, *order], "__number")
-    first = materialize(part.groupBy(*keys).agg(F.min("__number").alias("__first"), F.count(F.lit(1)).alias("__rows")), "firsts")
-    return join_heavy(part, first, keys, "__rows").withColumn(name, (F.col("__number") - F.col("__first") + 1).cast("bigint")).select(*df.columns, name)
+    of = [F.xxhash64(*keys, *[F.col(k).isNull() for k in keys]).alias("__of")]  # nulls are a group like others
+    part = materialize(part.select("*", *of), "numbered")
+    first = materialize(part.groupBy("__of").agg(F.min("__number").alias("__first"), F.count(F.lit(1)).alias("__rows")), "firsts")
+    return join_heavy(part, first, ["__of"], "__rows").withColumn(name, (F.col("__number") - F.col("__first") + 1).cast("bigint")).select(*df.columns, name)

@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigrove.functions.text import one_line, slugify
+from lexigrove.shared import numbered_within
+
 MAX_RELATIONSHIPS, PER_ENTITY = 500, 50
 
 
@@ -166,6 +169,28 @@ def index_page(rows: DataFrame, group: Column, link: Column, title: Column, most
     return x.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, "\n").alias("text"))
 
 
+def index_parts(rows: DataFrame, group: Column, link: Column, title: Column, per_page: int = 1000) -> DataFrame:
+    """group, part, n, text: the whole index of each group in order of the title, in parts of per_page links; n is the number of all."""
+    x = numbered_within(rows.select(group.alias("group"), F.lower(title).alias("low"), link.alias("link"), title.alias("title")), ["group"], ["low", "link"], "k")
+    x = x.withColumn("part", F.floor((F.col("k") - 1) / per_page) + 1)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("k", "link", "title"))), lambda r: F.concat(F.lit("- [["), r["link"], F.lit("|"), F.coalesce(r["title"], r["link"]), F.lit("]]")))
+    parts = x.groupBy("group", "part").agg(F.array_join(lines, "\n").alias("text"))  # per_page links
+    sizes = x.groupBy("group").agg(F.max("k").alias("n"))
+    return parts.join(sizes, parts["group"].eqNullSafe(sizes["group"])).select(parts["group"], "part", "n", "text")
+
+
+def answer_pages(answers: DataFrame, saved_at: str) -> DataFrame:
+    """file, text of a saved page for each answer (question, answer, citations, method): front matter with its provenance, the answer, and its citations as a list."""
+    slug = F.concat(F.slice(F.split(slugify(F.col("question")), "-"), 1, 10), F.array(F.substring(F.md5("question"), 1, 6)))
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(one_line(c), r'(["\\\\])', r"\\$1"), F.lit('"'))
+    cited = F.coalesce("citations", F.expr("cast(array() as array<string>)"))
+    head = F.concat(
+        F.lit("---\ntype: analysis\ntitle: "), quoted(F.col("question")), F.lit("\nquestion: "), quoted(F.col("question")), F.lit(f"\nsaved_at: {saved_at}\nmethod: "), F.coalesce("method", F.lit("")),
+        F.lit("\ncitation_count: "), F.size(cited).cast("string"), F.lit("\ninsufficient_evidence: "), F.when(F.trim(F.coalesce("answer", F.lit(""))) == "", "true").otherwise("false"), F.lit("\n---\n"))
+    listed = F.when(F.size(cited) > 0, F.concat(F.lit("\n\n## Citations\n\n"), F.array_join(F.transform(cited, lambda c: F.concat(F.lit("- "), c)), "\n"))).otherwise("")
+    return answers.select(F.concat(F.lit("analysis/"), F.array_join(slug, "-"), F.lit(".md")).alias("file"), F.concat(head, F.lit("\n# "), one_line(F.col("question")), F.lit("\n\n"), F.trim(F.coalesce("answer", F.lit(""))), listed, F.lit("\n")).alias("text"))
+
+
 def records_json(sources: DataFrame, texts: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
     """source_id, record: JSON of each source with its text, where that isn't over the size guard."""
     x = sources.join(texts.select("source_id", "text"), "source_id").where(F.octet_length("text") <= most_bytes)

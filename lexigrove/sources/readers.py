@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -123,7 +124,7 @@ def discover(spark: SparkSession, folder: str, excluded: tuple[str, ...] = (".gi
 
 
 def convert(files: DataFrame, converters: dict[str, Callable[[bytes], str | None]]) -> DataFrame:
-    """path, text, converter: contents (path, converter, content) by the hook of its converter; the text hook decodes. Failures give null."""
+    """path, text, converter: contents (path, converter, content) by the hook of its converter, else by its suffix where the standard library reads it; the text hook decodes. Failures give null."""
     hooks = {"text": lambda b: b.decode("utf-8", "replace")} | converters
 
     def run(frames):
@@ -131,7 +132,8 @@ def convert(files: DataFrame, converters: dict[str, Callable[[bytes], str | None
             out = []
             for path, kind, content in zip(f["path"], f["converter"], f["content"], strict=True):
                 try:
-                    text = hooks[kind](bytes(content)) if kind in hooks else None
+                    hook = hooks.get(kind) or BY_SUFFIX.get(os.path.splitext(path)[1].lower())
+                    text = hook(bytes(content)) if hook else None
                 except Exception:  # noqa: BLE001 - a hook's failure is that file's alone
                     text = None
                 out.append((path, text, kind))
@@ -140,6 +142,115 @@ def convert(files: DataFrame, converters: dict[str, Callable[[bytes], str | None
     return files.select("path", "converter", "content").mapInPandas(run, "path string, text string, converter string")
 
 
+def _xml_text(content: bytes, member: str, row: str, cell: str) -> list[str]:
+    """Texts of the cells in each row of the members of a zipped XML document, by local names of the elements."""
+    import zipfile
+    from io import BytesIO
+    from xml.etree import ElementTree
+
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    out = []
+    with zipfile.ZipFile(BytesIO(content)) as z:
+        names = sorted((n for n in z.namelist() if re.fullmatch(member, n)), key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)])
+        for name in names:
+            for e in ElementTree.fromstring(z.read(name)).iter():
+                if local(e) == row:
+                    out.append("".join(c.text or "" for c in e.iter() if local(c) == cell))
+    return out
+
+
+def _docx(b: bytes) -> str:
+    return "\n\n".join(x for x in _xml_text(b, r"word/document\.xml", "p", "t") if x.strip())
+
+
+def _pptx(b: bytes) -> str:
+    return "\n\n".join(x for x in _xml_text(b, r"ppt/slides/slide\d+\.xml", "p", "t") if x.strip())
+
+
+def _plain_html(b: bytes) -> str:
+    import html
+
+    t = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", b.decode("utf-8", "replace"))
+    t = re.sub(r"(?is)<(?:/p|/h[1-6]|/div|/li|/tr|br\s*/?)>", "\n\n", t)
+    return "\n\n".join(x for x in (re.sub(r"\s+", " ", html.unescape(re.sub(r"(?s)<[^>]+>", " ", p))).strip() for p in t.split("\n\n")) if x)
+
+
+def _epub(b: bytes) -> str:
+    import zipfile
+    from io import BytesIO
+
+    with zipfile.ZipFile(BytesIO(b)) as z:
+        return "\n\n".join(_plain_html(z.read(n)) for n in sorted(z.namelist()) if n.lower().endswith((".xhtml", ".html", ".htm")))
+
+
+def _table_markdown(rows: list[list[str]]) -> str:
+    width = max(map(len, rows), default=0)
+    line = lambda r: "| " + " | ".join(re.sub(r"\s+", " ", x).replace("|", "\\|").strip() for x in [*r, *[""] * (width - len(r))]) + " |"
+    return "\n".join([line(rows[0]), "|" + " --- |" * width, *map(line, rows[1:])]) if rows else ""
+
+
+def _csv(b: bytes) -> str:
+    import csv
+    from io import StringIO
+
+    return _table_markdown([r for r in csv.reader(StringIO(b.decode("utf-8-sig", "replace"))) if r])
+
+
+def _xlsx(b: bytes) -> str:
+    import zipfile
+    from io import BytesIO
+    from xml.etree import ElementTree
+
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    try:
+        shared = _xml_text(b, r"xl/sharedStrings\.xml", "si", "t")
+    except KeyError:
+        shared = []
+    parts = []
+    with zipfile.ZipFile(BytesIO(b)) as z:
+        for name in sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n).group())):
+            rows = []
+            for row in (e for e in ElementTree.fromstring(z.read(name)).iter() if local(e) == "row"):
+                cells = []
+                for c in (e for e in row if local(e) == "c"):
+                    v = "".join(x.text or "" for x in c.iter() if local(x) in ("v", "t"))
+                    cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
+                if any(cells):
+                    rows.append(cells)
+            parts.append(_table_markdown(rows))
+    return "\n\n".join(p for p in parts if p)
+
+
+def _notebook(b: bytes) -> str:
+    import json
+
+    out = []
+    for cell in json.loads(b).get("cells", []):
+        text = "".join(cell.get("source", []))
+        if text.strip():
+            out.append(text if cell.get("cell_type") == "markdown" else f"```\n{text}\n```")
+    return "\n\n".join(out)
+
+
+#: Converters by suffix that need nothing but the standard library; PDFs and images need a hook.
+BY_SUFFIX: dict[str, Callable[[bytes], str]] = {".docx": _docx, ".pptx": _pptx, ".html": _plain_html, ".htm": _plain_html, ".epub": _epub, ".csv": _csv, ".xlsx": _xlsx, ".ipynb": _notebook}
+
+
+def first_text(*converters: Callable[[bytes], str | None]) -> Callable[[bytes], str | None]:
+    """A converter that tries several in turn and gives the first text that isn't blank."""
+
+    def convert_one(content: bytes) -> str | None:
+        for c in converters:
+            try:
+                if (text := c(content)) and text.strip():
+                    return text
+            except Exception:  # noqa: BLE001 - the next may read it
+                continue
+        return None
+
+    return convert_one
+
+
 def acceptable(text: Column, pages: Column | None = None) -> Column:
     """Whether a converted text is worth keeping: 20 characters or more, five words or a blank line's worth of paragraphs, 60 characters a page."""
     t = F.trim(F.coalesce(text, F.lit("")))

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import io
 import itertools
 import json
 import math
 import os
 import random
+import zipfile
 from datetime import datetime
 
 import pytest
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from lexigrove.functions.fuzzy import token_sort_ratio
 from lexigrove.operators import chunking as ch
 from lexigrove.operators import extraction as ex
+from lexigrove.operators import graph as gr
 from lexigrove.operators import incremental as inc
 from lexigrove.operators import profiles as pf
 from lexigrove.operators import quality as ql
@@ -370,3 +373,65 @@ def test_members_and_links_without_bound(spark):
     relations = spark.createDataFrame([(f"r{i:03}", "hub", f"e{i}") for i in range(120)] + [("loop", "hub", "hub")], "id string, source_entity_id string, target_entity_id string")
     links = pf.relation_links(relations).where("entity_id = 'hub'").orderBy("pos").collect()
     assert [r.relation_id for r in links] == ["loop", *(f"r{i:03}" for i in range(120))] and links[-1].pos == 121
+
+
+def test_first_of_either_is_that_of_going_through_the_rows(spark):
+    rng = random.Random(6)
+    for hot in (False, True):
+        rows = [(i, rng.choice([None, "hot" if hot and i % 3 == 0 else f"o{rng.randrange(60)}"]), f"c{rng.randrange(70)}") for i in range(200)]
+        seen, expected = (set(), set()), []
+        for i, o, c in rows:
+            if o in seen[0] or c in seen[1]:
+                continue
+            seen[0].update({o} - {None})
+            seen[1].add(c)
+            expected.append(i)
+        df = spark.createDataFrame(rng.sample(rows, len(rows)), "i int, o string, c string")
+        assert sorted(r.i for r in inc.first_of_either(df, ["o", "c"], ["i"]).collect()) == expected
+    assert inc.first_of_either(df.limit(0), ["o", "c"], ["i"]).count() == 0
+
+
+KARATE = "1-2 1-3 2-3 1-4 2-4 3-4 1-5 1-6 1-7 5-7 6-7 1-8 2-8 3-8 4-8 1-9 3-9 3-10 1-11 5-11 6-11 1-12 1-13 4-13 1-14 2-14 3-14 4-14 6-17 7-17 1-18 2-18 1-20 2-20 1-22 2-22 24-26 25-26 3-28 24-28 25-28 3-29 24-30 27-30 2-31 9-31 1-32 25-32 26-32 29-32 3-33 9-33 15-33 16-33 19-33 21-33 23-33 24-33 30-33 31-33 32-33 9-34 10-34 14-34 15-34 16-34 19-34 20-34 21-34 23-34 24-34 27-34 28-34 29-34 30-34 31-34 32-34 33-34"
+
+
+def test_louvain(spark):
+    edges = spark.createDataFrame([(*e.split("-"), 1.0) for e in KARATE.split()], "source string, target string, weight double")
+    got = gr.louvain(edges)
+    assert got.count() == 34 and gr.modularity(edges, got).first().modularity >= 0.39  # a sequential pass reaches .39 to .42
+    assert all(min(c) == k for k, c in ((k, [r.node for r in got.collect() if r.community == k]) for k in {r.community for r in got.collect()}))
+    cliques = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abcd" for i in range(5) for j in range(i)] + [("a0", "b0", 1.0), ("b1", "c0", 1.0), ("c1", "d0", 1.0), ("z", "z", 2.0), (None, "q", 1.0)]
+    by = {r.node: r.community for r in gr.louvain(spark.createDataFrame(cliques, "source string, target string, weight double")).collect()}
+    assert {k: {n for n in by if by[n] == k} for k in set(by.values())} == {f"{g}0": {f"{g}{i}" for i in range(5)} for g in "abcd"} | {"z": {"z"}}
+    assert gr.louvain(edges.limit(0)).count() == 0
+
+
+def test_converters(spark, tmp_path):
+    def packed(**members):
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w") as z:
+            for name, text in members.items():
+                z.writestr(name.replace("__", "/"), text)
+        return b.getvalue()
+
+    w = 'xmlns:w="w"'
+    sheet = '<worksheet><sheetData><row><c t="s"><v>0</v></c><c><v>2</v></c></row><row><c t="inlineStr"><is><t>a|b</t></is></c></row></sheetData></worksheet>'
+    rows = [
+        ("a.docx", "ocr", packed(**{"word__document.xml": f"<w:d {w}><w:p><w:r><w:t>One</w:t><w:t> line</w:t></w:r></w:p><w:p/><w:p><w:t>Two</w:t></w:p></w:d>"})),
+        ("b.pptx", "ocr", packed(**{"ppt__slides__slide10.xml": f"<w:d {w}><w:p><w:t>Ten</w:t></w:p></w:d>", "ppt__slides__slide2.xml": f"<w:d {w}><w:p><w:t>Two</w:t></w:p></w:d>"})),
+        ("c.html", "html", b"<style>x</style><p>A &amp; b</p><script>y</script><p>c</p>"), ("d.csv", "table", b"\xef\xbb\xbfh,i\n1,\"a|b\"\n\n"), ("e.ipynb", "table", json.dumps({"cells": [{"cell_type": "markdown", "source": ["# T"]}, {"cell_type": "code", "source": "x = 1"}]}).encode()),
+        ("f.xlsx", "table", packed(**{"xl__sharedStrings.xml": "<sst><si><t>na</t><t>me</t></si></sst>", "xl__worksheets__sheet1.xml": sheet})), ("g.epub", "table", packed(**{"c1.xhtml": "<p>Chapter</p>"})), ("h.docx", "ocr", b"broken"), ("i.pdf", "ocr", b"%PDF"), ("j.md", "text", b"# M")]
+    df = spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in rows], "path string, converter string, content binary")
+    assert {r.path: r.text for r in rd.convert(df, {}).collect()} == {
+        "a.docx": "One line\n\nTwo", "b.pptx": "Two\n\nTen", "c.html": "A & b\n\nc", "d.csv": "| h | i |\n| --- | --- |\n| 1 | a\\|b |", "e.ipynb": "# T\n\n```\nx = 1\n```", "f.xlsx": "| name | 2 |\n| --- | --- |\n| a\\|b |  |", "g.epub": "Chapter", "h.docx": None, "i.pdf": None, "j.md": "# M"}
+    tried = rd.first_text(lambda b: 1 / 0, lambda b: " ", lambda b: "text")
+    assert {r.path: r.text for r in rd.convert(df.where("path = 'i.pdf'"), {"ocr": tried}).collect()} == {"i.pdf": "text"} and rd.first_text()(b"") is None
+
+
+def test_index_parts_and_saved_answers(spark):
+    rows = spark.createDataFrame([(i, f"T{i % 7}" if i else None, "g" if i % 10 else None) for i in range(95)], "id int, title string, g string")
+    got = wr.index_parts(rows, F.col("g"), F.col("id").cast("string"), F.col("title"), 20).collect()
+    assert {(r.group, r.part, r.n, len(r.text.split("\n"))) for r in got} == {("g", 1, 85, 20), ("g", 2, 85, 20), ("g", 3, 85, 20), ("g", 4, 85, 20), ("g", 5, 85, 5), (None, 1, 10, 10)}
+    a = spark.createDataFrame([('Is "this" so?', "Yes.", ["a.md#chunk-1"], "local"), ("Why?", None, None, None)], "question string, answer string, citations array<string>, method string")
+    one, two = sorted(wr.answer_pages(a, "2025-01-01").collect(), key=lambda r: r.file)
+    assert one.file.startswith("analysis/is-this-so-") and 'title: "Is \\"this\\" so?"' in one.text and one.text.endswith("# Is \"this\" so?\n\nYes.\n\n## Citations\n\n- a.md#chunk-1\n")
+    assert "citation_count: 0\ninsufficient_evidence: true" in two.text and ql.analysis_rules(wr.answer_pages(a, "2025-01-01").select(F.lit(1).alias("page_id"), "text")).count() == 0
