@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigrove.functions.fuzzy import common_length
 from lexigrove.functions.text import mentions_insufficient, normalize_identifier, unicode_words
 from lexigrove.operators import lexical as lx
 from lexigrove.shared import table
@@ -61,12 +62,7 @@ def rouge_l(prediction: pd.Series, reference: pd.Series) -> pd.Series:
 
     def score(a: str | None, b: str | None) -> float:
         x, y = re.findall(r"\w+", (a or "").lower()), re.findall(r"\w+", (b or "").lower())
-        row = [0] * (len(y) + 1)
-        for w in x:
-            diagonal = 0
-            for j, v in enumerate(y, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if w == v else max(row[j], row[j - 1])
-        n = row[-1]
+        n = common_length(x, y)
         return 2 * n / (len(x) + len(y)) if n else 0.0
 
     return pd.Series([score(a, b) for a, b in zip(prediction, reference, strict=True)])
@@ -115,14 +111,16 @@ def percentile_ci(values: list[float], n_boot: int = 1000, seed: int = 0, alpha:
     return mean, means[int(alpha / 2 * n_boot)], means[min(n_boot - 1, int((1 - alpha / 2) * n_boot))]
 
 
-def bootstrap(melted: DataFrame, by: list[str], n_boot: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def bootstrap(melted: DataFrame, by: list[str], n_boot: int = 200, seed: int = 0, alpha: float = 0.05, unit: list[str] | None = None) -> DataFrame:
     """Mean and bootstrap interval of each metric in each group, at any size: every row draws a Poisson weight for each resample.
 
-    The weights come from a hash of (seed, resample, row), so that resamples are summed by partial aggregation, no group is
-    gathered in one place and a rerun gives the same. percentile_ci() is the exact resampling for a single small group.
+    The weights come from a hash of (seed, resample, metric, unit), so that resamples are summed by partial aggregation, no group
+    is gathered in one place and a rerun gives the same. unit: columns that tell the drawn units apart (by default all); rows
+    that agree in them are drawn together. percentile_ci() is the exact resampling for a single small group.
     """
     key = [*by, "metric"]
-    u = lambda b: F.pmod(F.xxhash64(F.lit(seed), b, *melted.columns), F.lit(1 << 52)) / float(1 << 52)
+    of = melted.columns if unit is None else ["metric", *unit]
+    u = lambda b: F.pmod(F.xxhash64(F.lit(seed), b, *of), F.lit(1 << 52)) / float(1 << 52)
     # The inverse of the Poisson(1) distribution function.
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
     rows = melted.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
@@ -233,6 +231,12 @@ ORACLES = {
     "eval_retrieval_summary": _REL + """, u AS (SELECT split, unnest(['recall', 'precision', 'hit', 'mrr', 'ndcg']) AS metric, unnest([recall, precision, hit, mrr, ndcg]) AS value FROM o)
         SELECT split, metric, count(value) AS n, round(avg(value), 6) AS mean FROM u GROUP BY 1, 2 HAVING count(value) > 0""",
     "eval_citations": _CITED + " SELECT sample_id, n_citations, n_valid, round(validity, 6) AS validity, grounded, refusal_correct FROM z",
+    # Rows of the table of common subsequences, word by word of the answer; a row grows from the left, so that a running maximum fills it.
+    "eval_rouge_l": f"""WITH RECURSIVE w AS MATERIALIZED (SELECT sample_id, {_WORDS("answer")} AS p, {_WORDS("retrieved_contexts[1].text")} AS r FROM rag_samples), c AS MATERIALIZED (SELECT sample_id, unnest(r) AS word, generate_subscripts(r, 1) AS j FROM w), a AS MATERIALIZED (SELECT sample_id, unnest(p) AS word, generate_subscripts(p, 1) AS i FROM w),
+        d AS (SELECT sample_id, 0::BIGINT AS i, j, 0::BIGINT AS v FROM c UNION ALL
+          SELECT sample_id, i, j, max(greatest(v, g)) OVER (PARTITION BY sample_id ORDER BY j) FROM (SELECT d.sample_id, d.i + 1 AS i, d.j, d.v, CASE WHEN c.word = a.word THEN 1 + lag(d.v, 1, 0) OVER (PARTITION BY d.sample_id ORDER BY d.j) ELSE 0 END AS g FROM d JOIN a ON a.sample_id = d.sample_id AND a.i = d.i + 1 JOIN c ON c.sample_id = d.sample_id AND c.j = d.j) q),
+        m AS (SELECT sample_id, max(v) AS n FROM d GROUP BY 1)
+        SELECT sample_id, round(CASE WHEN coalesce(n, 0) > 0 THEN 2 * n / (len(p) + len(r)) ELSE 0 END, 6) AS rouge_l FROM w LEFT JOIN m USING (sample_id)""",
     "eval_token_f1": f"""WITH w AS (SELECT sample_id, {_WORDS("answer")} AS p, {_WORDS("retrieved_contexts[1].text")} AS r FROM rag_samples)
         SELECT sample_id, round(CASE WHEN len(p) + len(r) > 0 THEN 2 * coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda a: a = t)), len(list_filter(r, lambda a: a = t))))), 0) / (len(p) + len(r)) ELSE 0 END, 6) AS token_f1 FROM w""",
     "eval_summary": _MELT + " SELECT backend, method, metric, count(value) AS n, round(avg(value), 6) AS mean FROM u GROUP BY 1, 2, 3 HAVING count(value) > 0",

@@ -54,7 +54,7 @@ def entity_catalog(found: DataFrame) -> DataFrame:
 
 def merge_slugs(catalog: DataFrame) -> DataFrame:
     """One row for each node id: the first name, the other names and aliases together."""
-    return catalog.groupBy("node").agg(F.min_by("name", "first_page").alias("title"), F.sum("occurrences").alias("occurrences"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("aliases", F.array("name")))))).alias("aliases"))
+    return catalog.groupBy("node").agg(F.min_by("name", F.struct("first_page", "name")).alias("title"), F.sum("occurrences").alias("occurrences"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("aliases", F.array("name")))))).alias("aliases"))
 
 
 def claims(pages: DataFrame) -> DataFrame:
@@ -296,6 +296,9 @@ _CATALOG = rf"""x AS (SELECT doc_id AS page_id, title, {_ASCII} AS t, text FROM
 ORACLES = {
     "build_page_entities": f"WITH {_CATALOG} SELECT * FROM pe",
     "build_catalog": f"WITH {_CATALOG} SELECT lower(name) AS key, min(page_id) AS first_page, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(DISTINCT page_id) AS n_pages FROM pe GROUP BY 1",
+    "build_entity_nodes": f"""WITH {_CATALOG}, g AS (SELECT lower(name) AS key, arg_min(name, (page_id, name)) AS name, min(page_id) AS first_page, sum(occurrences) AS occurrences, list_distinct(list_filter(list(aliases), lambda a: a <> '' AND lower(a) <> lower(any_value(name)))) AS aliases FROM pe GROUP BY 1),
+        n AS (SELECT 'entity::' || coalesce(nullif(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled') AS node, * FROM g)
+        SELECT node, arg_min(name, (first_page, name)) AS title, CAST(sum(occurrences) AS BIGINT) AS occurrences, len(list_distinct(flatten(list(list_append(aliases, name))))) AS n_aliases FROM n GROUP BY 1""",
     "build_mentions": f"WITH {_MENTION} SELECT * FROM m",
     "build_mentions_anywhere": f"WITH {_ANYWHERE} SELECT * FROM m",
     "build_co_mentions": f"WITH {_ANYWHERE} SELECT a.node AS source, b.node AS target, count(*) * 0.5::DOUBLE AS weight FROM m a JOIN m b ON a.text_id = b.text_id AND a.node < b.node GROUP BY 1, 2",

@@ -461,6 +461,7 @@ ORACLES["concept_trigrams"] = f"""WITH t AS (SELECT doc_id, {TOKENS_SQL} AS ts F
         q AS (SELECT x, y, z, n, n_pages, t, [n, nxy - n, nxz - n, nyz - n, nx - nxy - nxz + n, ny - nxy - nyz + n, nz - nxz - nyz + n, t - nx - ny - nz + nxy + nxz + nyz - n] AS o,
           [nx * ny * CAST(nz AS DOUBLE), nx * ny * (t - nz), nx * (t - ny) * nz, (t - nx) * ny * nz, nx * (t - ny) * (t - nz), (t - nx) * ny * (t - nz), (t - nx) * (t - ny) * nz, (t - nx) * (t - ny) * (t - nz)] AS e FROM p JOIN a USING (x) JOIN b USING (y) JOIN c USING (z) JOIN ab USING (x, y) JOIN ac USING (x, z) JOIN bc USING (y, z), m)
         SELECT x || ' ' || y || ' ' || z AS phrase, n, n_pages, round(2 * list_sum(list_transform(list_zip(o, e), lambda v: CASE WHEN v[1] > 0 THEN v[1] * ln(v[1] * t * t / v[2]) ELSE 0 END)), 4) AS llr FROM q"""
+ORACLES["lint_plain_links"] = r"SELECT doc_id AS page_id, unnest(regexp_extract_all(' ' || text, '[^!]\[[^\]\[]*\]\(([^)\s]+)[^)]*\)', 1)) AS target FROM documents"
 ORACLES["lint_counts"] = "SELECT severity, code, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT severity, code FROM ({ORACLES[k]})" for k in ("lint_pages", "lint_corpus", "lint_manifest")) + ") GROUP BY 1, 2"
 # Least labels of neighbours, with a jump to the label's own label, as often as these sets need.
 ORACLES["concept_components"] = (
