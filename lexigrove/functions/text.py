@@ -409,6 +409,11 @@ FIELD_SQL = lambda f: rf"""nullif(trim(regexp_replace(regexp_extract(fm, '(?m)^{
 
 QUERIES = {f.__name__: f for f in (text_tokens, text_normal, text_slugs, text_implicit_acronyms, text_phrases, text_links, text_markdown, text_blocks, text_snippets, text_answers, text_ids, text_times, text_quality, text_clipped)}
 ORACLES = {
+    "text_quality": rf"""WITH b AS (SELECT doc_id, nullif(regexp_extract(text, '(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)', 1), '') AS fm, regexp_replace(regexp_replace(text, '(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)', ''), '(?ms)^[ \t]*```.*?(?:^[ \t]*```[ \t]*$|\z)', '', 'g') AS b FROM documents),
+        p AS (SELECT doc_id, fm, list_filter(list_transform(regexp_split_to_array(b, '\n[ \t]*\n'), lambda x: trim(regexp_replace(x, '[\s\p{{Z}}]+', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_matches(x, '^(#{{1,6}} |\||---)')) AS ps FROM b),
+        t AS (SELECT doc_id, ps, coalesce({FIELD_SQL("title")}, '') AS t FROM p)
+        SELECT doc_id, len(list_filter(ps, lambda x: len(trim(regexp_replace(regexp_replace(x, '\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)', '', 'g'), '[\s·|,;-]+', ' ', 'g'))) >= 40 AND NOT regexp_matches(lower(x), '^(copyright|all rights reserved|©|doi:|arxiv:|received|accepted|keywords?:|corresponding author)'))) AS n_content,
+          t = '' OR lower(t) IN ('no summary available yet.', 'summary', 'n/a', 'tbd', 'todo') OR regexp_matches(lower(t), '^(here is|here''s|this is) (a|the) (short |brief )?summary') OR len(regexp_split_to_array(t, '\s+')) < 5 AS weak FROM t""",
     "text_answers": r"""SELECT sample_id, regexp_replace(answer, '\s*[\[\(][`\s]*(?:wiki/[A-Za-z0-9._/-]+#chunk-\d+)(?:\s*,\s*(?:wiki/[A-Za-z0-9._/-]+#chunk-\d+))*[`\s]*[\]\)]', '', 'g') AS clean,
         regexp_matches(lower(answer), 'insufficient evidence|not enough evidence|cannot determine|can''t determine|not stated|not available') AS insufficient,
         len(regexp_extract_all(coalesce(answer, ''), '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s\p{Z}\x{85}]')) AS n_tokens, coalesce(nullif(trim(error), ''), nullif(trim(provider_mode), ''), 'none') AS note FROM rag_samples""",

@@ -136,8 +136,15 @@ def chunk_packing(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.size(pack(F.split("text", "\n"), 600)).alias("n_chunks"))
 
 
+#: CTEs in SQL whose last, s, has the sections of the documents: doc_id, pos, section, body.
+SECTIONS_SQL = r"""p AS (SELECT doc_id, title AS dt, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (SELECT doc_id, title, string_split(regexp_replace(chr(10) || coalesce(text, ''), '\n#{1,6}[ \t]+([^\n]*)', chr(2) || '\1' || chr(3), 'g'), chr(2)) AS parts FROM documents)),
+ s AS (SELECT * FROM (SELECT doc_id, pos, CASE WHEN contains(part, chr(3)) THEN trim(split_part(part, chr(3), 1)) ELSE dt END AS section, string_split(part, chr(3))[-1] AS body FROM p) WHERE trim(regexp_replace(body, '\s+', ' ', 'g')) <> '')"""
 QUERIES = {f.__name__: f for f in (chunk_characters, chunk_tokens, chunk_sections, chunk_packing)}
 ORACLES = {
+    "chunk_sections": r"""WITH RECURSIVE """ + SECTIONS_SQL + r""", q AS (SELECT doc_id, pos, section, list_filter(regexp_split_to_array(body, '\n[ \t]*\n'), lambda x: trim(x) <> '') AS ps FROM s WHERE lower(trim(section)) NOT IN ('sources', 'related', 'changelog', 'backlinks')),
+        r AS (SELECT doc_id, pos, section, ps, 1 AS i, 1 AS part, len(ps[1]) + 2 AS n, ps[1] AS now FROM q WHERE len(ps) > 0
+          UNION ALL SELECT doc_id, pos, section, ps, i + 1, CASE WHEN n + len(ps[i + 1]) + 2 > 1500 THEN part + 1 ELSE part END, CASE WHEN n + len(ps[i + 1]) + 2 > 1500 THEN len(ps[i + 1]) + 2 ELSE n + len(ps[i + 1]) + 2 END, CASE WHEN n + len(ps[i + 1]) + 2 > 1500 THEN ps[i + 1] ELSE now || chr(10) || chr(10) || ps[i + 1] END FROM r WHERE i < len(ps))
+        SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) - 1 AS chunk_index, len(trim(text)) AS n_chars FROM (SELECT doc_id, pos, section, part, arg_max(now, i) AS text FROM r GROUP BY ALL)""",
     "chunk_packing": """WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
         r AS (SELECT doc_id, ls, 1 AS i, least(1, len(ls)) AS n, coalesce(len(ls[1]) + 2, 0) AS s FROM l
           UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN s + len(ls[i + 1]) + 2 > 600 THEN n + 1 ELSE n END, CASE WHEN s + len(ls[i + 1]) + 2 > 600 THEN len(ls[i + 1]) + 2 ELSE s + len(ls[i + 1]) + 2 END FROM r WHERE i < len(ls))

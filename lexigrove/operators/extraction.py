@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.stopwords import STOPWORDS
 from lexigrove.functions.text import CAPITALISED, CAPITALISED_LINKED, acceptable_entity, acronyms, canonical_key, normalize_entity, occurrences, phrases, slugify, wikilinks
-from lexigrove.operators.chunking import sections
+from lexigrove.operators.chunking import SECTIONS_SQL, sections
 from lexigrove.operators.graph import dedupe_undirected
 from lexigrove.shared import materialize, table
 
@@ -295,6 +295,10 @@ _CATALOG = rf"""x AS (SELECT doc_id AS page_id, title, {_ASCII} AS t, text FROM
    UNION ALL SELECT d.doc_id, d.title, greatest(1, coalesce(k.occurrences, 1)), CASE WHEN contains(d.title, ':') AND {_ACCEPT.replace("(n", "(trim(split_part(d.title, ':', 1))")} THEN trim(split_part(d.title, ':', 1)) ELSE '' END FROM documents d LEFT JOIN k ON k.page_id = d.doc_id AND k.name = d.title WHERE d.title IS NOT NULL)"""
 ORACLES = {
     "build_page_entities": f"WITH {_CATALOG} SELECT * FROM pe",
+    "build_claims": f"""WITH {SECTIONS_SQL}, c AS (SELECT * FROM s WHERE lower(trim(section)) IN ({", ".join(f"'{x}'" for x in CLAIM_SECTIONS)})), a AS (SELECT doc_id, pos, section, regexp_split_to_array(body, '\\n[ \\t]*\\n') AS ps FROM c), b AS (SELECT doc_id, pos, section, unnest(ps) AS para, generate_subscripts(ps, 1) AS p FROM a),
+        d AS (SELECT doc_id, pos, section, p, CASE WHEN len(bs) > 0 THEN list_transform(bs, lambda x: regexp_replace(x, '^\\s*[-*+]\\s+', '')) ELSE [para] END AS ls FROM (SELECT *, list_filter(string_split(para, chr(10)), lambda x: regexp_matches(x, '^\\s*[-*+]\\s+\\S')) AS bs FROM b)),
+        e AS (SELECT doc_id, pos, section, p, trim(regexp_replace(unnest(ls), '\\s+', ' ', 'g')) AS text, generate_subscripts(ls, 1) AS l FROM d)
+        SELECT doc_id AS page_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY pos, p, l) - 1 AS ordinal, text FROM e WHERE len(text) BETWEEN 12 AND 400 AND regexp_matches(text, '\\p{{L}}')""",
     "build_catalog": f"WITH {_CATALOG} SELECT lower(name) AS key, min(page_id) AS first_page, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(DISTINCT page_id) AS n_pages FROM pe GROUP BY 1",
     "build_entity_nodes": f"""WITH {_CATALOG}, g AS (SELECT lower(name) AS key, arg_min(name, (page_id, name)) AS name, min(page_id) AS first_page, sum(occurrences) AS occurrences, list_distinct(list_filter(list(aliases), lambda a: a <> '' AND lower(a) <> lower(any_value(name)))) AS aliases FROM pe GROUP BY 1),
         n AS (SELECT 'entity::' || coalesce(nullif(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled') AS node, * FROM g)
