@@ -12,8 +12,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrove.functions.stemming import classic_all
 from lexigrove.functions.text import TOKENS_SQL, terms, tokens
@@ -22,16 +24,26 @@ from lexigrove.shared import materialize, table
 K1, B, TOP_K = 1.5, 0.75, 8
 #: Questions of at most so many characters in all are broadcast; more are joined by shuffle.
 BROADCAST_CHARS = 4_000_000
+#: So many questions, of so many characters in all, are looked up at most: their tokens become a filter of the scan, which a stored
+#: index answers from few row groups.
+LOOKUP_QUESTIONS, LOOKUP_CHARS = 64, 20_000
 
 
 @dataclass
 class LexicalIndex:
-    """docs: doc_id, length; postings: doc_id, token, tf, length."""
+    """docs: doc_id, length; postings: doc_id, token, tf, length; frequency: token, df, counted from the postings where it isn't given."""
 
     docs: DataFrame
     postings: DataFrame
     n_docs: int
     average: float
+    frequency: DataFrame | None = None
+
+    def stored(self) -> LexicalIndex:
+        """The index with postings in order of the token and their document frequencies, both in the shared folder, for many questions."""
+        postings = materialize(self.postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token"), "postings_by_token")
+        frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        return LexicalIndex(self.docs, postings, self.n_docs, self.average, materialize(frequency.repartitionByRange("token").sortWithinPartitions("token"), "frequency"))
 
     @classmethod
     def build(cls, documents: DataFrame, text: str = "text", asked: DataFrame | None = None) -> LexicalIndex:
@@ -57,22 +69,58 @@ def question_tokens(questions: DataFrame, of: Column | None = None) -> DataFrame
     return questions.select("query_id", F.explode(ts).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def n_chars(questions: DataFrame) -> int:
+    return questions.agg(F.sum(F.length("question"))).first()[0] or 0
+
+
 def small(questions: DataFrame) -> bool:
-    return (questions.agg(F.sum(F.length("question"))).first()[0] or 0) <= BROADCAST_CHARS
+    return n_chars(questions) <= BROADCAST_CHARS
+
+
+def _local(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
+    """Rows of the driver as a relation that needs no job."""
+    types = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int64() if isinstance(f.dataType, (T.LongType, T.IntegerType)) else pa.float64() for f in schema]
+    held = pa.table({f.name: pa.array([r[f.name] for r in rows], t) for f, t in zip(schema, types, strict=True)})
+    return spark.createDataFrame(held)
+
+
+def _looked_up(questions: DataFrame) -> tuple[DataFrame, list[str]] | None:
+    """Tokens of a few short questions with their counts, and all distinct ones, by way of the driver; null where there are more."""
+    kind = questions.schema["query_id"].dataType
+    if not isinstance(kind, (T.LongType, T.IntegerType, T.StringType)):
+        return None
+    held = questions.select("query_id", "question").limit(LOOKUP_QUESTIONS + 1).collect()
+    if len(held) > LOOKUP_QUESTIONS or sum(len(r.question or "") for r in held) > LOOKUP_CHARS:
+        return None
+    spark = questions.sparkSession
+    split = _local(spark, held, questions.select("query_id", "question").schema).select("query_id", tokens(F.col("question")).alias("ts")).collect()
+    n = Counter((r.query_id, t) for r in split for t in r.ts)
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("token", T.StringType()), T.StructField("qtf", T.LongType())])
+    rows = [{"query_id": q, "token": t, "qtf": k} for (q, t), k in n.items()]
+    return _local(spark, rows, schema), sorted({t for _, t in n})
 
 
 def bm25(index: LexicalIndex, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score of every document with a token of the question; scores are positive."""
-    asked = question_tokens(questions)
-    few = small(questions)
-    once = asked.select("token").distinct()
-    frequency = index.postings.join(F.broadcast(once) if few else once, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    few, postings, frequency = True, index.postings, index.frequency
+    found = _looked_up(questions)
+    if found is not None:
+        asked, words = found
+        of_these = F.col("token").isin(words)
+        postings = postings.where(of_these)
+        frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")) if frequency is None else frequency.where(of_these)
+        frequency = _local(questions.sparkSession, frequency.collect(), frequency.schema)  # a row a token of these questions
+    else:
+        asked, few = question_tokens(questions), small(questions)
+        if frequency is None:
+            once = asked.select("token").distinct()
+            frequency = postings.join(F.broadcast(once) if few else once, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(frequency, "token").select("query_id", "token", (F.col("qtf") * idf).alias("weight"))
     weighed = F.broadcast(weighed) if few else weighed
     norm = 1 - b + b * (F.col("length") / (index.average or 1.0))
     part = F.col("weight") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * norm)
-    return index.postings.join(weighed, "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > 0)
+    return postings.join(weighed, "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > 0)
 
 
 def top_k(scored: DataFrame, k: int, by: list[Column], per: str = "query_id") -> DataFrame:
