@@ -51,22 +51,38 @@ def piece_keys(s: str, least: float = FUZZY) -> tuple[list[tuple[int, int, int,
     return held, sorted(sought)
 
 
+def parities(s: str) -> int:
+    """64 bits, each whether a class of characters occurs an odd number of times: an insertion or deletion changes one bit."""
+    out = 0
+    for c in s:
+        out ^= 1 << (ord(c) & 63)
+    return out - (1 << 64) if out >> 63 else out
+
+
 def alike_names(names: DataFrame, least: float = FUZZY) -> DataFrame:
-    """type, name_key, other: each two names (type, name_key, sorted) of one type once whose sorted forms are alike by `least`."""
+    """type, name_key, other: each two names (type, name_key, sorted) of one type once whose sorted forms are alike by `least`.
+
+    Names meet by a hash of their pieces' keys; of those that meet, only such go on whose characters' parities differ in no more
+    places than the edits allowed, and these are compared in full. A collision of hashes costs one comparison.
+    """
+    names = materialize(names.select("type", "name_key", "sorted").withColumn("id", F.monotonically_increasing_id()), "names")
 
-    def keyed(longer: bool):
+    def keyed(longer: bool) -> DataFrame:
         def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                rows = [(t, name, s, *key) for t, name, s in zip(frame["type"], frame["name_key"], frame["sorted"], strict=True) for key in piece_keys(s, least)[longer]]
-                yield pd.DataFrame(rows, columns=["type", "name_key", "sorted", "m", "k", "i", "piece"])
+                rows = [(t, name, len(s), sign, *key) for t, name, s in zip(frame["type"], frame["id"], frame["sorted"], strict=True) for sign in (parities(s),) for key in piece_keys(s, least)[longer]]
+                yield pd.DataFrame(rows, columns=["type", "id", "n", "sign", "m", "k", "i", "piece"])
 
-        return names.select("type", "name_key", "sorted").mapInPandas(keys, "type string, name_key string, sorted string, m int, k int, i int, piece string")
+        rows = names.select("type", "id", "sorted").mapInPandas(keys, "type string, id bigint, n int, sign bigint, m int, k int, i int, piece string")
+        return rows.select(F.xxhash64("type", "m", "k", "i", "piece").alias("key"), "id", "n", "sign", "k")
 
-    short, long = keyed(False), keyed(True).withColumnsRenamed({"name_key": "other", "sorted": "other_sorted"})
+    short, long = keyed(False), keyed(True).select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("sign").alias("other_sign"))
     # Two of one length find each other both ways; one is enough.
-    met = short.join(long, ["type", "m", "k", "i", "piece"]).where((F.col("name_key") < F.col("other")) | ((F.col("name_key") > F.col("other")) & (F.length("sorted") < F.length("other_sorted"))))
-    candidates = materialize(met.select("type", "name_key", "sorted", "other", "other_sorted").distinct(), "candidates")
-    return candidates.where(token_sort_of("sorted", "other_sorted") >= least).select("type", "name_key", "other")
+    once = (F.col("id") < F.col("other")) | ((F.col("id") > F.col("other")) & (F.col("n") < F.col("other_n")))
+    met = short.join(long, "key").where(once & (F.bit_count(F.col("sign").bitwiseXOR(F.col("other_sign"))) <= F.col("k")))
+    candidates = materialize(met.select("id", "other").distinct(), "candidates")
+    both = candidates.join(names, "id").join(names.select(F.col("id").alias("other"), F.col("name_key").alias("other_key"), F.col("sorted").alias("other_sorted")), "other")
+    return both.where(token_sort_of("sorted", "other_sorted") >= least).select("type", "name_key", F.col("other_key").alias("other"))
 
 
 def entity_groups(rows: DataFrame) -> DataFrame:
