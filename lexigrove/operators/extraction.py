@@ -48,7 +48,7 @@ def entity_catalog(found: DataFrame) -> DataFrame:
     """Entities of all pages by lower-case name: first page, total occurrences, distinct aliases other than the name, and their node id."""
     merged = found.groupBy(F.lower("name").alias("key")).agg(
         F.min_by("name", F.struct("page_id", "name")).alias("name"), F.min("page_id").alias("first_page"), F.sum("occurrences").alias("occurrences"), F.count_distinct("page_id").alias("n_pages"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("aliases"))  # each list once
     return merged.withColumn("aliases", F.filter("aliases", lambda a: F.lower(a) != F.col("key"))).withColumn("node", F.concat(F.lit("entity::"), slugify(F.col("name"))))
 
 

@@ -3,6 +3,8 @@ aggregations whose lineage is cut in the shared folder."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,14 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def dedupe_undirected(edges: DataFrame) -> DataFrame:
     """Edges (source, target, kind, weight, evidence array, ord) merged by unordered pair and kind: weights summed, distinct evidence in order of coming, direction of the first."""
-    key = [F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "kind"]
-    return edges.groupBy(*key).agg(
-        F.min_by(F.struct("source", "target"), "ord").alias("first"), F.sum("weight").alias("weight"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "evidence"))), lambda x: x["evidence"]))).alias("evidence"),
-    ).select("first.source", "first.target", "kind", "weight", "evidence")
+    keyed = edges.withColumn("a", F.least("source", "target")).withColumn("b", F.greatest("source", "target"))
+    key = ["a", "b", "kind"]
+    merged = keyed.groupBy(*key).agg(F.min_by(F.struct("source", "target"), "ord").alias("first"), F.sum("weight").alias("weight"))
+    # Each distinct evidence once, before an edge's are put together: an edge may have any number of rows.
+    once = keyed.select(*key, "ord", F.posexplode("evidence").alias("pos", "x")).groupBy(*key, "x").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    lists = once.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda v: v["x"]).alias("evidence"))
+    same = reduce(lambda c, d: c & d, [merged[k].eqNullSafe(lists[k]) for k in key])
+    return merged.join(lists, same, "left").select("first.source", "first.target", merged["kind"], "weight", F.coalesce("evidence", F.array().cast(edges.schema["evidence"].dataType)).alias("evidence"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

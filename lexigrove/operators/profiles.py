@@ -150,9 +150,13 @@ def merged_relations(relations: DataFrame, names: DataFrame) -> DataFrame:
         r = r.withColumn("u", F.when(F.col("t") == k, v).otherwise(F.col("u") if "u" in r.columns else F.col("t")))
     r = r.select("ord", F.when(back, F.col("b")).otherwise(F.col("a")).alias("source_entity_id"), F.when(back, F.col("a")).otherwise(F.col("b")).alias("target_entity_id"), F.col("u").alias("relation_type"), F.col("weight").cast("double").alias("weight"), "keywords")
     ident = F.concat(F.lit("relation:"), F.element_at(F.split("source_entity_id", ":"), -1), F.lit(":"), F.lower("relation_type"), F.lit(":"), F.element_at(F.split("target_entity_id", ":"), -1))
-    words = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "keywords"))), lambda x: x["keywords"])))
-    return r.groupBy(ident.alias("id"), "source_entity_id", "target_entity_id", "relation_type").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n_rows"), words.alias("keywords")).select(
-        "id", "source_entity_id", "target_entity_id", "relation_type", F.round(F.when(F.col("w") == 0, 1.0).otherwise(F.col("w")), 6).alias("weight"), "n_rows", F.array_join("keywords", "|").alias("keywords"))
+    of = r.select(ident.alias("id"), "source_entity_id", "target_entity_id", "relation_type", "weight", "ord", "keywords")
+    # Each keyword once, at its first place, before a relation's are put together.
+    once = of.select("id", "ord", F.posexplode("keywords").alias("pos", "word")).groupBy("id", "word").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    words = once.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("keywords"))
+    sums = of.groupBy("id", "source_entity_id", "target_entity_id", "relation_type").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n_rows"))
+    return sums.join(words, "id", "left").select(
+        "id", "source_entity_id", "target_entity_id", "relation_type", F.round(F.when(F.col("w") == 0, 1.0).otherwise(F.col("w")), 6).alias("weight"), "n_rows", F.array_join(F.coalesce("keywords", F.expr("cast(array() as array<string>)")), "|").alias("keywords"))
 
 
 def evidence(profiles: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
