@@ -193,10 +193,10 @@ def eval_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eval_questions_review(spark: SparkSession, folder: str) -> DataFrame:
-    """Side by side: of each question the last answer of each backend, and how many samples."""
+    """Side by side: the last answer of each backend to each question, backends in order, whatever they are called."""
     r = table(spark, folder, "rag_samples")
     last = r.groupBy("question_id", "backend").agg(F.max_by(F.coalesce("answer", F.lit("")), "sample_id").alias("answer"))
-    return last.groupBy("question_id").pivot("backend", ["graphrag", "legacy", "wikigraph", "wikigraph-light"]).agg(F.first("answer")).select("question_id", "graphrag", "legacy", "wikigraph", F.col("wikigraph-light").alias("light"))
+    return last.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_backends"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("backend", "answer"))), lambda x: F.concat(x["backend"], F.lit("\t"), x["answer"])), "\n").alias("answers"))  # a row a backend
 
 
 def eval_context_ranks(spark: SparkSession, folder: str) -> DataFrame:
@@ -246,7 +246,7 @@ ORACLES = {
         SELECT sample_id, round(len(list_intersect(q, string_split(trim(regexp_replace(lower(a), '[^a-z0-9]+', ' ', 'g')), ' '))) / len(q), 6) AS coverage,
           round(least(1.0, len(list_filter(regexp_split_to_array(a, '\s+'), lambda w: w <> '')) / 180), 6) AS comprehensiveness FROM x""",
     "eval_questions_review": """WITH l AS (SELECT question_id, backend, arg_max(coalesce(answer, ''), sample_id) AS answer FROM rag_samples GROUP BY 1, 2)
-        SELECT question_id, max(answer) FILTER (backend = 'graphrag') AS graphrag, max(answer) FILTER (backend = 'legacy') AS legacy, max(answer) FILTER (backend = 'wikigraph') AS wikigraph, max(answer) FILTER (backend = 'wikigraph-light') AS light FROM l GROUP BY 1""",
+        SELECT question_id, count(*) AS n_backends, string_agg(backend || chr(9) || answer, chr(10) ORDER BY backend) AS answers FROM l GROUP BY 1""",
     "eval_context_ranks": """WITH x AS (SELECT sample_id, unnest(retrieved_contexts) AS c, generate_subscripts(retrieved_contexts, 1) AS pos FROM rag_samples),
         f AS (SELECT sample_id, c.ref AS ref, c.score AS score, pos, row_number() OVER (PARTITION BY sample_id, c.ref ORDER BY pos) AS n FROM x)
         SELECT sample_id, ref, row_number() OVER w AS rank, round(score - lag(score) OVER w, 6) AS step FROM f WHERE n = 1 WINDOW w AS (PARTITION BY sample_id ORDER BY pos)""",

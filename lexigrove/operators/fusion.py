@@ -12,9 +12,9 @@ from lexigrove.shared import table
 RRF_K = 60
 
 
-def identity(retriever: Column, path: Column, section: Column, chunk: Column) -> Column:
-    """Namespace, path, section and chunk (else section) of a result, without letter case."""
-    space = F.when(retriever == "wikigraph", "wikigraph").when(path.startswith("graph://"), "graph").otherwise("wiki")
+def identity(retriever: Column, path: Column, section: Column, chunk: Column, apart: tuple[str, ...] = ()) -> Column:
+    """Namespace, path, section and chunk (else section) of a result, without letter case. Retrievers named in `apart` have namespaces of their own."""
+    space = F.when(retriever.isin(*apart), retriever).when(path.startswith("graph://"), "graph").otherwise("wiki") if apart else F.when(path.startswith("graph://"), "graph").otherwise("wiki")
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     return F.struct(space.alias("space"), low(path).alias("path"), low(section).alias("section"), low(F.coalesce(chunk.cast("string"), section)).alias("chunk"))
 
