@@ -72,26 +72,27 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
 def _sweep(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """References that aren't alive at their time, by a running maximum of the ends of the rows begun so far.
 
-    Alive at t means: the greatest end among rows begun by t lies after t. The sweep is cut by hours, with the maximum
-    of the hours before carried in, so that one key's rows are never sorted in one task.
+    Alive at t means: the greatest end among rows begun by t lies after t. Only distinct times of a key are swept, so that a burst
+    of references counts once; the sweep is cut by minutes, with the maximum of the minutes before carried in, so that one key's
+    times are never sorted in one task. What is found goes back to the references by key and time.
     """
     key = ["parent_table", "ref_key"]
     lives = parents.where(F.col("begins").isNotNull()).join(refs.select(*key).distinct(), key, "left_semi").select(
-        *key, F.col("begins").alias("at"), F.coalesce("ends", F.lit(_END).cast("timestamp")).alias("end"),
-        F.lit(0).alias("kind"), F.lit(None).cast("string").alias("ref_table"), F.lit(None).cast("string").alias("row_key"),
+        *key, F.col("begins").alias("at"), F.coalesce("ends", F.lit(_END).cast("timestamp")).alias("end"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("n"),
     )
-    asks = refs.select(*key, F.col("ref_time").alias("at"), F.lit(None).cast("timestamp").alias("end"), F.lit(1).alias("kind"), "ref_table", "row_key")
-    events = lives.unionByName(asks).withColumn("hour", F.date_trunc("hour", "at"))
-    before = Window.partitionBy(*key).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    carried = events.groupBy(*key, "hour").agg(F.max("end").alias("e")).select(*key, "hour", F.max("e").over(before).alias("carry"))
-    so_far = Window.partitionBy(*key, "hour").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asks = refs.groupBy(*key, F.col("ref_time").alias("at")).agg(F.count(F.lit(1)).alias("n")).select(*key, "at", F.lit(None).cast("timestamp").alias("end"), F.lit(1).alias("kind"), "n")
+    events = lives.unionByName(asks).withColumn("minute", F.date_trunc("minute", "at"))
+    before = Window.partitionBy(*key).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    carried = events.groupBy(*key, "minute").agg(F.max("end").alias("e")).select(*key, "minute", F.max("e").over(before).alias("carry"))
+    so_far = Window.partitionBy(*key, "minute").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.greatest(F.col("carry"), F.max("end").over(so_far))
-    return (
-        events.join(carried, [*key, "hour"])
+    gone = (
+        events.join(carried, [*key, "minute"])
         .withColumn("last_end", last)
         .where((F.col("kind") == 1) & (F.col("last_end").isNull() | (F.col("last_end") <= F.col("at"))))
-        .select("ref_table", "row_key", "ref_key", F.col("at").alias("ref_time"), F.when(F.col("last_end").isNull(), "late").otherwise("removed").alias("reason"))
+        .select(*key, F.col("at").alias("ref_time"), F.when(F.col("last_end").isNull(), "late").otherwise("removed").alias("why"), "n")
     )
+    return join_heavy(refs, materialize(gone, "gone"), [*key, "ref_time"], "n").select("ref_table", "row_key", "ref_key", "ref_time", F.col("why").alias("reason"))
 
 
 def count_orphans(found: DataFrame) -> DataFrame:
