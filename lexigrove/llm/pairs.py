@@ -426,7 +426,8 @@ def defective(samples: DataFrame, train_rows: int = TRAIN_ROWS, model: Model | N
             out = pd.DataFrame({"sample_id": f["sample_id"], "defect": sent.value.defects([q if isinstance(q, str) else "" for q in f["question"]], [a if isinstance(a, str) else None for a in f["answer"]], insufficient)})
             yield out[out["defect"].notna()]
 
-    return pairs.mapInPandas(judge, "sample_id bigint, defect string")
+    # pandas would make numbers inexact beside nulls
+    return pairs.withColumn("sample_id", F.col("sample_id").cast("string")).mapInPandas(judge, "sample_id string, defect string").select(F.col("sample_id").cast("bigint").alias("sample_id"), "defect")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

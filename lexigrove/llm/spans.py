@@ -181,7 +181,7 @@ class Shared:
                     ids.append(np.full(len(hs[-1]), doc))
                 yield pd.DataFrame({"seed": np.concatenate(hs), "doc_id": np.concatenate(ids)})
 
-        rows = materialize(self.docs.mapInPandas(seeded, "seed bigint, doc_id bigint"), "seeds")
+        rows = materialize(self.docs.where(F.col("doc_id").isNotNull()).mapInPandas(seeded, "seed bigint, doc_id bigint"), "seeds")
         repeated = materialize(rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "repeated")
         held = (
             join_heavy(rows, repeated, ["seed"], "n").join(self.copies.select("doc_id", "first"), "doc_id", "left")

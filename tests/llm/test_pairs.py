@@ -53,14 +53,14 @@ def test_held_out_accuracy():
 
 def test_rows(spark):
     rows = [(i, q, a, x) for i, q, a, x, _ in made(3, 600, True)]
-    rows += [(9001, None, None, None), (9002, "What is it?", None, True), (9003, None, "The index was rebuilt 5 times, and it returned the same graph.", None), (9004, "Why is the index here?", "The graph was rebuilt 7 times, and it returned the same index. " * 5000, False), (None, "Q", None, False), (9001, None, None, None)]
+    rows += [(9001, None, None, None), (9002, "What is it?", None, True), (9003, None, "The index was rebuilt 5 times, and it returned the same graph.", None), (9004, "Why is the index here?", "The graph was rebuilt 7 times, and it returned the same index. " * 5000, False), (None, "Q", None, False), (9001, None, None, None), (2**60 + 1, "Q", "", False)]
     df = spark.createDataFrame(rows, "sample_id bigint, question string, answer string, insufficient_evidence boolean").withColumn("defect", F.lit("mine")).withColumn("text", F.lit(1))
     got = defective(df)
     assert got.columns == ["sample_id", "defect"]
     by = {}
     for r in got.collect():
         by.setdefault(r.sample_id, []).append(r.defect)
-    assert by[9001] == ["empty", "empty"] and by[9002] == ["empty"] and by[None] == ["empty"] and 9003 not in by and 9004 not in by
+    assert by[9001] == ["empty", "empty"] and by[9002] == ["empty"] and by[None] == ["empty"] and by[2**60 + 1] == ["empty"] and 9003 not in by and 9004 not in by
     assert defective(df.limit(0)).count() == 0
 
 

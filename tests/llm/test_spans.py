@@ -81,10 +81,10 @@ def test_removal_keeps_the_first(spark):
 
 def test_edge_rows(spark):
     t = "Some text that is long enough. " * 4
-    rows = [(1, t), (1, t), (2, t), (3, None), (4, ""), (None, t), (5, "short"), (6, "z " * 300_000 + t), (7, "z " * 300_001)]
+    rows = [(1, t), (1, t), (2, t), (3, None), (4, ""), (None, t), (5, "short"), (6, "z " * 300_000 + t), (7, "z " * 300_001), (2**60 + 1, t)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     pairs = {tuple(r) for r in Shared(df, least=L).document_pairs().collect()}
-    assert {(1, 2), (1, 6), (2, 6), (6, 7)} <= pairs
+    assert {(1, 2), (1, 6), (2, 6), (6, 7), (1, 2**60 + 1)} <= pairs
     empty = Shared(df.limit(0), least=L)
     assert empty.document_pairs().count() == 0 and empty.coverage().count() == 0 and empty.without_repeats().count() == 0
 
