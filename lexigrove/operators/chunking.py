@@ -77,7 +77,9 @@ def chunk(rows: DataFrame, key: str, windows: Callable[[str], list[tuple[int, in
             out = [(k, i, a, b, t) for k, text in zip(f[key], f["text"], strict=True) for i, (a, b, t) in enumerate(windows(text)) if len(t) >= min_chars]
             yield pd.DataFrame(out, columns=[key, "chunk_index", "start_char", "end_char", "text"])
 
-    return rows.select(key, "text").where(F.length("text") > 0).mapInPandas(cut, f"{key} {kind}, {CHUNKS}")
+    # Keys go as text: pandas would make numbers inexact beside nulls.
+    held = rows.select(F.col(key).cast("string").alias(key), "text").where(F.length("text") > 0)
+    return held.mapInPandas(cut, f"{key} string, {CHUNKS}").withColumn(key, F.col(key).cast(kind))
 
 
 def pack(parts: Column, limit: int) -> Column:

@@ -98,13 +98,13 @@ def mentions_anywhere(texts: DataFrame, names: DataFrame, most: int = MAX_MENTIO
     total = held.agg(F.sum(F.length("name"))).first()[0] or 0
     passes, out = max(1, -(-total // block_chars)), None
     kinds = dict(texts.dtypes)["text_id"], dict(names.dtypes)["node"]
-    low = texts.select("text_id", F.lower("text").alias("text")).where(F.length("text") > 0)
+    low = texts.select(F.col("text_id").cast("string").alias("text_id"), F.lower("text").alias("text")).where(F.length("text") > 0)
     for p in range(passes):
         some = held if passes == 1 else held.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == p)
         by_name: dict[str, list] = {}
         for r in some.collect():
             by_name.setdefault(r.name, []).append(r.node)
-        part = low.mapInPandas(_finder(by_name, most), f"text_id {kinds[0]}, node {kinds[1]}, n int")
+        part = low.mapInPandas(_finder(by_name, most), f"text_id string, node {kinds[1]}, n int").withColumn("text_id", F.col("text_id").cast(kinds[0]))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("text_id", "node").agg(F.max("n").alias("n"))
 

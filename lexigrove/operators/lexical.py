@@ -183,13 +183,14 @@ def occurrence_score(rows: DataFrame, questions: DataFrame, title: str = "title"
     if kind is not None:
         for k, v in KIND_PRIOR.items():
             prior = F.when(kind == k, v).otherwise(prior)
-    texts = rows.select("doc_id", F.lower(F.coalesce(F.col(title), F.lit(""))).alias("t"), F.lower(F.coalesce(F.col(body), F.lit(""))).alias("b"), prior.alias("prior"))
+    of_id = rows.schema["doc_id"].dataType
+    texts = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.lower(F.coalesce(F.col(title), F.lit(""))).alias("t"), F.lower(F.coalesce(F.col(body), F.lit(""))).alias("b"), prior.alias("prior"))
     out = None
     for p in range(passes):
         some = questions if passes == 1 else questions.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
         asked = some.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
         vocabulary = sorted(r.term for r in asked.select("term").distinct().collect())
-        met = texts.mapInPandas(_counter(vocabulary), "doc_id bigint, prior double, term string, v double")
+        met = texts.mapInPandas(_counter(vocabulary), "doc_id string, prior double, term string, v double").withColumn("doc_id", F.col("doc_id").cast(of_id))
         part = met.join(F.broadcast(asked), "term").groupBy("query_id", "doc_id", "prior").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n")).select("query_id", "doc_id", (F.col("v") * F.sqrt("n") * F.col("prior")).alias("score"))
         out = part if out is None else out.unionByName(part)
     return out

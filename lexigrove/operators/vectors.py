@@ -29,7 +29,7 @@ def dot(a: Column, b: Column) -> Column:
 def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, block_values: int = BLOCK_VALUES) -> DataFrame:
     """query_id, vec_id, score, rank of the k rows nearest to each query by cosine, ties by vec_id; scores to 6 places.
 
-    rows: vec_id, vector; queries: query_id, vector; ids are numbers or strings. Null vectors don't take part, zero vectors score 0, vectors of another
+    rows: vec_id, vector; queries: query_id, vector; ids are numbers or strings. Null ids and vectors don't take part, zero vectors score 0, vectors of another
     length than the query's raise. Each partition keeps the k best of its own rows for each query before anything is shuffled.
     """
     queries = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
@@ -41,7 +41,7 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, block_values: int
         held = some.collect()  # one block of the stated query set
         if not held:
             continue
-        part = rows.select("vec_id", "vector").where(F.col("vector").isNotNull()).mapInPandas(_nearest([r.query_id for r in held], [r.vector for r in held], k), schema)
+        part = rows.select("vec_id", "vector").where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).mapInPandas(_nearest([r.query_id for r in held], [r.vector for r in held], k), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return rows.sparkSession.createDataFrame([], f"{schema}, rank int")
