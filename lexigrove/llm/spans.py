@@ -370,6 +370,14 @@ def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p8_found": p8_found, "p8_shared": p8_shared, "p8_cleaned": p8_cleaned}
 ORACLES = {
+    "p8_cleaned": r"""WITH c AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id FROM documents WHERE len(text) >= 300),
+        w AS MATERIALIZED (SELECT class_id, i, hash(substr(text, i, 300)) AS h FROM (SELECT class_id, text, unnest(range(1, len(text) - 298)) AS i FROM c WHERE doc_id = class_id)), f AS (SELECT h, min(class_id) AS a FROM w GROUP BY h),
+        s AS (SELECT class_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY class_id ORDER BY i) <= 300 THEN 0 ELSE 1 END AS opens FROM (SELECT DISTINCT class_id, i FROM w JOIN f USING (h) WHERE a < class_id)),
+        m AS MATERIALIZED (SELECT class_id, min(i) - 1 AS a, max(i) + 299 AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY class_id ORDER BY i) AS island FROM s) GROUP BY class_id, island),
+        t AS (SELECT doc_id, class_id, list_filter(string_split(regexp_replace(text, '([.!?][\s\x{85}\p{Z}]|\n)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM c WHERE doc_id <> class_id OR class_id IN (SELECT class_id FROM m)),
+        u AS (SELECT *, coalesce(sum(len(x)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT doc_id, class_id, unnest(ss) AS x, generate_subscripts(ss, 1) AS p FROM t)),
+        z AS (SELECT *, doc_id <> class_id OR EXISTS (SELECT 1 FROM m WHERE m.class_id = u.class_id AND m.a <= u.s AND u.s + len(regexp_replace(u.x, '[\s\x{85}\p{Z}]+$', '')) <= m.b) AS gone FROM u)
+        SELECT doc_id, coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), '') AS text, count(*) AS n_sentences, count(*) FILTER (gone) AS n_removed FROM z GROUP BY 1 HAVING count(*) FILTER (gone) > 0""",
     "p8_shared": """WITH c AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_copies, len(text) AS n_chars FROM documents WHERE len(text) >= 300),
         w AS MATERIALIZED (SELECT class_id, i, hash(substr(text, i, 300)) AS h FROM (SELECT class_id, text, unnest(range(1, len(text) - 298)) AS i FROM c WHERE doc_id = class_id)),
         k AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT class_id) > 1), s AS MATERIALIZED (SELECT w.* FROM w SEMI JOIN k USING (h)),
