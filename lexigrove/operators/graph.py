@@ -92,11 +92,18 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
-    """node, component (its least node) by least labels of neighbours with pointer jumping; raises if `rounds` don't settle it."""
-    step = materialize(both_ways(edges.select("source", "target").where(F.col("source").isNotNull() & F.col("target").isNotNull())).distinct(), "steps")
-    every = step.select(F.col("source").alias("node"))
-    every = every.unionByName(nodes.select("node")).distinct() if nodes is not None else every.distinct()
-    label = materialize(every.select("node", F.col("node").alias("label")), "labels")
+    """node, component (its least node) by least labels of neighbours with pointer jumping; raises if `rounds` don't settle it.
+
+    Nodes are numbered in their order first, so that all rounds go on numbers, whatever the nodes are.
+    """
+    known = materialize(edges.select("source", "target").where(F.col("source").isNotNull() & F.col("target").isNotNull()).distinct(), "known")
+    every = known.select(F.explode(F.array("source", "target")).alias("node"))
+    every = every.unionByName(nodes.select("node").where(F.col("node").isNotNull())) if nodes is not None else every
+    ids = materialize(number_rows(every.distinct(), ["node"], "id"), "ids")
+    of = lambda end: ids.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
+    numbered = known.join(of("source"), "source").join(of("target"), "target").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    step = materialize(both_ways(numbered).distinct(), "steps")
+    label = ids.select(F.col("id").alias("node"), F.col("id").alias("label"))
     for _ in range(rounds):
         near = step.join(label.select(F.col("node").alias("target"), "label"), "target").groupBy(F.col("source").alias("node")).agg(F.min("label").alias("near"))
         low = materialize(label.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("low")), "low")
@@ -105,7 +112,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 6
         jump = join_heavy(low, materialize(leads, "leads"), ["low"], "n")
         after = materialize(jump.select("node", F.col("label").alias("before"), F.least("low", "jump").alias("label")), "labels")
         if after.where(F.col("label") != F.col("before")).isEmpty():
-            return after.select("node", F.col("label").alias("component"))
+            sizes = materialize(after.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(ids.select(F.col("id").alias("label"), F.col("node").alias("component")), "label"), "components")
+            return join_heavy(after.select(F.col("node").alias("id"), "label"), sizes, ["label"], "n").join(ids, "id").select("node", "component")
         label = after.select("node", "label")
     raise RuntimeError(f"components not settled after {rounds} rounds")
 
