@@ -64,9 +64,9 @@ def alias_of(rows: DataFrame, *names: str) -> Column:
 
 
 def term_columns(rows: DataFrame, columns: list[str], limit: int = 2000) -> DataFrame:
-    """column, value of the wanted columns over the first `limit` rows, which is what the scan of known terms is capped at."""
+    """column, value of the wanted columns over the first `limit` rows in order of these, which is what the scan of known terms is capped at."""
     have = [c for c in columns if c in rows.columns]
-    return rows.select(*[F.col(c).cast("string").alias(c) for c in have]).limit(limit).unpivot([], have, "column", "value").where("trim(value) <> ''")
+    return rows.select(*[F.col(c).cast("string").alias(c) for c in have]).orderBy(*have).limit(limit).unpivot([], have, "column", "value").where("trim(value) <> ''")
 
 
 def table_state(spark: SparkSession, path: str) -> tuple[str, int]:
