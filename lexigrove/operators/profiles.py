@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,24 +32,29 @@ def pieces(n: int, k: int) -> list[tuple[int, int]]:
     return list(zip(at, at[1:], strict=False))
 
 
-def piece_keys(s: str, least: float = FUZZY) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
-    """Keys (length, edits, number, piece) of a string as the shorter and as the longer of two that may be alike.
+def held_pieces(s: str, least: float = FUZZY) -> list[tuple[int, int, int, str]]:
+    """Keys (length, edits, number, piece) of a string as the shorter of two that may be alike.
 
     Strings within k edits of each other have one key in common at least: of k + 1 pieces of the shorter one stands whole in
     the longer, moved by no more than the edits before it and, seen from the end, no more than those after it.
     """
     n = len(s)
-    longest, shortest = int(n * (100 + 100 - least) / least + 1e-9), int(n * least / (200 - least) - 1e-9)
+    longest = int(n * (100 + 100 - least) / least + 1e-9)
     ks = {k for m in range(n, longest + 1) if (k := edits(n, m, least)) >= 0}
-    held = [(n, k, i, s[a:b]) for k in sorted(ks) for i, (a, b) in enumerate(pieces(n, k + 1))]
-    sought = set()
+    return [(n, k, i, s[a:b]) for k in sorted(ks) for i, (a, b) in enumerate(pieces(n, k + 1))]
+
+
+def sought_pieces(s: str, least: float = FUZZY) -> list[tuple[int, int, int, str]]:
+    """Keys of a string as the longer of two, for held_pieces of the shorter."""
+    n, sought = len(s), set()
+    shortest = int(n * least / (200 - least) - 1e-9)
     for m in range(max(0, shortest), n + 1):
         k = edits(m, n, least)
         if k >= 0:
             for i, (a, b) in enumerate(pieces(m, k + 1)):
                 for by in range(max(-i, n - m - (k - i), -a), min(i, n - m + k - i, n - b) + 1):
                     sought.add((m, k, i, s[a + by : b + by]))
-    return held, sorted(sought)
+    return sorted(sought)
 
 
 def parities(s: str) -> int:
@@ -62,27 +68,29 @@ def parities(s: str) -> int:
 def alike_names(names: DataFrame, least: float = FUZZY) -> DataFrame:
     """type, name_key, other: each two names (type, name_key, sorted) of one type once whose sorted forms are alike by `least`.
 
-    Names meet by a hash of their pieces' keys; of those that meet, only such go on whose characters' parities differ in no more
-    places than the edits allowed, and these are compared in full. A collision of hashes costs one comparison.
+    Names meet by a number made of their pieces' keys; of those that meet, only such go on whose characters' parities differ in no more
+    places than the edits allowed, and these are compared in full. Keys with one number cost one comparison more.
     """
     names = materialize(names.select("type", "name_key", "sorted").withColumn("id", F.monotonically_increasing_id()), "names")
 
-    def keyed(longer: bool) -> DataFrame:
+    def keyed(of) -> DataFrame:
         def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                rows = [(t, name, len(s), sign, *key) for t, name, s in zip(frame["type"], frame["id"], frame["sorted"], strict=True) for sign in (parities(s),) for key in piece_keys(s, least)[longer]]
-                yield pd.DataFrame(rows, columns=["type", "id", "n", "sign", "m", "k", "i", "piece"])
+                rows = []
+                for t, name, s in zip(frame["type"], frame["id"], frame["sorted"], strict=True):
+                    kind, sign, n = zlib.crc32((t or "").encode()), parities(s), len(s)
+                    rows += [((m & 0x7FFF) << 48 | (k & 0xFF) << 40 | (i & 0xFF) << 32 | zlib.crc32(x.encode("utf-8", "surrogatepass"), kind), name, n, sign, k) for m, k, i, x in of(s, least)]
+                yield pd.DataFrame(rows, columns=["key", "id", "n", "sign", "k"])
 
-        rows = names.select("type", "id", "sorted").mapInPandas(keys, "type string, id bigint, n int, sign bigint, m int, k int, i int, piece string")
-        return rows.select(F.xxhash64("type", "m", "k", "i", "piece").alias("key"), "id", "n", "sign", "k")
+        return names.select("type", "id", "sorted").mapInPandas(keys, "key bigint, id bigint, n int, sign bigint, k int")
 
-    short, long = keyed(False), keyed(True).select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("sign").alias("other_sign"))
+    short, long = keyed(held_pieces), keyed(sought_pieces).select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("sign").alias("other_sign"))
     # Two of one length find each other both ways; one is enough.
     once = (F.col("id") < F.col("other")) | ((F.col("id") > F.col("other")) & (F.col("n") < F.col("other_n")))
     met = short.join(long, "key").where(once & (F.bit_count(F.col("sign").bitwiseXOR(F.col("other_sign"))) <= F.col("k")))
     candidates = materialize(met.select("id", "other").distinct(), "candidates")
-    both = candidates.join(names, "id").join(names.select(F.col("id").alias("other"), F.col("name_key").alias("other_key"), F.col("sorted").alias("other_sorted")), "other")
-    return both.where(token_sort_of("sorted", "other_sorted") >= least).select("type", "name_key", F.col("other_key").alias("other"))
+    both = candidates.join(names, "id").join(names.select(F.col("id").alias("other"), F.col("type").alias("other_type"), F.col("name_key").alias("other_key"), F.col("sorted").alias("other_sorted")), "other")
+    return both.where(F.col("type").eqNullSafe(F.col("other_type"))).where(token_sort_of("sorted", "other_sorted") >= least).select("type", "name_key", F.col("other_key").alias("other"))
 
 
 def entity_groups(rows: DataFrame) -> DataFrame:
