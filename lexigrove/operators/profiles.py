@@ -112,7 +112,7 @@ def entity_groups(rows: DataFrame) -> DataFrame:
     plain = base.select("type", "name_key").distinct().withColumn("sorted", F.array_join(F.array_sort(F.split("name_key", " ")), " "))
     near = alike_names(plain)
     alike = near.select(node.alias("source"), F.concat_ws("\x1f", F.lit("n"), "type", "other").alias("target"))
-    edges = by_name.unionByName(by_alias).unionByName(by_short).unionByName(alike).distinct()
+    edges = by_name.unionByName(by_alias).unionByName(by_short).unionByName(alike)
     return components(edges).where(F.col("node").startswith("n\x1f")).select(F.split("node", "\x1f")[1].alias("type"), F.split("node", "\x1f")[2].alias("name_key"), F.col("component").alias("group"))
 
 
