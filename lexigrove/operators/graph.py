@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import wikilinks
-from lexigrove.shared import join_heavy, materialize, number_rows, table
+from lexigrove.shared import join_heavy, join_large, materialize, number_rows, table
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -101,19 +101,19 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 6
     every = every.unionByName(nodes.select("node").where(F.col("node").isNotNull())) if nodes is not None else every
     ids = materialize(number_rows(every.distinct(), ["node"], "id"), "ids")
     of = lambda end: ids.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
-    numbered = known.join(of("source"), "source").join(of("target"), "target").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    numbered = join_large(join_large(known, of("source"), ["source"]), of("target"), ["target"]).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
     step = materialize(both_ways(numbered).distinct(), "steps")
     label = ids.select(F.col("id").alias("node"), F.col("id").alias("label"))
     for _ in range(rounds):
-        near = step.join(label.select(F.col("node").alias("target"), "label"), "target").groupBy(F.col("source").alias("node")).agg(F.min("label").alias("near"))
-        low = materialize(label.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("low")), "low")
+        near = join_large(step, label.select(F.col("node").alias("target"), "label"), ["target"]).groupBy(F.col("source").alias("node")).agg(F.min("label").alias("near"))
+        low = materialize(join_large(label, near, ["node"], "left").select("node", "label", F.least("label", "near").alias("low")), "low")
         # A giant component soon has one label: the heaviest labels are broadcast with where they lead, the rest is shuffled.
-        leads = low.groupBy("low").agg(F.count(F.lit(1)).alias("n")).join(low.select(F.col("node").alias("low"), F.col("low").alias("jump")), "low")
-        jump = join_heavy(low, materialize(leads, "leads"), ["low"], "n")
+        leads = join_large(low.groupBy("low").agg(F.count(F.lit(1)).alias("n")), low.select(F.col("node").alias("low"), F.col("low").alias("jump")), ["low"])
+        jump = join_heavy(low, materialize(leads, "leads"), ["low"], "n", large=True)
         after = materialize(jump.select("node", F.col("label").alias("before"), F.least("low", "jump").alias("label")), "labels")
         if after.where(F.col("label") != F.col("before")).isEmpty():
-            sizes = materialize(after.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(ids.select(F.col("id").alias("label"), F.col("node").alias("component")), "label"), "components")
-            return join_heavy(after.select(F.col("node").alias("id"), "label"), sizes, ["label"], "n").join(ids, "id").select("node", "component")
+            sizes = materialize(join_large(after.groupBy("label").agg(F.count(F.lit(1)).alias("n")), ids.select(F.col("id").alias("label"), F.col("node").alias("component")), ["label"]), "components")
+            return join_large(join_heavy(after.select(F.col("node").alias("id"), "label"), sizes, ["label"], "n", large=True), ids, ["id"]).select("node", "component")
         label = after.select("node", "label")
     raise RuntimeError(f"components not settled after {rounds} rounds")
 

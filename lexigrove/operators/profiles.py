@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexigrove.functions.fuzzy import token_sort_of
 from lexigrove.functions.text import canonical_key, initials, is_acronym, join_capped, slugify
 from lexigrove.operators.graph import components
-from lexigrove.shared import join_heavy, materialize, numbered_within, table
+from lexigrove.shared import join_heavy, join_large, materialize, numbered_within, table
 
 # Relation types that are others read backwards.
 INVERSE = {"USED_BY": "USES", "IS_IMPROVED_BY": "IMPROVES_OVER", "IS_EVALUATION_DATASET_FOR": "EVALUATES_ON", "INTRODUCED_BY": "INTRODUCES", "DEPENDED_ON_BY": "DEPENDS_ON"}
@@ -87,9 +87,9 @@ def alike_names(names: DataFrame, least: float = FUZZY) -> DataFrame:
     short, long = keyed(held_pieces), keyed(sought_pieces).select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("sign").alias("other_sign"))
     # Two of one length find each other both ways; one is enough.
     once = (F.col("id") < F.col("other")) | ((F.col("id") > F.col("other")) & (F.col("n") < F.col("other_n")))
-    met = short.join(long, "key").where(once & (F.bit_count(F.col("sign").bitwiseXOR(F.col("other_sign"))) <= F.col("k")))
+    met = join_large(short, long, ["key"]).where(once & (F.bit_count(F.col("sign").bitwiseXOR(F.col("other_sign"))) <= F.col("k")))
     candidates = materialize(met.select("id", "other").distinct(), "candidates")
-    both = candidates.join(names, "id").join(names.select(F.col("id").alias("other"), F.col("type").alias("other_type"), F.col("name_key").alias("other_key"), F.col("sorted").alias("other_sorted")), "other")
+    both = join_large(join_large(candidates, names, ["id"]), names.select(F.col("id").alias("other"), F.col("type").alias("other_type"), F.col("name_key").alias("other_key"), F.col("sorted").alias("other_sorted")), ["other"])
     return both.where(F.col("type").eqNullSafe(F.col("other_type"))).where(token_sort_of("sorted", "other_sorted") >= least).select("type", "name_key", F.col("other_key").alias("other"))
 
 
@@ -108,7 +108,7 @@ def entity_groups(rows: DataFrame) -> DataFrame:
     by_name = base.select(node.alias("source"), key(F.col("name_key")).alias("target"))
     by_alias = base.select("type", "name_key", F.explode("aliases").alias("a")).withColumn("k", canonical_key(F.col("a"))).where("k <> ''").select(node.alias("source"), key(F.col("k")).alias("target"))
     known = base.where("acronym").select("type", F.col("name_key").alias("short")).distinct()
-    by_short = base.where(F.length("short") > 1).withColumn("short", F.lower("short")).join(known, ["type", "short"], "left_semi").select(node.alias("source"), key(F.col("short")).alias("target"))
+    by_short = join_large(base.where(F.length("short") > 1).withColumn("short", F.lower("short")), known, ["type", "short"], "left_semi").select(node.alias("source"), key(F.col("short")).alias("target"))
     plain = base.select("type", "name_key").distinct().withColumn("sorted", F.array_join(F.array_sort(F.split("name_key", " ")), " "))
     near = alike_names(plain)
     alike = near.select(node.alias("source"), F.concat_ws("\x1f", F.lit("n"), "type", "other").alias("target"))

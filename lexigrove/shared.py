@@ -78,11 +78,21 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str, top: int = TOP_KEYS) -> DataFrame:
+def join_large(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join of two sides that grow with the input: by shuffle, never by broadcast.
+
+    Spark takes the size of a materialized table from its compressed files, and that of what a function makes of its rows from
+    the same figure, so that by itself it would send millions of rows through the driver.
+    """
+    return left.join(right.hint("merge"), keys, how)
+
+
+def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str, top: int = TOP_KEYS, large: bool = False) -> DataFrame:
     """Inner join of left with right, whose keys are unique, when a few keys hold most rows of left.
 
     The heaviest `top` keys of right (by `weight`) are broadcast, never more rows than that; the rest, none of
-    which holds more than 1/top of the rows, is joined by shuffle. right should be a materialized table: it is read three times.
+    which holds more than 1/top of the rows, is joined by shuffle, by join_large if right is `large` and else as Spark chooses.
+    right should be a materialized table: it is read three times.
     """
     heavy = right.orderBy(F.col(weight).desc(), *keys).limit(top)
     light = right.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
@@ -90,7 +100,7 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     tagged = left.join(F.broadcast(heavy.select(*keys, F.lit(True).alias(mark))), keys, "left")
     return (
         tagged.where(F.col(mark)).drop(mark).join(F.broadcast(heavy), keys)
-        .unionByName(tagged.where(F.col(mark).isNull()).drop(mark).join(light, keys))
+        .unionByName((join_large if large else DataFrame.join)(tagged.where(F.col(mark).isNull()).drop(mark), light, keys))
     )
 
 

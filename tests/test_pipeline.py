@@ -19,7 +19,7 @@ from lexigrove.operators import graph as gr
 from lexigrove.operators import incremental as inc
 from lexigrove.operators import profiles as pf
 from lexigrove.operators import quality as ql
-from lexigrove.shared import number_rows
+from lexigrove.shared import materialize, number_rows
 from lexigrove.sinks import writers as wr
 from lexigrove.sources import readers as rd
 from lexigrove.streaming import ingest
@@ -435,3 +435,22 @@ def test_index_parts_and_saved_answers(spark):
     one, two = sorted(wr.answer_pages(a, "2025-01-01").collect(), key=lambda r: r.file)
     assert one.file.startswith("analysis/is-this-so-") and 'title: "Is \\"this\\" so?"' in one.text and one.text.endswith("# Is \"this\" so?\n\nYes.\n\n## Citations\n\n- a.md#chunk-1\n")
     assert "citation_count: 0\ninsufficient_evidence: true" in two.text and ql.analysis_rules(wr.answer_pages(a, "2025-01-01").select(F.lit(1).alias("page_id"), "text")).count() == 0
+
+
+def test_profiles_broadcast_only_what_is_bounded(spark, monkeypatch):
+    """Whatever Spark takes the sizes of compressed tables for, only what is marked (1,000 rows at most) goes through the driver."""
+    rows = spark.createDataFrame(
+        [(i, f"name {'abcdefgh'[i % 8] * 9} model", "MODEL", ["AM", f"alias {i % 3}"], "d", ["c1"], ["s1"], 0.5) for i in range(40)],
+        "row_id long, name string, type string, aliases array<string>, description string, chunk_ids array<string>, source_ids array<string>, confidence double")
+    seen = {}
+
+    def spied(df, name, *rest):
+        seen[name] = df._jdf.queryExecution()
+        return materialize(df, name, *rest)
+
+    for module in (pf, gr):
+        monkeypatch.setattr(module, "materialize", spied)
+    seen["found"] = pf.entity_groups(rows)._jdf.queryExecution()
+    assert {"candidates", "low", "leads", "found"} <= set(seen)
+    for name, of in seen.items():
+        assert of.sparkPlan().toString().count("BroadcastHashJoin") == of.optimizedPlan().toString().count("strategy=broadcast"), name
