@@ -123,7 +123,8 @@ def entity_profiles(rows: DataFrame, groups: DataFrame) -> DataFrame:
     at most 50; their counts are exact. Ties of names go to the lesser.
     """
     kind = F.upper(F.trim(F.coalesce("type", F.lit(""))))
-    held = rows.withColumn("t", kind).withColumn("name_key", canonical_key(F.coalesce("name", F.lit("")))).join(groups.withColumnRenamed("type", "t"), ["t", "name_key"])
+    groups = materialize(groups.withColumnRenamed("type", "t"), "groups")  # read for each of the lists below
+    held = join_large(rows.withColumn("t", kind).withColumn("name_key", canonical_key(F.coalesce("name", F.lit("")))), groups, ["t", "name_key"])
     named = held.groupBy("group").agg(
         F.max_by("name", F.struct((~is_acronym(F.coalesce("name", F.lit("")))).alias("full"), F.length("name").alias("n"), "name")).alias("canonical_name"), F.count(F.lit(1)).alias("n_rows"),
         F.max_by("description", F.struct(F.length("description"), F.col("description"))).alias("description"), F.round(F.avg("confidence"), 6).alias("confidence"))
@@ -134,9 +135,9 @@ def entity_profiles(rows: DataFrame, groups: DataFrame) -> DataFrame:
         r = one.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy("at", "v")))
         return r.groupBy("group").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 50, F.struct("r", "v")))), lambda x: x["v"]).alias(name))
 
-    out = named.join(votes, "group")
+    out = join_large(named, votes, ["group"])
     for c, name in ((F.concat(F.array("name"), F.coalesce("aliases", F.expr("cast(array() as array<string>)"))), "aliases"), (F.col("chunk_ids"), "chunk_ids"), (F.col("source_ids"), "source_ids")):
-        out = out.join(firsts(c, name), "group", "left")
+        out = join_large(out, firsts(c, name), ["group"], "left")
     slug = slugify(F.col("canonical_name"))
     n = F.row_number().over(Window.partitionBy(slug).orderBy("group"))
     out = out.withColumn("id", F.concat(F.lit("entity:"), slug, F.when(n > 1, F.concat(F.lit("-"), n)).otherwise("")))

@@ -450,7 +450,7 @@ def test_profiles_broadcast_only_what_is_bounded(spark, monkeypatch):
 
     for module in (pf, gr):
         monkeypatch.setattr(module, "materialize", spied)
-    seen["found"] = pf.entity_groups(rows)._jdf.queryExecution()
-    assert {"candidates", "low", "leads", "found"} <= set(seen)
+    seen["profiles"] = pf.entity_profiles(rows, pf.entity_groups(rows))._jdf.queryExecution()
+    assert {"candidates", "low", "leads", "groups", "profiles"} <= set(seen)
     for name, of in seen.items():
         assert of.sparkPlan().toString().count("BroadcastHashJoin") == of.optimizedPlan().toString().count("strategy=broadcast"), name
