@@ -6,7 +6,8 @@ words, whose line breaks are decoded jointly with its characters: a lattice over
 a word to stand as it is, to be a confusion of another, to be joined over a line end with the mark dropped or kept, to be two
 words run together or one that was split; the cheapest path by word frequencies wins. Words come from the corpus itself: counts
 over all records. A word gives way to a reading by one rule, the ratio of their counts (`margin`), whatever the size of the
-corpus: for the most frequent CORE_WORDS each worker applies it, for all others a join with the whole table of counts.
+corpus: each worker holds the counts of the most frequent CORE_WORDS, and a text with other words is decoded once the counts of
+these and of their readings have been joined to it, so that all texts are decoded in one way and by the counts of all records.
 Paragraph boundaries are then chosen by dynamic programming over the lines.
 """
 
@@ -23,9 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.shared import join_heavy, materialize, table
+from lexigrove.shared import join_heavy, join_large, materialize, table
 
-#: Words that each worker holds, the most frequent ones; rarer ones take part by a join and are decided by the same rule.
+#: Words that each worker holds, the most frequent ones; the counts of rarer ones are joined to the texts that have them.
 CORE_WORDS = 100_000
 #: A reading must be so many times as frequent as the word that stands: at least, and if the word ends in a digit (names do).
 LEAST_MARGIN, DIGIT_MARGIN = 2, 15
@@ -143,13 +144,23 @@ class Words:
 
     UNKNOWN, LETTER, CHARACTER, JOIN, MERGE = 2.0, 4.0, 1.5, 1.0, 5.0
 
-    def __init__(self, counts: dict[str, int], complete: bool = True):
-        self.counts, self.complete = counts, complete  # complete: a word that isn't among the counts doesn't occur
-        self.total = math.log(max(2, sum(counts.values())))
-        self.common = max(1, COMMON * sum(counts.values()))
+    def __init__(self, counts: dict[str, int], occurrences: int | None = None):
+        self.counts, self.added = counts, []  # a word that isn't among the counts doesn't occur
+        occurrences = sum(counts.values()) if occurrences is None else occurrences  # of all words, also where only some are held
+        self.total = math.log(max(2, occurrences))
+        self.common = least_common(occurrences)
         self.seen: dict[str, bool] = {}
         self.fixes: dict[str, tuple[float, str] | None] = {}
 
+    def add(self, more: dict[str, int]) -> None:
+        """Counts that a text needs besides; those of earlier texts go when they are many."""
+        if len(self.added) > 200_000:
+            for word in self.added:
+                self.counts.pop(word, None)
+            self.added.clear()
+        self.added += [word for word in more if word not in self.counts]
+        self.counts.update(more)
+
     def cost(self, word: str) -> float | None:
         n = self.counts.get(word)
         return None if n is None else self.total - math.log(n)
@@ -172,17 +183,16 @@ class Words:
         return hit
 
     def fix(self, raw: str) -> tuple[float, str] | None:
-        """The cheapest reading that a token gives way to, with its cost; None if it had better stand, or isn't known here.
+        """The cheapest reading that a token gives way to, with its cost; None if it had better stand.
 
         The reading must be `margin` times as frequent as the word that stands, so that the size of the corpus doesn't matter.
-        Where the counts aren't complete, a word that isn't among them is left to the join with all, by the same rule.
         """
         if raw not in self.fixes:
             if len(self.fixes) > 400_000:
                 self.fixes.clear()
             w = core(raw)
-            best, own = None, self.counts.get(w, 1 if self.complete else None)
-            for word, extra in readings_of(raw) if own else ():
+            best, own = None, self.counts.get(w, 1)
+            for word, extra in readings_of(raw):
                 n = self.counts.get(word, 0)
                 if n > own * margin(w, extra):
                     best = max(best or (-math.inf, ""), (math.log(n) - extra, word))
@@ -190,6 +200,11 @@ class Words:
         return self.fixes[raw]
 
 
+def least_common(occurrences: int) -> float:
+    """The count over which a word is common."""
+    return max(1, COMMON * occurrences)
+
+
 def core(raw: str) -> str:
     """The word in a token: without outer punctuation, in lower case."""
     return raw.strip(_EDGE + "()!|-–—/").lower()
@@ -298,18 +313,36 @@ def stream(lines: list[str]) -> Stream:
 
 
 class Path:
-    """A decoded stretch: tokens to give out, noises met, and what was left open."""
+    """A decoded stretch: tokens to give out, and noises met."""
 
     def __init__(self):
         self.out: list[str] = []
         self.at: list[int] = []  # of each word given out, the first token that it comes from
         self.noises: set[str] = set()
-        self.open: list[tuple[str, str, str]] = []  # kind, word, and for a broken word its form with a hyphen
 
 
-def decode(tokens: Stream, words: Words, rare: dict[str, str] | None = None) -> Path:
-    """The cheapest reading of the tokens. rare: corrections that the whole table of counts gave."""
-    rare = rare or {}
+def asked(tokens: Stream, counts: dict[str, int], sure: dict[str, str]) -> set[str]:
+    """Keys (key_of) of the words whose counts, and whose readings', decode needs and `counts` doesn't have. sure: what was found before, by token.
+
+    A word that is held gives way only to more frequent ones, which are held too; so are all common words, of which it takes a
+    compound, or words run together or split, to consist.
+    """
+    raws, found = tokens.raws, set()
+    broken = [x for i in tokens.marks if i + 1 < len(raws) for x in (raws[i] + raws[i + 1], raws[i] + "-" + raws[i + 1])]
+    for raw in (*raws, *broken):
+        key = sure.get(raw)
+        if key is None:
+            w = core(raw)
+            key = "" if w in counts or not any(map(str.isalpha, w)) else key_of(raw)
+            if len(sure) < 400_000:
+                sure[raw] = key
+        if key:
+            found.add(key)
+    return found
+
+
+def decode(tokens: Stream, words: Words) -> Path:
+    """The cheapest reading of the tokens."""
     raws, marks, seen, plain = tokens.raws, tokens.marks, words.seen, words.plain
     path, n, done = Path(), len(raws), 0
     known = seen.get
@@ -322,26 +355,26 @@ def decode(tokens: Stream, words: Words, rare: dict[str, str] | None = None) ->
         j = min(n, j + 1)  # the next word, with which the last may have been one
         path.out += raws[done:i]
         path.at += range(done, i)
-        _lattice(raws[i:j], {k - i: marks[k] for k in range(i, j) if k in marks}, words, rare, path, i)
+        _lattice(raws[i:j], {k - i: marks[k] for k in range(i, j) if k in marks}, words, path, i)
         done = j
     path.out += raws[done:]
     path.at += range(done, n)
     return path
 
 
-def _lattice(toks: list[str], marks: dict[int, str], words: Words, rare: dict[str, str], path: Path, start: int) -> None:
+def _lattice(toks: list[str], marks: dict[int, str], words: Words, path: Path, start: int) -> None:
     n = len(toks)
     best: list[tuple] = [(0.0, None)] + [(math.inf, None)] * n
 
-    def arc(i: int, j: int, cost: float, out: list[str], noises: tuple = (), left: list | None = None) -> None:
+    def arc(i: int, j: int, cost: float, out: list[str], noises: tuple = ()) -> None:
         if best[i][0] + cost < best[j][0] - 1e-12:
-            best[j] = (best[i][0] + cost, (i, out, noises, left or []))
+            best[j] = (best[i][0] + cost, (i, out, noises))
 
     unknown = words.total + Words.UNKNOWN
     for i in range(n):
         raw = toks[i]
         if i in marks and i + 1 < n:
-            _joins(raw, marks[i], toks[i + 1], words, rare, lambda c, out, noises, left=None, i=i: arc(i, i + 2, c, out, noises, left))
+            _joins(raw, marks[i], toks[i + 1], words, lambda c, out, noises, i=i: arc(i, i + 2, c, out, noises))
             continue
         w = core(raw)
         c = words.cost(w)
@@ -351,9 +384,7 @@ def _lattice(toks: list[str], marks: dict[int, str], words: Words, rare: dict[st
             fixed = words.fix(raw)
             if fixed:
                 arc(i, i + 1, fixed[0], [_dressed(raw, fixed[1])], ("misread",))
-            elif (key := key_of(raw)) in rare:
-                arc(i, i + 1, words.total, [_dressed(raw, rare[key])], ("misread",))
-            arc(i, i + 1, unknown, [raw], (), None if words.complete or fixed or w in words.counts or key in rare else [("misread", key, "")])
+            arc(i, i + 1, unknown, [raw])
             for k in range(3, len(w) - 2):
                 a, b = words.counts.get(w[:k], 0), words.counts.get(w[k:], 0)
                 if a > words.common and b > words.common and w.isalpha():
@@ -364,17 +395,16 @@ def _lattice(toks: list[str], marks: dict[int, str], words: Words, rare: dict[st
                 arc(i, i + 2, words.cost(both) + Words.MERGE, [raw + toks[i + 1]])
     steps, j = [], n
     while j:
-        i, out, noises, left = best[j][1]
-        steps.append((i, out, noises, left))
+        i, out, noises = best[j][1]
+        steps.append((i, out, noises))
         j = i
-    for i, out, noises, left in reversed(steps):
+    for i, out, noises in reversed(steps):
         path.out += out
         path.at += [start + i] * len(out)
         path.noises.update(noises)
-        path.open += left
 
 
-def _joins(a: str, marked: str, b: str, words: Words, rare: dict[str, str], arc) -> None:
+def _joins(a: str, marked: str, b: str, words: Words, arc) -> None:
     """Readings of a word that a mark at a line end breaks or belongs to."""
     mark = marked[0]
     joined, kept = a + b, a + "-" + b
@@ -394,23 +424,18 @@ def _joins(a: str, marked: str, b: str, words: Words, rare: dict[str, str], arc)
     first = re.sub(r"^\W+", "", b)[:1]
     compound = not first.islower() or (words.counts.get(x, 0) > words.common and words.counts.get(y, 0) > words.common)
     if cj is None and ch is None:
-        left = [("hyphen", j, h)]
-        if rare.get("-" + j) == "join":
-            arc(words.total, [joined], ("hyphen",))
-        elif rare.get("-" + j) == "keep":
-            arc(words.total, [kept], ())
-        arc(unknown + foreign + (0.0 if compound else 4.0), [kept], (), left if compound else None)
+        arc(unknown + foreign + (0.0 if compound else 4.0), [kept], ())
         if first.islower():
-            arc(unknown + Words.JOIN, [joined], ("hyphen",), None)
+            arc(unknown + Words.JOIN, [joined], ("hyphen",))
 
 
-def _read(text: str, title: str | None, words: Words, rare: dict[str, str] | None, learned: frozenset[int] | set[int], whole: bool) -> tuple[list[str], set[str], list]:
-    """Paragraphs (if the whole is wanted), noises, and what is left open, of one decoding of the text."""
+def _read(text: str, title: str | None, words: Words, learned: frozenset[int] | set[int], whole: bool) -> tuple[list[str], set[str]]:
+    """Paragraphs (if the whole is wanted) and noises, of one decoding of the text."""
     lines = text.split("\n")
     kinds = line_kinds(lines, title, learned)
     noises = {x for x, k in (("header", 0), ("page_number", 1)) if any(kind[k] for kind in kinds)}
     groups = paragraphs(lines, kinds) if whole else [[x for x, (h, p) in zip(lines, kinds, strict=True) if not h and not p]]
-    path = decode(stream([line for group in groups for line in group]), words, rare)
+    path = decode(stream([line for group in groups for line in group]), words)
     parts, tokens, done = [], 0, 0
     for group in groups if whole else ():
         tokens += sum(len(line.split()) for line in group)
@@ -418,12 +443,17 @@ def _read(text: str, title: str | None, words: Words, rare: dict[str, str] | Non
         if until > done:
             parts.append(re.match(r"\s*", group[0]).group() + " ".join(path.out[done:until]))
         done = until
-    return parts, noises | path.noises, path.open
+    return parts, noises | path.noises
 
 
 def examine(text: str, title: str | None, words: Words, learned: frozenset[int] | set[int] = frozenset()) -> tuple[set[str], list]:
-    """Noises of a text that the words decide, and what they leave open: (kind, word, form with a hyphen)."""
-    return _read(text, title, words, None, learned, False)[1:]
+    """Noises of a text, and what is left open: nothing, as `words` has all counts."""
+    return _read(text, title, words, learned, False)[1], []
+
+
+def _asked(text: str, title: str | None, counts: dict[str, int], learned: frozenset[int] | set[int], sure: dict[str, str]) -> set[str]:
+    lines = text.split("\n")
+    return asked(stream([x for x, (h, p) in zip(lines, line_kinds(lines, title, learned), strict=True) if not h and not p]), counts, sure)
 
 
 def paragraphs(lines: list[str], kinds: list[tuple[bool, bool]]) -> list[list[str]]:
@@ -483,9 +513,9 @@ def paragraphs(lines: list[str], kinds: list[tuple[bool, bool]]) -> list[list[st
     return [[x for x, _ in kept[a:b]] for a, b in pairwise(starts)]
 
 
-def repair(text: str, title: str | None, words: Words, rare: dict[str, str] | None = None, learned: frozenset[int] | set[int] = frozenset()) -> tuple[list[str], list[str]]:
+def repair(text: str, title: str | None, words: Words, learned: frozenset[int] | set[int] = frozenset()) -> tuple[list[str], list[str]]:
     """Paragraphs of the text in continuous form, and the noises taken out."""
-    parts, noises, _ = _read(text, title, words, rare, learned, True)
+    parts, noises = _read(text, title, words, learned, True)
     return parts, sorted(noises)
 
 
@@ -539,17 +569,22 @@ def header_lines(looked: DataFrame) -> DataFrame:
     return join_heavy(short.select("record", "line", "form"), forms_.select("form", "n"), ["form"], "n").groupBy("record").agg(F.collect_set("line").alias("learned"))  # lines of one text
 
 
-def core_words(counts: DataFrame, most: int = CORE_WORDS, least: int = 1) -> dict[str, int]:
-    """The most frequent words, at most `most`: all that occur as often as a count found on the histogram of counts."""
+def core_words(counts: DataFrame, most: int = CORE_WORDS, least: int = 1) -> tuple[dict[str, int], int, bool]:
+    """The most frequent words, at most `most` that occur `least` times, and all common words (1 / COMMON at most); how often all words occur; whether these are all.
+
+    They are all that occur as often as a count found on the histogram of counts.
+    """
     step = F.when(F.col("n") < 1000, F.col("n")).otherwise(1000 + F.floor(64 * F.log2(F.col("n") / 1000)))
-    sizes = counts.where(F.col("n") >= least).groupBy(step.cast("int").alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.col("step").desc()).collect()  # 1,000 steps and 64 for each doubling
-    total, least = 0, None
+    sizes = counts.groupBy(step.cast("int").alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n"), F.sum("n").alias("all")).orderBy(F.col("step").desc()).collect()  # 1,000 steps and 64 for each doubling
+    occurrences, total, at = sum(r["all"] for r in sizes), 0, math.inf
     for r in sizes:
         total += r.words
-        if total > most:
+        if total > most or r.n < least:
             break
-        least = r.n
-    return {} if least is None else {r.word: r.n for r in counts.where(F.col("n") >= least).collect()}
+        at = r.n
+    at = min(at, math.floor(least_common(occurrences)) + 1)
+    known = {r.word: r.n for r in counts.where(F.col("n") >= at).collect()}
+    return known, occurrences, len(known) == sum(r.words for r in sizes)
 
 
 def identified(records: DataFrame) -> DataFrame:
@@ -558,102 +593,88 @@ def identified(records: DataFrame) -> DataFrame:
     return records.select("record_table", "record_key", "title", "text").where(F.length("text") > 0).select("*", record.alias("record"), F.when(F.length("title") > 0, F.xxhash64("title")).otherwise(record).alias("source"))
 
 
-def candidates_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The readings of each open word: kind, word, own (the word by which it is counted), candidate, least (cost)."""
-    for frame in frames:
-        rows = []
-        for kind, word, kept in zip(frame["noise"], frame["word"], frame["kept"], strict=True):
-            if kind == "hyphen":
-                rows += [(kind, word, None, word, 0.0, 0.0), (kind, word, None, kept, 0.0, 0.0)]
-            else:
-                w = core(word)
-                rows += [(kind, word, w, x, extra, margin(w, extra)) for x, extra in readings_of(word)]
-        yield pd.DataFrame(rows, columns=["noise", "word", "own", "candidate", "least", "margin"])
+def candidates_of(key: str) -> set[str]:
+    """The words whose counts decide on a key: its own, the name in a name with a number, and all readings."""
+    w = core(key)
+    return {w, w.rstrip("0123456789-"), *(x for x, _ in readings_of(key))}
 
 
 TEXTS = "record_table string, record_key string, text string, n_paragraphs int, noises array<string>"
 
 
 class Scans:
-    """Records decoded: `seen` has a row for each noise, each open place, and (with texts) each text without open places.
+    """Records decoded: `read` has a row for each noise (noise) and, with texts, each text (text, n_paragraphs); `told` the counts joined.
 
     records: record_table, record_key, title, text. Null and empty texts have no rows; a null title only leaves headers that
     repeat the title unseen. Whole texts of any length are read. Further columns are dropped. core_limit and core_count (the
-    least count of a core word) only tell where a word is decided, not how.
+    least count of a core word) only tell which counts a worker has at once and which are joined; the words that a text is
+    decoded by are the same.
     """
 
     def __init__(self, records: DataFrame, core_limit: int, core_count: int, texts: bool):
-        self.records = identified(records)
-        looked = materialize(first_look(self.records), "looked")
+        records = identified(records)
+        looked = materialize(first_look(records), "looked")
         counts = materialize(looked.where(F.col("word") != "").groupBy("word").agg(F.sum("n").alias("n")), "words")
-        known = core_words(counts, core_limit, core_count)
-        self.complete = complete = len(known) == counts.count()
-        self.sent = sent = records.sparkSession.sparkContext.broadcast(known)
-        self.heads = materialize(header_lines(looked), "heads")
-
-        def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words = Words(sent.value, complete)
+        known, occurrences, complete = core_words(counts, core_limit, core_count)
+        sent = records.sparkSession.sparkContext.broadcast(known)
+        records = records.join(materialize(header_lines(looked), "heads"), "record", "left")
+
+        def look(told: bool):
+            def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                core_, sure = sent.value, {}
+                words = Words(dict(core_) if told else core_, occurrences)
+                for frame in frames:
+                    rows = []
+                    for of, at, key, title, text, learned, more in zip(*(frame[x] for x in ("record", "record_table", "record_key", "title", "text", "learned", "more")), strict=True):
+                        title, learned = title if isinstance(title, str) else None, frozenset() if learned is None else set(learned)
+                        if told:
+                            words.add({x["word"]: x["n"] for x in more} if more is not None else {})
+                        elif not complete and (keys := _asked(text, title, core_, learned, sure)):
+                            rows += [(of, at, key, None, k, None, None) for k in keys]
+                            continue
+                        parts, noises = _read(text, title, words, learned, texts)
+                        rows += [(of, at, key, x, None, None, None) for x in noises]
+                        if texts:
+                            rows.append((of, at, key, None, None, "\n\n".join(parts), len(parts)))
+                    yield pd.DataFrame(rows, columns=["record", "record_table", "record_key", "noise", "asked", "text", "n_paragraphs"])
+
+            return run
+
+        def wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                rows = []
-                for of, at, key, title, text, learned in zip(*(frame[x] for x in ("record", "record_table", "record_key", "title", "text", "learned")), strict=True):
-                    parts, noises, left = _read(text, title if isinstance(title, str) else None, words, None, frozenset() if learned is None else set(learned), texts)
-                    rows += [(of, at, key, x, None, None, None, None) for x in noises]
-                    rows += [(of, at, key, *x, None, None) for x in set(left)]
-                    if texts and not left:
-                        rows.append((of, at, key, None, None, None, "\n\n".join(parts), len(parts)))
-                yield pd.DataFrame(rows, columns=["record", "record_table", "record_key", "noise", "word", "kept", "text", "n_paragraphs"])
-
-        schema = "record bigint, record_table string, record_key string, noise string, word string, kept string, text string, n_paragraphs int"
-        self.seen = materialize(self.records.join(self.heads, "record", "left").mapInPandas(look, schema), "seen")
-        self.left = self.seen.where(F.col("word").isNotNull()).select("record", "record_table", "record_key", "noise", "word", "kept")
-        # A reading must be so many times as frequent as the word, as in Words.fix; of a broken word the more frequent form wins.
-        asked = self.left.select("noise", "word", "kept").distinct().mapInPandas(candidates_of, "noise string, word string, own string, candidate string, least double, margin double")
-        judged = (
-            asked.join(counts.select(F.col("word").alias("candidate"), "n"), "candidate").join(counts.select(F.col("word").alias("own"), F.col("n").alias("owns")), "own", "left")
-            .where(F.col("n") > F.coalesce("owns", F.lit(1)) * F.col("margin"))
-            .groupBy("noise", "word").agg(F.max_by("candidate", F.struct(F.log("n") - F.col("least"), "candidate")).alias("candidate"))
-        )
-        settled = self.left.select("record", "record_table", "record_key", "noise", "word").distinct().join(judged, ["noise", "word"])
-        self.settled = materialize(settled.where((F.col("noise") == "misread") | (F.col("word") == F.col("candidate"))), "settled")
+                rows = [(k, x) for k in frame["asked"] for x in candidates_of(k) if x and x not in sent.value]
+                yield pd.DataFrame(rows, columns=["asked", "word"])
+
+        schema = "record bigint, record_table string, record_key string, noise string, asked string, text string, n_paragraphs int"
+        more = "array<struct<word: string, n: bigint>>"
+        seen = materialize(records.withColumn("more", F.lit(None).cast(more)).mapInPandas(look(False), schema), "seen")
+        left = seen.where(F.col("asked").isNotNull()).select("record", "asked")
+        found = join_large(left.select("asked").distinct().mapInPandas(wanted, "asked string, word string"), counts, ["word"])
+        self.told = join_large(left, materialize(found, "found"), ["asked"]).groupBy("record").agg(F.collect_set(F.struct("word", "n")).alias("more"))  # of one text
+        self.read = seen.where(F.col("asked").isNull())
+        if not complete:
+            again = join_large(records.dropDuplicates(["record"]), left.select("record").distinct(), ["record"], "left_semi")
+            self.read = self.read.unionByName(materialize(join_large(again, self.told, ["record"], "left").mapInPandas(look(True), schema), "read"))
 
 
 def noisy(records: DataFrame, core_limit: int = CORE_WORDS, core_count: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Noises found (record_table, record_key, noise), and the open places that the whole table of counts settled.
+    """Noises found (record_table, record_key, noise), and the counts that were joined to records.
 
     A row for each record and noise in its text; rows repeated with their key count once, a key with several texts has the
     noises of all. Records and parameters as in Scans.
     """
-    scans, row = Scans(records, core_limit, core_count, False), ["record_table", "record_key", "noise"]
-    return scans.seen.where(F.col("word").isNull()).select(row).unionByName(scans.settled.select(row)).distinct(), scans.settled
+    scans = Scans(records, core_limit, core_count, False)
+    return scans.read.where(F.col("noise").isNotNull()).select("record_table", "record_key", "noise").distinct(), scans.told
 
 
 def repaired(records: DataFrame, core_limit: int = CORE_WORDS, core_count: int = 1) -> DataFrame:
-    """record_table, record_key, text in continuous paragraphs, n_paragraphs, noises; a row for each distinct record row with text.
-
-    A text without open places is decoded once, by the same pass that finds its noises; the others again, with what was settled.
-    """
-    scans, key = Scans(records, core_limit, core_count, True), ["record", "record_table", "record_key"]
-    sent, complete = scans.sent, scans.complete
-    done = (
-        scans.seen.where(F.col("text").isNotNull()).select(*key, "text", "n_paragraphs").dropDuplicates(["record"])
-        .join(scans.seen.where(F.col("noise").isNotNull()).groupBy("record").agg(F.array_sort(F.collect_set("noise")).alias("noises")), "record", "left")
+    """record_table, record_key, text in continuous paragraphs, n_paragraphs, noises; a row for each distinct record row with text."""
+    read = Scans(records, core_limit, core_count, True).read
+    return (
+        read.where(F.col("text").isNotNull()).select("record", "record_table", "record_key", "text", "n_paragraphs").dropDuplicates(["record"])
+        .join(read.where(F.col("noise").isNotNull()).groupBy("record").agg(F.array_sort(F.collect_set("noise")).alias("noises")), "record", "left")
         .select("record_table", "record_key", "text", "n_paragraphs", F.coalesce("noises", F.array().cast("array<string>")).alias("noises"))
     )
-    entry = F.struct(F.when(F.col("noise") == "hyphen", F.concat(F.lit("-"), "word")).otherwise(F.col("word")).alias("k"), F.when(F.col("noise") == "hyphen", F.lit("join")).otherwise(F.col("candidate")).alias("v"))
-    rare = scans.settled.groupBy("record").agg(F.collect_set(entry).alias("rare"))  # of one text
-
-    def mend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(sent.value, complete)
-        for frame in frames:
-            rows = []
-            for at, k, title, text, of, learned in zip(*(frame[x] for x in ("record_table", "record_key", "title", "text", "rare", "learned")), strict=True):
-                some = {x["k"]: x["v"] for x in of} if of is not None else {}
-                parts, noises = repair(text, title if isinstance(title, str) else None, words, some, frozenset() if learned is None else set(learned))
-                rows.append((at, k, "\n\n".join(parts), len(parts), noises))
-            yield pd.DataFrame(rows, columns=["record_table", "record_key", "text", "n_paragraphs", "noises"])
-
-    again = scans.records.join(scans.left.select("record").distinct(), "record").dropDuplicates(["record"])
-    return done.unionByName(again.join(scans.heads, "record", "left").join(rare, "record", "left").mapInPandas(mend, TEXTS))
 
 
 def scanned_records(spark: SparkSession, folder: str) -> DataFrame:

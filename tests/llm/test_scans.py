@@ -157,3 +157,15 @@ def test_ligatures_and_letters_run_together():
     w = Words({"first": 4000, "claims": 2500, "learned": 2100, "duster": 40, "cluster": 50, "dim": 300, "leamed": 3})
     path = decode(stream("the ﬁrst daims leamed duster dim".split()), w)
     assert path.out == ["the", "first", "claims", "learned", "duster", "dim"] and path.noises == {"misread"}
+
+
+def test_rows_do_not_depend_on_the_words_held(spark):
+    """Rare words that are kept, joined at a line end or confused, beside common ones of which they could be made."""
+    rows = [("t", f"c{i}", None, " ".join(["the news paper stands here"] * 600)) for i in range(60)] + [("t", f"n{i}", None, "the newspaper") for i in range(3)]
+    rows += [("t", f"a{i}", None, "a fore-word, a foreword") for i in range(4)] + [("t", "a4", None, "a foreword"), ("t", "b", None, "the fore-\nword stands")]
+    rows += [("t", "m", None, "the newspap3r")]
+    df = spark.createDataFrame(rows, "record_table string, record_key string, title string, text string")
+    every, few = ({(r.record_key, r.text, tuple(r.noises)) for r in repaired(df, core_limit=limit).collect()} for limit in (100_000, 5))
+    assert every == few and {("n0", "the newspaper", ()), ("m", "the newspaper", ("misread",)), ("b", "the fore-word stands", ())} <= every
+    found, told = noisy(df, core_limit=5)
+    assert {tuple(r) for r in found.collect()} == {("t", "m", "misread")} and told.count() == 10
